@@ -326,7 +326,7 @@ FRAME_SCHEMA = T.StructType(
     ]
 )
 
-LEGACY_SCHEMA = T.StructType.fromDDL(
+LEGACY_DDL = (
     "frame_count bigint, width int, height int, fps double, has_audio boolean, audio_sample_rate bigint, "
     "audio_channels int, bit_depth int, bayer_code int, sensor_make string, sensor_model string, "
     "camera_model string, lens_model string, focal_length double, aperture double, iso bigint, "
@@ -335,7 +335,7 @@ LEGACY_SCHEMA = T.StructType.fromDDL(
     "active_offset_y int, active_width int, active_height int"
 )
 
-CLIP_COLUMNS = (
+CLIP_DDL = (
     "clip_id string, path string, size bigint, version int, frame_count bigint, width int, height int, fps double, "
     "has_audio boolean, audio_sample_rate bigint, audio_channels int, bit_depth int, pattern string, "
     "sensor_make string, sensor_model string, camera_model string, lens_model string, focal_length double, "
@@ -348,7 +348,11 @@ CLIP_COLUMNS = (
     "black_level_count int, lens_grid array<array<double>>, grid_w int, grid_h int, dynamic_black array<double>, "
     "dynamic_white double, first_ts bigint, index_count bigint, index_offset bigint"
 )
-CLIP_SCHEMA = T.StructType.fromDDL(CLIP_COLUMNS)
+
+
+def ddl_fields(ddl: str) -> dict[str, str]:
+    """Names and types of a flat column list."""
+    return dict(part.split(" ", 1) for part in ddl.split(", "))
 
 
 def nine(values: Column) -> Column:
@@ -363,7 +367,7 @@ def not_empty(value: Column) -> Column:
 def _shaped(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """All clip columns in order; what a generation lacks is null."""
     return df.select(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CLIP_SCHEMA.fields]
+        *[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ddl_fields(CLIP_DDL).items()]
     )
 
 
@@ -453,8 +457,8 @@ def headed_clips(raw: DataFrame) -> DataFrame:
 def legacy_clips(raw: DataFrame) -> DataFrame:
     """Clips with a tagged binary header. Its matrix tags are skipped."""
     src = raw.where((F.col("kind") == "legacy") & F.col("error").isNull())
-    src = src.withColumn("h", F.from_json("header", LEGACY_SCHEMA))
-    values = {f.name: F.col("h")[f.name] for f in LEGACY_SCHEMA.fields}
+    src = src.withColumn("h", F.from_json("header", LEGACY_DDL))
+    values = {name: F.col("h")[name] for name in ddl_fields(LEGACY_DDL)}
     for name in ("sensor_width", "sensor_height", "active_offset_x", "active_offset_y", "active_width", "active_height"):
         values[name] = F.coalesce(values[name], F.lit(0))
     values.update(

@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from rawlake import vocab
 from rawlake.functions import text
 from rawlake.operators.catalog import valid_presets
 from rawlake.session import attach
 
-PRESET = T.StructType.fromDDL(
-    "name string, color_space string, transfer_function string, codec_family string, prores_profile string, "
-    "dnxhr_profile string, hevc_profile string, h264_profile string, av1_profile string, vp9_profile string, "
-    "rate_control string, export_folder string"
-)
-PRESET_FILE = T.StructType([T.StructField("schema_version", T.LongType()), T.StructField("presets", T.ArrayType(PRESET))])
+PRESET_FIELDS = [
+    "name", "color_space", "transfer_function", "codec_family", "prores_profile", "dnxhr_profile", "hevc_profile",
+    "h264_profile", "av1_profile", "vp9_profile", "rate_control", "export_folder",
+]
+PRESET_FILE = f"schema_version bigint, presets array<struct<{', '.join(f'{n}: string' for n in PRESET_FIELDS)}>>"
 PRESETS_VERSION = 1
 
 SNAPSHOT = "frames: bigint, avg_us: bigint, min_us: bigint, max_us: bigint, stddev_us: bigint, fps: double"
-REPORT = T.StructType.fromDDL(
+REPORT = (
     "run_id string, total_frames bigint, total_wall_secs double, overall_fps double, gpu_frames bigint, "
     f"gpu_path_pct double, phases array<struct<name: string, snapshot: struct<{SNAPSHOT}>>>, "
     "encode_push_per_frame_us array<struct<frame_id: bigint, us: bigint>>"
 )
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, whole: bool) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: str, whole: bool) -> DataFrame:
     """Documents of a path; a missing path gives no rows, a bad document a null row."""
     reader = spark.read.schema(schema).option("multiLine", str(whole).lower()).option("mode", "PERMISSIVE")
     try:
@@ -53,7 +51,7 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
 
 def preset_documents(presets: DataFrame, group: list[str] | None = None) -> DataFrame:
     """K3: one document per preset list. A list is one user's saved presets."""
-    entry = F.struct(*[F.col(f.name) for f in PRESET.fields])
+    entry = F.struct(*PRESET_FIELDS)
     listed = F.array_sort(F.collect_list(F.struct(F.col("pos"), entry.alias("p")))).alias("_l")
     out = presets.groupBy(*(group or [])).agg(listed)
     return out.select(
@@ -78,21 +76,19 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, REPORT, False)
 
 
-SIDECAR = T.StructType(
-    [T.StructField("clip_id", T.StringType())]
-    + [
-        T.StructField(n, T.BooleanType() if isinstance(v, bool) else T.IntegerType() if isinstance(v, int) else T.DoubleType())
-        for n, v in vocab.SIDECAR_DEFAULT.items()
-    ]
-)
+def _kind(value) -> str:
+    return {bool: "boolean", int: "int", float: "double"}[type(value)]
+
+
+SIDECAR = {name: _kind(value) for name, value in vocab.SIDECAR_DEFAULT.items()}
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Grade sidecars; the clip is the file's name without its last extension."""
-    schema = T.StructType([f for f in SIDECAR.fields if f.name != "clip_id"])
+    schema = ", ".join(f"{name} {kind}" for name, kind in SIDECAR.items())
     docs = _json(spark, path, schema, True)
     named = docs.withColumn("clip_id", text.file_stem(F.col("_metadata.file_path")))
-    return named.select(*[f.name for f in SIDECAR.fields])
+    return named.select("clip_id", *SIDECAR)
 
 
 def with_sidecars(clips: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -104,5 +100,5 @@ def with_sidecars(clips: DataFrame, sidecars: DataFrame) -> DataFrame:
     j = attach(clips, own, ["clip_id"], "left", spread=[c for c in clips.columns if c != "clip_id"] or None)
     return j.select(
         *clips.columns,
-        *[F.coalesce(F.col(f"_{n}"), F.lit(v).cast(SIDECAR[n].dataType)).alias(n) for n, v in vocab.SIDECAR_DEFAULT.items()],
+        *[F.coalesce(F.col(f"_{n}"), F.lit(v).cast(SIDECAR[n])).alias(n) for n, v in vocab.SIDECAR_DEFAULT.items()],
     )
