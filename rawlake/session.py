@@ -48,7 +48,7 @@ def work_folder(spark: SparkSession) -> str:
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for a plan (an upper bound for scans)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def attach(
