@@ -26,7 +26,8 @@ def read_raw16(
 ) -> DataFrame:
     """Tiles of dumped frames.
 
-    ``files`` has ``clip_id, path, length, frame_w, frame_h`` per dump. Every
+    ``files`` has ``clip_id, path, length, frame_w, frame_h`` per dump; further
+    columns are kept. Every
     frame is cut into full-width strips, whose bytes with their halo rows are
     one range of the file. Strips are spread before anything is read.
     """
@@ -42,7 +43,9 @@ def read_raw16(
         }
     )
     f = f.withColumn("oh", F.least(F.col("y0") + F.col("h") + halo, F.col("frame_h")) - F.col("oy"))
-    cols = ["clip_id", "path", "ordinal", "frame_w", "frame_h", "y0", "h", "oy", "oh"]
+    known = ["clip_id", "path", "ordinal", "frame_w", "frame_h", "y0", "h", "oy", "oh"]
+    extra = [c for c in files.columns if c not in (*known, "length")]
+    cols = [*known, *extra]
     f = f.select(*cols)
     f = f.repartition(tasks) if tasks else f.repartition("path", "ordinal", "y0")
 
@@ -62,7 +65,7 @@ def read_raw16(
     types = {x.name: x.dataType.simpleString() for x in f.schema.fields}
     read = f.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in cols) + ", px array<int>")
     return read.select(
-        "clip_id", "ordinal", F.call_function("div", F.col("y0"), F.lit(strip_rows)).cast("int").alias("tile_y"),
+        "clip_id", "ordinal", *extra, F.call_function("div", F.col("y0"), F.lit(strip_rows)).cast("int").alias("tile_y"),
         F.lit(0).alias("tile_x"), "frame_w", "frame_h", "y0", F.lit(0).alias("x0"), "h",
         F.col("frame_w").alias("w"), "oy", F.lit(0).alias("ox"), "oh", F.col("frame_w").alias("ow"), "px",
     )

@@ -6,18 +6,14 @@ job give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rawlake.operators.catalog import import_outcomes, new_imports
 from rawlake.operators.stats import phase_snapshot
+from rawlake.operators.timeline import smoothed_rate
 from rawlake.session import work_folder
 
 
@@ -81,27 +77,43 @@ def second_counts(frames: DataFrame, key: str = "clip_id", at: str = "at", late:
     return counted.select(key, F.col("window"), "n")
 
 
-def smoothed(counts: DataFrame, key: str = "clip_id", keep: float = 0.9) -> DataFrame:
-    """R4, second half: smoothed rate per clip; the state is the last rate.
+def smoothed_stream(counts: DataFrame, folder: str, key: str = "clip_id", keep: float = 0.9) -> StreamingQuery:
+    """R4, second half: smoothed rate per clip, below ``folder/out``.
 
-    Only finished seconds arrive here, one row per clip and second.
+    Only finished seconds arrive here, one row per clip and second. The last
+    rate of every clip is kept as a table per batch; a batch starts from the
+    table of the batch before it, so repeating one gives the same rows.
     """
-    rows = counts.select(key, F.unix_seconds(F.col("window.start")).alias("second"), "n")
-    kind = dict(rows.dtypes)[key]
-
-    def step(ids: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last: Any = state.get[0] if state.exists else None
-        batch = pd.concat(list(parts)).sort_values("second")
-        rates = []
-        for n in batch["n"]:
-            last = float(n) if last is None else last * keep + float(n) * (1.0 - keep)
-            rates.append(last)
-        state.update((last,))
-        yield pd.DataFrame({key: batch[key], "second": batch["second"], "n": batch["n"], "rate": rates})
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, second bigint, n bigint, rate double", "rate double", "append", GroupStateTimeout.NoTimeout
-    )
+    kind = dict(counts.dtypes)[key]
+    state_ddl = f"{key} {kind}, second bigint, rate double"
+
+    def state_path(batch_id: int) -> str:
+        return f"{folder}/state/part={batch_id}"
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id > 0:
+            before = spark.read.schema(state_ddl).parquet(state_path(batch_id - 1))
+        else:
+            before = spark.createDataFrame([], state_ddl)
+        fresh = batch.select(
+            key, F.unix_seconds(F.col("window.start")).alias("second"), F.col("n").cast("double").alias("n")
+        ).withColumn("_seed", F.lit(False))
+        # the last rate stands in for all seconds before this batch
+        seeds = before.join(fresh.select(key).distinct(), key, "left_semi")
+        seeds = seeds.select(key, "second", F.col("rate").alias("n"), F.lit(True).alias("_seed"))
+        rates = smoothed_rate(fresh.unionByName(seeds), key, keep)
+        old = seeds.select(key, "second", F.lit(True).alias("_old"))
+        rows = rates.join(old, [key, "second"], "left").where(F.col("_old").isNull()).drop("_old")
+        target = f"{folder}/out/part={batch_id}"
+        rows.withColumn("n", F.col("n").cast("bigint")).write.mode("overwrite").parquet(target)
+        done = spark.read.schema(f"{key} {kind}, second bigint, n bigint, rate double").parquet(target)
+        last = before.unionByName(done.select(key, "second", "rate")).groupBy(key)
+        last = last.agg(F.max("second").alias("second"), F.max_by("rate", "second").alias("rate"))
+        last.write.mode("overwrite").parquet(state_path(batch_id))
+
+    writer = counts.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.foreachBatch(fold).trigger(availableNow=True).start()
 
 
 def run_to_end(stream: DataFrame, mode: str, folder: str | None = None) -> str:
