@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rawlake.session import SINGLE_WINDOW_LIMIT, plan_bytes
+from rawlake.session import SINGLE_WINDOW_LIMIT, scan_bytes
 
 PIECE = "_piece"
 SAMPLE_PER_PIECE = 20
@@ -65,7 +65,7 @@ def piece_of(df: DataFrame, keys: list[str], points: list) -> Column:
 
 def with_piece(df: DataFrame, group: list[str], order: list[str], limit: int, pieces: int | None) -> DataFrame | None:
     """The input with its piece number, or None if one window can hold it."""
-    if plan_bytes(df) <= limit:
+    if scan_bytes(df) <= limit:
         return None
     if pieces is None:
         pieces = max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

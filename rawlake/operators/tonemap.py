@@ -17,6 +17,7 @@ from rawlake import vocab
 from rawlake.functions import matrix as mx
 from rawlake.functions.curves import DECODE, ENCODE
 from rawlake.functions.numeric import clamp
+from rawlake.session import small_table
 
 RGB = ("r", "g", "b")
 
@@ -201,8 +202,8 @@ def tone_params(spark: SparkSession, configs: dict[str, ToneConfig]) -> DataFram
     rows = [
         (n, list(c.inset), list(c.rotate), list(c.outset), c.in_gamut, c.out_gamut) for n, c in configs.items()
     ]
-    base = spark.createDataFrame(
-        rows, "config string, inset array<double>, rotate array<double>, outset array<double>, "
+    base = small_table(
+        spark, rows, "config string, inset array<double>, rotate array<double>, outset array<double>, "
         "in_gamut string, out_gamut string",
     )
     dim = vocab.dim_tonemap_gamut(spark)

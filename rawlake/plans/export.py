@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rawlake import vocab
 from rawlake.functions import text
 from rawlake.operators.ordered import running_total
-from rawlake.session import attach
+from rawlake.session import attach, small_table
 
 # ---------------------------------------------------------------------------
 # Pixel formats and arguments per codec family.
@@ -86,7 +86,8 @@ def dim_codec_plan(spark: SparkSession) -> DataFrame:
                     key = (family, encoder, profile, wide)
                     if fits and (key not in rows or e == encoder):
                         rows[key] = (codec, pix, args)
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(*k, *v) for k, v in sorted(rows.items())],
         "family string, encoder string, profile string, wide boolean, codec string, pix_fmt string, args string",
     )

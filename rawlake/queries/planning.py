@@ -9,6 +9,7 @@ from rawlake.functions import text
 from rawlake.plans import export
 from rawlake.queries.base import case_sql, pick, pick_sql, query, table
 from rawlake.queries.catalog import PRESETS, VALID, presets
+from rawlake.session import small_table
 
 WIDE_SQL = "color_space NOT IN ('Rec.709', 'sRGB')"
 LOGS = ", ".join(f"'{n}'" for n, high in vocab.TRANSFER if high)
@@ -220,7 +221,7 @@ def w4(spark, sf):
     jobs_ = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 400).cast("string")).alias("base")
     )
-    none = spark.createDataFrame([], "base string, slot bigint")
+    none = small_table(spark, [], "base string, slot bigint")
     return export.free_slots(jobs_, none, "base", ["job_id"])
 
 
@@ -299,7 +300,7 @@ def e7(spark, sf):
             "export_folder": F.lit(None).cast("string"),
         }
     )
-    encoders = spark.createDataFrame(list(E7_ENCODER.items()), "family string, encoder string")
+    encoders = small_table(spark, list(E7_ENCODER.items()), "family string, encoder string")
     # every plain output name exists already
     existing = export.output_names(export.apply_presets(queue, n, ["batch"]))
     existing = existing.select(F.concat_ws(".", "out_base", "out_ext").alias("path")).distinct()

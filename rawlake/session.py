@@ -51,6 +51,50 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(_literal(v) for v in value)})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def small_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """Fixed rows as a local relation, whose size the optimizer knows.
+
+    Rows made from Python objects would count as unbounded in every estimate.
+    """
+    fields = [part.split(" ", 1) for part in ddl.split(", ")]
+    names = ", ".join(name for name, _ in fields)
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    if not rows:
+        empty = ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in fields)
+        return spark.sql(f"SELECT {empty} FROM range(1) WHERE false")
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Size estimate for work on a plan's rows: what its scans read.
+
+    The optimizer multiplies the sides of every join, so its own estimate of a
+    plan with lookups is far too large. Where rows are generated, and scans say
+    little, that larger estimate is used.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    total = plan_bytes(df)
+    if any(word in plan.toString() for word in ("Generate ", "Expand ", "Join Cross", "Join Inner\n")):
+        return total
+    leaves = plan.collectLeaves()
+    return min(total, 4 * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,

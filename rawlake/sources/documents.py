@@ -33,7 +33,7 @@ def _json(spark: SparkSession, path: str, schema: str, whole: bool) -> DataFrame
         return reader.json(path)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" in str(problem):
-            return spark.createDataFrame([], schema)
+            return spark.read.schema(schema).json(spark.sparkContext.emptyRDD())
         raise
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rawlake.functions import matrix as mx
 from rawlake.functions import numeric, text
 from rawlake.operators.catalog import listing_order, visible
+from rawlake.session import small_table
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +27,7 @@ def entries_of(paths: DataFrame, folder: str, include_hidden: bool = False) -> D
     found = below.select(name.alias("name"), is_dir.alias("is_dir"), F.when(is_dir, F.lit(0)).otherwise(F.col("size")).alias("size"))
     found = found.groupBy("name", "is_dir").agg(F.max("size").alias("size"))
     found = visible(found, include_hidden).withColumn("is_parent", F.lit(False))
-    parent = paths.sparkSession.createDataFrame([("..", True, 0, True)], "name string, is_dir boolean, size bigint, is_parent boolean")
+    parent = small_table(paths.sparkSession, [("..", True, 0, True)], "name string, is_dir boolean, size bigint, is_parent boolean")
     return found.unionByName(parent).orderBy(*listing_order())
 
 

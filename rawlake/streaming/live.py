@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rawlake.operators.catalog import import_outcomes, new_imports
 from rawlake.operators.stats import phase_snapshot
 from rawlake.operators.timeline import smoothed_rate
-from rawlake.session import work_folder
+from rawlake.session import small_table, work_folder
 
 
 def _pool(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def _pool(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return spark.read.schema(like.schema).parquet(path)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" in str(problem):
-            return spark.createDataFrame([], like.schema)
+            return like.where(F.lit(False))
         raise
 
 
@@ -39,16 +39,17 @@ def import_stream(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         pool = _pool(spark, pool_path, batch)
         target = f"{counts_path}/batch={batch_id}"
-        counted = spark.createDataFrame([], "imported bigint, failed bigint, duplicate bigint")
         try:
-            done = spark.read.schema(counted.schema).parquet(target).limit(1).count() > 0
+            done = spark.read.schema("imported bigint").parquet(target).limit(1).count() > 0
         except AnalysisException:
             done = False
         if not done:
             import_outcomes(batch, pool, key, order).write.mode("overwrite").parquet(target)
         new_imports(batch.where("ok"), pool, key, order).write.mode("append").parquet(pool_path)
+        batch.unpersist()
 
     return (
         paths.writeStream.foreachBatch(merge)
@@ -95,10 +96,12 @@ def smoothed_stream(counts: DataFrame, folder: str, key: str = "clip_id", keep:
         if batch_id > 0:
             before = spark.read.schema(state_ddl).parquet(state_path(batch_id - 1))
         else:
-            before = spark.createDataFrame([], state_ddl)
-        fresh = batch.select(
-            key, F.unix_seconds(F.col("window.start")).alias("second"), F.col("n").cast("double").alias("n")
-        ).withColumn("_seed", F.lit(False))
+            before = small_table(spark, [], state_ddl)
+        # written first: the folds below read it more than once
+        seconds = f"{folder}/seconds/part={batch_id}"
+        batch.select(key, F.unix_seconds(F.col("window.start")).alias("second"), "n").write.mode("overwrite").parquet(seconds)
+        fresh = spark.read.schema(f"{key} {kind}, second bigint, n bigint").parquet(seconds)
+        fresh = fresh.withColumns({"n": F.col("n").cast("double"), "_seed": F.lit(False)})
         # the last rate stands in for all seconds before this batch
         seeds = before.join(fresh.select(key).distinct(), key, "left_semi")
         seeds = seeds.select(key, "second", F.col("rate").alias("n"), F.lit(True).alias("_seed"))

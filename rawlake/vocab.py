@@ -10,6 +10,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rawlake.session import small_table
+
 # ---------------------------------------------------------------------------
 # Fixed values. They must equal the container format, the published colour
 # standards and the encoder program's argument names.
@@ -297,7 +299,7 @@ def lookup(key: Column, mapping: dict, default=None) -> Column:
 
 
 def _table(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    return small_table(spark, list(rows), schema)
 
 
 def dim_bayer(spark: SparkSession) -> DataFrame:
