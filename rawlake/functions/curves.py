@@ -241,15 +241,20 @@ def decode_table(pixels: DataFrame, curve: str, channels=("r", "g", "b"), curves
 def encode_by_params(
     pixels: DataFrame, params: DataFrame, key: str = "clip_id", channels=("r", "g", "b"), spread=None
 ) -> DataFrame:
-    """Encode a pixel table whose clips use different curves.
+    """Encode a pixel table whose clips use different curves, in one pass.
 
-    ``params`` has one row per clip with its ``transfer``. One branch per curve
-    keeps each generated method small; on a table partitioned by ``transfer``
-    every branch reads only its own files.
+    ``params`` has one row per clip with its ``transfer``. Only the curves that
+    occur there (at most the fixed fifteen) become branches.
     """
-    joined = attach(pixels, params.select(key, "transfer"), [key], "inner", spread=spread)
-    parts = [encode_table(joined.where(F.col("transfer") == name), name, channels) for name in ENCODE]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    known = params.select(key, "transfer").where(F.col("transfer").isin(*ENCODE))
+    used = {row.transfer for row in known.select("transfer").distinct().collect()}
+    joined = attach(pixels, known, [key], "inner", spread=spread)
+
+    def branch(x: Column) -> Column:
+        chosen = F.when(F.lit(False), x)
+        for name in ENCODE:
+            if name in used:
+                chosen = chosen.when(F.col("transfer") == name, ENCODE[name](x))
+        return chosen
+
+    return joined.withColumns({c: branch(F.col(c)) for c in channels})

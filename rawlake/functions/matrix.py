@@ -1,7 +1,15 @@
-"""3x3 matrices as arrays of nine doubles, row by row."""
+"""3x3 matrices as arrays of nine doubles, row by row.
+
+The functions take and give SQL expression text; ``F.expr`` makes a column of
+it. A matrix step names dozens of cells, and one parsed text is far quicker to
+hand to Spark than as many column objects. Arguments may be column names.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,182 +33,179 @@ CAT16_INV = [
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used.
+_names = count()
 
-    Chained matrix steps name every element several times; binding keeps the
-    plan small where inlining would triple it with each step.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
 
+def number(value: float) -> str:
+    """A double literal; a bare SQL constant would be a decimal."""
+    return f"{float(value)!r}D"
 
-def let2(a: Column, b: Column, body) -> Column:
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: body(s["a"], s["b"]))
-
-
-def constant(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
 
+def let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` of a value that is computed once, however often it is used.
 
-def cells(matrix: Column, n: int = 9) -> list[Column]:
-    return [F.get(matrix, i) for i in range(n)]
+    Chained steps name every cell several times; binding keeps the expression
+    small where inlining would triple it with each step.
+    """
+    name = f"v{next(_names)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 
-def product(a: Column, b: Column) -> Column:
-    """Matrix product."""
+def let2(a: str, b: str, body: Callable[[str, str], str]) -> str:
+    return let(a, lambda x: let(b, lambda y: body(x, y)))
 
-    def rows_by_columns(a: Column, b: Column) -> Column:
-        x, y = cells(a), cells(b)
-        return F.array(
-            *[
-                x[3 * r] * y[c] + x[3 * r + 1] * y[3 + c] + x[3 * r + 2] * y[6 + c]
-                for r in range(3)
-                for c in range(3)
-            ]
-        )
 
-    return let2(a, b, rows_by_columns)
+def array(cells) -> str:
+    return f"array({', '.join(cells)})"
 
 
-def dot_rows(matrix: Column, vector: list[Column]) -> list[Column]:
-    """Matrix times a column vector; for plain matrix columns and short vectors."""
-    m = cells(matrix)
-    return [m[3 * r] * vector[0] + m[3 * r + 1] * vector[1] + m[3 * r + 2] * vector[2] for r in range(3)]
+def constant(values) -> str:
+    return array(number(v) for v in values)
 
 
-def apply(matrix: Column, vector: Column) -> Column:
+def product(a: str, b: str) -> str:
+    """Matrix product."""
+    return let2(
+        a,
+        b,
+        lambda x, y: array(
+            f"{x}[{3 * r}] * {y}[{c}] + {x}[{3 * r + 1}] * {y}[{c + 3}] + {x}[{3 * r + 2}] * {y}[{c + 6}]"
+            for r in range(3)
+            for c in range(3)
+        ),
+    )
+
+
+def apply(matrix: str, vector: str) -> str:
     """Matrix times a vector, both arrays."""
-    return let2(matrix, vector, lambda m, v: F.array(*dot_rows(m, cells(v, 3))))
-
-
-def transpose(matrix: Column) -> Column:
-    def swap(matrix: Column) -> Column:
-        m = cells(matrix)
-        return F.array(*[m[3 * c + r] for r in range(3) for c in range(3)])
+    return let2(
+        matrix,
+        vector,
+        lambda m, v: array(f"{m}[{3 * r}] * {v}[0] + {m}[{3 * r + 1}] * {v}[1] + {m}[{3 * r + 2}] * {v}[2]" for r in range(3)),
+    )
 
-    return let(matrix, swap)
 
+def transpose(matrix: str) -> str:
+    return let(matrix, lambda m: array(f"{m}[{3 * c + r}]" for r in range(3) for c in range(3)))
 
-def inverse(matrix: Column) -> Column:
-    """Inverse from cofactors; elements are null for a singular matrix."""
 
-    def cofactors(matrix: Column) -> Column:
-        m = cells(matrix)
+def inverse(matrix: str) -> str:
+    """Inverse from cofactors; cells are null for a singular matrix."""
 
-        def minor(r: int, c: int) -> Column:
-            p, q = sorted({0, 1, 2} - {r})
-            s, t = sorted({0, 1, 2} - {c})
-            value = m[3 * p + s] * m[3 * q + t] - m[3 * p + t] * m[3 * q + s]
-            return value if (r + c) % 2 == 0 else -value
+    def minor(m: str, r: int, c: int) -> str:
+        p, q = sorted({0, 1, 2} - {r})
+        s, t = sorted({0, 1, 2} - {c})
+        value = f"{m}[{3 * p + s}] * {m}[{3 * q + t}] - {m}[{3 * p + t}] * {m}[{3 * q + s}]"
+        return f"({value})" if (r + c) % 2 == 0 else f"-({value})"
 
-        det = m[0] * minor(0, 0) + m[1] * minor(0, 1) + m[2] * minor(0, 2)
-        adjugate = F.array(*[minor(c, r) for r in range(3) for c in range(3)])
-        return let2(adjugate, det, lambda adj, d: F.transform(adj, lambda v: F.try_divide(F.lit(1.0), d) * v))
+    def cofactors(m: str) -> str:
+        det = " + ".join(f"{m}[{c}] * {minor(m, 0, c)}" for c in range(3))
+        adjugate = array(minor(m, c, r) for r in range(3) for c in range(3))
+        return let2(adjugate, f"try_divide(1D, {det})", lambda adj, d: f"transform({adj}, c -> {d} * c)")
 
     return let(matrix, cofactors)
 
 
-def mean_of(a: Column, b: Column, t: float = 0.5) -> Column:
+def mean_of(a: str, b: str, t: float = 0.5) -> str:
     """Element-wise blend of two matrices."""
-    return F.zip_with(a, b, lambda x, y: x * F.lit(1.0 - t) + y * F.lit(t))
+    return f"zip_with({a}, {b}, (x, y) -> x * {number(1.0 - t)} + y * {number(t)})"
 
 
-def scale_rows(matrix: Column, factors: Column) -> Column:
-    return F.transform(matrix, lambda v, i: v * F.get(factors, F.floor(i / 3).cast("int")))
+def scale_rows(matrix: str, factors: str) -> str:
+    return let2(matrix, factors, lambda m, f: array(f"{m}[{i}] * {f}[{i // 3}]" for i in range(9)))
 
 
-def scale_cols(matrix: Column, factors: Column) -> Column:
-    return F.transform(matrix, lambda v, i: v * F.get(factors, i % 3))
+def scale_cols(matrix: str, factors: str) -> str:
+    return let2(matrix, factors, lambda m, f: array(f"{m}[{i}] * {f}[{i % 3}]" for i in range(9)))
 
 
-def row_sums(matrix: Column) -> Column:
-    def sums(matrix: Column) -> Column:
-        m = cells(matrix)
-        return F.array(*[m[3 * r] + m[3 * r + 1] + m[3 * r + 2] for r in range(3)])
+def row_sums(matrix: str) -> str:
+    return let(matrix, lambda m: array(f"{m}[{3 * r}] + {m}[{3 * r + 1}] + {m}[{3 * r + 2}]" for r in range(3)))
 
-    return let(matrix, sums)
 
-
-def white_xyz(x: Column, y: Column) -> Column:
+def white_xyz(x: str, y: str) -> str:
     """M4: XYZ of a chromaticity with Y = 1."""
-    return F.array(x / y, F.lit(1.0), (F.lit(1.0) - x - y) / y)
+    return f"array({x} / {y}, 1D, (1D - {x} - {y}) / {y})"
 
 
-def rgb_to_xyz(primaries: list[Column], white: list[Column]) -> Column:
+def rgb_to_xyz(primaries: list[str], white: list[str]) -> str:
     """M2: RGB to XYZ from primaries and a white point."""
-    xr, yr, xg, yg, xb, yb = primaries
-    one = F.lit(1.0)
-    base = F.array(
-        xr / yr, xg / yg, xb / yb,
-        one, one, one,
-        (one - xr - yr) / yr, (one - xg - yg) / yg, (one - xb - yb) / yb,
-    )
-    return let(base, lambda m: let2(m, apply(inverse(m), white_xyz(*white)), scale_cols))
+    xs, ys = primaries[0::2], primaries[1::2]
+    top, low = [f"{x} / {y}" for x, y in zip(xs, ys)], [f"(1D - {x} - {y}) / {y}" for x, y in zip(xs, ys)]
+    base = array([*top, "1D", "1D", "1D", *low])
+    return let(base, lambda m: scale_cols(m, apply(inverse(m), white_xyz(*white))))
 
 
-def xyz_to_rgb(primaries: list[Column], white: list[Column]) -> Column:
+def xyz_to_rgb(primaries: list[str], white: list[str]) -> str:
     """M2: XYZ to RGB from primaries and a white point."""
     return inverse(rgb_to_xyz(primaries, white))
 
 
-def _cone_factors(cone: list[float], source: Column, target: Column) -> Column:
-    return F.zip_with(apply(constant(cone), target), apply(constant(cone), source), lambda d, s: d / s)
+def _cone_factors(cone: list[float], source: str, target: str) -> str:
+    return f"zip_with({apply(constant(cone), target)}, {apply(constant(cone), source)}, (d, s) -> d / s)"
 
 
-def bradford(source: Column, target: Column | None = None) -> Column:
+def bradford(source: str, target: str | None = None) -> str:
     """M3: Bradford adaptation from one white to another."""
-    target = constant(vocab.D65) if target is None else target
-    scaled = let(_cone_factors(BRADFORD, source, target), lambda f: scale_rows(constant(BRADFORD), f))
-    return product(constant(BRADFORD_INV), scaled)
+    factors = _cone_factors(BRADFORD, source, target or constant(vocab.D65))
+    return product(constant(BRADFORD_INV), scale_rows(constant(BRADFORD), factors))
 
 
-def cat16_adapt(xyz: Column, source: Column, target: Column) -> Column:
+def cat16_adapt(xyz: str, source: str, target: str) -> str:
     """M4: CAT16 adaptation of one colour."""
-    factors = _cone_factors(CAT16, source, target)
-    return apply(constant(CAT16_INV), F.zip_with(apply(constant(CAT16), xyz), factors, lambda v, f: v * f))
+    scaled = f"zip_with({apply(constant(CAT16), xyz)}, {_cone_factors(CAT16, source, target)}, (v, f) -> v * f)"
+    return apply(constant(CAT16_INV), scaled)
 
 
-def cat16_output(cam_to_xyz: Column, source: Column, target: Column, xyz_to_out: Column) -> Column:
+def cat16_output(cam_to_xyz: str, source: str, target: str, xyz_to_out: str) -> str:
     """M4: camera to output matrix through a CAT16 adaptation."""
-    adapted = let2(product(constant(CAT16), cam_to_xyz), _cone_factors(CAT16, source, target), scale_rows)
+    adapted = scale_rows(product(constant(CAT16), cam_to_xyz), _cone_factors(CAT16, source, target))
     return product(xyz_to_out, product(constant(CAT16_INV), adapted))
 
 
-def white_distance(matrix: Column) -> Column:
+def white_distance(matrix: str) -> str:
     """Squared distance of the row sums to D50; infinite if undefined."""
-    squares = F.zip_with(row_sums(matrix), constant(vocab.D50), lambda s, w: (s - w) * (s - w))
-    total = F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)
-    return F.coalesce(F.nanvl(total, F.lit(float("inf"))), F.lit(float("inf")))
 
+    def squared(s: str) -> str:
+        total = " + ".join(f"({s}[{i}] - {number(w)}) * ({s}[{i}] - {number(w)})" for i, w in enumerate(vocab.D50))
+        return f"coalesce(nanvl({total}, double('Infinity')), double('Infinity'))"
 
-def oriented(matrix: Column) -> Column:
-    """The matrix, its transpose or an inverse, whichever white is nearest D50.
+    return let(row_sums(matrix), squared)
 
-    The first candidate wins ties, and a candidate that is undefined never wins.
-    """
 
-    def nearest(m: Column) -> Column:
-        flipped = transpose(m)
-        ranked = F.transform(
-            F.array(m, flipped, inverse(m), inverse(flipped)),
-            lambda c, i: F.struct(white_distance(c).alias("dist"), i.alias("pos"), c.alias("m")),
-        )
-        return let2(
-            F.array_min(ranked), m, lambda best, m: F.when(best["dist"] < float("inf"), best["m"]).otherwise(m)
-        )
+def _ranked(m: str) -> str:
+    """Four readings of a matrix with their white distance, the nearest first."""
+
+    def entries(m: str, t: str) -> str:
+        listed = [m, t, inverse(m), inverse(t)]
+        return array(f"struct({white_distance(c)} AS dist, {i} AS pos)" for i, c in enumerate(listed))
+
+    return let(transpose(m), lambda t: f"array_min({entries(m, t)})")
 
-    return let(matrix, nearest)
 
+def orientation_pick(matrix: str) -> str:
+    """Number of the winning reading (0 as is, 1 transposed, 2 and 3 inverted)."""
+    return let(matrix, lambda m: f"{_ranked(m)}.pos")
 
-def orientation_pick(matrix: Column) -> Column:
-    """Number of the winning candidate (0 as is, 1 transposed, 2 and 3 inverted)."""
 
-    def nearest(m: Column) -> Column:
-        flipped = transpose(m)
-        ranked = F.transform(
-            F.array(m, flipped, inverse(m), inverse(flipped)),
-            lambda c, i: F.struct(white_distance(c).alias("dist"), i.alias("pos")),
+def oriented(matrix: str) -> str:
+    """The matrix, its transpose or an inverse, whichever white is nearest D50.
+
+    The first reading wins ties, and one that is undefined never wins.
+    """
+
+    def pick(m: str, best: str) -> str:
+        t = transpose(m)
+        return (
+            f"CASE WHEN {best}.dist = double('Infinity') OR {best}.pos = 0 THEN {m} WHEN {best}.pos = 1 THEN {t} "
+            f"WHEN {best}.pos = 2 THEN {inverse(m)} ELSE {inverse(t)} END"
         )
-        return F.array_min(ranked)["pos"]
 
-    return let(matrix, nearest)
+    return let(matrix, lambda m: let(_ranked(m), lambda best: pick(m, best)))
+
+
+def dot_rows(matrix: str, vector: list[str]) -> list[Column]:
+    """Matrix column times the named channels, for per-pixel work (no binding)."""
+    r, g, b = vector
+    m = matrix
+    return [F.expr(f"{m}[{3 * i}] * {r} + {m}[{3 * i + 1}] * {g} + {m}[{3 * i + 2}] * {b}") for i in range(3)]

@@ -37,20 +37,20 @@ def _toward(value: Column, target: Column, t: Column) -> Column:
     return value + (target - value) * t
 
 
-def display_colour(pixels: DataFrame, gain_r: Column, gain_b: Column, matrix: Column) -> DataFrame:
+def display_colour(pixels: DataFrame, gain_r: Column, gain_b: Column, matrix: str) -> DataFrame:
     """White balance, highlight desaturation, matrix, no negatives."""
     p = pixels.withColumns({"r": F.col("r") * gain_r, "b": F.col("b") * gain_b})
     top = F.greatest(*RGB)
     p = p.withColumns({"_t": F.when(top > 0.95, F.least((top - 0.95) / 0.05, F.lit(1.0))).otherwise(F.lit(0.0)), "_n": F.least(top, F.lit(1.0))})
     p = p.withColumns({c: _toward(F.col(c), F.col("_n"), F.col("_t")) for c in RGB})
-    out = dot_rows(matrix, [F.col(c) for c in RGB])
+    out = dot_rows(matrix, list(RGB))
     return p.withColumns({c: F.greatest(v, F.lit(0.0)) for c, v in zip(RGB, out)}).drop("_t", "_n")
 
 
-def log_colour(pixels: DataFrame, gain_r: Column, gain_b: Column, matrix: Column) -> DataFrame:
+def log_colour(pixels: DataFrame, gain_r: Column, gain_b: Column, matrix: str) -> DataFrame:
     """White balance, matrix, and a soft clip toward luma above 1."""
     p = pixels.withColumns({"r": F.col("r") * gain_r, "b": F.col("b") * gain_b})
-    out = dot_rows(matrix, [F.col(c) for c in RGB])
+    out = dot_rows(matrix, list(RGB))
     p = p.withColumns({c: F.greatest(v, F.lit(0.0)) for c, v in zip(RGB, out)})
     top = F.greatest(*RGB)
     luma = sum((F.col(c) * w for c, w in zip(RGB, vocab.LUMA)), F.lit(0.0))
@@ -92,7 +92,7 @@ def colour_stage(pixels: DataFrame, transfer: str, keep: list[str]) -> DataFrame
     """P2 to C33 on demosaiced pixels that carry their parameters."""
     p = normalise_channels(pixels, [F.get("norm_black", i) for i in range(3)], F.col("norm_white"))
     stage = display_colour if transfer in DISPLAY_CURVES else log_colour
-    p = stage(p, F.col("gain_r"), F.col("gain_b"), F.col("fused"))
+    p = stage(p, F.col("gain_r"), F.col("gain_b"), "fused")
     return packed(p, transfer).select(*keep, "y", "x", *RGB)
 
 

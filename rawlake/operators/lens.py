@@ -95,13 +95,14 @@ def correct_tiles(tiles: DataFrame, levels: bool = True, grid: str = "lens_grid"
         for batch in batches:
             cols = {n: batch.column(n) for n in batch.schema.names}
             planes = []
+            fields = {n: cols[n].to_pylist() for n in need}
             for i in range(batch.num_rows):
                 px = cols["px"][i].values.to_numpy(zero_copy_only=False)
                 if not cols[grid][i].is_valid:
                     planes.append(px.astype(np.int32))
                     continue
-                t = {n: cols[n][i].as_py() for n in need}
-                nodes = np.array(cols[grid][i].as_py(), dtype=np.float64)
+                t = {n: v[i] for n, v in fields.items()}
+                nodes = cols[grid][i].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 ys, xs = np.arange(t["oy"], t["oy"] + t["oh"]), np.arange(t["ox"], t["ox"] + t["ow"])
                 v, u = (ys + t["crop_y"]) / t["sensor_h"], (xs + t["crop_x"]) / t["sensor_w"]
                 gains = _gains(nodes, t["grid_w"], t["grid_h"], v, u)

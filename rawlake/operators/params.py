@@ -13,11 +13,10 @@ from rawlake.session import attach
 
 def dim_gamut(spark: SparkSession) -> DataFrame:
     """M2: XYZ to RGB matrix of every gamut, from its primaries."""
-    dim = vocab.dim_primaries(spark)
-    primaries = [F.col(c) for c in ("xr", "yr", "xg", "yg", "xb", "yb")]
-    built = mx.xyz_to_rgb(primaries, [F.col("xw"), F.col("yw")])
+    built = F.expr(mx.xyz_to_rgb(["xr", "yr", "xg", "yg", "xb", "yb"], ["xw", "yw"]))
     fixed = F.col("name").isin(*vocab.FIXED_MATRIX_GAMUTS)
-    return dim.withColumn("xyz_to_rgb", F.when(fixed, mx.constant(vocab.XYZ_TO_REC709)).otherwise(built))
+    matrix = F.when(fixed, F.expr(mx.constant(vocab.XYZ_TO_REC709))).otherwise(built)
+    return vocab.dim_primaries(spark).withColumn("xyz_to_rgb", matrix)
 
 
 def illuminant_code(name: Column) -> Column:
@@ -32,49 +31,45 @@ def camera_matrix(clips: DataFrame, calibration: tuple[str, ...] = ("calibration
     re-oriented when its white is far from D50. Without one, the colour matrix
     (averaged with the second) is oriented and multiplied by a calibration.
     """
-    fm1, fm2 = F.col("forward_matrix1"), F.col("forward_matrix2")
-    cm1 = F.coalesce(F.col("color_matrix"), mx.constant(mx.IDENTITY))
-    cm = F.when(F.col("color_matrix2").isNotNull(), mx.mean_of(cm1, F.col("color_matrix2"))).otherwise(cm1)
-    both = fm1.isNotNull() & fm2.isNotNull()
-    path = (
-        F.when(both, "forward_mean")
-        .when(fm1.isNotNull(), "forward")
-        .when(numeric.has_colour_matrix(cm1), "color")
-        .otherwise("identity")
-    )
-    base = (
-        F.when(both, mx.mean_of(fm1, fm2))
-        .when(fm1.isNotNull(), fm1)
-        .when(numeric.has_colour_matrix(cm1), cm)
-        .otherwise(mx.constant(mx.IDENTITY))
+    cm1 = f"coalesce(color_matrix, {mx.constant(mx.IDENTITY)})"
+    plausible = "exists(_cm1, v -> abs(v) > 0.01D AND abs(v) < 10D)"
+    out = clips.withColumn("_cm1", F.expr(cm1)).withColumns(
+        {
+            "_path": F.expr(
+                "CASE WHEN forward_matrix1 IS NOT NULL AND forward_matrix2 IS NOT NULL THEN 'forward_mean' "
+                f"WHEN forward_matrix1 IS NOT NULL THEN 'forward' WHEN {plausible} THEN 'color' ELSE 'identity' END"
+            ),
+            "_base": F.expr(
+                "CASE WHEN forward_matrix1 IS NOT NULL AND forward_matrix2 IS NOT NULL "
+                f"THEN {mx.mean_of('forward_matrix1', 'forward_matrix2')} WHEN forward_matrix1 IS NOT NULL THEN forward_matrix1 "
+                f"WHEN {plausible} THEN CASE WHEN color_matrix2 IS NOT NULL THEN {mx.mean_of('_cm1', 'color_matrix2')} ELSE _cm1 END "
+                f"ELSE {mx.constant(mx.IDENTITY)} END"
+            ),
+            "_cal": F.coalesce(*[F.col(c) for c in calibration]),
+        }
     )
-    cal = F.coalesce(*[F.col(c) for c in calibration])
-    out = clips.withColumns({"_path": path, "_base": base, "_cal": cal})
-    near = mx.white_distance(F.col("_base")) < 0.05
-    forward = F.col("_path").startswith("forward")
-    turned = forward & ~near
+    out = out.withColumn("_turned", F.expr(f"_path LIKE 'forward%' AND NOT {mx.white_distance('_base')} < 0.05D"))
     out = out.withColumns(
         {
-            "matrix_path": F.when(turned, F.concat("_path", F.lit("_oriented"))).otherwise(F.col("_path")),
-            "_cam": F.when(turned | (F.col("_path") == "color"), mx.oriented(F.col("_base"))).otherwise(F.col("_base")),
+            "matrix_path": F.expr("CASE WHEN _turned THEN concat(_path, '_oriented') ELSE _path END"),
+            "_cam": F.expr(f"CASE WHEN _turned OR _path = 'color' THEN {mx.oriented('_base')} ELSE _base END"),
         }
     )
-    calibrated = (F.col("_path") == "color") & F.col("_cal").isNotNull()
-    out = out.withColumn("cam_to_xyz", F.when(calibrated, mx.product(F.col("_cam"), F.col("_cal"))).otherwise(F.col("_cam")))
-    return out.drop("_path", "_base", "_cal", "_cam")
+    calibrated = f"CASE WHEN _path = 'color' AND _cal IS NOT NULL THEN {mx.product('_cam', '_cal')} ELSE _cam END"
+    return out.withColumn("cam_to_xyz", F.expr(calibrated)).drop("_cm1", "_path", "_base", "_cal", "_turned", "_cam")
 
 
-def reference_white(path: Column, cam_to_xyz: Column) -> Column:
+def reference_white(path: str = "matrix_path", cam_to_xyz: str = "cam_to_xyz") -> str:
     """M6: D50 for forward matrices, else the row sums if they are plausible."""
 
-    def choose(sums: Column) -> Column:
-        top = F.greatest(*mx.cells(sums, 3))
-        return F.when(path.startswith("forward") | (top < 0.1) | (top > 5.0), mx.constant(vocab.D50)).otherwise(sums)
+    def choose(s: str) -> str:
+        top = f"greatest({s}[0], {s}[1], {s}[2])"
+        return f"CASE WHEN {path} LIKE 'forward%' OR {top} < 0.1D OR {top} > 5D THEN {mx.constant(vocab.D50)} ELSE {s} END"
 
     return mx.let(mx.row_sums(cam_to_xyz), choose)
 
 
-def fused(xyz_to_rgb: Column, white: Column, cam_to_xyz: Column) -> Column:
+def fused(xyz_to_rgb: str, white: str, cam_to_xyz: str) -> str:
     """M7: camera to output RGB through an adaptation to D65."""
     return mx.product(xyz_to_rgb, mx.product(mx.bradford(white), cam_to_xyz))
 
@@ -100,7 +95,7 @@ def source_levels(mode: str, static: Column, white: Column, dyn_black: Column, d
     """Black (r, g, b) and white level of a level mode."""
     preset = {name: (b, w) for name, b, w in vocab.LEVEL_PRESET}[mode]
     if preset[0] is not None:
-        return [mx.constant([preset[0]] * 3), F.lit(preset[1])]
+        return [F.expr(mx.constant([preset[0]] * 3)), F.lit(preset[1])]
     if mode == "Static":
         return [static, white]
     own = dyn_black.isNotNull()
@@ -120,10 +115,9 @@ def clip_params(clips: DataFrame, gamut: str | None = None) -> DataFrame:
     # 16 rows, fixed
     dim = F.broadcast(dim_gamut(spark).select(F.col("name").alias("gamut"), "xyz_to_rgb"))
     out = camera_matrix(named).join(dim, "gamut", "inner")
-    white = reference_white(F.col("matrix_path"), F.col("cam_to_xyz"))
     return out.withColumns(
         {
-            "fused": fused(F.col("xyz_to_rgb"), white, F.col("cam_to_xyz")),
+            "fused": F.expr(fused("xyz_to_rgb", reference_white(), "cam_to_xyz")),
             "black_rgb": static_levels(F.col("black_levels"), F.col("black_level_count")),
             "crop_w": numeric.active_size(F.col("active_width"), F.col("width")),
             "crop_h": numeric.active_size(F.col("active_height"), F.col("height")),
@@ -131,10 +125,11 @@ def clip_params(clips: DataFrame, gamut: str | None = None) -> DataFrame:
     )
 
 
-def scene_white(cam_to_xyz: Column, neutral: Column) -> Column:
+def scene_white(cam_to_xyz: str = "cam_to_xyz", neutral: str = "neutral") -> str:
     """M8: white of a frame from its neutral, each part within 0.3..3."""
-    own = F.transform(mx.apply(cam_to_xyz, neutral), lambda v: numeric.clamp(v, 0.3, 3.0))
-    return F.when(numeric.neutral_ok(neutral), own).otherwise(mx.constant(vocab.D65))
+    usable = " AND ".join(f"{neutral}[{i}] > 1e-6D" for i in range(3))
+    own = f"transform({mx.apply(cam_to_xyz, neutral)}, c -> least(greatest(c, 0.3D), 3D))"
+    return f"CASE WHEN {usable} THEN {own} ELSE {mx.constant(vocab.D65)} END"
 
 
 def frame_params(params: DataFrame, frame_meta: DataFrame, mode: str = "Dynamic", spread=("frame_id",)) -> DataFrame:
@@ -149,7 +144,7 @@ def frame_params(params: DataFrame, frame_meta: DataFrame, mode: str = "Dynamic"
     n = [F.get("neutral", i) for i in range(3)]
     flat = (F.abs(n[0] - 1.0) < 1e-3) & (F.abs(n[1] - 1.0) < 1e-3) & (F.abs(n[2] - 1.0) < 1e-3)
     per_frame = F.col("matrix_path").startswith("color") & ~flat
-    own = fused(F.col("xyz_to_rgb"), scene_white(F.col("cam_to_xyz"), F.col("neutral")), F.col("cam_to_xyz"))
+    own = F.expr(fused("xyz_to_rgb", scene_white(), "cam_to_xyz"))
     black, white = source_levels(
         mode, F.col("black_rgb"), F.col("white_level"), F.col("dynamic_black"), F.col("dynamic_white")
     )
@@ -167,5 +162,4 @@ def frame_params(params: DataFrame, frame_meta: DataFrame, mode: str = "Dynamic"
 def preview_matrix(clips: DataFrame) -> DataFrame:
     """M5 twin: camera to Rec.709 for previews; only the first calibration counts."""
     out = camera_matrix(clips, ("calibration_matrix1",))
-    white = reference_white(F.col("matrix_path"), F.col("cam_to_xyz"))
-    return out.withColumn("ccm", fused(mx.constant(vocab.XYZ_TO_REC709), white, F.col("cam_to_xyz")))
+    return out.withColumn("ccm", F.expr(fused(mx.constant(vocab.XYZ_TO_REC709), reference_white(), "cam_to_xyz")))

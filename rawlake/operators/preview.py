@@ -146,10 +146,10 @@ def sampled(tiles: DataFrame, box_w: int = 320, box_h: int = 180) -> DataFrame:
     src_y = F.floor(F.col("ty") * F.col("frame_h") / F.col("out_h")).cast("int")
     src_x = F.floor(F.col("tx") * F.col("frame_w") / F.col("out_w")).cast("int")
     t = t.withColumns({"_sy": src_y, "_sx": src_x, "_p": preview_pattern(F.col("pattern"))})
-    rgb = demosaic_preview_at(t, F.col("_sy"), F.col("_sx"), F.col("_p"))
+    t = demosaic_preview_at(t, "_sy", "_sx", "_p")
     dropped = {"px", "_sy", "_sx", "_p", "frame_w", "frame_h", "y0", "x0", "h", "w", "oy", "ox", "oh", "ow"}
     keep = [c for c in t.columns if c not in dropped]
-    return t.select(*keep, *[e.alias(n) for n, e in rgb.items()])
+    return t.select(*keep)
 
 
 def preview_grade(sliders: dict[str, Column]) -> dict[str, Column]:

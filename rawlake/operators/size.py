@@ -23,10 +23,9 @@ def left_difference(pixels: DataFrame, frame: str = "frame_id", value: str = "v"
 def tile_differences(tiles: DataFrame) -> DataFrame:
     """W3 on tiles: the left neighbour is in the same row of data, so nothing moves."""
     rows = site_rows(tiles)
-    here = pixel_at(F.col("y"), F.col("x"))
-    left = F.when(F.col("x") > 0, pixel_at(F.col("y"), F.col("x") - 1)).otherwise(F.lit(0.0))
+    left = f"CASE WHEN x > 0 THEN {pixel_at('y', 'x - 1')} ELSE 0D END"
     keep = [c for c in ("clip_id", "frame_id") if c in tiles.columns]
-    return rows.select(*keep, "y", "x", (here - left).cast("int").alias("diff"))
+    return rows.selectExpr(*keep, "y", "x", f"int({pixel_at('y', 'x')} - {left}) AS diff")
 
 
 def code_bits(diff: Column) -> Column:

@@ -71,31 +71,60 @@ def site_rows(tiles: DataFrame) -> DataFrame:
     return out.select(*tiles.columns, y.alias("y"), (F.col("x0") + F.col("_i") % F.col("w")).alias("x"))
 
 
-def pixel_at(y: Column, x: Column) -> Column:
+# The stencils are written as SQL expression text: one pixel names its neighbours
+# dozens of times, and one parsed text is much quicker to build than as many
+# column objects.
+
+
+def pixel_at(y: str, x: str) -> str:
     """Stored value of a frame position inside the tile."""
-    return F.get("px", (y - F.col("oy")) * F.col("ow") + (x - F.col("ox"))).cast("double")
+    return f"double(get(px, ({y} - oy) * ow + ({x} - ox)))"
+
+
+def pixel_or_zero(y: str, x: str) -> str:
+    inside = f"{y} >= 0 AND {x} >= 0 AND {y} < frame_h AND {x} < frame_w"
+    return f"CASE WHEN {inside} THEN {pixel_at(y, x)} ELSE 0D END"
 
 
-def pixel_or_zero(y: Column, x: Column) -> Column:
-    inside = (y >= 0) & (x >= 0) & (y < F.col("frame_h")) & (x < F.col("frame_w"))
-    return F.when(inside, pixel_at(y, x)).otherwise(F.lit(0.0))
+def pixel_clamped(y: str, x: str) -> str:
+    return pixel_at(f"least(greatest({y}, 0), frame_h - 1)", f"least(greatest({x}, 0), frame_w - 1)")
 
 
-def pixel_clamped(y: Column, x: Column) -> Column:
-    yy = F.least(F.greatest(y, F.lit(0)), F.col("frame_h") - 1)
-    xx = F.least(F.greatest(x, F.lit(0)), F.col("frame_w") - 1)
-    return pixel_at(yy, xx)
+def _rest(tiles: DataFrame) -> list[str]:
+    return [c for c in tiles.columns if c not in (*GEOMETRY, "px", "tile_y", "tile_x")]
 
 
 def mosaic_pixels(tiles: DataFrame) -> DataFrame:
     """Long form of the mosaic: ``y, x, v``."""
-    rest = [c for c in tiles.columns if c not in (*GEOMETRY, "px", "tile_y", "tile_x")]
     rows = site_rows(tiles)
-    return rows.select(*rest, "frame_w", "frame_h", "y", "x", pixel_at(F.col("y"), F.col("x")).alias("v"))
+    return rows.select(*_rest(tiles), "frame_w", "frame_h", "y", "x", F.expr(pixel_at("y", "x")).alias("v"))
 
 
 # parity (x, y) of the red sites; quad patterns have no site that matches
 RED_PARITY = {"RGGB": (0, 0), "BGGR": (1, 1), "GRBG": (1, 0), "GBRG": (0, 1)}
+NO_SITE = 9
+CROSS = [(0, -1), (0, 1), (-1, 0), (1, 0)]
+CORNERS = [(-1, -1), (1, -1), (-1, 1), (1, 1)]
+
+
+def _is_red(y: str, x: str) -> str:
+    return f"({x} % 2 = _rx AND {y} % 2 = _ry)"
+
+
+def _is_blue(y: str, x: str) -> str:
+    return f"({x} % 2 = 1 - _rx AND {y} % 2 = 1 - _ry)"
+
+
+def _is_green(y: str, x: str) -> str:
+    return f"(NOT {_is_red(y, x)} AND NOT {_is_blue(y, x)})"
+
+
+def _mean_around(y: str, x: str, steps, test) -> str:
+    """Mean of the neighbours whose site passes a test; else the value itself."""
+    spots = [(f"({y} + {dy})", f"({x} + {dx})") for dx, dy in steps]
+    total = " + ".join(f"CASE WHEN {test(*s)} THEN {pixel_or_zero(*s)} ELSE 0D END" for s in spots)
+    count = " + ".join(f"CASE WHEN {test(*s)} THEN 1 ELSE 0 END" for s in spots)
+    return f"CASE WHEN ({count}) > 0 THEN ({total}) / ({count}) ELSE {pixel_or_zero(y, x)} END"
 
 
 def demosaic_export(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
@@ -106,47 +135,22 @@ def demosaic_export(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
     above the frame counts as green. Missing colours at a green site come from
     the neighbour on the right or left, by row parity.
     """
-    known = {k: v for k, v in RED_PARITY.items()}
-    none = 9
-    rows = site_rows(tiles).withColumns(
-        {
-            "_rx": vocab.lookup(F.col(pattern), {k: v[0] for k, v in known.items()}, none),
-            "_ry": vocab.lookup(F.col(pattern), {k: v[1] for k, v in known.items()}, none),
-        }
+    parity = {
+        "_rx": vocab.lookup(F.col(pattern), {k: v[0] for k, v in RED_PARITY.items()}, NO_SITE),
+        "_ry": vocab.lookup(F.col(pattern), {k: v[1] for k, v in RED_PARITY.items()}, NO_SITE),
+    }
+    rows = site_rows(tiles.withColumns(parity)).selectExpr(
+        "*", f"{_is_red('y', 'x')} AS _red", f"{_is_blue('y', 'x')} AS _blue", f"{pixel_at('y', 'x')} AS _v"
     )
-    y, x, rx, ry = F.col("y"), F.col("x"), F.col("_rx"), F.col("_ry")
-
-    def is_red(yy: Column, xx: Column) -> Column:
-        return (xx % 2 == rx) & (yy % 2 == ry)
-
-    def is_blue(yy: Column, xx: Column) -> Column:
-        return (xx % 2 == 1 - rx) & (yy % 2 == 1 - ry)
-
-    def is_green(yy: Column, xx: Column) -> Column:
-        return ~is_red(yy, xx) & ~is_blue(yy, xx)
-
-    def mean_around(yy: Column, xx: Column, steps, test) -> Column:
-        spots = [(yy + dy, xx + dx) for dx, dy in steps]
-        total = sum((F.when(test(*s), pixel_or_zero(*s)).otherwise(F.lit(0.0)) for s in spots), F.lit(0.0))
-        count = sum((F.when(test(*s), 1.0).otherwise(0.0) for s in spots), F.lit(0.0))
-        return F.when(count > 0, total / count).otherwise(pixel_or_zero(yy, xx))
-
-    cross = [(0, -1), (0, 1), (-1, 0), (1, 0)]
-    corners = [(-1, -1), (1, -1), (-1, 1), (1, 1)]
-    rows = rows.withColumns(
-        {
-            "_red": is_red(y, x),
-            "_blue": is_blue(y, x),
-            "_v": pixel_at(y, x),
-        }
+    rows = rows.selectExpr("*", "CASE WHEN _red OR _blue THEN 0 WHEN y % 2 = 0 THEN 1 ELSE -1 END AS _s")
+    return rows.selectExpr(
+        *_rest(tiles),
+        "y",
+        "x",
+        f"CASE WHEN _red THEN _v ELSE {_mean_around('y', '(x + _s)', CORNERS, _is_red)} END AS r",
+        f"CASE WHEN _s <> 0 THEN _v ELSE {_mean_around('y', 'x', CROSS, _is_green)} END AS g",
+        f"CASE WHEN _blue THEN _v ELSE {_mean_around('y', '(x - _s)', CORNERS, _is_blue)} END AS b",
     )
-    shift = F.when(F.col("_red") | F.col("_blue"), 0).when(y % 2 == 0, 1).otherwise(-1)
-    rows = rows.withColumn("_s", shift)
-    rest = [c for c in tiles.columns if c not in (*GEOMETRY, "px", "tile_y", "tile_x")]
-    red = F.when(F.col("_red"), F.col("_v")).otherwise(mean_around(y, x + F.col("_s"), corners, is_red))
-    blue = F.when(F.col("_blue"), F.col("_v")).otherwise(mean_around(y, x - F.col("_s"), corners, is_blue))
-    green = F.when(F.col("_s") != 0, F.col("_v")).otherwise(mean_around(y, x, cross, is_green))
-    return rows.select(*rest, "y", "x", red.alias("r"), green.alias("g"), blue.alias("b"))
 
 
 def preview_pattern(name: Column) -> Column:
@@ -154,31 +158,31 @@ def preview_pattern(name: Column) -> Column:
     return F.regexp_replace(name, "^QuadBayer", "")
 
 
-def demosaic_preview_at(rows: DataFrame, y: Column, x: Column, pattern: Column) -> dict[str, Column]:
-    """Bilinear colours at a position, edges clamped."""
-    color = cfa_at(pattern, F.pmod(y, F.lit(2)) == 1, F.pmod(x, F.lit(2)) == 1)
-    beside = cfa_at(pattern, F.pmod(y, F.lit(2)) == 1, F.pmod(x, F.lit(2)) == 0)
+def demosaic_preview_at(rows: DataFrame, y: str, x: str, pattern: str) -> DataFrame:
+    """Add bilinear colours at a position, edges clamped, as ``r, g, b``."""
+    odd_row, odd_col = F.expr(f"pmod({y}, 2) = 1"), F.expr(f"pmod({x}, 2) = 1")
+    name = F.col(pattern)
     at = pixel_clamped
-    mid = at(y, x)
-    sides, ends = [at(y, x - 1), at(y, x + 1)], [at(y - 1, x), at(y + 1, x)]
-    across = (sides[0] + sides[1]) * 0.5
-    along = (ends[0] + ends[1]) * 0.5
-    cross = (ends[0] + ends[1] + sides[0] + sides[1]) * 0.25
-    corners = (at(y - 1, x - 1) + at(y - 1, x + 1) + at(y + 1, x - 1) + at(y + 1, x + 1)) * 0.25
-    red_beside = beside == 0
-    return {
-        "r": F.when(color == 0, mid).when(color == 2, corners).when(red_beside, across).otherwise(along),
-        "g": F.when(color == 1, mid).otherwise(cross),
-        "b": F.when(color == 2, mid).when(color == 0, corners).when(red_beside, along).otherwise(across),
+    rows = rows.withColumns({"_c": cfa_at(name, odd_row, odd_col), "_n": cfa_at(name, odd_row, ~odd_col)}).selectExpr(
+        "*",
+        f"{at(y, x)} AS _mid",
+        f"{at(y, f'{x} - 1')} + {at(y, f'{x} + 1')} AS _across",
+        f"{at(f'{y} - 1', x)} + {at(f'{y} + 1', x)} AS _along",
+        f"({at(f'{y} - 1', f'{x} - 1')} + {at(f'{y} - 1', f'{x} + 1')} + {at(f'{y} + 1', f'{x} - 1')} + {at(f'{y} + 1', f'{x} + 1')}) * 0.25D AS _corners",
+    )
+    colours = {
+        "r": "CASE WHEN _c = 0 THEN _mid WHEN _c = 2 THEN _corners WHEN _n = 0 THEN _across * 0.5D ELSE _along * 0.5D END",
+        "g": "CASE WHEN _c = 1 THEN _mid ELSE (_along + _across) * 0.25D END",
+        "b": "CASE WHEN _c = 2 THEN _mid WHEN _c = 0 THEN _corners WHEN _n = 0 THEN _along * 0.5D ELSE _across * 0.5D END",
     }
+    rows = rows.withColumns({c: F.expr(e) for c, e in colours.items()})
+    return rows.drop("_c", "_n", "_mid", "_across", "_along", "_corners")
 
 
 def demosaic_preview(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Bilinear colours of every pixel for previews."""
     rows = site_rows(tiles).withColumn("_p", preview_pattern(F.col(pattern)))
-    rgb = demosaic_preview_at(rows, F.col("y"), F.col("x"), F.col("_p"))
-    rest = [c for c in tiles.columns if c not in (*GEOMETRY, "px", "tile_y", "tile_x")]
-    return rows.select(*rest, "y", "x", *[e.alias(n) for n, e in rgb.items()])
+    return demosaic_preview_at(rows, "y", "x", "_p").select(*_rest(tiles), "y", "x", "r", "g", "b")
 
 
 # ---------------------------------------------------------------------------
@@ -298,8 +302,9 @@ def demosaic_edges(tiles: DataFrame, pattern: str = "pattern", black: str = "bla
         for batch in batches:
             cols = {n: batch.column(n) for n in batch.schema.names}
             planes = ([], [], [])
+            fields = {n: cols[n].to_pylist() for n in (*GEOMETRY, pattern, black)}
             for i in range(batch.num_rows):
-                g = {n: cols[n][i].as_py() for n in (*GEOMETRY, pattern, black)}
+                g = {n: v[i] for n, v in fields.items()}
                 done = _edge_tile(
                     cols["px"][i].values.to_numpy(zero_copy_only=False), g["oy"], g["ox"], g["oh"], g["ow"],
                     g["frame_w"], g["frame_h"], g["y0"], g["x0"], g["h"], g["w"],

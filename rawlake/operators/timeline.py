@@ -66,42 +66,30 @@ def per_second(frames: DataFrame, key="clip_id", second: Column | None = None) -
     return frames.groupBy(key, second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def smoothed_rate(rates: DataFrame, key="clip_id", keep: float = 0.9, block: int = 128, **kw) -> DataFrame:
+def smoothed_rate(rates: DataFrame, key="clip_id", keep: float = 0.9, **kw) -> DataFrame:
     """Exponential smoothing of the per-second rate, starting at the first value.
 
-    The recurrence is linear, so blocks of seconds are folded on their own and
-    chained through one row per block.
+    The recurrence is linear, so it is a decaying sum. Seconds are taken in
+    blocks short enough that the decay can be undone exactly enough within one
+    (a factor of at most 1e6); blocks are chained through one row per block.
     """
+    block = max(1, int(math.log(1e6) / -math.log(keep)))
+    # Beyond this many blocks even the largest count is below the last bit.
+    reach = math.ceil(math.log(1e36) / (-math.log(keep) * block))
     placed = ordinal(rates, [key], ["second"], "_pos", **kw).withColumn("_pos", F.col("_pos") - 1)
-    placed = placed.withColumn("_block", F.floor(F.col("_pos") / block))
-    entry = F.struct("_pos", "second", "n")
-    blocks = placed.groupBy(key, "_block").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-
-    def fold(acc: Column, row: Column) -> Column:
-        value = F.when(row["_pos"] == 0, row["n"].cast("double")).otherwise(
-            acc * keep + row["n"].cast("double") * (1.0 - keep)
-        )
-        return value
-
-    blocks = blocks.withColumn("_sum", F.aggregate("_rows", F.lit(0.0), fold))
-    decay = F.pow(F.lit(keep), F.size("_rows").cast("double"))
-    link = F.struct(F.col("_block"), F.col("_sum"), decay.alias("_decay"))
-    # Beyond this many blocks a value has decayed below the smallest double.
-    reach = math.ceil(750.0 / (-math.log(keep) * block))
-    recent = W.partitionBy(key).orderBy("_block").rowsBetween(-reach, -1)
-    carry = F.aggregate(
-        F.collect_list(link).over(recent), F.lit(0.0), lambda acc, b: acc * b["_decay"] + b["_sum"]
-    )
-    blocks = blocks.withColumn("_carry", F.coalesce(carry, F.lit(0.0)))
-    steps = F.aggregate(
-        "_rows",
-        F.struct(F.col("_carry").alias("s"), F.array().cast("array<double>").alias("all")),
-        lambda acc, row: F.struct(
-            fold(acc["s"], row).alias("s"), F.concat(acc["all"], F.array(fold(acc["s"], row))).alias("all")
-        ),
-    )["all"]
-    rows = F.arrays_zip(F.col("_rows").alias("row"), steps.alias("rate"))
-    out = blocks.select(key, F.explode(rows).alias("_e"))
-    return out.select(
-        key, F.col("_e.row.second").alias("second"), F.col("_e.row.n").alias("n"), F.col("_e.rate").alias("rate")
-    )
+    at = (F.col("_pos") % block).cast("double")
+    share = F.when(F.col("_pos") == 0, 1.0).otherwise(1.0 - keep)
+    term = F.col("n").cast("double") * share * F.pow(F.lit(1.0 / keep), at)
+    placed = placed.withColumns({"_block": F.floor(F.col("_pos") / block), "_at": at, "_term": term})
+    within = W.partitionBy(key, "_block").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    local = placed.withColumn("_sum", F.sum("_term").over(within))
+    ends = placed.groupBy(key, "_block").agg(F.sum("_term").alias("_sum"))
+    ends = ends.withColumn("_end", F.col("_sum") * keep ** (block - 1))
+    order = W.partitionBy(key).orderBy("_block")
+    carry = F.lit(0.0)
+    for back in range(1, reach + 1):
+        earlier = F.coalesce(F.lag("_end", back).over(order), F.lit(0.0))
+        carry = carry + earlier * keep ** (block * (back - 1))
+    carried = ends.select(key, "_block", carry.alias("_carry"))
+    rate = (F.col("_sum") + F.col("_carry") * keep) * F.pow(F.lit(keep), F.col("_at"))
+    return local.join(carried, [key, "_block"]).select(key, "second", "n", rate.alias("rate"))

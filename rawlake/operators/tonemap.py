@@ -163,38 +163,38 @@ class ToneConfig:
     log_output: bool = False
 
 
-def _tone_rgb_to_xyz(points: Column) -> Column:
+def _tone_rgb_to_xyz(points: str) -> str:
     """The tone-map path's own matrix: columns of the *inverse* primaries matrix
     are scaled, and vectors are applied as rows. ``points`` holds x, y of the
     three primaries and of the white."""
-    p = mx.cells(points, 8)
-    xs, ys = p[0:6:2], p[1:6:2]
-    zs = [F.lit(1.0) - x - y for x, y in zip(xs, ys)]
-    white = F.array(p[6] / p[7], F.lit(1.0), (F.lit(1.0) - p[6] - p[7]) / p[7])
+    p = points
+    xs, ys = [f"{p}[{i}]" for i in (0, 2, 4)], [f"{p}[{i}]" for i in (1, 3, 5)]
+    zs = [f"1D - {x} - {y}" for x, y in zip(xs, ys)]
+    white = mx.white_xyz(f"{p}[6]", f"{p}[7]")
     return mx.let(
-        mx.inverse(F.array(*xs, *ys, *zs)),
-        lambda inv: mx.let2(inv, mx.apply(mx.transpose(inv), white), mx.scale_cols),
+        mx.inverse(mx.array([*xs, *ys, *zs])),
+        lambda inv: mx.scale_cols(inv, mx.apply(mx.transpose(inv), white)),
     )
 
 
-def _pulled(points: Column, pull: Column, turn: Column) -> Column:
+def _pulled(p: str, pull: str, turn: str) -> str:
     """Primaries moved toward the white by a share and rotated around it."""
-    p = mx.cells(points, 8)
     moved = []
     for i in range(3):
-        dx, dy = p[2 * i] - p[6], p[2 * i + 1] - p[7]
-        angle = F.get(turn, i) * math.pi / 180.0
-        keep = F.lit(1.0) - F.get(pull, i)
-        still = F.sqrt(dx * dx + dy * dy) < 1e-6
+        x, y = f"{p}[{2 * i}]", f"{p}[{2 * i + 1}]"
+        dx, dy = f"({x} - {p}[6])", f"({y} - {p}[7])"
+        angle, keep = f"({turn}[{i}] * pi() / 180D)", f"(1D - {pull}[{i}])"
+        still = f"sqrt({dx} * {dx} + {dy} * {dy}) < 1e-6D"
         moved += [
-            F.when(still, p[2 * i]).otherwise(p[6] + (dx * F.cos(angle) - dy * F.sin(angle)) * keep),
-            F.when(still, p[2 * i + 1]).otherwise(p[7] + (dx * F.sin(angle) + dy * F.cos(angle)) * keep),
+            f"CASE WHEN {still} THEN {x} ELSE {p}[6] + ({dx} * cos({angle}) - {dy} * sin({angle})) * {keep} END",
+            f"CASE WHEN {still} THEN {y} ELSE {p}[7] + ({dx} * sin({angle}) + {dy} * cos({angle})) * {keep} END",
         ]
-    return F.array(*moved, p[6], p[7])
+    return mx.array([*moved, f"{p}[6]", f"{p}[7]"])
 
 
-def _between(source: Column, target: Column) -> Column:
-    return mx.product(mx.inverse(_tone_rgb_to_xyz(target)), _tone_rgb_to_xyz(source))
+def _between(source: str, target: str) -> str:
+    to_xyz = mx.let(source, _tone_rgb_to_xyz)
+    return mx.product(mx.inverse(mx.let(target, _tone_rgb_to_xyz)), to_xyz)
 
 
 def tone_params(spark: SparkSession, configs: dict[str, ToneConfig]) -> DataFrame:
@@ -214,16 +214,15 @@ def tone_params(spark: SparkSession, configs: dict[str, ToneConfig]) -> DataFram
     j = base.join(src, "in_gamut").join(dst, "out_gamut")
     return j.select(
         "config",
-        _between(_pulled(F.col("_in"), F.col("inset"), F.col("rotate")), F.col("_in")).alias("inset_mat"),
-        _between(F.col("_in"), _pulled(F.col("_in"), F.col("outset"), F.col("rotate"))).alias("outset_mat"),
-        _between(F.col("_in"), F.col("_out")).alias("gamut_mat"),
+        F.expr(_between(_pulled("_in", "inset", "rotate"), "_in")).alias("inset_mat"),
+        F.expr(_between("_in", _pulled("_in", "outset", "rotate"))).alias("outset_mat"),
+        F.expr(_between("_in", "_out")).alias("gamut_mat"),
     )
 
 
-def _row_times(m: Column, v: list[Column]) -> list[Column]:
-    """Row vector times matrix."""
-    c = mx.cells(m)
-    return [v[0] * c[i] + v[1] * c[3 + i] + v[2] * c[6 + i] for i in range(3)]
+def _row_times(m: str) -> dict[str, Column]:
+    """Row vector of the channels times a matrix column."""
+    return {c: F.expr(f"r * {m}[{i}] + g * {m}[{3 + i}] + b * {m}[{6 + i}]") for i, c in enumerate(RGB)}
 
 
 def _spow(a: float, b: float) -> float:
@@ -231,20 +230,20 @@ def _spow(a: float, b: float) -> float:
     return sign * abs(a) ** b if a else 0.0
 
 
-def _signed_pow(a: Column, b: float) -> Column:
-    return F.signum(a) * F.pow(F.abs(a), F.lit(b))
-
-
-def tone_curve(x: Column, c: ToneConfig) -> Column:
+def tone_curve(x: str, c: ToneConfig) -> Column:
     """S-curve through the working mid grey with its own toe and shoulder."""
     mid, target, k = c.working_mid_grey, 0.5, c.slope
-    up = _spow((_spow(k * (1.0 - mid) / (1.0 - target), c.shoulder_power) - 1.0) * _spow(k * (1.0 - mid), -c.shoulder_power), -1.0 / c.shoulder_power)
-    down = _spow((_spow(k * mid / target, c.toe_power) - 1.0) * _spow(k * mid, -c.toe_power), -1.0 / c.toe_power)
-    high = (x - mid) * k / up
-    low = (x - mid) * k / -down
-    shoulder = high / _signed_pow(_signed_pow(high, c.shoulder_power) + 1.0, 1.0 / c.shoulder_power)
-    toe = low / _signed_pow(_signed_pow(low, c.toe_power) + 1.0, 1.0 / c.toe_power)
-    return F.when(x >= mid, shoulder * up + target).otherwise(toe * -down + target)
+
+    def reach(span: float, power: float) -> float:
+        return _spow((_spow(k * span / target, power) - 1.0) * _spow(k * span, -power), -1.0 / power)
+
+    def bent(size: float, power: float) -> str:
+        v = f"(({x} - {mid}D) * {k}D / {size!r}D)"
+        one = f"(signum({v}) * power(abs({v}), {power}D) + 1D)"
+        return f"{v} / (signum({one}) * power(abs({one}), {1.0 / power!r}D)) * {size!r}D + {target}D"
+
+    up, down = reach(1.0 - mid, c.shoulder_power), reach(mid, c.toe_power)
+    return F.expr(f"CASE WHEN {x} >= {mid}D THEN {bent(up, c.shoulder_power)} ELSE {bent(-down, c.toe_power)} END")
 
 
 def _nan_max(value: Column, floor: Column) -> Column:
@@ -260,11 +259,11 @@ def tonemap(pixels: DataFrame, config: ToneConfig) -> DataFrame:
     p = pixels.crossJoin(params)
     low = decode(F.lit(0.0))
     p = p.withColumns({c: _nan_max(decode(F.col(c)), low) for c in RGB})
-    p = p.withColumns(dict(zip(RGB, _row_times(F.col("inset_mat"), [F.col(c) for c in RGB]))))
+    p = p.withColumns(_row_times("inset_mat"))
     p = p.withColumns({c: encode(F.col(c)) for c in RGB})
     if config.log_output:
         return p.drop("inset_mat", "outset_mat", "gamut_mat")
-    p = p.withColumns({c: F.pow(tone_curve(F.col(c), config), F.lit(2.2)) for c in RGB})
+    p = p.withColumns({c: F.pow(tone_curve(c, config), F.lit(2.2)) for c in RGB})
     top = F.greatest(*[F.nanvl(F.col(c), F.lit(float("-inf"))) for c in RGB])
     p = p.withColumns(
         {
@@ -273,8 +272,8 @@ def tonemap(pixels: DataFrame, config: ToneConfig) -> DataFrame:
         }
     )
     p = p.withColumns({c: F.when(F.col("_t") > 0, F.col(c) + (F.col("_m") - F.col(c)) * F.col("_t")).otherwise(F.col(c)) for c in RGB})
-    p = p.withColumns(dict(zip(RGB, _row_times(F.col("outset_mat"), [F.col(c) for c in RGB]))))
-    p = p.withColumns(dict(zip(RGB, _row_times(F.col("gamut_mat"), [F.col(c) for c in RGB]))))
+    p = p.withColumns(_row_times("outset_mat"))
+    p = p.withColumns(_row_times("gamut_mat"))
     if config.out_gamma != 1.0:
         p = p.withColumns({c: F.pow(F.col(c), F.lit(1.0 / config.out_gamma)) for c in RGB})
     p = p.withColumns({c: _nan_max(F.col(c), F.lit(0.0)) for c in RGB})

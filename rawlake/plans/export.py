@@ -6,13 +6,15 @@ the encoder's argument list. Nothing is run.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rawlake import vocab
 from rawlake.functions import text
 from rawlake.operators.ordered import running_total
-from rawlake.session import attach, small_table
+from rawlake.session import SINGLE_WINDOW_LIMIT, attach, scan_bytes, small_table
 
 # ---------------------------------------------------------------------------
 # Pixel formats and arguments per codec family.
@@ -328,6 +330,8 @@ def export_plan(
     key, ``encoders`` one row per family, ``existing`` the output paths present.
     Blocked jobs (F4) stay out.
     """
+    if "limit" not in kw and scan_bytes(queue) + scan_bytes(existing) <= SINGLE_WINDOW_LIMIT // 4:
+        kw["limit"] = sys.maxsize
     ready = queue.where(F.col("selected") & (F.col("status") == "Waiting"))
     jobs = with_profile(apply_presets(ready, presets, on))
     jobs = jobs.where(~blocked(F.col("transfer_function"), F.col("codec_family"), F.col("profile")))

@@ -39,7 +39,7 @@ def run_steps(table: DataFrame, params: DataFrame, names: list[tuple[str, str]])
 
 def _clipped_matrix(pixels: DataFrame, params: DataFrame) -> DataFrame:
     p = develop.with_params(pixels, params.select("clip_id", F.col("fused").alias("_m")))
-    out = develop.dot_rows(F.col("_m"), [F.col(c) for c in develop.RGB])
+    out = develop.dot_rows("_m", list(develop.RGB))
     return p.withColumns({c: develop.clamp(v, 0.0, 1.0) for c, v in zip(develop.RGB, out)}).drop("_m")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rawlake import vocab
 from rawlake.functions import numeric
+from rawlake.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,7 +138,7 @@ PATTERNS = [name for _, name, _, _ in vocab.BAYER]
 
 
 def mosaics(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
+    e = spread(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "vec_id")
     px = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1.0) * 8192.0).cast("int"))
     return e.select(
         F.col("vec_id").alias("frame_id"),
@@ -220,13 +221,12 @@ CLIP_MATRICES = {
 
 def clip_matrices(spark: SparkSession, sf: str) -> DataFrame:
     """Clips whose matrices are near a diagonal; some clips lack some of them."""
-    e = table(spark, sf, "embeddings").withColumn("_e", F.col("embedding").cast("array<double>"))
+    e = spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    e = e.withColumn("_e", F.col("embedding").cast("array<double>"))
 
     def matrix(start: int, scale: float, diagonal, gap: int) -> Column:
-        cells = [
-            F.get("_e", start + i) * scale + (diagonal[i // 3] if i % 4 == 0 else 0.0) for i in range(9)
-        ]
-        return F.when(F.col("vec_id") % gap != 0, F.array(*cells))
+        cells = [f"_e[{start + i}] * {scale}D + {diagonal[i // 3] if i % 4 == 0 else 0.0}D" for i in range(9)]
+        return F.expr(f"CASE WHEN vec_id % {gap} <> 0 THEN array({', '.join(cells)}) END")
 
     return e.select(
         F.col("vec_id").alias("clip_id"),

@@ -8,6 +8,7 @@ from rawlake import vocab
 from rawlake.functions import curves, numeric
 from rawlake.operators import develop, preview, tonemap
 from rawlake.queries.base import PIXELS, micro, micro_sql, pixels, query, table
+from rawlake.session import spread
 
 RGB = ("r", "g", "b")
 
@@ -340,7 +341,7 @@ JOINED = f"(SELECT p.*, q.gr, q.gb, q.m FROM {WIDE} p JOIN {PARAMS} q USING (cli
 )
 def j3(spark, sf):
     p = with_colour_params(spark, sf, wide_pixels)
-    rgb = develop.dot_rows(F.col("fused"), [F.col(c) for c in RGB])
+    rgb = develop.dot_rows("fused", list(RGB))
     return out(p.withColumns(dict(zip(RGB, rgb))))
 
 
@@ -361,7 +362,7 @@ SELECT frame_id, x, {', '.join(f"{micro_sql(f'o{i}')} AS {c}" for i, c in enumer
 @query("p8_display_colour", P8_SQL)
 def p8(spark, sf):
     p = with_colour_params(spark, sf, wide_pixels)
-    return out(develop.display_colour(p, F.col("gain_r"), F.col("gain_b"), F.col("fused")))
+    return out(develop.display_colour(p, F.col("gain_r"), F.col("gain_b"), "fused"))
 
 
 P9_SQL = f"""
@@ -376,7 +377,7 @@ SELECT frame_id, x, {', '.join(f"{micro_sql(f'o{i} + (ly - o{i}) * k')} AS {c}"
 @query("p9_log_colour", P9_SQL)
 def p9(spark, sf):
     p = with_colour_params(spark, sf, wide_pixels)
-    return out(develop.log_colour(p, F.col("gain_r"), F.col("gain_b"), F.col("fused")))
+    return out(develop.log_colour(p, F.col("gain_r"), F.col("gain_b"), "fused"))
 
 
 @query(
@@ -527,4 +528,5 @@ P17_CONFIG = tonemap.ToneConfig(in_gamut="Rec2020", out_gamut="Rec709", out_gamm
 
 @query("p17_tonemap", tone_sql(P17_CONFIG))
 def p17(spark, sf):
-    return out(tonemap.tonemap(wide_pixels(spark, sf), P17_CONFIG))
+    p = spread(wide_pixels(spark, sf), "frame_id", "x")
+    return out(tonemap.tonemap(p, P17_CONFIG))

@@ -219,10 +219,12 @@ def p6(spark, sf):
        f"CAST(sum({at0('y - 1', 'x - 1')} + {at0('y - 1', 'x + 1')} + {at0('y + 1', 'x - 1')} + {at0('y + 1', 'x + 1')}) AS DOUBLE) AS corner_sum FROM {MOSAIC_PIXELS} GROUP BY frame_id")
 def j5(spark, sf):
     rows = tiles.site_rows(tiled(spark, sf))
-    y, x, at = F.col("y"), F.col("x"), tiles.pixel_or_zero
-    cross = at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1)
-    corners = at(y - 1, x - 1) + at(y - 1, x + 1) + at(y + 1, x - 1) + at(y + 1, x + 1)
-    return rows.groupBy("frame_id").agg(F.sum(cross).alias("cross_sum"), F.sum(corners).alias("corner_sum"))
+
+    def total(steps) -> str:
+        return " + ".join(tiles.pixel_or_zero(f"(y + {dy})", f"(x + {dx})") for dx, dy in steps)
+
+    sums = {"cross_sum": total(tiles.CROSS), "corner_sum": total(tiles.CORNERS)}
+    return rows.groupBy("frame_id").agg(*[F.expr(f"sum({e})").alias(n) for n, e in sums.items()])
 
 
 @query("p7_demosaic_edges")

@@ -74,7 +74,7 @@ def nine_out(col: str) -> str:
 
 
 def nine(col) -> list:
-    return [micro(F.get(col, i)).alias(f"m{i}") for i in range(9)]
+    return [F.expr(f"bigint(floor({col}[{i}] * 1e6D + 0.5D)) AS m{i}") for i in range(9)]
 
 
 BRAD, BRAD_INV = sql_const(mx.BRADFORD), sql_const(mx.BRADFORD_INV)
@@ -103,12 +103,10 @@ SELECT clip_id, {', '.join(f"{micro_sql(f'ia[{k + 1}]')} AS i{k}, {micro_sql(f'a
 @query("m1_matrix_algebra", M1)
 def m1(spark, sf):
     c = clip_matrices(spark, sf)
-    one = mx.constant(mx.IDENTITY)
+    one = F.expr(mx.constant(mx.IDENTITY))
     c = c.withColumns({"a": F.coalesce("color_matrix", one), "b": F.coalesce("forward_matrix1", one)})
-    a, b = F.col("a"), F.col("b")
-    c = c.withColumns(
-        {"ia": mx.inverse(a), "ab": mx.product(a, b), "l": mx.mean_of(a, b), "v": mx.apply(a, F.col("neutral"))}
-    )
+    steps = {"ia": mx.inverse("a"), "ab": mx.product("a", "b"), "l": mx.mean_of("a", "b"), "v": mx.apply("a", "neutral")}
+    c = c.withColumns({n: F.expr(text) for n, text in steps.items()})
     cells = [micro(F.get(col, k)).alias(f"{n}{k}") for n, col in (("i", "ia"), ("p", "ab"), ("l", "l")) for k in range(9)]
     return c.select("clip_id", *cells, *[micro(F.get("v", k)).alias(f"v{k}") for k in range(3)])
 
@@ -139,7 +137,7 @@ def m2(spark, sf):
 )
 def m3(spark, sf):
     c = clip_matrices(spark, sf)
-    return c.select("clip_id", mx.bradford(F.col("neutral")).alias("brad")).select("clip_id", *nine("brad"))
+    return c.select("clip_id", F.expr(mx.bradford("neutral")).alias("brad")).select("clip_id", *nine("brad"))
 
 
 CAT, CAT_INV, D65 = sql_const(mx.CAT16), sql_const(mx.CAT16_INV), sql_const(vocab.D65)
@@ -158,12 +156,12 @@ SELECT clip_id, {nine_out('o')}, {', '.join(f"{micro_sql(f'xv[{k + 1}]')} AS v{k
 """,
 )
 def m4(spark, sf):
-    c = clip_matrices(spark, sf).withColumn("cam", F.coalesce("color_matrix", mx.constant(mx.IDENTITY)))
+    c = clip_matrices(spark, sf).withColumn("cam", F.coalesce("color_matrix", F.expr(mx.constant(mx.IDENTITY))))
     d65, d50 = mx.constant(vocab.D65), mx.constant(vocab.D50)
     c = c.withColumns(
         {
-            "o": mx.cat16_output(F.col("cam"), F.col("neutral"), d65, mx.constant(vocab.XYZ_TO_REC709)),
-            "v": mx.cat16_adapt(d50, F.col("neutral"), d65),
+            "o": F.expr(mx.cat16_output("cam", "neutral", d65, mx.constant(vocab.XYZ_TO_REC709))),
+            "v": F.expr(mx.cat16_adapt(d50, "neutral", d65)),
         }
     )
     return c.select("clip_id", *nine("o"), *[micro(F.get("v", k)).alias(f"v{k}") for k in range(3)])
@@ -190,8 +188,8 @@ def oriented_steps(src: str, col: str, prev: str) -> str:
     f"SELECT clip_id, pick, {nine_out('turned')} FROM o",
 )
 def a11(spark, sf):
-    c = clip_matrices(spark, sf).withColumn("m", F.coalesce("color_matrix2", mx.constant(mx.IDENTITY)))
-    c = c.withColumns({"pick": mx.orientation_pick(F.col("m")), "turned": mx.oriented(F.col("m"))})
+    c = clip_matrices(spark, sf).withColumn("m", F.coalesce("color_matrix2", F.expr(mx.constant(mx.IDENTITY))))
+    c = c.withColumns({"pick": F.expr(mx.orientation_pick("m")), "turned": F.expr(mx.oriented("m"))})
     return c.select("clip_id", "pick", *nine("turned"))
 
 
@@ -227,7 +225,7 @@ def m5(spark, sf):
 )
 def m6(spark, sf):
     c = params.camera_matrix(clip_matrices(spark, sf))
-    c = c.withColumn("white", params.reference_white(F.col("matrix_path"), F.col("cam_to_xyz")))
+    c = c.withColumn("white", F.expr(params.reference_white()))
     return c.select("clip_id", *[micro(F.get("white", k)).alias(f"w{k}") for k in range(3)])
 
 

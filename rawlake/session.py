@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 64 * 1024 * 1024
 SINGLE_WINDOW_LIMIT = 32 * 1024 * 1024
 
+# HotSpot does not compile methods above this size, so larger generated stages
+# run interpreted; below it Spark splits them into small compiled methods.
+HUGE_METHOD = "8000"
+
 
 def build_session(app: str = "rawlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are tuned for."""
@@ -25,6 +29,7 @@ def build_session(app: str = "rawlake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.sql.codegen.hugeMethodLimit": HUGE_METHOD,
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -32,6 +37,22 @@ def build_session(app: str = "rawlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings for wide per-pixel stages, on a session built elsewhere."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, for heavy per-row work on an input of few splits.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df if plan_bytes(df) >= split * cores else df.repartition(cores, *keys)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
 

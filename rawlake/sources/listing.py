@@ -61,7 +61,7 @@ def still_manifest(frames: DataFrame) -> DataFrame:
     cfa = numeric.cfa_shifted(c("pattern"), c("active_offset_x"), c("active_offset_y"))
     bottom, right = c("active_offset_y") + c("active_height"), c("active_offset_x") + c("active_width")
     black = F.least(F.greatest(F.floor("black_level"), F.lit(0)), F.lit(65535))
-    identity = mx.constant(mx.IDENTITY)
+    identity = F.expr(mx.constant(mx.IDENTITY))
     ver = F.lit("1 4 0 0")
     tags: list[tuple[int, Column]] = [
         (256, c("width").cast("string")),
