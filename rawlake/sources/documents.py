@@ -27,14 +27,17 @@ REPORT = (
 
 
 def _json(spark: SparkSession, path: str, schema: str, whole: bool) -> DataFrame:
-    """Documents of a path; a missing path gives no rows, a bad document a null row."""
+    """Documents of a path with their ``_path``; a missing path gives no rows,
+    a bad document a null row."""
     reader = spark.read.schema(schema).option("multiLine", str(whole).lower()).option("mode", "PERMISSIVE")
     try:
-        return reader.json(path)
+        docs = reader.json(path)
+        return docs.withColumn("_path", F.col("_metadata.file_path"))
     except AnalysisException as problem:
-        if "PATH_NOT_FOUND" in str(problem):
-            return spark.read.schema(schema).json(spark.sparkContext.emptyRDD())
-        raise
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        none = spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("d"), F.lit("").alias("_path"))
+        return none.select("d.*", "_path")
 
 
 def presets_of(documents: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Run reports; the per-frame list is optional."""
-    return _json(spark, path, REPORT, False)
+    return _json(spark, path, REPORT, False).drop("_path")
 
 
 def _kind(value) -> str:
@@ -87,7 +90,7 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Grade sidecars; the clip is the file's name without its last extension."""
     schema = ", ".join(f"{name} {kind}" for name, kind in SIDECAR.items())
     docs = _json(spark, path, schema, True)
-    named = docs.withColumn("clip_id", text.file_stem(F.col("_metadata.file_path")))
+    named = docs.withColumn("clip_id", text.file_stem(F.col("_path")))
     return named.select("clip_id", *SIDECAR)
 
 
