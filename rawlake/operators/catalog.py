@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rawlake import vocab
 from rawlake.functions.numeric import non_zero_matrix, wb_gains
 from rawlake.operators.timeline import stored_timeline
+from rawlake.session import BROADCAST_LIMIT, plan_bytes
 
 
 def visible(listing: DataFrame, include_hidden: bool = False, name: str = "name") -> DataFrame:
@@ -120,16 +121,22 @@ def enriched(clips: DataFrame, container: DataFrame, frame_meta: DataFrame, fram
     todo = clips.where(~is_complete())
     done = clips.where(is_complete())
     keys = todo.select("clip_id")
-    block = container.join(keys, "clip_id", "left_semi").select(
+
+    def needed(rows: DataFrame) -> DataFrame:
+        """Rows of incomplete clips, where that filter is cheap. Else all rows are
+        aggregated first, so a clip with a third of the frames never moves whole."""
+        few = plan_bytes(keys) <= BROADCAST_LIMIT
+        return rows.join(F.broadcast(keys), "clip_id", "left_semi") if few else rows
+
+    block = needed(container).select(
         "clip_id", *[F.col(c).alias(f"c_{c}") for c in container.columns if c != "clip_id"]
     )
-    index = frame_index.join(keys, "clip_id", "left_semi")
-    times = stored_timeline(index).select(
+    times = stored_timeline(needed(frame_index)).select(
         "clip_id", F.col("frame_count").alias("t_count"), F.col("first_ts").alias("t_first"), F.col("fps").alias("t_fps")
     )
     wanted = ["width", "height", "neutral", "dynamic_black", "dynamic_white", "lens_grid"]
     first = (
-        frame_meta.join(keys, "clip_id", "left_semi")
+        needed(frame_meta)
         .groupBy("clip_id")
         .agg(F.min_by(F.struct(*wanted), "ordinal").alias("f"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rawlake import vocab
@@ -83,9 +83,8 @@ def push_ring(phase_events: DataFrame, keys=("run_id",), phase: str = "encode_pu
 
 def full_phases(snapshot: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
     """Every phase of every run in report order, with zeros where nothing ran."""
-    spark: SparkSession = snapshot.sparkSession
-    dim = F.broadcast(vocab.dim_phase(spark).select("pos", "phase"))
-    grid = runs.select(key).distinct().crossJoin(dim)
+    listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(p).alias("phase")) for i, p in enumerate(vocab.PHASES)])
+    grid = runs.select(key).distinct().select(key, F.inline(listed))
     out = grid.join(snapshot, [key, "phase"], "left")
     filled = {c: 0 for c in ("frames", "avg_us", "min_us", "max_us", "stddev_us")}
     return out.fillna({**filled, "fps": 0.0}).orderBy(key, "pos")

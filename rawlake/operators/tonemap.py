@@ -220,9 +220,10 @@ def tone_params(spark: SparkSession, configs: dict[str, ToneConfig]) -> DataFram
     )
 
 
-def _row_times(m: str) -> dict[str, Column]:
-    """Row vector of the channels times a matrix column."""
-    return {c: F.expr(f"r * {m}[{i}] + g * {m}[{3 + i}] + b * {m}[{6 + i}]") for i, c in enumerate(RGB)}
+def _row_times(m: list[float]) -> dict[str, Column]:
+    """Row vector of the channels times a matrix."""
+    n = [mx.number(v) for v in m]
+    return {c: F.expr(f"r * {n[i]} + g * {n[3 + i]} + b * {n[6 + i]}") for i, c in enumerate(RGB)}
 
 
 def _spow(a: float, b: float) -> float:
@@ -253,16 +254,16 @@ def _nan_max(value: Column, floor: Column) -> Column:
 
 def tonemap(pixels: DataFrame, config: ToneConfig) -> DataFrame:
     """Tone-mapped display colour (or the working log values)."""
-    # one row, fixed
-    params = F.broadcast(tone_params(pixels.sparkSession, {"run": config}).drop("config"))
+    # one row of 27 numbers, put into the pixel stage as constants
+    params = tone_params(pixels.sparkSession, {"run": config}).first()
     decode, encode = TONE_DECODE[config.in_transfer], TONE_ENCODE[config.working_curve]
-    p = pixels.crossJoin(params)
+    p = pixels
     low = decode(F.lit(0.0))
     p = p.withColumns({c: _nan_max(decode(F.col(c)), low) for c in RGB})
-    p = p.withColumns(_row_times("inset_mat"))
+    p = p.withColumns(_row_times(params.inset_mat))
     p = p.withColumns({c: encode(F.col(c)) for c in RGB})
     if config.log_output:
-        return p.drop("inset_mat", "outset_mat", "gamut_mat")
+        return p
     p = p.withColumns({c: F.pow(tone_curve(c, config), F.lit(2.2)) for c in RGB})
     top = F.greatest(*[F.nanvl(F.col(c), F.lit(float("-inf"))) for c in RGB])
     p = p.withColumns(
@@ -272,9 +273,9 @@ def tonemap(pixels: DataFrame, config: ToneConfig) -> DataFrame:
         }
     )
     p = p.withColumns({c: F.when(F.col("_t") > 0, F.col(c) + (F.col("_m") - F.col(c)) * F.col("_t")).otherwise(F.col(c)) for c in RGB})
-    p = p.withColumns(_row_times("outset_mat"))
-    p = p.withColumns(_row_times("gamut_mat"))
+    p = p.withColumns(_row_times(params.outset_mat))
+    p = p.withColumns(_row_times(params.gamut_mat))
     if config.out_gamma != 1.0:
         p = p.withColumns({c: F.pow(F.col(c), F.lit(1.0 / config.out_gamma)) for c in RGB})
     p = p.withColumns({c: _nan_max(F.col(c), F.lit(0.0)) for c in RGB})
-    return p.drop("inset_mat", "outset_mat", "gamut_mat", "_m", "_t")
+    return p.drop("_m", "_t")

@@ -140,8 +140,9 @@ def apply_presets(clips: DataFrame, presets: DataFrame, on: list[str] | None = N
     """
     if on:
         return attach(clips, presets, on, "inner", spread=[c for c in clips.columns if c not in on])
-    single = presets.limit(1)
-    return clips.crossJoin(F.broadcast(single))
+    single = presets.first()
+    kinds = dict(presets.dtypes)
+    return clips.withColumns({c: F.lit(single[c]).cast(kinds[c]) for c in presets.columns})
 
 
 def is_wide(gamut: Column) -> Column:

@@ -116,6 +116,18 @@ def scan_bytes(df: DataFrame) -> int:
     return min(total, 4 * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
 
 
+def hot_keys(df: DataFrame, on: list[str]) -> list:
+    """Keys that alone fill more than half of an average shuffle partition.
+
+    There are at most twice as many as shuffle partitions, whatever the data.
+    Rows are counted per key on the map side first.
+    """
+    pieces = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    floor = max(2, df.count() // pieces)
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= floor)
+    return [tuple(row[k] for k in on) for row in counted.select(*on).collect()]
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,
@@ -128,17 +140,21 @@ def attach(
     """Join ``right``, unique on ``on``, to a ``left`` that may be skewed on ``on``.
 
     Small right sides are broadcast, so the left side never moves. Past the
-    limit both sides are shuffled; a hot key is then divided over ``salts``
-    tasks by a hash of the ``spread`` columns, with the right rows repeated.
+    limit both sides are shuffled; rows of hot keys are then divided over
+    ``salts`` tasks by a hash of the ``spread`` columns, and only the right rows
+    of those keys are repeated.
     """
     if plan_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
-    if not spread:
+    hot = hot_keys(left, on) if spread else []
+    if not hot:
         return left.join(right, on, how)
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    joined = left.withColumn("_salt", salt).join(
-        right.withColumn("_salt", copies), [*on, "_salt"], how
-    )
-    return joined.drop("_salt")
-
+    kinds = dict(left.dtypes)
+    ddl = ", ".join(f"{k} {kinds[k]}" for k in on)
+    # bounded by the number of shuffle partitions
+    marks = F.broadcast(small_table(left.sparkSession, hot, ddl).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(marks, on, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = right.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -110,11 +110,30 @@ def test_filter_reaches_the_scan(spark, sf):
 def test_large_side_is_not_broadcast(spark, sf):
     left, right = base.queue(spark, sf), base.queue(spark, sf).select("job_id", F.lit(1).alias("one"))
     small = plan(attach(left, right, ["job_id"], spread=["owner"]))
-    large = plan(attach(left, right, ["job_id"], spread=["owner"], limit=1))
     assert "BroadcastExchange" in small
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastExchange" not in plan(attach(left, right, ["job_id"], spread=["owner"], limit=1))
+        large = plan(attach(left, right, ["job_id"], spread=["owner"], limit=1))
+        assert "BroadcastExchange" not in large
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "_salt" in large
+    assert large.count("Exchange hashpartitioning") == 2
+
+
+def test_develop_pixels_never_move(spark, sf):
+    from rawlake.operators import develop
+    from rawlake.queries import mosaic
+
+    tiled = spark.read.schema("clip_id int, frame_id bigint, pattern string, frame_w int, frame_h int, tile_y int, tile_x int, y0 int, x0 int, "
+                              "h int, w int, oy int, ox int, oh int, ow int, px array<int>").parquet(sf + "/embeddings.parquet")
+    p = plan(develop.develop(tiled, mosaic.frame_params(spark, sf), "S-Log3"))
+    above_join = p[: p.index("Join")]
+    assert "Exchange" not in above_join and "Sort" not in p
+
+
+def test_no_nested_loops(spark, sf):
+    from rawlake.queries import catalog, colour, mosaic, planning  # noqa: F401
+
+    for name in ("p17_tonemap", "o5_phase_order", "j7_preset_batch", "e1_codec_args", "p8_display_colour", "j1_enriched_clips"):
+        p = plan(base.QUERIES[name](spark, sf))
+        assert "NestedLoop" not in p and "Cartesian" not in p, name
