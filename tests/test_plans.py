@@ -132,7 +132,7 @@ def test_develop_pixels_never_move(spark, sf):
 
 
 def test_no_nested_loops(spark, sf):
-    from rawlake.queries import catalog, colour, mosaic, planning  # noqa: F401
+    from rawlake.queries import catalog, colour, mosaic, planning, stats  # noqa: F401
 
     for name in ("p17_tonemap", "o5_phase_order", "j7_preset_batch", "e1_codec_args", "p8_display_colour", "j1_enriched_clips"):
         p = plan(base.QUERIES[name](spark, sf))
