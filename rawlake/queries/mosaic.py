@@ -230,7 +230,7 @@ def j5(spark, sf):
 @query("p7_demosaic_edges")
 def p7(spark, sf):
     """Checked in the tests against a pixel-by-pixel form; too long for SQL."""
-    t = tiles.cut_tiles(mosaics(spark, sf), 4, 5, tiles.EDGE_HALO)
+    t = tiles.cut_tiles(mosaics(spark, sf), 8, 8, tiles.EDGE_HALO)
     t = t.withColumn("black_rgb", F.array(F.lit(64.0), F.lit(70.0), F.lit(90.0)))
     return micros(tiles.plane_pixels(tiles.demosaic_edges(t)), "frame_id", "y", "x")
 

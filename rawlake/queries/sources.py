@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rawlake import vocab
 from rawlake.functions.matrix import IDENTITY
 from rawlake.operators import stats
-from rawlake.operators.ordered import running_total
+from rawlake.operators.ordered import ordinal, running_total
 from rawlake.queries.base import (
     CLIPS,
     MOSAICS,
@@ -48,15 +48,15 @@ FRAMES_PER_CLIP = 2000
 ARRANGEMENTS = ["rggb", "grbg", "gbrg", "bggr", "standard", "other"]
 
 CLIP_EVENTS = (
-    f"(SELECT user_id * 1000000 + event_id // {FRAMES_PER_CLIP} AS clip, event_id, epoch_us(ts) * 1000 AS ts_ns, value, CAST(props->>'k' AS BIGINT) AS k FROM events)"
+    f"(SELECT user_id * 997 + (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // {FRAMES_PER_CLIP} AS clip, event_id, epoch_us(ts) * 1000 AS ts_ns, value, CAST(props->>'k' AS BIGINT) AS k FROM events)"
 )
 LEGACY = "clip % 4 = 0"
 
 
 def clip_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = ordinal(table(spark, sf, "events"), ["user_id"], ["event_id"], "at")
     return e.select(
-        (F.col("user_id") * 1000000 + F.floor(F.col("event_id") / FRAMES_PER_CLIP)).alias("clip"),
+        (F.col("user_id") * 997 + F.floor((F.col("at") - 1) / FRAMES_PER_CLIP)).alias("clip"),
         "event_id",
         (epoch_micros(F.col("ts")) * 1000).alias("ts_ns"),
         "value",
@@ -386,6 +386,26 @@ def j11(spark, sf):
     return out.select("clip_id", "enabled", "contrast", "white_balance_kelvin", "gain_r", "lift_r", "saturation")
 
 
+@query(
+    "p18_grade_columns",
+    "SELECT CAST(s_suppkey AS VARCHAR) || '.v1' AS clip_id, "
+    + ", ".join(
+        {
+            "enabled": "own AS enabled",
+            "contrast": "CASE WHEN own THEN 1.0 + s_suppkey % 4 ELSE 1.0 END::DOUBLE AS contrast",
+            "white_balance_kelvin": "CASE WHEN own THEN 4000 + s_suppkey ELSE 5500 END::INTEGER AS white_balance_kelvin",
+            "gain_r": "CASE WHEN own THEN 0.5 ELSE 1.0 END::DOUBLE AS gain_r",
+        }.get(n, f"{v!r}::DOUBLE AS {n}")
+        for n, v in vocab.SIDECAR_DEFAULT.items()
+    )
+    + f" FROM {GRADED}",
+)
+def p18(spark, sf):
+    """All sidecar fields, carried without maths: none is defined for them."""
+    clips = table(spark, sf, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".v1")).alias("clip_id"))
+    return documents.with_sidecars(clips, documents.read_sidecars(spark, f"{sidecar_folder(spark, sf)}/grades"))
+
+
 @query("s11_sidecars", f"SELECT CAST(s_suppkey AS VARCHAR) || '.v1' AS clip_id, true AS enabled, (1.0 + s_suppkey % 4)::DOUBLE AS contrast FROM {GRADED} WHERE own")
 def s11(spark, sf):
     return documents.read_sidecars(spark, f"{sidecar_folder(spark, sf)}/grades").select("clip_id", "enabled", "contrast")

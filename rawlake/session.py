@@ -29,6 +29,8 @@ def build_session(app: str = "rawlake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # no call site per expression: wide plans have thousands of them
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.codegen.hugeMethodLimit": HUGE_METHOD,
     }
     settings.update(conf)
