@@ -113,7 +113,7 @@ def develop(
     without a shuffle.
     """
     wanted = [key, "fused", "src_black", "src_white", "gain_r", "gain_b"]
-    extra = [c for c in ("sensor_w", "sensor_h") if c in params.columns and c not in tiles.columns]
+    extra = [c for c in ("sensor_w", "sensor_h", "pattern") if c in params.columns and c not in tiles.columns]
     t = with_params(tiles, params.select(*wanted, *extra), key, spread=("tile_y", "tile_x"))
     has_lens = lens_mode != "Off" and grids is not None
     if has_lens:

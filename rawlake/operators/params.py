@@ -105,6 +105,18 @@ def source_levels(mode: str, static: Column, white: Column, dyn_black: Column, d
     ]
 
 
+def _placement(columns: list[str]) -> dict[str, str]:
+    """Crop offset and sensor size; without a sensor size, the frame and its offset."""
+    if "active_offset_x" not in columns:
+        return {}
+    return {
+        "crop_x": "active_offset_x",
+        "crop_y": "active_offset_y",
+        "sensor_w": "CASE WHEN sensor_width > 0 THEN sensor_width ELSE width + active_offset_x END",
+        "sensor_h": "CASE WHEN sensor_height > 0 THEN sensor_height ELSE height + active_offset_y END",
+    }
+
+
 def clip_params(clips: DataFrame, gamut: str | None = None) -> DataFrame:
     """One row per clip with its fused matrix, levels and crop.
 
@@ -121,6 +133,7 @@ def clip_params(clips: DataFrame, gamut: str | None = None) -> DataFrame:
             "black_rgb": static_levels(F.col("black_levels"), F.col("black_level_count")),
             "crop_w": numeric.active_size(F.col("active_width"), F.col("width")),
             "crop_h": numeric.active_size(F.col("active_height"), F.col("height")),
+            **{name: F.expr(text) for name, text in _placement(out.columns).items()},
         }
     )
 

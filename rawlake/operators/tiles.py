@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rawlake import vocab
 from rawlake.functions.numeric import cfa_at
+from rawlake.session import attach
 
 GEOMETRY = ["frame_w", "frame_h", "y0", "x0", "h", "w", "oy", "ox", "oh", "ow"]
 
@@ -63,6 +64,25 @@ def cut_tiles(frames: DataFrame, tile_h: int = 64, tile_w: int = 512, halo: int
     )
 
 
+def cropped(tiles: DataFrame, crops: DataFrame, key: str = "clip_id") -> DataFrame:
+    """narrow tiles to the active area of their clip (``crop_x, crop_y, crop_w, crop_h``).
+
+    Stored pixels stay, so they serve as halo; tiles outside the area vanish.
+    """
+    area = crops.select(key, "crop_x", "crop_y", "crop_w", "crop_h")
+    t = attach(tiles, area, [key], "inner", spread=[c for c in ("frame_id", "tile_y", "tile_x") if c in tiles.columns])
+    t = t.withColumns(
+        {
+            "_y1": F.least(F.col("y0") + F.col("h"), F.col("crop_y") + F.col("crop_h")),
+            "_x1": F.least(F.col("x0") + F.col("w"), F.col("crop_x") + F.col("crop_w")),
+            "y0": F.greatest("y0", "crop_y"),
+            "x0": F.greatest("x0", "crop_x"),
+        }
+    )
+    t = t.withColumns({"h": F.col("_y1") - F.col("y0"), "w": F.col("_x1") - F.col("x0")})
+    return t.where((F.col("h") > 0) & (F.col("w") > 0)).drop("_y1", "_x1", "crop_w", "crop_h")
+
+
 def site_rows(tiles: DataFrame) -> DataFrame:
     """One row per covered pixel, with ``y`` and ``x``; ``px`` stays a reference."""
     spot = F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("_i")

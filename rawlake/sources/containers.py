@@ -526,6 +526,11 @@ def frame_index(clips: DataFrame, entries_per_task: int = 262_144, tasks: int |
     return chunks.mapInArrow(run, "clip_id string, path string, ordinal bigint, offset bigint, ts_ns bigint")
 
 
+def frame_id() -> Column:
+    """Name of a frame across all tables: its clip and its position in the file."""
+    return F.concat_ws("#", F.col("clip_id"), F.col("ordinal").cast("string")).alias("frame_id")
+
+
 def frame_meta(index: DataFrame) -> DataFrame:
     """One row per frame with its typed metadata."""
 
@@ -547,4 +552,4 @@ def frame_meta(index: DataFrame) -> DataFrame:
 
     fields = "clip_id string, path string, ordinal bigint, offset bigint, ts_ns bigint, meta string"
     read = index.select("clip_id", "path", "ordinal", "offset", "ts_ns").mapInArrow(run, fields)
-    return read.select("clip_id", "ordinal", "offset", "ts_ns", *[e.alias(n) for n, e in frame_fields(F.col("meta")).items()])
+    return read.select(frame_id(), "clip_id", "ordinal", "offset", "ts_ns", *[e.alias(n) for n, e in frame_fields(F.col("meta")).items()])

@@ -10,7 +10,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawlake.sources.containers import open_clip
+from rawlake.sources.containers import frame_id, open_clip
 
 EDGE = 9
 
@@ -65,7 +65,7 @@ def read_raw16(
     types = {x.name: x.dataType.simpleString() for x in f.schema.fields}
     read = f.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in cols) + ", px array<int>")
     return read.select(
-        "clip_id", "ordinal", *extra, F.call_function("div", F.col("y0"), F.lit(strip_rows)).cast("int").alias("tile_y"),
+        frame_id(), "clip_id", "ordinal", *extra, F.call_function("div", F.col("y0"), F.lit(strip_rows)).cast("int").alias("tile_y"),
         F.lit(0).alias("tile_x"), "frame_w", "frame_h", "y0", F.lit(0).alias("x0"), "h",
         F.col("frame_w").alias("w"), "oy", F.lit(0).alias("ox"), "oh", F.col("frame_w").alias("ow"), "px",
     )

@@ -164,3 +164,35 @@ def test_encode_by_clip_uses_each_clips_curve(spark):
     params = small_table(spark, [(1, "Linear"), (2, "Gamma 2.4")], "clip_id int, transfer string")
     got = {r.clip_id: r.r for r in curves.encode_by_params(px, params).collect()}
     assert got == {1: 0.5, 2: pytest.approx(0.5 ** (1 / 2.4))}
+
+
+def test_from_files_to_colour(spark, tmp_path):
+    """Containers, dumps, parameters, crop, lens grid and develop, end to end."""
+    from rawlake.operators import develop, params
+
+    w, h, n = 12, 10, 3
+    rows = [(i, 10**9 + i * 40_000_000, 250.0, 80) for i in range(n)]
+    (tmp_path / "clips").mkdir()
+    (tmp_path / "clips" / "a.mcraw").write_bytes(headed_bytes(9, rows))
+    path = str(tmp_path / "clips" / "a.mcraw")
+    paths = small_table(spark, [(path,)], "path string")
+    raw = containers.scan_paths(paths)
+    index = containers.frame_index(containers.clips(raw))
+    clips = containers.clips(raw, timeline.clip_timeline(index))
+    clips = clips.withColumns({"width": F.lit(w), "height": F.lit(h), "active_offset_x": F.lit(2), "active_offset_y": F.lit(1),
+                               "active_width": F.lit(8), "active_height": F.lit(6),
+                               "lens_grid": F.array(*[F.array(*[F.lit(1.0)] * 4)] * 4), "grid_w": F.lit(2), "grid_h": F.lit(2)})
+    mosaics = small_table(spark, [("a", i, [500] * (w * h)) for i in range(n)], "clip_id string, ordinal int, px array<int>")
+    parts = dumps.write_raw16(mosaics.coalesce(1), str(tmp_path / "raw"))
+    files = parts.select(F.lit(path).alias("clip_id"), "path", (F.col("frames") * w * h * 2).alias("length"), F.lit(w).alias("frame_w"), F.lit(h).alias("frame_h"))
+    files = small_table(spark, [tuple(r) for r in files.collect()], "clip_id string, path string, length bigint, frame_w int, frame_h int")
+    clip = params.clip_params(clips, "Rec.709")
+    frames = params.frame_params(clip, containers.frame_meta(index))
+    strips = dumps.read_raw16(spark, files, strip_rows=4, halo=2)
+    area = tiles.cropped(strips, clip)
+    for mode in ("Off", "Full", "ColorOnly"):
+        got = develop.develop(area, frames, "S-Log3", lens_mode=mode, grids=clips)
+        assert got.count() == n * 8 * 6
+        bounds = got.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        assert tuple(bounds) == (2, 9, 1, 6)
+        assert got.select("r", "g", "b").distinct().count() == 1
