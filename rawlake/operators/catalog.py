@@ -35,7 +35,7 @@ def is_complete(c=F.col) -> Column:
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """First row of every key. An aggregate, so copies are dropped before the shuffle."""
     others = [c for c in rows.columns if c != key]
-    best = F.min_by(F.struct(*others), F.struct(*[F.col(c) for c in (order,)])).alias("_row")
+    best = F.min_by(F.struct(*others), order).alias("_row")
     return rows.groupBy(key).agg(best).select(key, "_row.*").select(*rows.columns)
 
 

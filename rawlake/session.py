@@ -51,7 +51,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    setting = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(setting)
     return df if plan_bytes(df) >= split * cores else df.repartition(cores, *keys)
 
 
