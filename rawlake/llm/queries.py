@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawlake.llm import decontaminate, line_runs, packing, quality, sharding, warc
+from rawlake.llm import decontaminate, line_runs, near_dups, packing, quality, sharding, substrings, suffixes, warc
 from rawlake.llm.common import stage, text_of
 from rawlake.session import work_folder
 
@@ -65,6 +65,23 @@ def op6_line_runs(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op7_suffix_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffixes.dedup_bytes(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_sketched_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf, "documents")).drop("r1", "r2")
+
+
 @query
 def op10_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.crc32(text_of()).cast("bigint").alias("text_crc32"), "text")
@@ -101,3 +118,46 @@ m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.owner AS gone FROM k LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
+
+WORDS_SQL = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE["op7_suffix_arrays"] = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, length(x) // 2 AS n FROM h),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(n - 49)) AS p FROM b WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > first),
+c AS (SELECT DISTINCT doc_id, p + o AS p FROM g, range(50) t(o)),
+r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (e) AS n_spans FROM
+  (SELECT doc_id, p - lag(p, 1, -2) OVER (PARTITION BY doc_id ORDER BY p) > 1 AS e FROM c) GROUP BY doc_id),
+a AS (SELECT doc_id, x, unnest(range(n)) AS p FROM b WHERE doc_id IN (SELECT doc_id FROM r)),
+k AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2), '' ORDER BY p) AS x FROM a ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN b.x ELSE coalesce(k.x, '') END)) AS kept_sha256
+FROM b LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE["op8_sketched_substrings"] = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL.format("text")} AS w FROM documents),
+w AS (SELECT doc_id, p, list_slice(w, p, p + 49) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > first),
+c AS (SELECT DISTINCT doc_id, p + o AS p FROM g, range(50) t(o)),
+u AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+m AS (SELECT u.*, c.p IS NOT NULL AS gone FROM u LEFT JOIN c USING (doc_id, p)),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(t, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE["op9_odd_sketches"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL.format(LOWER_SQL.format("text"))} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b USING (g) WHERE a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
