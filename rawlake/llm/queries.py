@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawlake.llm import decontaminate, line_runs, near_dups, packing, quality, sharding, substrings, suffixes, warc
+from rawlake.llm import decontaminate, line_runs, mixing, near_dups, packing, quality, sharding, substrings, suffixes, warc
 from rawlake.llm.common import stage, text_of
 from rawlake.session import work_folder
 
@@ -39,6 +39,11 @@ def op2_genetic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", crc, "sequence_id", "offset")
 
 
+@query
+def op3_context_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.score_documents(table(spark, sf, "documents"))
+
+
 @query
 def op4_warc_transactions(spark: SparkSession, sf: str) -> DataFrame:
     path = work_folder(spark)
