@@ -89,12 +89,12 @@ def op9_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op10_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.crc32(text_of()).cast("bigint").alias("text_crc32"), "text")
-    out = sharding.shard_documents(docs)
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.crc32(text_of()).cast("bigint").alias("text_crc32"))
+    out = sharding.shard_documents(docs, carry=("text_crc32",))
     return out.select(
         "doc_id",
         "size",
-        F.crc32(text_of()).cast("bigint").alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

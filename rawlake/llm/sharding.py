@@ -137,19 +137,21 @@ def shard_column(key: Column, starts: list[int]) -> Column:
     return shard.cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("text",)
+) -> DataFrame:
     """Documents in shards whose largest size in bytes is as small as whole groups of equal texts allow.
 
     Groups are ordered by a 64-bit hash of their text (texts that share a hash stay
     together) and cut contiguously. A document's size is its UTF-8 bytes plus 8; a null
     text counts as an empty one. Null or repeated ids are kept as rows of their own; an
-    empty table gives no rows; other columns are not carried, so their names cannot clash.
-    Returns the id, the text, ``size``, ``shard`` from 0 and ``slot``, gapless from 0 in
-    each shard.
+    empty table gives no rows. Returns the id, ``size``, ``shard`` from 0 and ``slot``,
+    gapless from 0 in each shard, and the columns ``carry``, which must have other names;
+    no other column is read.
     """
     text = text_of(text_col)
     sized = docs.select(
-        F.col(id_col), F.col(text_col), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.xxhash64(text).alias("key")
+        F.col(id_col), *carry, (F.octet_length(text) + 8).cast("bigint").alias("size"), F.xxhash64(text).alias("key")
     )
     groups = stage(sized.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
     rows = groups.agg(F.sum("rows").alias("n")).first()["n"] or 0
@@ -164,4 +166,4 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     offsets = counts.select("shard", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
     number = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("row")) - 1
     numbered = placed.withColumn("number", number).join(offsets, ["shard", "chunk"])
-    return numbered.select(id_col, text_col, "size", "shard", (F.col("number") + F.col("before")).cast("bigint").alias("slot"))
+    return numbered.select(id_col, *carry, "size", "shard", (F.col("number") + F.col("before")).cast("bigint").alias("slot"))
