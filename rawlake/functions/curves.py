@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,67 +53,135 @@ HLG_A, HLG_B, HLG_C = 0.17883277, 0.28466892, 0.55991073
 ACES_SLOPE, ACES_OFFSET, ACES_CUT = 10.5402377416545, 0.0729055341958355, 0.0078125
 
 
-def _rec709(x: Column) -> Column:
-    y = _split(x < 0.018, x * 4.5, _pow(_floor0(x), 0.45) * 1.099 - 0.099)
-    return _floor0(F.least(y, F.lit(1.0)))
+VLOG_CODE = 0.181
+VLOG = {"cut": 0.01, "slope": 5.6, "offset": 0.125, "shift": 0.00873, "scale": 0.241514, "lift": 0.598206}
+LOGC3 = {"cut": 0.010591, "a": 5.555556, "b": 0.052272, "scale": 0.247190, "lift": 0.385537, "slope": 5.367655, "offset": 0.092809}
+FLOG2 = {"cut": 0.000889, "a": 5.555556, "b": 0.064829, "scale": 0.245281, "lift": 0.384316, "slope": 8.799461, "offset": 0.092864}
+DAVINCI = {"cut": 0.00262409, "slope": 10.44426855, "shift": 0.0075, "add": 7.0, "scale": 0.07329248}
 
 
-def _slog3(x: Column) -> Column:
-    log = (_log10((x + 0.01) / 0.19) * 261.5 + 420.0) / 1023.0
-    return _split(x >= 0.01125, log, (x * (171.2102946929 - 95.0) / 0.01125 + 95.0) / 1023.0)
+class ColumnMath:
+    """The functions that curves need, on columns."""
 
+    log, log2, log10, exp, sqrt, pow = F.log, F.log2, F.log10, F.exp, F.sqrt, staticmethod(_pow)
+    floor0 = staticmethod(_floor0)
 
-def _logc4(x: Column) -> Column:
-    log = (F.log2(x * LOGC4_A + 64.0) - 6.0) / 14.0 * LOGC4_B + LOGC4_C
-    return _split(x >= LOGC4_T, log, (x - LOGC4_T) / LOGC4_S)
+    @staticmethod
+    def least(x: Column, top: float) -> Column:
+        return F.least(x, F.lit(top))
 
+    @staticmethod
+    def most(x: Column, low: float) -> Column:
+        return F.greatest(x, F.lit(low))
 
-def _clog3(x: Column) -> Column:
-    low = _log10(F.greatest(F.lit(1.0) - x * 14.98325, F.lit(1e-10))) * -0.36726845 + 0.12783901
-    high = _log10(x * 14.98325 + 1.0) * 0.36726845 + 0.12240537
-    return F.when(x < CLOG3_LOW, low).when(x <= CLOG3_HIGH, x * CLOG3_SLOPE + CLOG3_MID).otherwise(high)
+    @staticmethod
+    def pick(x: Column, *cases) -> Column:
+        """The value of the first condition that holds; the last case is what is left."""
+        out = F.when(F.lit(False), x)
+        for cond, value in cases[:-1]:
+            out = out.when(cond, F.lit(value))
+        return out.otherwise(F.lit(cases[-1]))
 
 
-def _apple(x: Column) -> Column:
+class ArrayMath:
+    """The same on arrays of one tile; branches that are not picked may be undefined."""
+
+    log, log2, log10, exp, sqrt, pow = np.log, np.log2, np.log10, np.exp, np.sqrt, np.power
+    least, most = np.minimum, np.maximum
+
+    @staticmethod
+    def floor0(x: np.ndarray) -> np.ndarray:
+        return np.maximum(x, 0.0)
+
+    @staticmethod
+    def pick(x: np.ndarray, *cases) -> np.ndarray:
+        return np.select([c for c, _ in cases[:-1]], [v for _, v in cases[:-1]], cases[-1])
+
+
+def _rec709(x, m):
+    y = m.pick(x, (x < 0.018, x * 4.5), m.pow(m.floor0(x), 0.45) * 1.099 - 0.099)
+    return m.floor0(m.least(y, 1.0))
+
+
+def _slog3(x, m):
+    log = (m.log10((x + 0.01) / 0.19) * 261.5 + 420.0) / 1023.0
+    return m.pick(x, (x >= 0.01125, log), (x * (171.2102946929 - 95.0) / 0.01125 + 95.0) / 1023.0)
+
+
+def _vlog(x, m):
+    log = m.log10(x + VLOG["shift"]) * VLOG["scale"] + VLOG["lift"]
+    return m.pick(x, (x < VLOG["cut"], x * VLOG["slope"] + VLOG["offset"]), log)
+
+
+def _camera_log(k: dict, closed: bool):
+    """A log above a cut, a line below it; ``closed`` if the cut belongs to the log."""
+
+    def curve(x, m):
+        log = m.log10(x * k["a"] + k["b"]) * k["scale"] + k["lift"]
+        return m.pick(x, (x >= k["cut"] if closed else x > k["cut"], log), x * k["slope"] + k["offset"])
+
+    return curve
+
+
+def _logc4(x, m):
+    log = (m.log2(x * LOGC4_A + 64.0) - 6.0) / 14.0 * LOGC4_B + LOGC4_C
+    return m.pick(x, (x >= LOGC4_T, log), (x - LOGC4_T) / LOGC4_S)
+
+
+def _clog3(x, m):
+    low = m.log10(m.most(1.0 - x * 14.98325, 1e-10)) * -0.36726845 + 0.12783901
+    high = m.log10(x * 14.98325 + 1.0) * 0.36726845 + 0.12240537
+    return m.pick(x, (x < CLOG3_LOW, low), (x <= CLOG3_HIGH, x * CLOG3_SLOPE + CLOG3_MID), high)
+
+
+def _apple(x, m):
     toe = (x - APPLE_R0) * (x - APPLE_R0) * APPLE_C
-    return F.when(x < APPLE_R0, F.lit(0.0)).when(x < APPLE_RT, toe).otherwise(
-        F.log2(x + APPLE_BETA) * APPLE_GAMMA + APPLE_DELTA
-    )
+    return m.pick(x, (x < APPLE_R0, 0.0), (x < APPLE_RT, toe), m.log2(x + APPLE_BETA) * APPLE_GAMMA + APPLE_DELTA)
 
 
-def _pq(x: Column) -> Column:
-    k = _pow(_floor0(x), PQ_M1)
-    return _pow((k * PQ_C2 + PQ_C1) / (k * PQ_C3 + 1.0), PQ_M2)
+def _acescct(x, m):
+    return m.pick(x, (x > ACES_CUT, (m.log2(x) + 9.72) / 17.52), x * ACES_SLOPE + ACES_OFFSET)
+
 
+def _pq(x, m):
+    k = m.pow(m.floor0(x), PQ_M1)
+    return m.pow((k * PQ_C2 + PQ_C1) / (k * PQ_C3 + 1.0), PQ_M2)
 
-def _hlg(x: Column) -> Column:
-    v = _floor0(x)
-    return _split(v < 1.0 / 12.0, F.sqrt(v * 3.0), F.log(v * 12.0 - HLG_B) * HLG_A + HLG_C)
 
+def _hlg(x, m):
+    v = m.floor0(x)
+    return m.pick(x, (v < 1.0 / 12.0, m.sqrt(v * 3.0)), m.log(v * 12.0 - HLG_B) * HLG_A + HLG_C)
 
-ENCODE: dict[str, Curve] = {
-    "Linear": lambda x: x,
+
+def _davinci(x, m):
+    k = DAVINCI
+    return m.pick(x, (x <= k["cut"], x * k["slope"]), (m.log2(x + k["shift"]) + k["add"]) * k["scale"])
+
+
+_CURVES = {
+    "Linear": lambda x, m: x,
     "Rec.709": _rec709,
     "S-Log3": _slog3,
-    "V-Log": lambda x: _split(x < 0.01, x * 5.6 + 0.125, _log10(x + 0.00873) * 0.241514 + 0.598206),
-    "ARRI LogC3": lambda x: _split(
-        x > 0.010591, _log10(x * 5.555556 + 0.052272) * 0.247190 + 0.385537, x * 5.367655 + 0.092809
-    ),
+    "V-Log": _vlog,
+    "ARRI LogC3": _camera_log(LOGC3, False),
     "ARRI LogC4": _logc4,
     "C-Log3": _clog3,
-    "F-Log2": lambda x: _split(
-        x >= 0.000889, _log10(x * 5.555556 + 0.064829) * 0.245281 + 0.384316, x * 8.799461 + 0.092864
-    ),
+    "F-Log2": _camera_log(FLOG2, True),
     "Apple Log": _apple,
     "Apple Log 2": _apple,
-    "ACES CCT": lambda x: _split(x > ACES_CUT, (F.log2(x) + 9.72) / 17.52, x * ACES_SLOPE + ACES_OFFSET),
+    "ACES CCT": _acescct,
     "PQ (ST.2084)": _pq,
     "HLG (BT.2100)": _hlg,
-    "DaVinci Intermediate": lambda x: _split(
-        x <= 0.00262409, x * 10.44426855, (F.log2(x + 0.0075) + 7.0) * 0.07329248
-    ),
-    "Gamma 2.4": lambda x: _pow(_floor0(x), 1.0 / 2.4),
+    "DaVinci Intermediate": _davinci,
+    "Gamma 2.4": lambda x, m: m.pow(m.floor0(x), 1.0 / 2.4),
 }
+ENCODE: dict[str, Curve] = {name: (lambda x, fn=fn: fn(x, ColumnMath)) for name, fn in _CURVES.items()}
+
+
+def encode_array(name: str, x: np.ndarray) -> np.ndarray:
+    """The same curve on an array."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return _CURVES[name](x, ArrayMath)
 
 
 def srgb_display(x: Column) -> Column:
@@ -160,23 +229,25 @@ def _d_slog3(y: Column) -> Column:
     return _split(y >= 171.2102946929 / 1023.0, log, (y * 1023.0 - 95.0) * 0.01125 / (171.2102946929 - 95.0))
 
 
+def _d_camera_log(k: dict) -> Curve:
+    return lambda y: _split(
+        y >= k["slope"] * k["cut"] + k["offset"],
+        (_pow(10.0, (y - k["lift"]) / k["scale"]) - k["b"]) / k["a"],
+        (y - k["offset"]) / k["slope"],
+    )
+
+
 DECODE: dict[str, Curve] = {
     "Linear": lambda y: y,
     "Rec.709": _d_rec709(0.0812429),
     "S-Log3": _d_slog3,
-    "V-Log": lambda y: _split(y < 0.181, (y - 0.125) / 5.6, _pow(10.0, (y - 0.598206) / 0.241514) - 0.00873),
-    "ARRI LogC3": lambda y: _split(
-        y >= 5.367655 * 0.010591 + 0.092809,
-        (_pow(10.0, (y - 0.385537) / 0.247190) - 0.052272) / 5.555556,
-        (y - 0.092809) / 5.367655,
+    "V-Log": lambda y: _split(
+        y < VLOG_CODE, (y - VLOG["offset"]) / VLOG["slope"], _pow(10.0, (y - VLOG["lift"]) / VLOG["scale"]) - VLOG["shift"]
     ),
+    "ARRI LogC3": _d_camera_log(LOGC3),
     "ARRI LogC4": _d_logc4,
     "C-Log3": _d_clog3,
-    "F-Log2": lambda y: _split(
-        y >= 8.799461 * 0.000889 + 0.092864,
-        (_pow(10.0, (y - 0.384316) / 0.245281) - 0.064829) / 5.555556,
-        (y - 0.092864) / 8.799461,
-    ),
+    "F-Log2": _d_camera_log(FLOG2),
     "Apple Log": _d_apple,
     "Apple Log 2": _d_apple,
     "ACES CCT": lambda y: _split(
@@ -185,7 +256,9 @@ DECODE: dict[str, Curve] = {
     "PQ (ST.2084)": _d_pq,
     "HLG (BT.2100)": lambda y: _split(y <= 0.5, y * y / 3.0, (F.exp((y - HLG_C) / HLG_A) + HLG_B) / 12.0),
     "DaVinci Intermediate": lambda y: _split(
-        y <= 0.00262409 * 10.44426855, y / 10.44426855, _pow(2.0, y / 0.07329248 - 7.0) - 0.0075
+        y <= DAVINCI["cut"] * DAVINCI["slope"],
+        y / DAVINCI["slope"],
+        _pow(2.0, y / DAVINCI["scale"] - DAVINCI["add"]) - DAVINCI["shift"],
     ),
     "Gamma 2.4": lambda y: _pow(_floor0(y), 2.4),
 }
@@ -243,18 +316,15 @@ def encode_by_params(
 ) -> DataFrame:
     """Encode a pixel table whose clips use different curves, in one pass.
 
-    ``params`` has one row per clip with its ``transfer``. Only the curves that
-    occur there (at most the fixed fifteen) become branches.
+    ``params`` has one row per clip with its ``transfer``. Pixels of clips without a known
+    curve stay, with null channels.
     """
-    known = params.select(key, "transfer").where(F.col("transfer").isin(*ENCODE))
-    used = {row.transfer for row in known.select("transfer").distinct().collect()}
-    joined = attach(pixels, known, [key], "inner", spread=spread)
+    joined = attach(pixels, params.select(key, "transfer"), [key], "left", spread=spread)
 
     def branch(x: Column) -> Column:
         chosen = F.when(F.lit(False), x)
-        for name in ENCODE:
-            if name in used:
-                chosen = chosen.when(F.col("transfer") == name, ENCODE[name](x))
+        for name, curve in ENCODE.items():
+            chosen = chosen.when(F.col("transfer") == name, curve(x))
         return chosen
 
     return joined.withColumns({c: branch(F.col(c)) for c in channels})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +13,7 @@ from rawlake import vocab
 from rawlake.functions import curves
 from rawlake.functions.matrix import dot_rows
 from rawlake.functions.numeric import clamp, extended_white, to_u16
-from rawlake.operators import lens
-from rawlake.operators.tiles import demosaic_export
+from rawlake.operators import lens, tiles
 from rawlake.session import attach
 
 DISPLAY_CURVES = ("Rec.709", "Gamma 2.4", "Linear")
@@ -84,57 +87,117 @@ def packed(pixels: DataFrame, transfer: str) -> DataFrame:
 
 
 def with_params(pixels: DataFrame, params: DataFrame, key: str = "clip_id", spread=("frame_id", "y", "x")) -> DataFrame:
-    """Attach the parameters of a clip or frame to its pixels or tiles."""
-    return attach(pixels, params, [key], "inner", spread=list(spread))
-
-
-def colour_stage(pixels: DataFrame, transfer: str, keep: list[str]) -> DataFrame:
-    """P2 to C33 on demosaiced pixels that carry their parameters."""
-    p = normalise_channels(pixels, [F.get("norm_black", i) for i in range(3)], F.col("norm_white"))
-    stage = display_colour if transfer in DISPLAY_CURVES else log_colour
-    p = stage(p, F.col("gain_r"), F.col("gain_b"), "fused")
-    return packed(p, transfer).select(*keep, "y", "x", *RGB)
-
-
-def develop(
-    tiles: DataFrame,
+    """Attach the parameters of a clip or frame to its pixels or tiles; rows without any stay, with nulls."""
+    return attach(pixels, params, [key], "left", spread=list(spread))
+
+
+def colour_of(planes, p: dict) -> np.ndarray:
+    """P2 to C33 on the planes of one tile: 16-bit codes, one row per pixel."""
+    r, g, b = planes
+    white = p["white"]
+    span = [white - k if white > k else 1.0 for k in p["black"]]
+    r, g, b = (np.clip((v - k) * (1.0 / s), 0.0, 1.0) for v, k, s in zip((r, g, b), p["black"], span, strict=True))
+    r, b = r * p["gain_r"], b * p["gain_b"]
+    display = p["transfer"] in DISPLAY_CURVES
+    if display:
+        top = np.maximum(np.maximum(r, g), b)
+        t = np.where(top > 0.95, np.minimum((top - 0.95) / 0.05, 1.0), 0.0)
+        r, g, b = (v + (np.minimum(top, 1.0) - v) * t for v in (r, g, b))
+    m = p["fused"]
+    out = [np.maximum(m[3 * i] * r + m[3 * i + 1] * g + m[3 * i + 2] * b, 0.0) for i in range(3)]
+    if not display:
+        top = np.maximum(np.maximum(out[0], out[1]), out[2])
+        luma = sum(v * w for v, w in zip(out, vocab.LUMA, strict=True))
+        luma = np.maximum(np.minimum(luma, top), 0.0)
+        t = np.where(top > 1.0, np.minimum(top - 1.0, 1.0), 0.0)
+        out = [v + (luma - v) * t for v in out]
+    codes = [np.nan_to_num(curves.encode_array(p["transfer"], v), nan=0.0, posinf=1.0, neginf=0.0) for v in out]
+    return np.floor(np.clip(np.stack(codes, axis=1), 0.0, 1.0) * 65535.0).astype("<u2")
+
+
+METHODS = {"bilinear": tiles.export_planes_of, "edges": tiles.edge_planes_of}
+SETTINGS = ["fused", "norm_black", "norm_white", "gain_r", "gain_b", "transfer", "method"]
+
+
+def _developed(px: np.ndarray, t: dict) -> tuple[bytes | None]:
+    known = t["transfer"] in curves.ENCODE and t["method"] in METHODS
+    if not known or any(t[c] is None for c in SETTINGS):
+        return (None,)
+    black = t["norm_black"]
+    planes = METHODS[t["method"]](px, {**t, "pattern": t["pattern"] or "", "black": black})
+    if t["method"] == "edges":  # its planes are above black already, with a white level per channel
+        planes = tuple(v + k for v, k in zip(planes, black, strict=True))
+    p = {**t, "black": black, "white": t["norm_white"]}
+    return (colour_of(planes, p).tobytes(),)
+
+
+def develop_tiles(
+    tiled: DataFrame,
     params: DataFrame,
-    transfer: str,
+    transfer: str | Column,
     key: str = "frame_id",
-    lens_mode: str = "Off",
+    lens_mode: str | Column = "Off",
     grids: DataFrame | None = None,
     grid_key: str = "clip_id",
+    method: str | Column = "bilinear",
 ) -> DataFrame:
-    """16-bit RGB of every covered pixel.
+    """Every tile as ``rgb16``, six bytes per covered pixel (little-endian R, G, B).
 
-    ``params`` comes from :func:`params.frame_params` (or ``clip_params`` with
-    gains) and is attached to tiles, one row per tile, before any pixel exists.
-    Lens modes: Off, Full, ColorOnly. The pixel steps are one generated stage
-    without a shuffle.
+    ``params`` comes from :func:`params.frame_params` (or ``clip_params`` with gains) and is
+    attached to tiles, one row per tile. ``transfer``, ``lens_mode`` (Off, Full, ColorOnly)
+    and ``method`` (bilinear; edges, which needs a halo of ``tiles.EDGE_HALO``) are values,
+    or columns of ``params``, so that one run serves jobs with different settings. A tile
+    without parameters, or with an unknown setting, stays and has a null ``rgb16``.
     """
-    wanted = [key, "fused", "src_black", "src_white", "gain_r", "gain_b"]
-    extra = [c for c in ("sensor_w", "sensor_h", "pattern") if c in params.columns and c not in tiles.columns]
-    t = with_params(tiles, params.select(*wanted, *extra), key, spread=("tile_y", "tile_x"))
-    has_lens = lens_mode != "Off" and grids is not None
-    if has_lens:
+    chosen = {"transfer": transfer, "lens_mode": lens_mode, "method": method}
+    chosen = {k: v if isinstance(v, Column) else F.lit(v) for k, v in chosen.items()}
+    extra = [c for c in ("sensor_w", "sensor_h", "pattern") if c in params.columns and c not in tiled.columns]
+    wanted = params.select(key, "fused", "src_black", "src_white", "gain_r", "gain_b", *extra, *[v.alias(k) for k, v in chosen.items()])
+    t = with_params(tiled.drop(*chosen), wanted, key, spread=("tile_y", "tile_x"))
+    wide = extended_white(F.col("src_white")).cast("double")
+    gridded = F.lit(False)
+    if grids is not None:
         shapes = grids.select(grid_key, "lens_grid", "grid_w", "grid_h")
-        if lens_mode == "ColorOnly":
-            shapes = shapes.withColumn("lens_grid", lens.colour_only(F.col("lens_grid")))
         t = attach(t, shapes, [grid_key], "left", spread=["frame_id", "tile_y", "tile_x"])
+        plain = F.when(F.col("lens_mode") == "Full", F.col("lens_grid"))
+        t = t.withColumn("lens_grid", plain.when(F.col("lens_mode") == "ColorOnly", lens.colour_only(F.col("lens_grid"))))
         gridded = F.col("lens_grid").isNotNull()
-        wide = extended_white(F.col("src_white")).cast("double")
-        t = t.withColumns(
-            {
-                "out_white": wide,
-                "norm_white": F.when(gridded, wide).otherwise(F.col("src_white")),
-                "norm_black": F.when(gridded, F.array(*[F.lit(0.0)] * 3)).otherwise(F.col("src_black")),
-            }
-        )
+    t = t.withColumns(
+        {
+            "out_white": wide,
+            "norm_white": F.when(gridded, wide).otherwise(F.col("src_white")).cast("double"),
+            "norm_black": F.when(gridded, F.array(*[F.lit(0.0)] * 3)).otherwise(F.col("src_black")),
+        }
+    )
+    if grids is not None:
         for column in ("crop_x", "crop_y"):
             if column not in t.columns:
                 t = t.withColumn(column, F.lit(0))
         t = lens.correct_tiles(t)
-    else:
-        t = t.withColumns({"norm_white": F.col("src_white"), "norm_black": F.col("src_black")})
-    keep = [c for c in tiles.columns if c in ("clip_id", "frame_id")]
-    return colour_stage(demosaic_export(t), transfer, keep)
+    drop = [c for c in (*SETTINGS, "lens_mode", "src_black", "src_white", "out_white", "sensor_w", "sensor_h") if c in t.columns]
+    return tiles.over_tiles(t, _developed, [*tiles.GEOMETRY, "pattern", *SETTINGS], drop, {"rgb16": pa.binary()}, "rgb16 binary")
+
+
+def rgb16_pixels(developed: DataFrame) -> DataFrame:
+    """Long form of developed tiles: a row per pixel with ``y, x, r, g, b``; undeveloped tiles have none."""
+    keep = [c for c in developed.columns if c in ("clip_id", "frame_id")]
+    names = ["y", "x", "r", "g", "b"]
+    schema = ", ".join([*[f"{c} {dict(developed.dtypes)[c]}" for c in keep], *[f"{c} int" for c in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = {c: batch.column(c).to_pylist() for c in ("y0", "x0", "w", "h")}
+            for i in range(batch.num_rows):
+                codes = np.frombuffer(batch.column("rgb16")[i].as_py(), dtype="<u2").reshape(-1, 3).astype(np.int32)
+                y, x = np.divmod(np.arange(len(codes)), place["w"][i])
+                rows = batch.select(keep).take(pa.array(np.full(len(codes), i)))
+                spots = [pa.array((v + o[i]).astype(np.int32)) for v, o in ((y, place["y0"]), (x, place["x0"]))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *spots, *[pa.array(c) for c in codes.T.copy()]], names=[*keep, *names])
+
+    known = developed.where(F.col("rgb16").isNotNull()).select(*keep, "y0", "x0", "w", "h", "rgb16")
+    return known.mapInArrow(run, schema)
+
+
+def develop(tiled: DataFrame, params: DataFrame, transfer: str | Column, *args, **kw) -> DataFrame:
+    """16-bit RGB as one row per pixel; :func:`develop_tiles` keeps them packed."""
+    return rgb16_pixels(develop_tiles(tiled, params, transfer, *args, **kw))

@@ -29,7 +29,8 @@ def cut_tiles(frames: DataFrame, tile_h: int = 64, tile_w: int = 512, halo: int
     """Cut whole mosaics (``px``, ``frame_w``, ``frame_h``) into tiles.
 
     The active area, if the frames carry one, is the area that gets covered;
-    the stored pixels may reach beyond it.
+    the stored pixels may reach beyond it. A frame is cut in one step that
+    yields its tiles a few at a time, so its pixels are not repeated per tile.
     """
     cols = frames.columns
     crop = {
@@ -38,30 +39,84 @@ def cut_tiles(frames: DataFrame, tile_h: int = 64, tile_w: int = 512, halo: int
         "crop_w": F.col("crop_w") if "crop_w" in cols else F.col("frame_w"),
         "crop_h": F.col("crop_h") if "crop_h" in cols else F.col("frame_h"),
     }
-    keep = [c for c in cols if c not in ("px", *crop)]
-    f = frames.withColumns(crop).where((F.col("crop_w") > 0) & (F.col("crop_h") > 0))
-    rows = F.sequence(F.lit(0), F.floor((F.col("crop_h") - 1) / tile_h).cast("int"))
-    strips = f.withColumn("tile_y", F.explode(rows))
-    cols_seq = F.sequence(F.lit(0), F.floor((F.col("crop_w") - 1) / tile_w).cast("int"))
-    t = strips.withColumn("tile_x", F.explode(cols_seq))
-    y0 = F.col("crop_y") + F.col("tile_y") * tile_h
-    x0 = F.col("crop_x") + F.col("tile_x") * tile_w
-    h = F.least(F.lit(tile_h), F.col("crop_h") - F.col("tile_y") * tile_h)
-    w = F.least(F.lit(tile_w), F.col("crop_w") - F.col("tile_x") * tile_w)
-    t = t.withColumns({"y0": y0, "x0": x0, "h": h, "w": w})
-    oy, ox = F.greatest(F.col("y0") - halo, F.lit(0)), F.greatest(F.col("x0") - halo, F.lit(0))
-    ye = F.least(F.col("y0") + F.col("h") + halo, F.col("frame_h"))
-    xe = F.least(F.col("x0") + F.col("w") + halo, F.col("frame_w"))
-    t = t.withColumns({"oy": oy, "ox": ox, "oh": ye - oy, "ow": xe - ox})
-    whole = (F.col("oh") == F.col("frame_h")) & (F.col("ow") == F.col("frame_w"))
-    lines = F.transform(
-        F.sequence(F.col("oy"), F.col("oy") + F.col("oh") - 1),
-        lambda y: F.slice("px", y * F.col("frame_w") + F.col("ox") + 1, F.col("ow")),
-    )
-    return t.select(
-        *keep, "tile_y", "tile_x", *[c for c in GEOMETRY if c not in keep],
-        F.when(whole, F.col("px")).otherwise(F.flatten(lines)).alias("px"),
-    )
+    area = list(crop)
+    keep = [c for c in cols if c not in ("px", *area)]
+    whole = {"frame_w": F.col("frame_w").cast("int"), "frame_h": F.col("frame_h").cast("int"), "px": F.col("px").cast("array<int>")}
+    f = frames.withColumns({**{k: v.cast("int") for k, v in crop.items()}, **whole})
+    f = f.where((F.col("crop_w") > 0) & (F.col("crop_h") > 0)).select(*keep, *crop, "px")
+    placed = ["tile_y", "tile_x", *[c for c in GEOMETRY if c not in keep]]
+    types = {x.name: x.dataType.simpleString() for x in f.schema.fields}
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keep], *[f"{c} int" for c in placed], "px array<int>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = {n: batch.column(n).to_pylist() for n in ("frame_w", "frame_h", *area)}
+            for i in range(batch.num_rows):
+                k = {n: v[i] for n, v in known.items()}
+                px = _pixels(batch.column("px")[i]).reshape(k["frame_h"], k["frame_w"])
+                made: dict[str, list] = {c: [] for c in placed}
+                parts: list[np.ndarray] = []
+
+                def flush() -> pa.RecordBatch:
+                    row = batch.select(keep).take(pa.array([i] * len(parts)))
+                    arrays = [*row.columns, *[pa.array(made[c], pa.int32()) for c in placed], _lists(parts, pa.int32())]
+                    return pa.RecordBatch.from_arrays(arrays, names=[*keep, *placed, "px"])
+
+                for ty in range(-(-k["crop_h"] // tile_h)):
+                    for tx in range(-(-k["crop_w"] // tile_w)):
+                        y0, x0 = k["crop_y"] + ty * tile_h, k["crop_x"] + tx * tile_w
+                        h, w = min(tile_h, k["crop_h"] - ty * tile_h), min(tile_w, k["crop_w"] - tx * tile_w)
+                        oy, ox = max(y0 - halo, 0), max(x0 - halo, 0)
+                        ye, xe = min(y0 + h + halo, k["frame_h"]), min(x0 + w + halo, k["frame_w"])
+                        spot = {"tile_y": ty, "tile_x": tx, "y0": y0, "x0": x0, "h": h, "w": w, "oy": oy, "ox": ox, "oh": ye - oy, "ow": xe - ox}
+                        for c in placed:
+                            made[c].append(spot.get(c, k.get(c)))
+                        parts.append(px[oy:ye, ox:xe].ravel())
+                        if sum(map(len, parts)) > TILES_AT_ONCE:
+                            yield flush()
+                            made, parts = {c: [] for c in placed}, []
+                if parts:
+                    yield flush()
+
+    return f.mapInArrow(run, schema)
+
+
+# Pixels of the tiles in one batch.
+TILES_AT_ONCE = 1 << 20
+
+
+def _pixels(value) -> np.ndarray:
+    return value.values.to_numpy(zero_copy_only=False)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as one list column."""
+    sizes = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def over_tiles(tiles: DataFrame, compute, need: list[str], drop: list[str], made: dict[str, pa.DataType], ddl: str) -> DataFrame:
+    """One numpy call per tile: ``compute(px, fields)`` gives an array for each column of ``made``.
+
+    ``need`` names the columns it reads, ``drop`` those that end here. Work and memory per
+    pixel do not depend on the size of the tile.
+    """
+    rest = [c for c in tiles.columns if c not in ("px", *drop)]
+    src = tiles.select(*rest, *[c for c in drop if c in tiles.columns], "px")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name in rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = {n: batch.column(n).to_pylist() for n in need}
+            out: dict[str, list] = {n: [] for n in made}
+            for i in range(batch.num_rows):
+                done = compute(_pixels(batch.column("px")[i]), {n: v[i] for n, v in known.items()})
+                for name, value in zip(made, done, strict=True):
+                    out[name].append(value)
+            arrays = [_lists(out[n], k.value_type) if pa.types.is_list(k) else pa.array(out[n], k) for n, k in made.items()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *arrays], names=[*rest, *made])
+
+    return src.mapInArrow(run, f"{fields}, {ddl}")
 
 
 def cropped(tiles: DataFrame, crops: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -127,50 +182,77 @@ CROSS = [(0, -1), (0, 1), (-1, 0), (1, 0)]
 CORNERS = [(-1, -1), (1, -1), (-1, 1), (1, 1)]
 
 
-def _is_red(y: str, x: str) -> str:
-    return f"({x} % 2 = _rx AND {y} % 2 = _ry)"
-
-
-def _is_blue(y: str, x: str) -> str:
-    return f"({x} % 2 = 1 - _rx AND {y} % 2 = 1 - _ry)"
-
-
-def _is_green(y: str, x: str) -> str:
-    return f"(NOT {_is_red(y, x)} AND NOT {_is_blue(y, x)})"
-
-
-def _mean_around(y: str, x: str, steps, test) -> str:
-    """Mean of the neighbours whose site passes a test; else the value itself."""
-    spots = [(f"({y} + {dy})", f"({x} + {dx})") for dx, dy in steps]
-    total = " + ".join(f"CASE WHEN {test(*s)} THEN {pixel_or_zero(*s)} ELSE 0D END" for s in spots)
-    count = " + ".join(f"CASE WHEN {test(*s)} THEN 1 ELSE 0 END" for s in spots)
-    return f"CASE WHEN ({count}) > 0 THEN ({total}) / ({count}) ELSE {pixel_or_zero(y, x)} END"
-
-
-def demosaic_export(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """P5: bilinear colours with the export path's border rules.
+def export_planes_of(px: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P5 on one tile, as three arrays of its covered area.
 
     Positions outside the frame read as 0 but still count when their site
     matches; a remainder of -1 matches no odd site, so the site left of or
     above the frame counts as green. Missing colours at a green site come from
     the neighbour on the right or left, by row parity.
     """
-    parity = {
-        "_rx": vocab.lookup(F.col(pattern), {k: v[0] for k, v in RED_PARITY.items()}, NO_SITE),
-        "_ry": vocab.lookup(F.col(pattern), {k: v[1] for k, v in RED_PARITY.items()}, NO_SITE),
-    }
-    rows = site_rows(tiles.withColumns(parity)).selectExpr(
-        "*", f"{_is_red('y', 'x')} AS _red", f"{_is_blue('y', 'x')} AS _blue", f"{pixel_at('y', 'x')} AS _v"
-    )
-    rows = rows.selectExpr("*", "CASE WHEN _red OR _blue THEN 0 WHEN y % 2 = 0 THEN 1 ELSE -1 END AS _s")
-    return rows.selectExpr(
-        *_rest(tiles),
-        "y",
-        "x",
-        f"CASE WHEN _red THEN _v ELSE {_mean_around('y', '(x + _s)', CORNERS, _is_red)} END AS r",
-        f"CASE WHEN _s <> 0 THEN _v ELSE {_mean_around('y', 'x', CROSS, _is_green)} END AS g",
-        f"CASE WHEN _blue THEN _v ELSE {_mean_around('y', '(x - _s)', CORNERS, _is_blue)} END AS b",
-    )
+    h, w = t["h"], t["w"]
+    ys, xs = np.arange(t["y0"] - 1, t["y0"] + h + 1), np.arange(t["x0"] - 2, t["x0"] + w + 2)
+    inside = ((ys >= 0) & (ys < t["frame_h"]))[:, None] & ((xs >= 0) & (xs < t["frame_w"]))[None, :]
+    store = px.reshape(t["oh"], t["ow"])
+    near = store[np.ix_(np.clip(ys - t["oy"], 0, t["oh"] - 1), np.clip(xs - t["ox"], 0, t["ow"] - 1))]
+    v = np.where(inside, near, 0).astype(np.float64)
+    rx, ry = RED_PARITY.get(t["pattern"], (NO_SITE, NO_SITE))
+    py, qx = np.fmod(ys, 2)[:, None], np.fmod(xs, 2)[None, :]
+    red = (qx == rx) & (py == ry)
+    blue = (qx == 1 - rx) & (py == 1 - ry)
+
+    def mean(steps, site: np.ndarray, shift: int) -> np.ndarray:
+        total, count = np.zeros((h, w)), np.zeros((h, w))
+        for dx, dy in steps:
+            area = np.s_[1 + dy : 1 + dy + h, 2 + shift + dx : 2 + shift + dx + w]
+            total += np.where(site[area], v[area], 0.0)
+            count += site[area]
+        own = v[1 : 1 + h, 2 + shift : 2 + shift + w]
+        return np.where(count > 0, total / np.maximum(count, 1), own)
+
+    core = np.s_[1 : 1 + h, 2 : 2 + w]
+    value, is_red, is_blue = v[core], red[core], blue[core]
+    side = np.where(is_red | is_blue, 0, np.where(ys[1 : 1 + h, None] % 2 == 0, 1, -1))
+
+    def beside(site: np.ndarray, sign: int) -> np.ndarray:
+        at = {k: mean(CORNERS, site, k) for k in (-1, 0, 1)}
+        return np.where(side == 0, at[0], np.where(side == 1, at[sign], at[-sign]))
+
+    r = np.where(is_red, value, beside(red, 1))
+    g = np.where(side != 0, value, mean(CROSS, ~red & ~blue, 0))
+    b = np.where(is_blue, value, beside(blue, -1))
+    return r.ravel(), g.ravel(), b.ravel()
+
+
+def preview_planes_of(px: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P6 on one tile: bilinear colours, edges clamped; quad patterns as the plain one they contain."""
+    h, w = t["h"], t["w"]
+    ys, xs = np.arange(t["y0"] - 1, t["y0"] + h + 1), np.arange(t["x0"] - 1, t["x0"] + w + 1)
+    store = px.reshape(t["oh"], t["ow"]).astype(np.float64)
+    v = store[np.ix_(np.clip(ys, 0, t["frame_h"] - 1) - t["oy"], np.clip(xs, 0, t["frame_w"] - 1) - t["ox"])]
+    cfa = np.array(vocab.CFA.get(t["pattern"].removeprefix("QuadBayer"), vocab.CFA["RGGB"])).reshape(2, 2)
+    site, beside = cfa[np.ix_(ys[1:-1] & 1, xs[1:-1] & 1)], cfa[np.ix_(ys[1:-1] & 1, (xs[1:-1] + 1) & 1)]
+    mid = v[1:-1, 1:-1]
+    across, along = v[1:-1, :-2] + v[1:-1, 2:], v[:-2, 1:-1] + v[2:, 1:-1]
+    corners = (v[:-2, :-2] + v[:-2, 2:] + v[2:, :-2] + v[2:, 2:]) * 0.25
+    row_red = beside == 0
+    r = np.select([site == 0, site == 2, row_red], [mid, corners, across * 0.5], along * 0.5)
+    g = np.where(site == 1, mid, (along + across) * 0.25)
+    b = np.select([site == 2, site == 0, row_red], [mid, corners, along * 0.5], across * 0.5)
+    return r.ravel(), g.ravel(), b.ravel()
+
+
+PLANES = {c: pa.list_(pa.float64()) for c in ("r", "g", "b")}
+PLANES_DDL = "r array<double>, g array<double>, b array<double>"
+
+
+def _planes(tiles: DataFrame, compute, pattern: str) -> DataFrame:
+    return over_tiles(tiles, lambda px, t: compute(px, {**t, "pattern": t[pattern] or ""}), [*GEOMETRY, pattern], [], PLANES, PLANES_DDL)
+
+
+def demosaic_export(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """P5: bilinear colours with the export path's border rules, one row per pixel."""
+    return plane_pixels(_planes(tiles, export_planes_of, pattern))
 
 
 def preview_pattern(name: Column) -> Column:
@@ -201,8 +283,7 @@ def demosaic_preview_at(rows: DataFrame, y: str, x: str, pattern: str) -> DataFr
 
 def demosaic_preview(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Bilinear colours of every pixel for previews."""
-    rows = site_rows(tiles).withColumn("_p", preview_pattern(F.col(pattern)))
-    return demosaic_preview_at(rows, "y", "x", "_p").select(*_rest(tiles), "y", "x", "r", "g", "b")
+    return plane_pixels(_planes(tiles, preview_planes_of, pattern))
 
 
 # ---------------------------------------------------------------------------
@@ -306,49 +387,32 @@ def _edge_tile(px, oy, ox, oh, ow, fw, fh, y0, x0, h, w, codes, black):
     return full_red[core].ravel(), green[core].ravel(), full_blue[core].ravel()
 
 
+def edge_planes_of(px: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P7 on one tile; ``black`` has a level per colour."""
+    cfa = np.array(vocab.CFA.get(t["pattern"], vocab.CFA["RGGB"])).reshape(2, 2)
+    return _edge_tile(
+        px, t["oy"], t["ox"], t["oh"], t["ow"], t["frame_w"], t["frame_h"], t["y0"], t["x0"], t["h"], t["w"],
+        cfa, np.asarray(t["black"], dtype=np.float64),
+    )
+
+
 def demosaic_edges(tiles: DataFrame, pattern: str = "pattern", black: str = "black_rgb") -> DataFrame:
     """Edge-directed colours per tile, black level removed.
 
     Needs tiles with a halo of at least :data:`EDGE_HALO`; the result does not
     depend on the tile size. Adds array columns ``r, g, b`` and drops ``px``.
     """
-    rest = [c for c in tiles.columns if c not in ("px",)]
-    src = tiles.select(*rest, "px")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "px")
-    schema = f"{fields}, r array<double>, g array<double>, b array<double>"
-    cfa = {k: np.array(v).reshape(2, 2) for k, v in vocab.CFA.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            planes = ([], [], [])
-            fields = {n: cols[n].to_pylist() for n in (*GEOMETRY, pattern, black)}
-            for i in range(batch.num_rows):
-                g = {n: v[i] for n, v in fields.items()}
-                done = _edge_tile(
-                    cols["px"][i].values.to_numpy(zero_copy_only=False), g["oy"], g["ox"], g["oh"], g["ow"],
-                    g["frame_w"], g["frame_h"], g["y0"], g["x0"], g["h"], g["w"],
-                    cfa.get(g[pattern], cfa["RGGB"]), np.asarray(g[black], dtype=np.float64),
-                )
-                for out, plane in zip(planes, done):
-                    out.append(plane)
-            arrays = [cols[n] for n in rest]
-            for plane in planes:
-                sizes = np.cumsum([0] + [len(p) for p in plane]).astype(np.int32)
-                values = np.concatenate(plane) if plane else np.empty(0)
-                arrays.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(values)))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "r", "g", "b"])
-
-    return src.mapInArrow(run, schema)
+    def compute(px, t):
+        return edge_planes_of(px, {**t, "pattern": t[pattern], "black": t[black]})
+
+    return over_tiles(tiles, compute, [*GEOMETRY, pattern, black], [], PLANES, PLANES_DDL)
 
 
 def plane_pixels(planes: DataFrame) -> DataFrame:
     """Long form of tiles with ``r, g, b`` arrays."""
     rest = [c for c in planes.columns if c not in (*GEOMETRY, "tile_y", "tile_x", "r", "g", "b")]
-    rows = planes.select(*planes.columns, F.posexplode("r").alias("_i", "_r"))
+    rows = planes.select(*rest, "y0", "x0", "w", F.posexplode(F.arrays_zip("r", "g", "b")).alias("_i", "_p"))
     y = F.col("y0") + F.floor(F.col("_i") / F.col("w")).cast("int")
     x = F.col("x0") + F.col("_i") % F.col("w")
-    return rows.select(
-        *rest, y.alias("y"), x.alias("x"), F.col("_r").alias("r"),
-        F.get("g", F.col("_i")).alias("g"), F.get("b", F.col("_i")).alias("b"),
-    )
+    return rows.select(*rest, y.alias("y"), x.alias("x"), "_p.r", "_p.g", "_p.b")

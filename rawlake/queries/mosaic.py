@@ -100,15 +100,22 @@ SITE = f"(SELECT m.*, {site_sql('pattern', 'y', 'x')} AS color FROM {MOSAIC_PIXE
 CHANNEL = f"(SELECT *, CASE color WHEN 0 THEN 0 WHEN 2 THEN 3 ELSE CASE WHEN y % 2 = 0 THEN 1 ELSE 2 END END AS ch FROM {SITE})"
 
 
-def gain_sql(grid: str) -> str:
+NODES = "list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE)) + 1.0) AS nodes"
+PLAIN_NODES = f"(SELECT vec_id AS frame_id, {NODES} FROM embeddings)"
+COLOUR_NODES = (
+    "(SELECT frame_id, list_transform(range(64), lambda i: CASE WHEN low[i % 16 + 1] > 0 THEN nodes[i + 1] / low[i % 16 + 1] ELSE 1.0 END) AS nodes FROM "
+    f"(SELECT *, list_transform(range(16), lambda i: least(nodes[i + 1], nodes[i + 17], nodes[i + 33], nodes[i + 49])) AS low FROM {PLAIN_NODES}))"
+)
+
+
+def gain_sql(nodes: str) -> str:
     """Pixels with their interpolated gain; grid and frame share the same number."""
+    node = "nodes[16 * ch + 4 * {y} + {x} + 1]"
+    a, b, c, d = (node.format(y=y, x=x) for y in ("iy", "least(iy + 1, 3)") for x in ("ix", "least(ix + 1, 3)"))
     return f"""(WITH p AS (SELECT *, least(greatest(x / 8.0::DOUBLE * 3, 0), 3) AS fx, least(greatest(y / 8.0::DOUBLE * 3, 0), 3) AS fy FROM {CHANNEL}),
-q AS (SELECT *, CAST(floor(fx) AS BIGINT) AS ix, CAST(floor(fy) AS BIGINT) AS iy FROM p), g AS (SELECT * FROM {grid})
-SELECT q.*, (a.gain + (b.gain - a.gain) * (fx - ix)) + ((c.gain + (d.gain - c.gain) * (fx - ix)) - (a.gain + (b.gain - a.gain) * (fx - ix))) * (fy - iy) AS gain
-FROM q JOIN g a ON a.clip_id = q.frame_id AND a.ch = q.ch AND a.gy = iy AND a.gx = ix
-JOIN g b ON b.clip_id = q.frame_id AND b.ch = q.ch AND b.gy = iy AND b.gx = least(ix + 1, 3)
-JOIN g c ON c.clip_id = q.frame_id AND c.ch = q.ch AND c.gy = least(iy + 1, 3) AND c.gx = ix
-JOIN g d ON d.clip_id = q.frame_id AND d.ch = q.ch AND d.gy = least(iy + 1, 3) AND d.gx = least(ix + 1, 3))"""
+q AS (SELECT *, CAST(floor(fx) AS BIGINT) AS ix, CAST(floor(fy) AS BIGINT) AS iy FROM p)
+SELECT q.*, ({a} + ({b} - {a}) * (fx - ix)) + (({c} + ({d} - {c}) * (fx - ix)) - ({a} + ({b} - {a}) * (fx - ix))) * (fy - iy) AS gain
+FROM q JOIN {nodes} n USING (frame_id))"""
 
 
 def gridded(spark, sf, halo=3):
@@ -118,7 +125,7 @@ def gridded(spark, sf, halo=3):
     return t.withColumns({"sensor_w": F.lit(8), "sensor_h": F.lit(8), "crop_x": F.lit(0), "crop_y": F.lit(0)})
 
 
-@query("j4_grid_gain", f"SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, {micro_sql('gain')} AS gain FROM {gain_sql(GRIDS)}")
+@query("j4_grid_gain", f"SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, {micro_sql('gain')} AS gain FROM {gain_sql(PLAIN_NODES)}")
 def j4(spark, sf):
     rows = tiles.site_rows(gridded(spark, sf))
     y, x = F.col("y"), F.col("x")
@@ -138,12 +145,12 @@ def p3_tiles(spark, sf, halo=3):
     return lens.correct_tiles(t)
 
 
-@query("p3_lens_levels", f"SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, {P3_VALUE}::DOUBLE AS v FROM {gain_sql(GRIDS)}")
+@query("p3_lens_levels", f"SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, {P3_VALUE}::DOUBLE AS v FROM {gain_sql(PLAIN_NODES)}")
 def p3(spark, sf):
     return tiles.mosaic_pixels(p3_tiles(spark, sf)).select("frame_id", "y", "x", "v")
 
 
-@query("p4_lens_gain", f"SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, least(16383, floor(v * gain + 0.5))::DOUBLE AS v FROM {gain_sql(COLOUR_GRID)}")
+@query("p4_lens_gain", f"SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, least(16383, floor(v * gain + 0.5))::DOUBLE AS v FROM {gain_sql(COLOUR_NODES)}")
 def p4(spark, sf):
     t = gridded(spark, sf).withColumn("out_white", F.lit(16383.0))
     t = t.withColumn("lens_grid", lens.colour_only(F.col("lens_grid")))
@@ -284,7 +291,7 @@ def p11(spark, sf):
 
 
 LENS_PX = (
-    f"(SELECT g.frame_id, g.pattern, g.y, g.x, l.px FROM {MOSAIC_PIXELS} g JOIN (SELECT frame_id, list(CAST({P3_VALUE} AS BIGINT) ORDER BY y, x) AS px FROM {gain_sql(GRIDS)} GROUP BY frame_id) l USING (frame_id))"
+    f"(SELECT g.frame_id, g.pattern, g.y, g.x, l.px FROM {MOSAIC_PIXELS} g JOIN (SELECT frame_id, list(CAST({P3_VALUE} AS BIGINT) ORDER BY y, x) AS px FROM {gain_sql(PLAIN_NODES)} GROUP BY frame_id) l USING (frame_id))"
 )
 
 
@@ -297,13 +304,13 @@ def p11_lens(spark, sf):
 
 @query("k4_rgb16_frames", "SELECT frame_id, count(*) AS pixels, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM (" + develop_sql(MOSAIC_PIXELS, ENCODE_SQL["t2_rec709"][1], True, SRC_BLACK, "16383.0::DOUBLE") + ") GROUP BY frame_id")
 def k4(spark, sf):
-    """Written as a table partitioned by clip, then read back."""
+    """Written as packed tiles, six bytes per pixel, then read back."""
     from rawlake.session import work_folder
 
-    out = develop.develop(tiled(spark, sf), frame_params(spark, sf), "Rec.709")
+    out = develop.develop_tiles(tiled(spark, sf), frame_params(spark, sf), "Rec.709")
     target = f"{work_folder(spark)}/rgb16"
-    out.write.partitionBy("clip_id").parquet(target)
-    back = spark.read.parquet(target)
+    out.write.parquet(target)
+    back = develop.rgb16_pixels(spark.read.parquet(target))
     return back.groupBy("frame_id").agg(F.count(F.lit(1)).alias("pixels"), *[F.sum(c).alias(c) for c in RGB])
 
 
