@@ -126,7 +126,8 @@ def clip_params(clips: DataFrame, gamut: str | None = None) -> DataFrame:
     named = clips.withColumn("gamut", F.lit(gamut)) if gamut else clips
     # 16 rows, fixed
     dim = F.broadcast(dim_gamut(spark).select(F.col("name").alias("gamut"), "xyz_to_rgb"))
-    out = camera_matrix(named).join(dim, "gamut", "inner")
+    # clips of an unknown gamut stay, without a fused matrix
+    out = camera_matrix(named).join(dim, "gamut", "left")
     return out.withColumns(
         {
             "fused": F.expr(fused("xyz_to_rgb", reference_white(), "cam_to_xyz")),

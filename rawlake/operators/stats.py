@@ -82,19 +82,20 @@ def push_ring(phase_events: DataFrame, keys=("run_id",), phase: str = "encode_pu
 
 
 def full_phases(snapshot: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
-    """Every phase of every run in report order, with zeros where nothing ran."""
+    """Every phase of every run with its place in the report, and zeros where nothing ran."""
     listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(p).alias("phase")) for i, p in enumerate(vocab.PHASES)])
     grid = runs.select(key).distinct().select(key, F.inline(listed))
     out = grid.join(snapshot, [key, "phase"], "left")
     filled = {c: 0 for c in ("frames", "avg_us", "min_us", "max_us", "stddev_us")}
-    return out.fillna({**filled, "fps": 0.0}).orderBy(key, "pos")
+    return out.fillna({**filled, "fps": 0.0})
 
 
-def report_documents(
-    phase_events: DataFrame, runs: DataFrame, key: str = "run_id", ring_limit: int | None = None
-) -> DataFrame:
-    """K2: one nested report per run. ``encode_push_per_frame_us`` is left to
-    :func:`push_ring` unless the longest run is known to fit (``ring_limit``)."""
+def report_documents(phase_events: DataFrame, runs: DataFrame, key: str = "run_id") -> DataFrame:
+    """K2: one nested report per run.
+
+    ``encode_push_per_frame_us`` is not a list in it, as a run may have any number of
+    frames: :func:`push_ring` is that list as a table of rows beside the reports.
+    """
     report = run_report(phase_events, runs, key)
     phases = full_phases(phase_snapshot(phase_events, (key, "phase")), runs, key)
     entry = F.struct(
@@ -105,17 +106,7 @@ def report_documents(
         key,
         F.transform("_p", lambda e: F.struct(e["phase"].alias("name"), e["snapshot"].alias("snapshot"))).alias("phases"),
     )
-    out = report.join(listed, key, "left")
-    if ring_limit is None:
-        return out
-    ring = push_ring(phase_events, (key,))
-    short = ring.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= ring_limit).select(key)
-    lists = (
-        ring.join(short, key, "left_semi")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("frame_id", "us"))).alias("encode_push_per_frame_us"))
-    )
-    return out.join(lists, key, "left")
+    return report.join(listed, key, "left")
 
 
 def export_rates(export_runs: DataFrame, by: str = "codec") -> DataFrame:

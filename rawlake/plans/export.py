@@ -135,14 +135,21 @@ def blocked(transfer: Column, family: Column, profile: Column) -> Column:
 def apply_presets(clips: DataFrame, presets: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Every setting of a preset on every clip of its batch.
 
-    ``on`` names the batch key, by which presets are unique. Without it the
-    presets must be the single preset of the whole run.
+    ``on`` names the batch key, by which presets are unique; clips of a batch without
+    preset stay, with null settings. Without it the presets must be the single preset of
+    the whole run, and any other number of them is an error.
     """
     if on:
-        return attach(clips, presets, on, "inner", spread=[c for c in clips.columns if c not in on])
-    single = presets.first()
+        return attach(clips, presets, on, "left", spread=[c for c in clips.columns if c not in on])
+    found = presets.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("a run without batch key needs exactly one preset")
     kinds = dict(presets.dtypes)
-    return clips.withColumns({c: F.lit(single[c]).cast(kinds[c]) for c in presets.columns})
+    return clips.withColumns({c: F.lit(found[0][c]).cast(kinds[c]) for c in presets.columns})
+
+
+NO_PRESET = "no preset for the batch"
+TOO_FEW_BITS = "a log curve cannot go to an 8-bit profile"
 
 
 def is_wide(gamut: Column) -> Column:
@@ -310,7 +317,10 @@ def slot_path(base: Column, slot: Column, ext: Column, cut_at_dot: bool = False)
 
 
 def taken_slots(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Existing output paths as (name, number) pairs, plain names as 0."""
+    """Existing output paths as (name, number) pairs, plain names as 0.
+
+    Longer numbers than 18 digits are part of a plain name: no count of jobs reaches them.
+    """
     p = F.col(path)
     plain = F.regexp_replace(p, r"\.[^./]*$", "")
     ext = F.regexp_extract(p, r"\.([^./]*)$", 1)
@@ -329,13 +339,17 @@ def export_plan(
 
     ``queue`` holds jobs with their clip columns, ``presets`` one row per batch
     key, ``encoders`` one row per family, ``existing`` the output paths present.
-    Blocked jobs (F4) stay out.
+    Jobs that cannot run have the reason in ``rejected`` (blocked by F4, or without
+    preset), take no output name and have no command.
     """
     if "limit" not in kw and scan_bytes(queue) + scan_bytes(existing) <= SINGLE_WINDOW_LIMIT // 4:
         kw["limit"] = sys.maxsize
     ready = queue.where(F.col("selected") & (F.col("status") == "Waiting"))
     jobs = with_profile(apply_presets(ready, presets, on))
-    jobs = jobs.where(~blocked(F.col("transfer_function"), F.col("codec_family"), F.col("profile")))
+    stopped = F.coalesce(blocked(F.col("transfer_function"), F.col("codec_family"), F.col("profile")), F.lit(False))
+    reason = F.when(F.col("transfer_function").isNull(), NO_PRESET).when(stopped, TOO_FEW_BITS)
+    jobs = jobs.withColumn("rejected", reason)
+    refused, jobs = jobs.where(F.col("rejected").isNotNull()), jobs.where(F.col("rejected").isNull())
     # six families, fixed
     picks = encoders.select(F.col("family").alias("codec_family"), F.col("encoder").alias("_pick"))
     jobs = jobs.join(F.broadcast(picks), "codec_family", "left")
@@ -347,4 +361,4 @@ def export_plan(
     placed = free_slots(keyed, used, "_name", order, **kw).drop("_name")
     placed = placed.withColumn("output_path", slot_path(F.col("out_base"), F.col("slot"), F.col("out_ext")))
     placed = placed.withColumn("out_fps", text.chosen_fps(F.col("custom_fps"), F.col("fps")))
-    return command(codec_args(placed))
+    return command(codec_args(placed)).unionByName(refused, allowMissingColumns=True)

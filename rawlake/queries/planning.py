@@ -79,8 +79,8 @@ def j9(spark, sf):
 
 # --- E1 .. E5 ----------------------------------------------------------------
 
-# every valid preset meets the encoders of one of a few hosts
-HOSTS = 12
+# presets are dealt over all hosts
+HOSTS = "(SELECT count(*) FROM customer)"
 JOBS = (
     f"(SELECT v.*, {PROFILE_SQL} AS profile, coalesce(e.encoder, CASE codec_family WHEN 'VP9' THEN 'libvpx-vp9' ELSE 'dnxhd' END) AS encoder, {WIDE_SQL} AS wide "
     f"FROM {VALID} v LEFT JOIN {ENCODERS} e ON e.host = v.pos % {HOSTS} AND e.family = v.codec_family)"
@@ -88,9 +88,10 @@ JOBS = (
 
 
 def jobs(spark, sf):
-    picks = export.best_encoders(probes(spark, sf).where(F.col("host") < HOSTS))
+    hosts = probes(spark, sf)
+    picks = export.best_encoders(hosts)
     picks = picks.select("host", F.col("family").alias("codec_family"), F.col("encoder").alias("_pick"))
-    j = valid(spark, sf).withColumn("host", F.col("pos") % HOSTS).join(picks, ["host", "codec_family"], "left")
+    j = valid(spark, sf).withColumn("host", F.col("pos") % hosts.count()).join(picks, ["host", "codec_family"], "left")
     soft = F.when(F.col("codec_family") == "VP9", "libvpx-vp9").otherwise("dnxhd")
     return j.withColumn("encoder", F.coalesce("_pick", soft)).drop("_pick", "host")
 
@@ -259,18 +260,21 @@ def j10(spark, sf):
 # --- E7 ----------------------------------------------------------------------
 
 E7_PRESET_ROWS = f"""(SELECT n_nationkey AS batch, color_space, transfer_function, ['ProRes', 'DNxHR', 'HEVC', 'H.264', 'AV1', 'VP9'][n_nationkey % 6 + 1] AS codec_family, 'HQ' AS prores_profile, 'HQX' AS dnxhr_profile,
- 'Main 10 4:2:0' AS hevc_profile, 'Main 8-bit' AS h264_profile, 'Profile 0 4:2:0 10-bit' AS av1_profile, 'Profile 2 4:2:0 10-bit' AS vp9_profile, 'High Quality' AS rate_control FROM nation JOIN {NATION_PRESET} x ON x.batch = n_nationkey)"""
+ 'Main 10 4:2:0' AS hevc_profile, 'Main 8-bit' AS h264_profile, 'Profile 0 4:2:0 10-bit' AS av1_profile, 'Profile 2 4:2:0 10-bit' AS vp9_profile, 'High Quality' AS rate_control FROM nation JOIN {NATION_PRESET} x ON x.batch = n_nationkey WHERE n_nationkey % 11 <> 0)"""
+E7_BLOCKED = f"transfer_function IN ({LOGS}) AND codec_family = 'H.264'"
 E7_QUEUE = "(SELECT c_custkey AS seq, c_nationkey AS batch, '/in/' || CAST(c_custkey % 50 AS VARCHAR) || '.mcraw' AS path FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 1)"
 E7_ENCODER = {"HEVC": "hevc_nvenc", "H.264": "libx264", "AV1": "libaom-av1", "ProRes": "prores_ks"}
 E7 = f"""
-WITH j AS (SELECT q.seq, q.path, p.* FROM {E7_QUEUE} q JOIN {E7_PRESET_ROWS} p USING (batch) WHERE NOT (transfer_function IN ({LOGS}) AND codec_family = 'H.264')),
+WITH j AS (SELECT q.seq, q.path, p.* FROM {E7_QUEUE} q JOIN {E7_PRESET_ROWS} p USING (batch) ),
 k AS (SELECT *, {PROFILE_SQL} AS profile, {WIDE_SQL} AS wide, {case_sql('codec_family', E7_ENCODER, "CASE codec_family WHEN 'VP9' THEN 'libvpx-vp9' ELSE 'dnxhd' END")} AS encoder,
- '/in/' || regexp_extract(path, '([0-9]+)', 1) || '_' || regexp_replace(transfer_function, '[ ().]', '', 'g') || '_' || regexp_replace(color_space, '[ ().]', '', 'g') AS base, {EXT} AS ext FROM j),
+ '/in/' || regexp_extract(path, '([0-9]+)', 1) || '_' || regexp_replace(transfer_function, '[ ().]', '', 'g') || '_' || regexp_replace(color_space, '[ ().]', '', 'g') AS base, {EXT} AS ext FROM j WHERE NOT ({E7_BLOCKED})),
 n AS (SELECT *, row_number() OVER (PARTITION BY base, ext ORDER BY seq) AS slot FROM k),
 o AS (SELECT *, base || '_' || CAST(slot AS VARCHAR) || '.' || ext AS out FROM n),
 a AS (SELECT *, encoder AS enc, {CODEC} AS codec, {PIX} AS pix_fmt, {BASE} AS base_args, NULL::VARCHAR AS rv FROM o),
 f AS (SELECT *, trim(base_args || {FILTER} || CASE WHEN codec_family IN ('ProRes', 'DNxHR') THEN '' ELSE {RATE} END || ' ' || {VUI}) AS codec_args FROM a)
-SELECT seq, out AS output_path, {_command('out', "CASE WHEN seq % 5 = 0 THEN '25' ELSE '30' END", 'seq % 2 = 0')} AS command FROM f"""
+SELECT seq, out AS output_path, {_command('out', "CASE WHEN seq % 5 = 0 THEN '25' ELSE '30' END", 'seq % 2 = 0')} AS command, NULL::VARCHAR AS rejected FROM f
+UNION ALL SELECT seq, NULL, NULL, '{export.TOO_FEW_BITS}' FROM j WHERE {E7_BLOCKED}
+UNION ALL SELECT seq, NULL, NULL, '{export.NO_PRESET}' FROM {E7_QUEUE} WHERE batch % 11 = 0"""
 
 
 @query("e7_export_plan", E7)
@@ -290,7 +294,8 @@ def e7(spark, sf):
         F.lit(48000).alias("audio_sample_rate"),
         F.lit(2).alias("audio_channels"),
     )
-    n = nation_presets(spark, sf)
+    # some nations have no preset
+    n = nation_presets(spark, sf).where(F.col("batch") % 11 != 0)
     defaults = {f: p for f, p, _, d in vocab.CODEC_PROFILE if d}
     n = n.withColumns(
         {
@@ -305,4 +310,4 @@ def e7(spark, sf):
     existing = export.output_names(export.apply_presets(queue, n, ["batch"]))
     existing = existing.select(F.concat_ws(".", "out_base", "out_ext").alias("path")).distinct()
     plan = export.export_plan(queue, n, encoders, existing, ["batch"])
-    return plan.select("seq", "output_path", F.array_join("command", " ").alias("command"))
+    return plan.select("seq", "output_path", F.array_join("command", " ").alias("command"), "rejected")

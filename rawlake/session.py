@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest side that may be broadcast, and largest input that one window
@@ -56,14 +56,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if plan_bytes(df) >= split * cores else df.repartition(cores, *keys)
 
 
+# Bytes that one reading task should get.
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def tasks_for(rows: DataFrame, size: Column) -> int:
+    """Tasks for reads of so many bytes each: by bytes, and no fewer than cores or rows."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(found["n"], cores), -(-(found["b"] or 0) // TASK_BYTES))
+
+
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows over exactly so many tasks: descriptors are tiny, and a repartition without number would be merged again."""
+    return rows.repartition(tasks)
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in tests on one machine, a temporary
-    folder is made and set.
+    On one machine, as in tests, a temporary folder is made and set where none is named;
+    on a cluster that is an error, as its machines would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="rawlake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

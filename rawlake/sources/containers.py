@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from rawlake import vocab
 from rawlake.functions import numeric
 from rawlake.operators.params import illuminant_code
+from rawlake.session import dealt, tasks_for
 
 M9 = T.ArrayType(T.DoubleType())
 
@@ -42,7 +43,10 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
-# legacy tag -> (name, kind of value)
+# Bytes to count for the reads of one clip: its header and first metadata, and the opening.
+CLIP_READ = 1 << 20
+
+# Legacy tag -> (name, kind of value)
 LEGACY_TAGS = {
     0x01: ("sensor_make", "text"),
     0x02: ("sensor_model", "text"),
@@ -98,7 +102,7 @@ def item_json(handle, offset: int) -> str | None:
         if kind != 3:
             return None
         return _exact(handle, offset + 16 + size, length).decode("utf-8")
-    except (BadClip, UnicodeDecodeError, OSError):
+    except (BadClip, UnicodeDecodeError):
         return None
 
 
@@ -146,7 +150,10 @@ def _legacy_header(head: bytes, block: bytes) -> dict:
 
 
 def read_clip(path: str) -> dict:
-    """The bounded reads of one clip; a bad file gives a row with an error."""
+    """The bounded reads of one clip; a bad or missing file gives a row with an error.
+
+    Any other failure to read fails the task, so that Spark repeats it.
+    """
     row = dict.fromkeys(f.name for f in RAW_SCHEMA.fields)
     row["path"] = path
     try:
@@ -165,7 +172,7 @@ def read_clip(path: str) -> dict:
                 row.update(kind="legacy", version=header["version"], header=json.dumps(header))
             else:
                 raise BadClip("unknown magic")
-    except (BadClip, OSError, UnicodeDecodeError, json.JSONDecodeError, struct.error) as problem:
+    except (BadClip, FileNotFoundError, UnicodeDecodeError, json.JSONDecodeError, struct.error) as problem:
         row["error"] = f"{type(problem).__name__}: {problem}"
     return row
 
@@ -248,8 +255,7 @@ def scan_paths(paths: DataFrame, path: str = "path", tasks: int | None = None) -
             yield pa.RecordBatch.from_pylist([read_clip(p) for p in batch.column(0).to_pylist()], schema=schema)
 
     src = paths.select(F.col(path).alias("path"))
-    src = src.repartition(tasks) if tasks else src
-    return src.mapInArrow(run, RAW_SCHEMA)
+    return dealt(src, tasks or tasks_for(src, F.lit(CLIP_READ))).mapInArrow(run, RAW_SCHEMA)
 
 
 def clip_paths(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -502,7 +508,8 @@ def frame_index(clips: DataFrame, entries_per_task: int = 262_144, tasks: int |
     known = clips.where(F.col("index_offset").isNotNull() & (F.col("index_count") > 0))
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("index_count") - 1, F.lit(entries_per_task).cast("bigint"))
     chunks = known.select("clip_id", "path", "index_offset", "index_count", F.explode(starts).alias("start"))
-    chunks = chunks.repartition(tasks) if tasks else chunks.repartition(F.col("path"), F.col("start"))
+    size = F.least(F.lit(entries_per_task).cast("bigint"), F.col("index_count") - F.col("start")) * 16
+    chunks = dealt(chunks, tasks or tasks_for(chunks, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rawlake.session import dealt, tasks_for
 from rawlake.sources.containers import frame_id, open_clip
 
 EDGE = 9
@@ -29,11 +30,14 @@ def read_raw16(
     ``files`` has ``clip_id, path, length, frame_w, frame_h`` per dump; further
     columns are kept. Every
     frame is cut into full-width strips, whose bytes with their halo rows are
-    one range of the file. Strips are spread before anything is read.
+    one range of the file. Strips are spread before anything is read. A dump that
+    does not end with a whole frame is an error; :func:`broken_dumps` names them.
     """
     frame_bytes = F.col("frame_w").cast("bigint") * F.col("frame_h") * 2
     frames = F.call_function("div", F.col("length"), frame_bytes)
-    f = files.withColumn("_n", frames).where(F.col("_n") > 0)
+    said = F.concat(F.lit("dump ends within a frame: "), F.col("path"))
+    checked = F.when(F.col("length") % frame_bytes != 0, F.raise_error(said).cast("bigint")).otherwise(frames)
+    f = files.withColumn("_n", checked).where(F.col("_n") > 0)
     f = f.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("ordinal"))
     f = f.select("*", F.explode(F.sequence(F.lit(0), F.col("frame_h") - 1, F.lit(strip_rows))).alias("y0"))
     f = f.withColumns(
@@ -47,7 +51,7 @@ def read_raw16(
     extra = [c for c in files.columns if c not in (*known, "length")]
     cols = [*known, *extra]
     f = f.select(*cols)
-    f = f.repartition(tasks) if tasks else f.repartition("path", "ordinal", "y0")
+    f = dealt(f, tasks or tasks_for(f, F.col("oh").cast("bigint") * F.col("frame_w") * 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +75,13 @@ def read_raw16(
     )
 
 
+def broken_dumps(files: DataFrame) -> DataFrame:
+    """Dumps that end within a frame, with their whole ``frames`` and the ``bytes_over``."""
+    frame_bytes = F.col("frame_w").cast("bigint") * F.col("frame_h") * 2
+    over = files.where(F.col("length") % frame_bytes != 0)
+    return over.withColumns({"frames": F.call_function("div", F.col("length"), frame_bytes), "bytes_over": F.col("length") % frame_bytes})
+
+
 def write_raw16(frames: DataFrame, folder: str, name: str = "clip_id", order: str = "ordinal") -> DataFrame:
     """K1: dump whole frames of ``px`` as little-endian 16-bit words.
 
