@@ -18,13 +18,15 @@ from rawlake.session import SINGLE_WINDOW_LIMIT, scan_bytes
 
 PIECE = "_piece"
 SAMPLE_PER_PIECE = 20
+# Bytes of one piece, by the estimate of the input.
+PIECE_BYTES = 256 * 1024 * 1024
 
 
 def split_points(df: DataFrame, keys: list[str], pieces: int) -> list:
     """At most ``pieces - 1`` split points of the composite key, from a sample.
 
-    The sample has a fixed size, so what reaches the driver does not grow with
-    the data.
+    About 40 keys per piece reach the driver, so their number follows the number
+    of pieces and not the rows of a piece.
     """
     wanted = pieces * SAMPLE_PER_PIECE
     total = df.count()
@@ -32,7 +34,7 @@ def split_points(df: DataFrame, keys: list[str], pieces: int) -> list:
         return []
     share = min(1.0, 2.0 * wanted / total)
     sample = df.select(*keys).sample(fraction=share, seed=7) if share < 1.0 else df.select(*keys)
-    rows = sample.limit(4 * wanted).orderBy(*keys).collect()
+    rows = sample.orderBy(*keys).collect()
     picks = {tuple(rows[len(rows) * i // pieces]) for i in range(1, pieces)} if rows else set()
     return sorted(picks, key=lambda t: [(v is not None, v) for v in t])
 
@@ -68,7 +70,7 @@ def with_piece(df: DataFrame, group: list[str], order: list[str], limit: int, pi
     if scan_bytes(df) <= limit:
         return None
     if pieces is None:
-        pieces = max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        pieces = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scan_bytes(df) // PIECE_BYTES))
     keys = [*group, *order]
     points = split_points(df, keys, pieces)
     return df.withColumn(PIECE, piece_of(df, keys, points))

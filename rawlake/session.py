@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest side that may be broadcast, and largest input that one window
 # partition may hold. Both are checked against the plan's size estimate.
@@ -137,16 +139,18 @@ def scan_bytes(df: DataFrame) -> int:
     return min(total, 4 * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
 
 
-def hot_keys(df: DataFrame, on: list[str]) -> list:
-    """Keys that alone fill more than half of an average shuffle partition.
+def hot_keys(df: DataFrame, on: list[str]) -> list[tuple[tuple, int]]:
+    """Keys that alone fill more than half of an average shuffle partition, and over how many tasks to divide each.
 
-    There are at most twice as many as shuffle partitions, whatever the data.
-    Rows are counted per key on the map side first.
+    There are at most twice as many as shuffle partitions, whatever the data. Rows are
+    counted per key on the map side first, in one pass.
     """
     pieces = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    floor = max(2, df.count() // pieces)
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= floor)
-    return [tuple(row[k] for k in on) for row in counted.select(*on).collect()]
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    seen = Observation()
+    top = counted.observe(seen, F.sum("_n").alias("total")).orderBy(F.col("_n").desc()).limit(pieces).collect()
+    floor = max(2, (seen.get["total"] or 0) // pieces)
+    return [(tuple(row[k] for k in on), -(-row["_n"] // floor)) for row in top if row["_n"] >= floor]
 
 
 def attach(
@@ -156,26 +160,32 @@ def attach(
     how: str = "left",
     spread: list[str] | None = None,
     limit: int = BROADCAST_LIMIT,
-    salts: int = 32,
 ) -> DataFrame:
     """Join ``right``, unique on ``on``, to a ``left`` that may be skewed on ``on``.
 
     Small right sides are broadcast, so the left side never moves. Past the
-    limit both sides are shuffled; rows of hot keys are then divided over
-    ``salts`` tasks by a hash of the ``spread`` columns, and only the right rows
-    of those keys are repeated.
+    limit both sides are shuffled; rows of hot keys are then divided over as many
+    tasks as their count asks for, by a hash of the ``spread`` columns, and only the
+    right rows of those keys are repeated. Rows with a null key match nothing and
+    are not shuffled.
     """
     if plan_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
-    hot = hot_keys(left, on) if spread else []
-    if not hot:
-        return left.join(right, on, how)
-    kinds = dict(left.dtypes)
-    ddl = ", ".join(f"{k} {kinds[k]}" for k in on)
-    # bounded by the number of shuffle partitions
-    marks = F.broadcast(small_table(left.sparkSession, hot, ddl).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(marks, on, "left").withColumn("_salt", salt).drop("_hot")
-    repeated = right.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    keyed = left.where(~missing)
+    hot = hot_keys(keyed, on) if spread else []
+    if hot:
+        schema = T.StructType([*[left.schema[k] for k in on], T.StructField("_salts", T.IntegerType())])
+        # bounded by the number of shuffle partitions
+        marks = F.broadcast(left.sparkSession.createDataFrame([(*key, n) for key, n in hot], schema))
+        salts = F.coalesce("_salts", F.lit(1))
+        salted = keyed.join(marks, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+        copies = F.explode(F.sequence(F.lit(0), salts - 1))
+        repeated = right.join(marks, on, "left").withColumn("_salt", copies).drop("_salts")
+        joined = salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    else:
+        joined = keyed.join(right, on, how)
+    if how == "inner":
+        return joined
+    added = {c: F.lit(None).cast(right.schema[c].dataType) for c in right.columns if c not in on}
+    return joined.unionByName(left.where(missing).withColumns(added))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rawlake.operators import ordered, timeline
 from rawlake.plans import export
-from rawlake.session import attach, small_table
+from rawlake.session import attach, hot_keys, small_table
 
 SPLIT = {"limit": 0, "pieces": 7}
 PLAIN = {"limit": 10**15}
@@ -82,3 +82,15 @@ def test_salted_join_equals_plain(spark, rows):
     right = small_table(spark, [(i, f"n{i}") for i in range(3)], "g int, name string")
     for how in ("inner", "left"):
         assert same(attach(rows, right, ["g"], how, spread=["id"], limit=0), rows.join(right, "g", how))
+
+
+def test_salts_follow_the_count_and_take_any_key(spark):
+    import datetime
+
+    day = datetime.date(2024, 1, 1)
+    left = spark.createDataFrame([(day if i % 3 else None, i) for i in range(600)] + [(datetime.date(2024, 1, 2), 7)], "d date, id int").repartition(3)
+    right = spark.createDataFrame([(day, "a"), (datetime.date(2024, 1, 2), "b")], "d date, name string")
+    hot = dict(hot_keys(left.where("d is not null"), ["d"]))
+    assert list(hot) == [(day,)] and hot[(day,)] > 4
+    for how in ("inner", "left"):
+        assert same(attach(left, right, ["d"], how, spread=["id"], limit=0), left.join(right, "d", how))
