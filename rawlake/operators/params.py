@@ -130,7 +130,7 @@ def clip_params(clips: DataFrame, gamut: str | None = None) -> DataFrame:
     out = camera_matrix(named).join(dim, "gamut", "left")
     return out.withColumns(
         {
-            "fused": F.expr(fused("xyz_to_rgb", reference_white(), "cam_to_xyz")),
+            "fused": F.when(F.col("xyz_to_rgb").isNotNull(), F.expr(fused("xyz_to_rgb", reference_white(), "cam_to_xyz"))),
             "black_rgb": static_levels(F.col("black_levels"), F.col("black_level_count")),
             "crop_w": numeric.active_size(F.col("active_width"), F.col("width")),
             "crop_h": numeric.active_size(F.col("active_height"), F.col("height")),
