@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rawlake.llm.common import ascii_lower, hash_pair, stage, text_of, words_of
 from rawlake.llm.components import components
 
-# Values of one band, and bits of an odd sketch.
-ROWS, BITS = 5, 512
+# Values of one band; samples that a sketch folds, and its bits.
+ROWS, SAMPLES, BITS = 5, 1024, 2048
 # A link at the threshold shares no band, or fails the sketch test, less often than this.
 MISS = 1e-6
 # Documents of one bucket that are compared with each other in one task.
@@ -36,22 +36,36 @@ class Family:
     def samples(self) -> int:
         return self.bands * ROWS
 
-    @property
-    def most_bits(self) -> int:
-        """The largest population count of two XORed sketches that may be a link.
+    def most_bits(self, na, nb, m):
+        """The largest population count of two XORed sketches of linked sets of ``na`` and ``nb``.
 
-        Six standard deviations of the number of differing samples and of the bits they set.
+        Sets of at most ``SAMPLES`` shingles are sampled whole, and of linked ones at most
+        ``(1 - t) / (1 + t)`` of all shingles differ. Of larger sets the least ``SAMPLES`` of
+        the union are binomial, taken with six standard deviations. A differing sample turns
+        one bit. ``m`` has the functions for columns or arrays.
         """
-        k, t = self.samples, self.threshold
-        differ = k * (1 - t) + 6 * (k * t * (1 - t)) ** 0.5
-        odd = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ))
-        return ceil(odd + 6 * (odd * (1 - odd / BITS)) ** 0.5)
+        t = self.threshold
+        sampled = 2 * (SAMPLES * (1 - t) + 6 * (SAMPLES * t * (1 - t)) ** 0.5)
+        small = (na <= SAMPLES) & (nb <= SAMPLES)
+        differ = m.where(small, (na + nb) * ((1 - t) / (1 + t)), sampled)
+        odd = (1.0 - m.pow(1 - 2 / BITS, differ)) * (BITS / 2)
+        return m.least(differ, odd + m.sqrt(differ) * 6.0) + 1e-6
 
     def factors(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(9)
         return rng.integers(0, 1 << 31, self.samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, self.samples, dtype=np.uint32)
 
 
+class OnColumns:
+    sqrt, pow = F.sqrt, staticmethod(lambda a, b: F.pow(F.lit(a), b))
+    least = F.least
+    where = staticmethod(lambda cond, a, b: F.when(cond, a).otherwise(F.lit(b)))
+
+
+class OnArrays:
+    sqrt, pow, least, where = np.sqrt, np.power, np.minimum, np.where
+
+
 def shingles(text: Column, width: int) -> Column:
     """Distinct hashes of runs of ``width`` words in lower case; of fewer words, of all of them."""
     words = words_of(ascii_lower(text))
@@ -78,7 +92,6 @@ def signatures(sets: DataFrame, family: Family) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = family.factors()
         k = len(a)
-        places = np.arange(k, dtype=np.uint64) << np.uint64(32)
         numbers = np.arange(family.bands, dtype=np.uint64)[:, None]
         for batch in batches:
             lists = batch.column("set")
@@ -94,14 +107,15 @@ def signatures(sets: DataFrame, family: Family) -> DataFrame:
                     sketches.append(None)
                     continue
                 nodes.append(int(_mixed(_mixed(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0].astype(np.int64)))
-                low = (_mixed(h) >> np.uint64(32)).astype(np.uint32)
+                spread = np.sort(_mixed(h))
+                samples = spread[:SAMPLES]
+                # the parity of the samples that fall on a bit
+                bits = np.bincount((_mixed(samples) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                low = (spread & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 least = np.full(k, 0xFFFFFFFF, dtype=np.uint32)
                 for at in range(0, len(low), 2048):
                     np.minimum(least, (a[:, None] * low[None, at : at + 2048] + b[:, None]).min(axis=1), out=least)
-                tagged = _mixed(_mixed(places + least.astype(np.uint64)))
-                # the parity of the samples that fall on a bit
-                bits = np.bincount((tagged % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
                 rows = least.astype(np.uint64).reshape(family.bands, ROWS)
                 key = numbers[:, 0].copy()
                 for c in range(ROWS):
@@ -147,7 +161,8 @@ def _sketch_pairs(family: Family):
             other = right[(comp[right] != comp[at]) & ((node[right] > node[at]) if first == second else True)]
             other = other[np.minimum(n[other], n[at]) >= family.threshold * np.maximum(n[other], n[at]) - 1e-9]
             count = np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1)
-            found += [(node[at], node[k]) for k in other[count <= family.most_bits]]
+            most = family.most_bits(n[other].astype(float), float(n[at]), OnArrays)
+            found += [(node[at], node[k]) for k in other[count <= most]]
         return pa.Table.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())}, schema=out)
 
     return run
@@ -180,7 +195,7 @@ def linked(nodes: DataFrame, texts: DataFrame, family: Family, width: int, perce
     ia, ib = (info.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     star = star.join(ia, "a").join(ib, "b")
     fits = F.least("na", "nb") >= family.threshold * F.greatest("na", "nb") - 1e-9
-    star = star.where(fits & (_xor_bits("sa", "sb") <= family.most_bits))
+    star = star.where(fits & (_xor_bits("sa", "sb") <= family.most_bits(F.col("na"), F.col("nb"), OnColumns)))
     edges = stage(confirmed(star, sets, percent))
     roots = stage(components(edges))
 
