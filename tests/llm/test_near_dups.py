@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rawlake.llm import near_dups
@@ -81,7 +82,21 @@ def test_keep_one(spark, table, odd_docs):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(d or 0 for d in want)
 
 
-def test_the_sketch_test_keeps_links():
+@pytest.mark.parametrize("size", [5, 40, 300, 5000, 20000])
+def test_the_sketch_test_keeps_links(spark, size):
     f = near_dups.Family(0.85)
     assert (1 - f.threshold**near_dups.ROWS) ** f.bands <= near_dups.MISS
-    assert f.most_bits < near_dups.BITS // 2
+    rng = np.random.default_rng(size)
+    differ = int(size * 0.15 / 1.85)  # of each side, at the threshold
+    rows = []
+    for k in range(20):
+        both = rng.integers(-(1 << 63), 1 << 63, size - differ)
+        for side in (0, 1):
+            rows.append((k, side, k, [*both.tolist(), *rng.integers(-(1 << 63), 1 << 63, differ).tolist()]))
+    signed = near_dups.signatures(spark.createDataFrame(rows, "r1 long, r2 long, id long, set array<bigint>"), f).collect()
+    of = {(r.r1, r.r2): np.frombuffer(r.sketch, np.uint64) for r in signed}
+    most = f.most_bits(float(size), float(size), near_dups.OnArrays)
+    counts = [int(np.bitwise_count(of[k, 0] ^ of[k, 1]).sum()) for k in range(20)]
+    assert max(counts) <= most
+    # unlike sets fail it
+    assert min(int(np.bitwise_count(of[k, 0] ^ of[k + 1, 0]).sum()) for k in range(19)) > most

@@ -104,7 +104,7 @@ def test_long_texts_in_parts(monkeypatch):
     units = np.arange(500, dtype=np.uint64)
     seen = []
     for keys, laid, ends in repeats.parts(iter([((1,), units), ((2,), units[:3])]), 50):
-        s = repeats.Stretches(laid, ends, 50, 25)
+        s = repeats.Stretches(laid, ends, 50, 25).find()
         offset = np.array([k[-1] for k in keys])
         start = s.first - (ends - np.diff(ends, prepend=0))[s.text] + offset[s.text]
         seen += [a + i for a, n in zip(start, s.count, strict=True) for i in range(n)]

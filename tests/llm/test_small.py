@@ -246,16 +246,19 @@ def test_base_scores(spark, table, odd_docs):
 
 
 def test_spellings_are_probabilities():
-    model = mixing.Model()
+    model, code = mixing.Model(), mixing.Code(np.bincount(np.frombuffer(b"aaabbc d", np.uint8), minlength=256))
     learned = [b"abc ", b"abd ", b"ab ", b"\n"] * 40
     raw = np.frombuffer(b"".join(learned), np.uint8)
     lengths = np.array([len(w) for w in learned])
     for _, some, n in mixing.batches_of(raw, lengths):
-        model.learn(mixing.events(some, n))
+        model.learn(mixing.events(some, n, code))
     # after the same letters, the probabilities of all 256 next letters sum to one
     for before in (b"", b"a", b"ab", b"zz"):
         every = [before + bytes([b]) for b in range(256)]
-        e = mixing.events(np.frombuffer(b"".join(every), np.uint8), np.full(256, len(before) + 1))
+        e = mixing.events(np.frombuffer(b"".join(every), np.uint8), np.full(256, len(before) + 1), code)
         p = model.mix(model.stretched(e), e)[2]
-        last = np.where(e.bit, p, 1 - p).reshape(256, -1, 8)[:, -1]
-        assert abs(last.prod(axis=1).sum() - 1) < 1e-4
+        logs = np.log(np.where(e.bit, p, 1 - p))
+        skip = sum(int(code.length[b]) for b in before)
+        starts = np.flatnonzero(np.diff(e.word, prepend=-1))
+        total = sum(np.exp(logs[a + skip : b].sum()) for a, b in zip(starts, [*starts[1:], len(logs)], strict=True))
+        assert abs(total - 1) < 1e-3
