@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rawlake import vocab
 from rawlake.functions import curves, numeric
 from rawlake.functions.numeric import clamp, smoothstep
-from rawlake.operators.tiles import demosaic_preview_at, preview_pattern
+from rawlake.operators.tiles import GEOMETRY, PLANES, PLANES_DDL, over_tiles, preview_at
 
 RGB = ("r", "g", "b")
 
@@ -133,23 +137,23 @@ def sampled(tiles: DataFrame, box_w: int = 320, box_h: int = 180) -> DataFrame:
     Every output pixel falls into one tile, so each tile makes its own share.
     """
     fit_w, fit_h = numeric.aspect_fit(F.col("frame_w"), F.col("frame_h"), box_w, box_h)
-    t = tiles.withColumns({"out_w": fit_w, "out_h": fit_h})
+    t = tiles.withColumns({"out_w": fit_w.cast("int"), "out_h": fit_h.cast("int")})
+
+    def share(start: int, size: int, out: int, full: int) -> np.ndarray:
+        return np.arange(-(-start * out // full), -(-(start + size) * out // full), dtype=np.int64)
 
-    def share(start: Column, size: Column, out: Column, full: Column) -> Column:
-        first = F.ceil(start * out / full).cast("int")
-        last = F.ceil((start + size) * out / full).cast("int") - 1
-        empty = F.array().cast("array<int>")
-        return F.when(first <= last, F.sequence(first, last)).otherwise(empty)
+    def compute(px: np.ndarray, k: dict) -> tuple[np.ndarray, ...]:
+        ty = share(k["y0"], k["h"], k["out_h"], k["frame_h"])
+        tx = share(k["x0"], k["w"], k["out_w"], k["frame_w"])
+        ys, xs = ty * k["frame_h"] // k["out_h"], tx * k["frame_w"] // k["out_w"]
+        planes = preview_at(px, {**k, "pattern": k["pattern"] or ""}, ys, xs)
+        return np.repeat(ty, len(tx)).astype(np.int32), np.tile(tx, len(ty)).astype(np.int32), *planes
 
-    t = t.select("*", F.explode(share(F.col("y0"), F.col("h"), F.col("out_h"), F.col("frame_h"))).alias("ty"))
-    t = t.select("*", F.explode(share(F.col("x0"), F.col("w"), F.col("out_w"), F.col("frame_w"))).alias("tx"))
-    src_y = F.floor(F.col("ty") * F.col("frame_h") / F.col("out_h")).cast("int")
-    src_x = F.floor(F.col("tx") * F.col("frame_w") / F.col("out_w")).cast("int")
-    t = t.withColumns({"_sy": src_y, "_sx": src_x, "_p": preview_pattern(F.col("pattern"))})
-    t = demosaic_preview_at(t, "_sy", "_sx", "_p")
-    dropped = {"px", "_sy", "_sx", "_p", "frame_w", "frame_h", "y0", "x0", "h", "w", "oy", "ox", "oh", "ow"}
-    keep = [c for c in t.columns if c not in dropped]
-    return t.select(*keep)
+    made = {"ty": pa.list_(pa.int32()), "tx": pa.list_(pa.int32()), **PLANES}
+    ddl = f"ty array<int>, tx array<int>, {PLANES_DDL}"
+    done = over_tiles(t, compute, [*GEOMETRY, "pattern", "out_w", "out_h"], [], made, ddl)
+    keep = [c for c in done.columns if c not in (*made, "frame_w", "frame_h", "y0", "x0", "h", "w", "oy", "ox", "oh", "ow")]
+    return done.select(*keep, F.inline(F.arrays_zip(*made)))
 
 
 def preview_grade(sliders: dict[str, Column]) -> dict[str, Column]:
@@ -181,38 +185,55 @@ def rgba_frames(thumbs: DataFrame, keys=("frame_id",)) -> DataFrame:
 
     A group holds one thumbnail, whose size is bounded by its box.
     """
-    px = F.concat(*[F.lpad(F.hex(F.col(c)), 2, "0") for c in RGB], F.lit("FF"))
+    px = sum((F.col(c).cast("bigint") * (1 << shift) for c, shift in zip(RGB, (24, 16, 8))), F.lit(255).cast("bigint"))
     rows = thumbs.select(*keys, "out_w", "out_h", "ty", "tx", px.alias("_px"))
-    grouped = rows.groupBy(*keys, "out_w", "out_h").agg(
-        F.array_sort(F.collect_list(F.struct("ty", "tx", "_px"))).alias("_all")
-    )
-    text = F.array_join(F.transform("_all", lambda e: e["_px"]), "")
-    return grouped.select(*keys, F.col("out_w").alias("w"), F.col("out_h").alias("h"), F.unhex(text).alias("rgba"))
+    grouped = rows.groupBy(*keys, "out_w", "out_h").agg(F.array_sort(F.collect_list(F.struct("ty", "tx", "_px"))).alias("_all"))
+    packed = grouped.select(*keys, F.col("out_w").alias("w"), F.col("out_h").alias("h"), F.col("_all._px").alias("_px"))
+    names = [*keys, "w", "h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rgba = [v.values.to_numpy().astype(">u4").tobytes() for v in batch.column("_px")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(rgba, pa.binary())], names=[*names, "rgba"])
+
+    types = dict(packed.dtypes)
+    return packed.mapInArrow(run, ", ".join([*[f"{c} {types[c]}" for c in names], "rgba binary"]))
 
 
 def resized(images: DataFrame, out_w: Column, out_h: Column, keys=("frame_id",)) -> DataFrame:
     """Bilinear resize of RGBA images (``w``, ``h``, ``rgba`` as an int array).
 
-    Gives ``ty, tx, ch, v`` rows; every output value reads four stored ones.
+    One array call per image; gives ``ty, tx, ch, v`` rows.
     """
-    i = images.withColumns({"out_w": out_w, "out_h": out_h})
-    i = i.select("*", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1)).alias("ty"))
-    i = i.select("*", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1)).alias("tx"))
-    i = i.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ch"))
-    sy = F.col("ty").cast("double") * F.col("h") / F.col("out_h")
-    sx = F.col("tx").cast("double") * F.col("w") / F.col("out_w")
-    y0 = F.least(F.floor(sy).cast("int"), F.col("h") - 1)
-    x0 = F.least(F.floor(sx).cast("int"), F.col("w") - 1)
-    y1, x1 = F.least(y0 + 1, F.col("h") - 1), F.least(x0 + 1, F.col("w") - 1)
-    fy, fx = sy - y0, sx - x0
-
-    def at(y: Column, x: Column) -> Column:
-        return F.get("rgba", (y * F.col("w") + x) * 4 + F.col("ch")).cast("double")
-
-    top = at(y0, x0) + (at(y0, x1) - at(y0, x0)) * fx
-    bottom = at(y1, x0) + (at(y1, x1) - at(y1, x0)) * fx
-    value = F.floor(top + (bottom - top) * fy + 0.5)
-    return i.select(*keys, "ty", "tx", "ch", numeric.clamp(value, 0, 255).cast("int").alias("v"))
+    sized = {"out_w": out_w.cast("int"), "out_h": out_h.cast("int"), "rgba": F.col("rgba").cast("array<int>")}
+    i = images.withColumns(sized).select(*keys, "w", "h", "out_w", "out_h", "rgba")
+    names = [*keys, "out_w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = {c: batch.column(c).to_pylist() for c in ("w", "h", "out_w", "out_h")}
+            parts = []
+            for k in range(batch.num_rows):
+                w, h, ow, oh = (known[c][k] for c in ("w", "h", "out_w", "out_h"))
+                px = batch.column("rgba")[k].values.to_numpy(zero_copy_only=False)[: h * w * 4].reshape(h, w, 4).astype(np.float64)
+                sy, sx = np.arange(oh) * float(h) / oh, np.arange(ow) * float(w) / ow
+                y0, x0 = np.minimum(np.floor(sy).astype(int), h - 1), np.minimum(np.floor(sx).astype(int), w - 1)
+                y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+                fy, fx = (sy - y0)[:, None, None], (sx - x0)[None, :, None]
+                top = px[np.ix_(y0, x0)] + (px[np.ix_(y0, x1)] - px[np.ix_(y0, x0)]) * fx
+                bottom = px[np.ix_(y1, x0)] + (px[np.ix_(y1, x1)] - px[np.ix_(y1, x0)]) * fx
+                value = np.floor(top + (bottom - top) * fy + 0.5)
+                parts.append(np.clip(value, 0, 255).astype(np.int32).ravel())
+            sizes = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], values], names=[*names, "v"])
+
+    types = dict(i.dtypes)
+    done = i.mapInArrow(run, ", ".join([*[f"{c} {types[c]}" for c in names], "v array<int>"]))
+    rows = done.select(*keys, "out_w", F.posexplode("v").alias("_i", "v"))
+    line = F.col("out_w") * 4
+    ty, tx = F.floor(F.col("_i") / line).cast("int"), F.floor(F.col("_i") % line / 4).cast("int")
+    return rows.select(*keys, ty.alias("ty"), tx.alias("tx"), (F.col("_i") % 4).alias("ch"), "v")
 
 
 def histogram(pixels: DataFrame, keys=("frame_id",), bins: int = 64) -> DataFrame:

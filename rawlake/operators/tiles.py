@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rawlake import vocab
-from rawlake.functions.numeric import cfa_at
 from rawlake.session import attach
 
 GEOMETRY = ["frame_w", "frame_h", "y0", "x0", "h", "w", "oy", "ox", "oh", "ow"]
@@ -161,10 +160,6 @@ def pixel_or_zero(y: str, x: str) -> str:
     return f"CASE WHEN {inside} THEN {pixel_at(y, x)} ELSE 0D END"
 
 
-def pixel_clamped(y: str, x: str) -> str:
-    return pixel_at(f"least(greatest({y}, 0), frame_h - 1)", f"least(greatest({x}, 0), frame_w - 1)")
-
-
 def _rest(tiles: DataFrame) -> list[str]:
     return [c for c in tiles.columns if c not in (*GEOMETRY, "px", "tile_y", "tile_x")]
 
@@ -225,16 +220,22 @@ def export_planes_of(px: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray, n
 
 
 def preview_planes_of(px: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P6 on one tile: bilinear colours, edges clamped; quad patterns as the plain one they contain."""
-    h, w = t["h"], t["w"]
-    ys, xs = np.arange(t["y0"] - 1, t["y0"] + h + 1), np.arange(t["x0"] - 1, t["x0"] + w + 1)
-    store = px.reshape(t["oh"], t["ow"]).astype(np.float64)
-    v = store[np.ix_(np.clip(ys, 0, t["frame_h"] - 1) - t["oy"], np.clip(xs, 0, t["frame_w"] - 1) - t["ox"])]
+    """P6 on one tile."""
+    return preview_at(px, t, np.arange(t["y0"], t["y0"] + t["h"]), np.arange(t["x0"], t["x0"] + t["w"]))
+
+
+def preview_at(px: np.ndarray, t: dict, ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P6 at some rows and columns: bilinear colours, edges clamped; quad patterns as the plain one they contain."""
+    store = px.reshape(t["oh"], t["ow"])
+
+    def at(dy: int, dx: int) -> np.ndarray:
+        rows, cols = np.clip(ys + dy, 0, t["frame_h"] - 1) - t["oy"], np.clip(xs + dx, 0, t["frame_w"] - 1) - t["ox"]
+        return store[np.ix_(rows, cols)].astype(np.float64)
+
     cfa = np.array(vocab.CFA.get(t["pattern"].removeprefix("QuadBayer"), vocab.CFA["RGGB"])).reshape(2, 2)
-    site, beside = cfa[np.ix_(ys[1:-1] & 1, xs[1:-1] & 1)], cfa[np.ix_(ys[1:-1] & 1, (xs[1:-1] + 1) & 1)]
-    mid = v[1:-1, 1:-1]
-    across, along = v[1:-1, :-2] + v[1:-1, 2:], v[:-2, 1:-1] + v[2:, 1:-1]
-    corners = (v[:-2, :-2] + v[:-2, 2:] + v[2:, :-2] + v[2:, 2:]) * 0.25
+    site, beside = cfa[np.ix_(ys & 1, xs & 1)], cfa[np.ix_(ys & 1, (xs + 1) & 1)]
+    mid, across, along = at(0, 0), at(0, -1) + at(0, 1), at(-1, 0) + at(1, 0)
+    corners = (at(-1, -1) + at(-1, 1) + at(1, -1) + at(1, 1)) * 0.25
     row_red = beside == 0
     r = np.select([site == 0, site == 2, row_red], [mid, corners, across * 0.5], along * 0.5)
     g = np.where(site == 1, mid, (along + across) * 0.25)
@@ -255,32 +256,6 @@ def demosaic_export(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
     return plane_pixels(_planes(tiles, export_planes_of, pattern))
 
 
-def preview_pattern(name: Column) -> Column:
-    """Quad patterns preview as the plain pattern they contain."""
-    return F.regexp_replace(name, "^QuadBayer", "")
-
-
-def demosaic_preview_at(rows: DataFrame, y: str, x: str, pattern: str) -> DataFrame:
-    """Add bilinear colours at a position, edges clamped, as ``r, g, b``."""
-    odd_row, odd_col = F.expr(f"pmod({y}, 2) = 1"), F.expr(f"pmod({x}, 2) = 1")
-    name = F.col(pattern)
-    at = pixel_clamped
-    rows = rows.withColumns({"_c": cfa_at(name, odd_row, odd_col), "_n": cfa_at(name, odd_row, ~odd_col)}).selectExpr(
-        "*",
-        f"{at(y, x)} AS _mid",
-        f"{at(y, f'{x} - 1')} + {at(y, f'{x} + 1')} AS _across",
-        f"{at(f'{y} - 1', x)} + {at(f'{y} + 1', x)} AS _along",
-        f"({at(f'{y} - 1', f'{x} - 1')} + {at(f'{y} - 1', f'{x} + 1')} + {at(f'{y} + 1', f'{x} - 1')} + {at(f'{y} + 1', f'{x} + 1')}) * 0.25D AS _corners",
-    )
-    colours = {
-        "r": "CASE WHEN _c = 0 THEN _mid WHEN _c = 2 THEN _corners WHEN _n = 0 THEN _across * 0.5D ELSE _along * 0.5D END",
-        "g": "CASE WHEN _c = 1 THEN _mid ELSE (_along + _across) * 0.25D END",
-        "b": "CASE WHEN _c = 2 THEN _mid WHEN _c = 0 THEN _corners WHEN _n = 0 THEN _along * 0.5D ELSE _across * 0.5D END",
-    }
-    rows = rows.withColumns({c: F.expr(e) for c, e in colours.items()})
-    return rows.drop("_c", "_n", "_mid", "_across", "_along", "_corners")
-
-
 def demosaic_preview(tiles: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Bilinear colours of every pixel for previews."""
     return plane_pixels(_planes(tiles, preview_planes_of, pattern))

@@ -54,7 +54,7 @@ def f11_crop(spark, sf):
 
 @query("w3_left_difference", f"SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, (v - coalesce(lag(v) OVER (PARTITION BY frame_id, y ORDER BY x), 0))::DOUBLE AS diff FROM {MOSAIC_PIXELS}")
 def w3(spark, sf):
-    return size.left_difference(tiles.mosaic_pixels(tiled(spark, sf))).select("frame_id", "y", "x", F.col("diff").cast("double").alias("diff"))
+    return size.tile_differences(tiled(spark, sf)).select("frame_id", "y", "x", F.col("diff").cast("double").alias("diff"))
 
 
 DIFFS = f"(SELECT frame_id, clip_id, v - coalesce(lag(v) OVER (PARTITION BY frame_id, y ORDER BY x), 0) AS d FROM {MOSAIC_PIXELS})"
@@ -68,7 +68,7 @@ LENGTHS = "[" + ", ".join(map(str, vocab.CODE_LENGTH)) + "]"
     f"FROM (SELECT frame_id, {CATEGORY} AS c FROM {DIFFS}) GROUP BY frame_id",
 )
 def a13(spark, sf):
-    return size.compressed_size(size.tile_differences(tiled(spark, sf)))
+    return size.compressed_tiles(tiled(spark, sf))
 
 
 @query(
@@ -77,7 +77,7 @@ def a13(spark, sf):
     f"FROM (SELECT clip_id, {CATEGORY} AS c FROM {DIFFS}) GROUP BY clip_id",
 )
 def a13_clip(spark, sf):
-    return size.compressed_size(size.tile_differences(tiled(spark, sf)), ("clip_id",))
+    return size.compressed_tiles(tiled(spark, sf), ("clip_id",))
 
 
 @query("a14_frame_bytes", f"SELECT clip_id, CAST(sum(len(px) * 2) AS BIGINT) AS raw_bytes FROM {MOSAICS} GROUP BY clip_id")

@@ -308,21 +308,22 @@ LEVELS = f"(SELECT fr.frame_id, fr.dynamic_black, fr.dynamic_white, {STATIC_LEVE
     "c31_levels",
     f"SELECT frame_id, 'Dynamic' AS mode, CASE WHEN dynamic_black IS NULL THEN st[1] ELSE dynamic_black[1] END AS r, CASE WHEN dynamic_black IS NULL THEN st[2] ELSE {DYN_GREEN} END AS g, "
     f"CASE WHEN dynamic_black IS NULL THEN st[3] ELSE dynamic_black[4] END AS b, CASE WHEN dynamic_black IS NULL THEN white_level ELSE coalesce(dynamic_white, white_level) END AS w FROM {LEVELS} "
-    f"UNION ALL SELECT frame_id, 'Static', st[1], st[2], st[3], white_level FROM {LEVELS} UNION ALL SELECT frame_id, '4095/256', 256.0::DOUBLE, 256.0::DOUBLE, 256.0::DOUBLE, 4095.0::DOUBLE FROM {LEVELS}",
+    f"UNION ALL SELECT frame_id, 'Static', st[1], st[2], st[3], white_level FROM {LEVELS}"
+    + "".join(f" UNION ALL SELECT frame_id, '{n}', {b}::DOUBLE, {b}::DOUBLE, {b}::DOUBLE, {w}::DOUBLE FROM {LEVELS}" for n, b, w in vocab.LEVEL_PRESET if b is not None),
 )
 def c31(spark, sf):
     clips = clip_matrices(spark, sf).select(
         "clip_id", params.static_levels(F.col("black_levels"), F.col("black_level_count")).alias("st"), "white_level"
     )
     f = params.attach(frames(spark, sf), clips, ["clip_id"], "inner", spread=["frame_id"])
-    parts = []
-    for mode in LEVEL_MODES:
+    modes = []
+    for mode, _, _ in vocab.LEVEL_PRESET:
         black, white = params.source_levels(
             mode, F.col("st"), F.col("white_level"), F.col("dynamic_black"), F.col("dynamic_white")
         )
-        cells = [F.get(black, i).alias(c) for i, c in enumerate("rgb")]
-        parts.append(f.select("frame_id", F.lit(mode).alias("mode"), *cells, white.alias("w")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        cells = [F.get(black, i).cast("double").alias(c) for i, c in enumerate("rgb")]
+        modes.append(F.struct(F.lit(mode).alias("mode"), *cells, white.cast("double").alias("w")))
+    return f.select("frame_id", F.inline(F.array(*modes)))
 
 
 GAINS_OK = "neutral[1] > 1e-6 AND neutral[2] > 1e-6 AND neutral[3] > 1e-6"

@@ -211,7 +211,7 @@ def e5(spark, sf):
 
 # names repeat: every order renders its customer's name; some numbers are taken
 WANTED = "(SELECT o_orderkey AS job_id, 'c' || CAST(o_custkey % 400 AS VARCHAR) AS base FROM orders)"
-TAKEN = "(SELECT DISTINCT 'c' || CAST(s_suppkey % 400 AS VARCHAR) AS base, l_linenumber % 7 AS slot FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey % 9 = 0)"
+TAKEN = "(SELECT DISTINCT 'c' || CAST(s_suppkey % 400 AS VARCHAR) AS base, l_partkey % 400 AS slot FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
 
 
 @query(
@@ -228,16 +228,16 @@ def w4(spark, sf):
 
 @query(
     "w4_free_slots",
-    f"""WITH j AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY job_id) AS k FROM {WANTED}), n AS (SELECT base, max(k) + 7 AS top FROM j GROUP BY base),
-f AS (SELECT n.base, r.i AS slot, row_number() OVER (PARTITION BY n.base ORDER BY r.i) AS k FROM n, range(20000) r(i) WHERE r.i < n.top AND NOT EXISTS (SELECT 1 FROM {TAKEN} t WHERE t.base = n.base AND t.slot = r.i))
+    f"""WITH j AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY job_id) AS k FROM {WANTED}), n AS (SELECT base, unnest(range(max(k) + 400)) AS slot FROM j GROUP BY base),
+f AS (SELECT base, slot, row_number() OVER (PARTITION BY base ORDER BY slot) AS k FROM n ANTI JOIN {TAKEN} t USING (base, slot))
 SELECT j.job_id, j.base, f.slot FROM j JOIN f ON f.base = j.base AND f.k = j.k""",
 )
 def w4_free(spark, sf):
     jobs_ = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 400).cast("string")).alias("base")
     )
-    taken = table(spark, sf, "lineitem").where(F.col("l_partkey") % 9 == 0).select(
-        F.concat(F.lit("c"), (F.col("l_suppkey") % 400).cast("string")).alias("base"), (F.col("l_linenumber") % 7).alias("slot")
+    taken = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("c"), (F.col("l_suppkey") % 400).cast("string")).alias("base"), (F.col("l_partkey") % 400).alias("slot")
     )
     return export.free_slots(jobs_, taken.distinct(), "base", ["job_id"])
 

@@ -146,12 +146,12 @@ def sample_offsets(chunks: DataFrame, key: str = "clip_id", **kw) -> DataFrame:
 
 def stream_bytes(chunks: DataFrame, key: str = "clip_id", **kw) -> DataFrame:
     """K7: each chunk as little-endian bytes with its byte offset in the stream."""
-    word = F.transform(
-        "samples",
-        lambda s: F.concat(
-            F.lpad(F.hex(F.pmod(s.cast("int"), F.lit(256)).cast("bigint")), 2, "0"),
-            F.lpad(F.hex(F.pmod(F.floor(s / 256).cast("int"), F.lit(256)).cast("bigint")), 2, "0"),
-        ),
-    )
-    placed = sample_offsets(chunks, key, **kw)
-    return placed.select(key, "chunk_no", (F.col("start") * 2).alias("offset"), F.unhex(F.array_join(word, "")).alias("bytes"))
+    placed = sample_offsets(chunks, key, **kw).select(key, "chunk_no", (F.col("start") * 2).alias("offset"), F.col("samples").cast("array<smallint>").alias("samples"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [s.values.to_numpy(zero_copy_only=False).astype("<i2").tobytes() for s in batch.column("samples")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.binary())], names=[*batch.schema.names[:3], "bytes"])
+
+    types = dict(placed.dtypes)
+    return placed.mapInArrow(run, f"{key} {types[key]}, chunk_no {types['chunk_no']}, offset bigint, bytes binary")
