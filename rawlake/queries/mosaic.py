@@ -234,9 +234,51 @@ def j5(spark, sf):
     return rows.groupBy("frame_id").agg(*[F.expr(f"sum({e})").alias(n) for n, e in sums.items()])
 
 
-@query("p7_demosaic_edges")
+def p7_sql() -> str:
+    """Lists per frame: values around it, the low-pass at half size, both ratios, greens; then a row per pixel."""
+    wide = lambda y, x: f"e[({y} + 4) * 15 + ({x}) + 5]"
+    raw = lambda y, x: f"(CASE WHEN ({x}) BETWEEN 0 AND 7 AND ({y}) BETWEEN 0 AND 7 THEN {wide(y, x)} ELSE 0 END)"
+    half = lambda y, x: f"low[({y} + 1) * 6 + ({x}) + 2]"
+    green = lambda y, x: f"gr[({y} + 1) * 10 + ({x}) + 2]"
+    spot = lambda y, x: f"greatest(0, least(7, {y})) // 2 * 4 + greatest(0, least(7, {x})) // 2 + 1"
+    gap = lambda y, x: f"({raw(y, x)} - {green(y, x)})"
+
+    def steps(pairs) -> str:
+        return " + ".join(f"abs({half('k // 4', 'k % 4')} - {half(f'k // 4 + ({dy})', f'k % 4 + ({dx})')})" for dx, dy in pairs)
+
+    def ratio(first, second) -> str:
+        return f"list_transform(range(16), lambda k: ({steps(first)}) / (0.00001::DOUBLE + ({steps(first)}) + ({steps(second)})))"
+
+    def chosen(name: str) -> str:
+        y, x = "(k // 10 - 1)", "(k % 10 - 1)"
+        near = " + ".join(f"{name}[{spot(f'{y} + ({dy})', f'{x} + ({dx})')}]" for dy in (-1, 1) for dx in (-1, 1))
+        here = f"{name}[{spot(y, x)}]"
+        return f"list_transform(range(100), lambda k: CASE WHEN abs(0.5 - {here}) < abs(0.5 - 0.25 * ({near})) THEN 0.25 * ({near}) ELSE {here} END)"
+
+    y, x = "(k // 10 - 1)", "(k % 10 - 1)"
+    black = f"(CASE {site_sql('pattern', '(k // 15 + 4)', '(k % 15 + 4)')} WHEN 0 THEN 64.0::DOUBLE WHEN 1 THEN 70.0::DOUBLE ELSE 90.0::DOUBLE END)"
+    taps = "[1.0::DOUBLE, 4.0::DOUBLE, 6.0::DOUBLE, 4.0::DOUBLE, 1.0::DOUBLE]"
+    value = "e[(2 * (k // 6 - 1) + t // 5 + 2) * 15 + 2 * (k % 6 - 1) + t % 5 + 3]"
+    across = f"0.5 * ({raw(y, f'{x} - 1')} + {raw(y, f'{x} + 1')}) + 0.25 * (2 * {raw(y, x)} - {raw(y, f'{x} - 2')} - {raw(y, f'{x} + 2')})"
+    along = f"0.5 * ({raw(f'{y} - 1', x)} + {raw(f'{y} + 1', x)}) + 0.25 * (2 * {raw(y, x)} - {raw(f'{y} - 2', x)} - {raw(f'{y} + 2', x)})"
+    lists = f"""WITH m AS (SELECT frame_id, pattern, px FROM {MOSAICS}),
+a AS (SELECT *, list_transform(range(225), lambda k: greatest(0, px[greatest(0, least(7, k // 15 - 4)) * 8 + greatest(0, least(7, k % 15 - 4)) + 1] - {black})) AS e FROM m),
+b AS (SELECT *, list_transform(range(36), lambda k: list_sum(list_transform(range(25), lambda t: {taps}[t // 5 + 1] * {taps}[t % 5 + 1] * {value})) / 256) AS low FROM a),
+c AS (SELECT *, {ratio([(0, -1), (0, 1)], [(-1, 0), (1, 0)])} AS vh, {ratio([(-1, -1), (1, 1)], [(1, -1), (-1, 1)])} AS pq FROM b),
+d AS (SELECT *, {chosen('vh')} AS vt, {chosen('pq')} AS pt FROM c),
+g AS (SELECT *, list_transform(range(100), lambda k: CASE WHEN {site_sql('pattern', '(k // 10 + 1)', '(k % 10 + 1)')} = 1 THEN {raw(y, x)}
+  ELSE ({along}) * (1 - vt[k + 1]) + ({across}) * vt[k + 1] END) AS gr FROM d),
+r AS (SELECT *, i // 8 AS y, i % 8 AS x, {site_sql('pattern', 'i // 8', 'i % 8')} AS site, {site_sql('pattern', 'i // 8', 'i % 8 + 1')} AS beside FROM g, range(64) t(i)),
+s AS (SELECT *, {green('y', 'x')} AS g, {green('y', 'x')} + 0.5 * ({gap('y', 'x - 1')} + {gap('y', 'x + 1')}) AS ac, {green('y', 'x')} + 0.5 * ({gap('y - 1', 'x')} + {gap('y + 1', 'x')}) AS al,
+  {green('y', 'x')} + 0.5 * ({gap('y - 1', 'x - 1')} + {gap('y + 1', 'x + 1')}) * (1 - pt[(y + 1) * 10 + x + 2]) + 0.5 * ({gap('y - 1', 'x + 1')} + {gap('y + 1', 'x - 1')}) * pt[(y + 1) * 10 + x + 2] AS ot FROM r)"""
+    red = f"CASE site WHEN 0 THEN {raw('y', 'x')} WHEN 2 THEN ot ELSE CASE WHEN beside = 0 THEN ac ELSE al END END"
+    blue = f"CASE site WHEN 2 THEN {raw('y', 'x')} WHEN 0 THEN ot ELSE CASE WHEN beside = 0 THEN al ELSE ac END END"
+    cells = ", ".join(f"{micro_sql(v)} AS {c}" for c, v in zip(RGB, (red, "g", blue)))
+    return f"{lists} SELECT frame_id, y::INTEGER AS y, x::INTEGER AS x, {cells} FROM s"
+
+
+@query("p7_demosaic_edges", p7_sql())
 def p7(spark, sf):
-    """Checked in the tests against a pixel-by-pixel form; too long for SQL."""
     t = tiles.cut_tiles(mosaics(spark, sf), 8, 8, tiles.EDGE_HALO)
     t = t.withColumn("black_rgb", F.array(F.lit(64.0), F.lit(70.0), F.lit(90.0)))
     return micros(tiles.plane_pixels(tiles.demosaic_edges(t)), "frame_id", "y", "x")

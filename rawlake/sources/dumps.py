@@ -88,8 +88,10 @@ def write_raw16(frames: DataFrame, folder: str, name: str = "clip_id", order: st
     A dump is one file per clip when a clip is small, but a clip may hold a
     third of all frames. So the frames are range-partitioned by clip and order
     and every task writes its run of a clip as one part, named so that parts
-    sort in frame order. Gives one row per part. Parts are written under a
-    temporary name per attempt and renamed, so a lost task can be repeated.
+    sort in frame order. Parts are written under a temporary name per attempt and
+    renamed, so a lost task can be repeated. The frames are written by this call;
+    it gives the manifest, one row per part, which is committed last, below
+    ``folder/_parts``. A folder that has one is not written again.
     """
     ordered = frames.select(F.col(name).cast("string").alias("_clip"), F.col(order).cast("bigint").alias("_at"), "px")
     ordered = ordered.repartitionByRange("_clip", "_at").sortWithinPartitions("_clip", "_at")
@@ -124,7 +126,9 @@ def write_raw16(frames: DataFrame, folder: str, name: str = "clip_id", order: st
         schema = pa.schema([("clip", pa.string()), ("first", pa.int64()), ("frames", pa.int64()), ("path", pa.string())])
         yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    return ordered.mapInArrow(run, "clip string, first bigint, frames bigint, path string")
+    manifest = f"{folder}/_parts"
+    ordered.mapInArrow(run, "clip string, first bigint, frames bigint, path string").write.parquet(manifest)
+    return frames.sparkSession.read.schema("clip string, first bigint, frames bigint, path string").parquet(manifest)
 
 
 def samples(chunks: DataFrame, keys=("clip_id",)) -> DataFrame:

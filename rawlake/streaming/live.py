@@ -73,7 +73,11 @@ def live_phases(events: DataFrame, keys=("run_id", "phase")) -> DataFrame:
 
 
 def second_counts(frames: DataFrame, key: str = "clip_id", at: str = "at", late: str = "10 seconds") -> DataFrame:
-    """R4, first half: frames per clip and second, final once the watermark has passed."""
+    """R4, first half: frames per clip and second, final once the watermark has passed.
+
+    Seconds of the last ``late`` of a stream stay open until later frames arrive; a stream
+    that ends is closed by a batch run of :func:`timeline.per_second` over what is left.
+    """
     counted = frames.withWatermark(at, late).groupBy(key, F.window(at, "1 second")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(key, F.col("window"), "n")
 
