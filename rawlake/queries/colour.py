@@ -11,6 +11,13 @@ from rawlake.queries.base import PIXELS, micro, micro_sql, pixels, query, table
 from rawlake.session import spread
 
 RGB = ("r", "g", "b")
+# every channel value of every pixel as a row
+VALUES = f"(SELECT frame_id, x, unnest(['r', 'g', 'b']) AS channel, unnest([r, g, b]) AS v FROM {PIXELS})"
+
+
+def values(spark, sf):
+    cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in RGB])
+    return pixels(spark, sf).select("frame_id", "x", F.inline(cells))
 
 
 def _d(number: float) -> str:
@@ -142,14 +149,13 @@ DECODE_KEYS = {name: f"d{i}" for i, name in enumerate(DECODE_SQL)}
 
 @query(
     "t_decode_all",
-    "SELECT frame_id, x, "
-    + ", ".join(f"{micro_sql('least(100.0, ' + sql.replace('{x}', 'r') + ')')} AS {DECODE_KEYS[n]}" for n, sql in DECODE_SQL.items())
-    + f" FROM {PIXELS}",
+    "SELECT frame_id, x, channel, "
+    + ", ".join(f"{micro_sql('least(100.0, ' + sql.replace('{x}', 'v') + ')')} AS {DECODE_KEYS[n]}" for n, sql in DECODE_SQL.items())
+    + f" FROM {VALUES}",
 )
 def t_decode_all(spark, sf):
-    p = pixels(spark, sf)
-    cols = [micro(F.least(F.lit(100.0), curves.DECODE[n](F.col("r")))).alias(k) for n, k in DECODE_KEYS.items()]
-    return p.select("frame_id", "x", *cols)
+    cols = [micro(F.least(F.lit(100.0), curves.DECODE[n](F.col("v")))).alias(k) for n, k in DECODE_KEYS.items()]
+    return values(spark, sf).select("frame_id", "x", "channel", *cols)
 
 
 CLIP_CURVE = [n for n, _ in vocab.TRANSFER]
@@ -183,18 +189,17 @@ PREVIEW_BACK = {
 
 @query(
     "t_preview_curves",
-    "SELECT frame_id, x, "
-    + ", ".join(f"{micro_sql(sql.replace('{x}', 'r'))} AS {k}" for k, (_, sql) in {**PREVIEW_SQL, **PREVIEW_BACK}.items())
-    + f" FROM {PIXELS}",
+    "SELECT frame_id, x, channel, "
+    + ", ".join(f"{micro_sql(sql.replace('{x}', 'v'))} AS {k}" for k, (_, sql) in {**PREVIEW_SQL, **PREVIEW_BACK}.items())
+    + f" FROM {VALUES}",
 )
 def t_preview_curves(spark, sf):
-    p = pixels(spark, sf)
-    enc = [micro(curves.PREVIEW_ENCODE[n](F.col("r"))).alias(k) for k, (n, _) in PREVIEW_SQL.items()]
-    dec = [micro(curves.PREVIEW_DECODE[n](F.col("r"))).alias(k) for k, (n, _) in PREVIEW_BACK.items()]
-    return p.select("frame_id", "x", *enc, *dec)
+    enc = [micro(curves.PREVIEW_ENCODE[n](F.col("v"))).alias(k) for k, (n, _) in PREVIEW_SQL.items()]
+    dec = [micro(curves.PREVIEW_DECODE[n](F.col("v"))).alias(k) for k, (n, _) in PREVIEW_BACK.items()]
+    return values(spark, sf).select("frame_id", "x", "channel", *enc, *dec)
 
 
-# tone-map curve set on the red channel (values in 0..1); NaN or null gives -1
+# tone-map curve set (values in 0..1); NaN or null gives -1
 TONE_SQL = {
     "Linear": ("{x}", "{x}"),
     "AcesCct": (
@@ -210,11 +215,11 @@ TONE_SQL = {
         "(pow(10.0::DOUBLE, {x} * 17.52::DOUBLE - 14) - 0.001::DOUBLE) / 9.999::DOUBLE",
     ),
     "SonySLog3": (
-        "0.24::DOUBLE * log10(greatest({x}, 1e-9::DOUBLE) / 0.18::DOUBLE) + 0.42::DOUBLE",
+        "0.24::DOUBLE * CASE WHEN {x} = 0 THEN -1e300::DOUBLE ELSE log10({x} / 0.18::DOUBLE) END + 0.42::DOUBLE",
         "CASE WHEN {x} < 0.01125::DOUBLE THEN ({x} - 0.030001222851889::DOUBLE) / 0.01125::DOUBLE ELSE pow(10.0::DOUBLE, ({x} - 0.42::DOUBLE) / 0.24::DOUBLE) * 0.18::DOUBLE END",
     ),
     "SonySLog2": (
-        "0.235443::DOUBLE * log10(greatest({x}, 1e-9::DOUBLE) / 0.18::DOUBLE) + 0.384410::DOUBLE",
+        "0.235443::DOUBLE * CASE WHEN {x} = 0 THEN -1e300::DOUBLE ELSE log10({x} / 0.18::DOUBLE) END + 0.384410::DOUBLE",
         "CASE WHEN {x} < 0.01018::DOUBLE THEN ({x} - 0.0245786::DOUBLE) / 0.0183089::DOUBLE ELSE pow(10.0::DOUBLE, ({x} - 0.384410::DOUBLE) / 0.235443::DOUBLE) * 0.18::DOUBLE END",
     ),
     "CanonLog3": (
@@ -260,16 +265,14 @@ def _guard_sql(e: str) -> str:
     return micro_sql(f"least(1000.0, greatest(-1000.0, {e}))")
 
 
-# the curves are checked on r (never 0); the shift keeps it inside 0..1
 @query(
     "t17_tonemap_curves",
-    "SELECT frame_id, x, " + ", ".join(f"{_guard_sql(sql.replace('{x}', 'r'))} AS {k}" for k, _, _, sql in TONE_COLS) + f" FROM {PIXELS}",
+    "SELECT frame_id, x, channel, " + ", ".join(f"{_guard_sql(sql.replace('{x}', 'v'))} AS {k}" for k, _, _, sql in TONE_COLS) + f" FROM {VALUES}",
 )
 def t17(spark, sf):
-    p = pixels(spark, sf)
     tables = {"e": tonemap.TONE_ENCODE, "d": tonemap.TONE_DECODE}
-    cols = [micro(numeric.clamp(tables[d][n](F.col("r")), -1000.0, 1000.0)).alias(k) for k, n, d, _ in TONE_COLS]
-    return p.select("frame_id", "x", *cols)
+    cols = [micro(numeric.clamp(tables[d][n](F.col("v")), -1000.0, 1000.0)).alias(k) for k, n, d, _ in TONE_COLS]
+    return values(spark, sf).select("frame_id", "x", "channel", *cols)
 
 
 def u16_sql(e: str) -> str:
