@@ -145,16 +145,17 @@ def gain(cell: tuple[int, int], whole: tuple[int, int]) -> float:
     return cell[0] * (log2(cell[0] / sum(cell)) - log2(whole[0] / sum(whole))) if cell[0] else 0.0
 
 
-def grow(rows: DataFrame, cuts: dict[str, list[float]], max_tests: int) -> Rule:
-    """Add the test with the most information gain until only bad rows are left."""
+def grow(rows: DataFrame, check: DataFrame, cuts: dict[str, list[float]], max_tests: int) -> Rule:
+    """Add the test with the most information gain until only bad rows are left; held-out rows decide ties."""
     rule: Rule = ()
     while len(rule) < max_tests:
         table = counted(rows.where(holds(rule)), cuts)
+        other = counted(check.where(holds(rule)), cuts)
         if not table:
             break
         f, _, c = next(iter(table))
-        whole = tuple(x + y for x, y in zip(table[f, False, c], table[f, True, c], strict=True))
-        best = max(sorted(table), key=lambda k: gain(table[k], whole))
+        whole, held = (tuple(x + y for x, y in zip(t[f, False, c], t[f, True, c], strict=True)) for t in (table, other))
+        best = max(sorted(table), key=lambda k: (gain(table[k], whole), gain(other[k], held)))
         if not all(whole) or gain(table[best], whole) <= 1e-9:
             break
         rule += (Test(*best),)
@@ -208,10 +209,11 @@ def learn(
     rules: list[Rule] = []
     while len(rules) < max_rules:
         left = rows.where(decision(rules).isNull())
-        rule = grow(left.where(F.col("part") > 0), cuts, max_tests)
+        check = left.where(F.col("part") == 0)
+        rule = grow(left.where(F.col("part") > 0), check, cuts, max_tests)
         if not rule:
             break
-        rule, p, n = prune(left.where(F.col("part") == 0), rule)
+        rule, p, n = prune(check, rule)
         if p < 3 or p < least_precision * (p + n):
             break
         rules.append(rule)
@@ -245,4 +247,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
     """The documents that pass, with all their columns. No text moves between tasks."""
     rules = learn(docs, labels, id_col, text_col, **fit)
-    return judge(statistics(docs, text_col), rules).where("kept").select("row.*")
+    judged = judge(statistics(docs, text_col), rules).select("row", "kept", F.monotonically_increasing_id().alias("number"))
+    # the number keeps the filter above the statistics, which it would otherwise compute again for each use
+    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
