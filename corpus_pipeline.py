@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rawlake.llm import decontaminate, line_runs, near_dups, packing, quality
 from rawlake.llm.common import stage
@@ -15,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents share."""
-    return line_runs.dedup_lines(docs).select(*docs.columns)
+    """Texts without the lines that many documents share, with their new number of characters."""
+    out = line_runs.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
