@@ -7,12 +7,19 @@ anchor, some ten times fewer than windows. Equal windows have equal anchors, hen
 * a stretch whose anchor no smaller document has is kept;
 * a stretch that a smaller document has as a whole is removed;
 * only the rest, where repeats begin and end, is looked at window by window.
+
+Before that, texts may be cut into chunks of windows at places that depend on the units
+alone, and chunks that a smaller document has as a whole are removed. What they hold is also
+in the smallest document that has the chunk, so they need not be looked at again.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +30,9 @@ from pyspark.sql import functions as F
 from rawlake.llm.common import stage
 
 FACTOR = np.uint64(0x5851F42D4C957F2D)
-# Units handled at once; longer texts are cut into overlapping parts.
-PART = 1 << 21
+# Units handled at once, as their arrays then stay in a processor's cache; longer texts are cut
+# into overlapping parts.
+PART = 1 << 17
 PLACE_BITS = np.uint64(24)
 # The hash of a byte.
 BYTES = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,34 +89,45 @@ def least_of(x: np.ndarray, n: int) -> np.ndarray:
 class Stretches:
     """The stretches of several texts laid end to end in ``units``, which end at ``ends``."""
 
-    def __init__(self, units: np.ndarray, ends: np.ndarray, width: int, gram: int):
+    def __init__(self, units: np.ndarray, ends: np.ndarray, width: int, gram: int, chunk: int = 0):
         self.rolling = Rolling(units)
-        self.width = width
-        lengths = np.diff(ends, prepend=0)
-        none = np.zeros(0, dtype=np.int64)
-        if len(units) < width:
-            self.first = self.count = self.text = none
-            self.anchor = self.whole = np.zeros(0, dtype=np.uint64)
-            return
-        grams = mixed(self.rolling.every(gram))
-        places = np.arange(len(grams), dtype=np.uint64)
-        at = least_of(((grams >> PLACE_BITS) << PLACE_BITS) | places, width - gram + 1) & np.uint64((1 << 24) - 1)
-        end_of = np.repeat(ends, lengths)[: len(at)]
-        starts = np.flatnonzero(end_of >= np.arange(width, width + len(at)))
-        at = at[starts].astype(np.int64)
+        self.width, self.gram, self.ends = width, gram, ends
+        self.grams = mixed(self.rolling.every(gram)) if len(units) >= width else np.zeros(0, dtype=np.uint64)
+        inside = np.ones(max(0, len(units) - width + 1), dtype=bool)
+        for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+            inside[max(begin, end - width + 1) : end] = False
+        self.starts = np.flatnonzero(inside)
+        if chunk:
+            new = (np.diff(self.starts, prepend=-2) != 1) | (self.grams[self.starts] % np.uint64(chunk) == 0)
+            self.chunk_at = np.flatnonzero(new)
+            self.chunk_count = np.diff(self.chunk_at, append=len(self.starts))
+
+    def in_text(self, keys: list[tuple], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, row, place in its whole text) of some starts."""
+        text = np.searchsorted(self.ends, first, side="right")
+        doc, row, offset = (np.array([key[c] for key in keys], dtype=np.int64)[text] for c in range(3))
+        return doc, row, first - (self.ends - np.diff(self.ends, prepend=0))[text] + offset
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, windows, hash) of the chunks."""
+        first, n = self.starts[self.chunk_at], self.chunk_count
+        return first, n, mixed(self.rolling.at(first, n + self.width - 1) + n.astype(np.uint64))
+
+    def find(self, chosen: np.ndarray | None = None) -> Stretches:
+        """Set the stretches, of the chosen chunks only."""
+        starts = self.starts if chosen is None else self.starts[np.repeat(chosen, self.chunk_count)]
+        width, ends = self.width, self.ends
+        places = np.arange(len(self.grams), dtype=np.uint64)
+        at = ((self.grams >> PLACE_BITS) << PLACE_BITS) | places
+        at = least_of(at, width - self.gram + 1)[starts] & np.uint64((1 << 24) - 1) if len(starts) else places[:0]
+        at, grams = at.astype(np.int64), self.grams
         cut = np.flatnonzero(np.diff(at, prepend=-1) | (np.diff(starts, prepend=-2) != 1))
         self.first = starts[cut]
         self.count = np.diff(cut, append=len(starts))
         self.text = np.searchsorted(ends, self.first, side="right")
         self.anchor = grams[at[cut]]
         self.whole = mixed(self.rolling.at(self.first, self.count + width - 1) + self.count.astype(np.uint64))
-
-    def windows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(stretch, hash) of every window of the stretches ``k``."""
-        n = self.count[k]
-        which = np.repeat(k, n)
-        start = self.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        return which, mixed(self.rolling.at(start, self.width))
+        return self
 
 
 def parts(texts: Iterator[tuple[tuple, np.ndarray]], width: int) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
@@ -145,7 +164,16 @@ def _pieces(row: int, once: np.ndarray, more: np.ndarray) -> Iterator[tuple[int,
         yield row, int(s), a.astype("<u2").tobytes(), b.astype("<u2").tobytes()
 
 
-def sketch(docs: DataFrame, units: Callable, width: int, gram: int, depth: int, bits: int) -> DataFrame:
+def opened(s: Stretches, keys: list[tuple], wanted: Bits | None) -> Stretches:
+    """The stretches of the chunks still open, or all."""
+    if wanted is None:
+        return s.find()
+    return s.find(wanted(np.stack([x.view(np.uint64) for x in s.in_text(keys, s.starts[s.chunk_at])])))
+
+
+def sketch(
+    docs: DataFrame, units: Callable, width: int, gram: int, depth: int, bits: int, chunk: int = 0, wanted: Bits | None = None
+) -> DataFrame:
     """(row, slice, bitmap) of the cells that two or more documents may share.
 
     A count-min sketch with ``depth`` rows of ``2 ** bits`` counters that stop at two. Every
@@ -167,11 +195,11 @@ def sketch(docs: DataFrame, units: Callable, width: int, gram: int, depth: int,
                 for at in range(0, len(rows), 512):
                     yield _batch([(r, s, task, a, b) for r, s, a, b in rows[at : at + 512]], CELLS)
 
-        for _, laid, ends in parts(units(batches), width):
-            s = Stretches(laid, ends, width, gram)
+        for keys, laid, ends in parts(units(batches), width):
+            s = opened(Stretches(laid, ends, width, gram, chunk), keys, wanted)
             waiting.append(_distinct(s.text, s.anchor))
             size += len(waiting[-1])
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield from flush()
                 waiting, size = [], 0
         if size:
@@ -227,6 +255,63 @@ def _distinct(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return a[new]
 
 
+class Shared:
+    """A table of bits that all tasks read, sent compressed; a worker unpacks it once."""
+
+    _open: ClassVar[dict[str, np.ndarray]] = {}
+
+    def __init__(self, spark: SparkSession, table: np.ndarray):
+        self.key, self.shape = uuid.uuid4().hex, table.shape
+        self.held = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+    def table(self) -> np.ndarray:
+        if self.key not in Shared._open:
+            while len(Shared._open) > 1:  # a stage reads two at most
+                Shared._open.pop(next(iter(Shared._open)))
+            Shared._open[self.key] = np.frombuffer(zlib.decompress(self.held.value), dtype=np.uint8).reshape(self.shape)
+        return Shared._open[self.key]
+
+
+# Below 2 ** 31, so that no product passes 63 bits.
+BIT_FACTORS = (0x1E3779B1, 0x65EBCA6B)
+
+
+class Bits:
+    """A set of keys as bits of their hashes, of fixed size: it may hold others, and misses none."""
+
+    BITS = 27
+
+    def __init__(self, rows: DataFrame, *columns: str):
+        # bitmaps count from 1
+        cell = F.pmod(_hash_of(*columns), F.lit(1 << Bits.BITS)) + 1
+        table = np.zeros((1 << Bits.BITS) // 8, dtype=np.uint8)
+        held = rows.groupBy(F.bitmap_bucket_number(cell).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("m"))
+        for r in held.toLocalIterator():
+            part = np.frombuffer(r["m"], np.uint8)
+            at = (r["b"] - 1) * len(part)
+            table[at : at + len(part)] = part[: len(table) - at]
+        self.held = Shared(rows.sparkSession, table)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """For an array with a row for each column of the keys."""
+        cell = np.zeros(keys.shape[1], dtype=np.uint64)
+        for k in keys:
+            for part, factor in zip((k & np.uint64(0xFFFFFFFF), k >> np.uint64(32)), BIT_FACTORS, strict=True):
+                cell = (cell ^ part) * np.uint64(factor) % np.uint64((1 << 31) - 1)
+        cell = (cell % np.uint64(1 << Bits.BITS)).astype(np.int64)
+        return (self.held.table()[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def _hash_of(*columns: str):
+    """The same arithmetic on columns."""
+    cell = F.lit(0).cast("bigint")
+    for c in columns:
+        low, high = F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(c).cast("bigint"), 32)
+        for part, factor in zip((low, high), BIT_FACTORS, strict=True):
+            cell = F.pmod(cell.bitwiseXOR(part) * F.lit(factor), F.lit((1 << 31) - 1))
+    return cell
+
+
 class Estimate:
     """Whether an anchor may be in two documents, by the merged sketch. At most depth * 2 ** bits / 8 bytes."""
 
@@ -236,13 +321,13 @@ class Estimate:
             table[r["row"], r["slice"] * (SLICE // 8) : (r["slice"] + 1) * (SLICE // 8)] = np.frombuffer(r["bitmap"], np.uint8)
         self.bits = bits
         self.depth = depth
-        self.held = spark.sparkContext.broadcast(table)
+        self.held = Shared(spark, table)
 
     def __call__(self, anchors: np.ndarray) -> np.ndarray:
         out = np.ones(len(anchors), dtype=bool)
         for row in range(self.depth):
             c = cells(anchors, row, self.bits)
-            byte = self.held.value[row][(c >> np.uint64(3)).astype(np.int64)]
+            byte = self.held.table()[row][(c >> np.uint64(3)).astype(np.int64)]
             out &= (byte >> (np.uint64(7) - (c & np.uint64(7))).astype(np.uint8)) & 1 == 1
         return out
 
@@ -252,18 +337,31 @@ class Estimate:
 KEY = ["doc", "row"]
 
 
-def stretches(docs: DataFrame, units: Callable, width: int, gram: int, likely: Estimate) -> DataFrame:
+def chunks(docs: DataFrame, units: Callable, width: int, gram: int, chunk: int) -> DataFrame:
+    """(doc, row, first, n, whole) of all chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, laid, ends in parts(units(batches), width):
+            s = Stretches(laid, ends, width, gram, chunk)
+            first, n, whole = s.chunks()
+            columns = [*s.in_text(keys, first), n.astype(np.int64), whole.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "row", "first", "n", "whole"])
+
+    return docs.mapInArrow(run, "doc bigint, row bigint, first bigint, n bigint, whole bigint")
+
+
+def stretches(
+    docs: DataFrame, units: Callable, width: int, gram: int, likely: Estimate, chunk: int = 0, wanted: Bits | None = None
+) -> DataFrame:
     """(doc, row, first, n, anchor, whole) of the stretches whose anchor may be in two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, laid, ends in parts(units(batches), width):
-            s = Stretches(laid, ends, width, gram)
+            s = opened(Stretches(laid, ends, width, gram, chunk), keys, wanted)
             k = np.flatnonzero(likely(s.anchor))
             if not len(k):
                 continue
-            doc, row, offset = (np.array([key[c] for key in keys], dtype=np.int64)[s.text[k]] for c in range(3))
-            first = s.first[k] - (ends - np.diff(ends, prepend=0))[s.text[k]] + offset
-            columns = [doc, row, first, s.count[k].astype(np.int32), s.anchor[k].view(np.int64), s.whole[k].view(np.int64)]
+            columns = [*s.in_text(keys, s.first[k]), s.count[k].astype(np.int32), s.anchor[k].view(np.int64), s.whole[k].view(np.int64)]
             for at in range(0, len(k), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["doc", "row", "first", "n", "anchor", "whole"])
 
@@ -287,7 +385,7 @@ def judged(found: DataFrame) -> DataFrame:
 def ranges(*tables: DataFrame) -> DataFrame:
     """(doc, row, firsts, ns): per text, the window starts of the tables as ranges."""
     rows = reduce(DataFrame.unionByName, [t.select(*KEY, "first", "n") for t in tables])
-    held = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("held"))
+    held = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", F.col("n").cast("bigint").alias("n")))).alias("held"))
     return held.select(*KEY, F.col("held.first").alias("firsts"), F.col("held.n").alias("ns"))
 
 
@@ -299,6 +397,15 @@ def covered(length: int, firsts: np.ndarray, ns: np.ndarray, width: int) -> np.n
     return np.cumsum(steps[:-1]) > 0
 
 
+def among(batches: Iterator[pa.RecordBatch], keys: Bits, inside: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose (doc, row) may be among the keys, or those that are not; nothing moves."""
+    for batch in batches:
+        k = np.stack([np.asarray(batch.column(c)).astype(np.int64).view(np.uint64) for c in KEY])
+        chosen = batch.filter(pa.array(keys(k) == inside))
+        if chosen.num_rows:
+            yield chosen
+
+
 def later(windows: DataFrame) -> DataFrame:
     """Windows (doc, row, first, h) whose hash a smaller document has, as ranges of one."""
     least = windows.groupBy("h").agg(F.min("doc").alias("least"))
@@ -306,8 +413,22 @@ def later(windows: DataFrame) -> DataFrame:
     return hit.select(*KEY, "first", F.lit(1).alias("n"))
 
 
-def staged_stretches(docs: DataFrame, units: Callable, width: int, gram: int, depth: int, bits: int) -> DataFrame:
-    merged = stage(sketch(docs, units, width, gram, depth, bits))
+def staged_stretches(docs: DataFrame, units: Callable, width: int, gram: int, depth: int, bits: int, chunk: int = 0) -> DataFrame:
+    """Stretches and chunks to remove (``gone``), and stretches to look into.
+
+    ``chunk`` is the mean number of windows in a chunk; 0 leaves this step out.
+    """
+    wanted = removed = None
+    if chunk:
+        cut = stage(chunks(docs, units, width, gram, chunk))
+        least = cut.groupBy("whole").agg(F.min("doc").alias("least"))
+        told = stage(cut.join(least, "whole").select(*KEY, "first", "n", (F.col("doc") > F.col("least")).alias("gone")))
+        wanted = Bits(told.where(~F.col("gone")), *KEY, "first")
+        removed = told.where("gone")
+    merged = stage(sketch(docs, units, width, gram, depth, bits, chunk, wanted))
     likely = Estimate(docs.sparkSession, merged, depth, bits)
-    found = stage(stretches(docs, units, width, gram, likely))
-    return stage(judged(found))
+    found = stage(judged(stage(stretches(docs, units, width, gram, likely, chunk, wanted))))
+    if removed is None:
+        return found
+    none = {"anchor": F.lit(0).cast("bigint"), "kinds": F.lit(0).cast("bigint"), "n": F.col("n").cast("int")}
+    return found.unionByName(removed.withColumns(none))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from rawlake.llm.common import hash_pair, stage, text_of
 from rawlake.llm.substrings import FIRST
 
 # Bytes of stretches in one suffix array, and stretches of one anchor that stay together.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 400_000
 TOGETHER = 10_000
 # Above this many names the reduced text is sorted by doubling, as buckets would be nearly empty.
 BUCKETS = 1024
@@ -29,7 +30,8 @@ def types_of(s: np.ndarray) -> np.ndarray:
 
 def _deal(sa: np.ndarray, letters: np.ndarray, entries: np.ndarray, at: np.ndarray, step: int) -> None:
     """Append entries, in order, to the free ends of their letters' buckets."""
-    order = np.argsort(letters, kind="stable")
+    # sixteen bits are sorted by counting
+    order = np.argsort(letters.astype(np.uint16), kind="stable")
     sorted_letters = letters[order]
     heads = np.flatnonzero(np.diff(sorted_letters, prepend=-1))
     counts = np.diff(heads, append=len(order))
@@ -95,7 +97,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
         second = np.zeros(len(rank), dtype=np.int64)
         second[:-step] = rank[step:] + 1
         key = rank * (len(rank) + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.cumsum(np.diff(key[order], prepend=-1) != 0) - 1
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = fresh
@@ -159,24 +161,30 @@ def _cut(width: int):
     """The bytes of the listed stretches of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "row", "first", "anchor", "kinds", "bytes"]
-        kinds = [pa.int64()] * 5 + [pa.binary()]
         for batch in batches:
-            for text, held, doc, row in zip(*(batch.column(c) for c in ("text", "held", "doc", "row")), strict=True):
-                raw = text.as_buffer()
-                rows = [(doc.as_py(), row.as_py(), h["first"], h["anchor"], h["kinds"], raw[h["first"] : h["first"] + h["n"] + width - 1].to_pybytes()) for h in held.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            lists = batch.column("held")
+            held = lists.flatten()
+            first, n = (np.asarray(held.field(c)).astype(np.int64) for c in ("first", "n"))
+            sizes = np.asarray(lists.value_lengths())
+            pieces, at = [], 0
+            for text, size in zip(batch.column("text"), sizes, strict=True):
+                raw = text.as_buffer().to_pybytes()
+                pieces += [raw[a : a + k + width - 1] for a, k in zip(first[at : at + size].tolist(), n[at : at + size].tolist(), strict=True)]
+                at += size
+            repeated = [pa.array(np.repeat(np.asarray(batch.column(c)), sizes)) for c in ("doc", "row")]
+            columns = [*repeated, pa.array(first), held.field("anchor"), held.field("kinds"), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "first", "anchor", "kinds", "bytes"])
 
     return run
 
 
-def _shard(width: int):
-    """Sort a shard's stretches and mark the windows that a smaller document has here.
+def _shard(width: int, together: int):
+    """Sort a shard's stretches and give the windows that a smaller document has here, as ranges.
 
-    Windows of anchors that are spread over shards come back with their hash, for the last
-    comparison, if no smaller document in this shard has them.
+    Windows of anchors that are spread over shards come back one by one with their hash, for
+    the last comparison, if no smaller document in this shard has them.
     """
-    out = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("h", pa.int64()), ("gone", pa.bool_())])
+    out = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("gone", pa.bool_())])
 
     def run(table: pa.Table) -> pa.Table:
         doc, row, first, kinds = (np.asarray(table.column(c)) for c in ("doc", "row", "first", "kinds"))
@@ -185,51 +193,74 @@ def _shard(width: int):
         lengths = np.diff(ends, prepend=0)
         raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         sa = suffix_array(np.append(raw.astype(np.int64) + 1, 0), 257)[1:]
-        room = np.repeat(ends, lengths) - np.arange(len(raw))
+        of = np.repeat(np.arange(len(pieces)), lengths)
         rolling = repeats.Rolling(raw)
-        whole = sa[room[sa] >= width]
+        whole = sa[(ends[of] - np.arange(len(raw)))[sa] >= width]
         places, common = permuted_prefixes(rolling, whole, width)
         prefix = np.zeros(len(raw), dtype=np.int64)
         prefix[places] = common
         # strings that are equal stand side by side
         starts = np.flatnonzero(prefix[whole] < width)
-        piece = np.searchsorted(ends, whole, side="right")
-        least = np.repeat(np.minimum.reduceat(doc[piece], starts), np.diff(starts, append=len(whole)))
-        gone = doc[piece] > least
-        some = gone | (kinds[piece] > TOGETHER)
-        at, piece = whole[some], piece[some]
-        start = first[piece] + at - (ends - lengths)[piece]
-        h = repeats.mixed(rolling.at(at, width)).view(np.int64)
-        return pa.Table.from_arrays([pa.array(doc[piece]), pa.array(row[piece]), pa.array(start), pa.array(h), pa.array(gone[some])], schema=out)
+        least = np.repeat(np.minimum.reduceat(doc[of[whole]], starts), np.diff(starts, append=len(whole)))
+        gone = np.zeros(len(raw) + 1, dtype=np.int8)
+        gone[whole[doc[of[whole]] > least]] = 1
+        # pieces end without a window, so a range stays inside one
+        begin, end = np.flatnonzero(np.diff(gone, prepend=0) == 1), np.flatnonzero(np.diff(gone, prepend=0) == -1)
+        open_ = whole[(gone[whole] == 0) & (kinds[of[whole]] >= together)]
+        at = np.concatenate([begin, open_])
+        piece = of[at]
+        n = np.concatenate([end - begin, np.ones(len(open_), dtype=np.int64)])
+        h = np.concatenate([np.zeros(len(begin), dtype=np.int64), repeats.mixed(rolling.at(open_, width)).view(np.int64)])
+        columns = [doc[piece], row[piece], first[piece] + at - (ends - lengths)[piece], n, h, np.arange(len(at)) < len(begin)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=out)
 
     return run
 
 
+KEPT = "id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
+KEPT_ARROW = pa.schema([("id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that lose nothing."""
+    for batch in batches:
+        kept = batch.column("text").cast(pa.binary())
+        none = pa.array(np.zeros(batch.num_rows, dtype=np.int64))
+        sizes = pc.binary_length(kept).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), kept, sizes, none, none], schema=KEPT_ARROW)
+
+
 def _kept(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "kept", "n_bytes", "n_removed", "n_spans"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for ident, text, firsts, ns in zip(*batch.columns, strict=True):
                 raw = np.frombuffer(text.as_buffer(), dtype=np.uint8)
-                if firsts.is_valid:
-                    mask = repeats.covered(len(raw), np.array(firsts.as_py(), dtype=np.int64), np.array(ns.as_py(), dtype=np.int64), width)
-                    spans = int(np.count_nonzero(np.diff(mask.astype(np.int8), prepend=0) == 1))
-                    rows.append((ident.as_py(), raw[~mask].tobytes(), len(raw), int(mask.sum()), spans))
-                else:
+                if not firsts.is_valid:
                     rows.append((ident.as_py(), raw.tobytes(), len(raw), 0, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    continue
+                first, n = (x.values.to_numpy() for x in (firsts, ns))
+                mask = repeats.covered(len(raw), first, n, width)
+                spans = int(np.count_nonzero(np.diff(mask.astype(np.int8), prepend=0) == 1))
+                rows.append((ident.as_py(), raw[~mask].tobytes(), len(raw), int(mask.sum()), spans))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), KEPT_ARROW, strict=True)], schema=KEPT_ARROW)
 
     return run
 
 
 def dedup_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, depth: int = 1, bits: int = 29
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 50,
+    gram: int = 20,
+    depth: int = 1,
+    bits: int = 29,
+    chunk: int = 256,
 ) -> DataFrame:
     """Texts without the bytes that lie in a ``width``-byte string of a document with a smaller id.
 
-    A prefilter finds the stretches of text around anchors that two documents share; those
+    Chunks of about ``chunk`` windows that a smaller document has go first. A prefilter finds the stretches of text around anchors that two documents share; those
     that a smaller document has as a whole go at once. The others, at the ends of repeats,
     are cut out and dealt to shards of bounded size. Each shard's suffix array is built by
     induced sorting, and permuted common prefixes of ``width`` bytes give the equal strings.
@@ -242,7 +273,7 @@ def dedup_bytes(
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     texts = texts.withColumns({"doc": F.coalesce("id", F.lit(FIRST)), "row": hash_pair(F.col("text"))[0]})
     units = texts.where(F.octet_length("text") >= width).select("doc", "row", "text")
-    found = repeats.staged_stretches(units, _units, width, gram, depth, bits)
+    found = repeats.staged_stretches(units, _units, width, gram, depth, bits, chunk)
 
     look = found.where(~F.col("gone"))
     size = look.agg(F.sum(F.col("n") + width - 1).alias("b")).first()["b"] or 0
@@ -253,11 +284,14 @@ def dedup_bytes(
     # an anchor with very many different stretches is dealt over several shards
     salt = F.pmod(F.xxhash64("doc", "first"), F.floor(F.col("kinds") / TOGETHER) + 1)
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("anchor", salt), F.lit(shards)))
-    sorted_ = cut.groupBy("shard").applyInArrow(_shard(width), "doc bigint, row bigint, first bigint, h bigint, gone boolean")
+    sorted_ = cut.groupBy("shard").applyInArrow(_shard(width, TOGETHER), "doc bigint, row bigint, first bigint, n bigint, h bigint, gone boolean")
     sorted_ = stage(sorted_)
     spread = repeats.later(sorted_.where(~F.col("gone")).select(*repeats.KEY, "first", "h"))
-    single = sorted_.where("gone").select(*repeats.KEY, "first", F.lit(1).alias("n")).unionByName(spread)
-    drop = repeats.ranges(single, found.where("gone"))
-    out = texts.join(drop, repeats.KEY, "left").select("id", "text", "firsts", "ns")
-    out = out.mapInArrow(_kept(width), "id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    drop = repeats.ranges(sorted_.where("gone"), spread, found.where("gone"))
+    drop = stage(drop)
+    # only texts that may lose something are shuffled
+    touched = repeats.Bits(drop, *repeats.KEY)
+    some = texts.mapInArrow(lambda b: repeats.among(b, touched, True), texts.schema)
+    some = some.join(drop, repeats.KEY, "left").select("id", "text", "firsts", "ns").mapInArrow(_kept(width), KEPT)
+    out = some.unionByName(texts.mapInArrow(lambda b: _whole(repeats.among(b, touched, False)), KEPT))
     return out.withColumnRenamed("id", id_col)
