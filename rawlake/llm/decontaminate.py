@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rawlake.llm.common import hash_pair, stage, text_of, words_of
@@ -48,7 +49,9 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int,
     each = tokens.select("item", "item_row", "words", "tokens", F.inline(windows(F.col("tokens"), width)))
     cut = F.slice("tokens", F.col("at") + 1, width)
     literal = F.size(F.filter(cut, lambda t: (t != "") & ~F.rlike(t, F.lit(SLOTS))))
-    return each.where(literal >= literals).select("item", "item_row", "h", "at", slots(F.col("words"), F.col("tokens"), F.col("at"), width).alias("slots"))
+    return each.where(literal >= literals).select(
+        "item", "item_row", "h", "at", F.size("tokens").alias("item_words"), slots(F.col("words"), F.col("tokens"), F.col("at"), width).alias("slots")
+    )
 
 
 def slots(words: Column, tokens: Column, at: Column, width: int) -> Column:
@@ -57,6 +60,31 @@ def slots(words: Column, tokens: Column, at: Column, width: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("place"), F.get(words, at + i).alias("word")))
 
 
+def occurrences(both: DataFrame, by: list[str]) -> DataFrame:
+    """Matches of windows with the ``occurrence`` that they may belong to, from the places in document and item.
+
+    A copy keeps its distance (place in the document less place in the item) but for words
+    put in or left out. Occurrences are single distances, spans of half an item's length of
+    them (each distance is in two), and all matches of the document. In a span a window of
+    either text counts for the distance that most matches have, so that windows which an
+    item repeats do not pair across.
+    """
+    both = both.withColumn("far", F.col("at") - F.col("item_at"))
+    wide = F.greatest(F.floor(F.col("item_words") / 2), F.lit(2))
+    span = lambda shift: F.floor((F.col("far") + shift) / wide).cast("bigint")
+    kinds = [("all", F.lit(0).cast("bigint")), ("one", F.col("far").cast("bigint")), ("even", span(0)), ("odd", span(F.floor(wide / 2)))]
+    each = both.withColumn("occurrence", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("number")) for k, v in kinds])))
+    alone = F.col("occurrence.kind").isin("all", "one")
+    spans = each.where(~alone)
+    group = [*by, "occurrence"]
+    spans = spans.withColumn("support", F.count(F.lit(1)).over(W.partitionBy(*group, "far")))
+    best = F.struct(F.col("support"), -F.abs("far"), F.col("far"))
+    spans = spans.withColumn("best", best).withColumn("of_doc", F.max("best").over(W.partitionBy(*group, "at")))
+    spans = spans.withColumn("of_item", F.max("best").over(W.partitionBy(*group, "item_at")))
+    spans = spans.where((F.col("best") == F.col("of_doc")) & (F.col("best") == F.col("of_item")))
+    return each.where(alone).unionByName(spans.select(*each.columns))
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -73,12 +101,13 @@ def leaks(
     Both texts become templates. Windows of ``width`` words with at least ``literals``
     ordinary words are joined by hash; a pair counts if at least ``share`` of the item's
     distinct windows are in the document and either so many match with the same slot words,
-    or the slots are consistent: each of the item's slot words stands for one word of the
-    document, and each of the document's for one of the item's.
+    or so many are in one occurrence (see ``occurrences``) whose slots are consistent: each
+    of the item's slot words stands for one word of the document, and each of the document's
+    for one of the item's.
 
     Returns a row per document and item: id, item, ``n_windows`` of the item, ``n_matched``,
     ``n_literal`` (matched with equal slots), ``n_slots`` (different words in the item's
-    matched slots), ``consistent`` and ``kind`` (literal or reparameterised). Null and empty
+    matched slots of the best occurrence), ``consistent`` (of that occurrence) and ``kind`` (literal or reparameterised). Null and empty
     texts, and items without such a window, match nothing. Repeated rows of one id and text
     give one row; null ids give rows with a null id. Other columns are not read.
     """
@@ -101,17 +130,26 @@ def leaks(
     again = again.withColumn("tokens", template(F.col("words")))
     again = again.select("r1", "r2", "words", "tokens", F.inline(windows(F.col("tokens"), width)))
     mine = again.join(items.select("h").distinct(), "h", "left_semi")
-    mine = mine.select("r1", "r2", "h", slots(F.col("words"), F.col("tokens"), F.col("at"), width).alias("mine"))
-    both = mine.join(items.select("item_row", "h", "slots"), "h").join(pairs, ["r1", "r2", "item_row"], "left_semi")
+    mine = mine.select("r1", "r2", "h", "at", slots(F.col("words"), F.col("tokens"), F.col("at"), width).alias("mine"))
+    theirs = items.select("item_row", "h", F.col("at").alias("item_at"), "item_words", "slots").distinct()
     by = ["r1", "r2", "item_row"]
+    both = stage(mine.join(theirs, "h").join(pairs, by, "left_semi"))
     literal = both.where(F.col("mine") == F.col("slots")).groupBy(*by).agg(F.count_distinct("h").alias("n_literal"))
-    values = both.select(*by, F.explode(F.arrays_zip("slots", "mine")).alias("z"))
-    values = values.select(*by, F.col("z.slots.word").alias("theirs"), F.col("z.mine.word").alias("ours")).distinct()
-    used = values.groupBy(*by).agg(
+    each = occurrences(both, by)
+    group = [*by, "occurrence"]
+    covers = each.select(*group, "h").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n_here"))
+    values = each.select(*group, F.explode(F.arrays_zip("slots", "mine")).alias("z"))
+    values = values.select(*group, F.col("z.slots.word").alias("theirs"), F.col("z.mine.word").alias("ours")).distinct()
+    used = values.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("theirs").alias("n_slots"), F.count_distinct("ours").alias("n_ours")
     )
-    checked = found.join(literal, by, "left").join(used, by, "left").na.fill(0, ["n_literal", "n_pairs", "n_slots", "n_ours"])
-    checked = checked.withColumn("consistent", (F.col("n_pairs") == F.col("n_slots")) & (F.col("n_pairs") == F.col("n_ours")))
+    tried = covers.join(used, group, "left").na.fill(0, ["n_pairs", "n_slots", "n_ours"])
+    same = (F.col("n_pairs") == F.col("n_slots")) & (F.col("n_pairs") == F.col("n_ours"))
+    tried = tried.join(found.select("item_row", "n_windows").distinct(), "item_row")
+    tried = tried.where(F.col("n_here") >= share * F.col("n_windows"))
+    best = F.max(F.struct(same.alias("consistent"), F.col("n_here"), F.col("n_slots"))).alias("best")
+    tried = tried.groupBy(*by).agg(best).select(*by, "best.consistent", "best.n_slots")
+    checked = found.join(literal, by, "left").join(tried, by).na.fill(0, ["n_literal"])
     plain = F.col("n_literal") >= share * F.col("n_windows")
     checked = checked.withColumn("kind", F.when(plain, "literal").otherwise("reparameterised")).where(plain | F.col("consistent"))
     return checked.select(

@@ -148,6 +148,24 @@ def test_leaks(spark, table, odd_docs):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_are_judged_by_occurrence(spark, table):
+    def copy(km, minutes, town, name):
+        return ITEM.replace("9 km", f"{km} mi").replace("40", minutes).replace("Berlin", town).replace("Anna", name)
+
+    one, two = copy("12", "75", "Madrid", "Lucia"), copy("15", "33", "Oslo", "Ines")
+    bad = copy("12", "75", "Madrid", "Madrid")
+    chance = "the stranger reaches Lima after 99 minutes while Greta waits near the gate"
+    drift = two.replace("waits near", "waits patiently near")
+    # an item that repeats a template with other slot words
+    worksheet = "the first box holds 3 kg of apples and the next box holds 4 kg of apples and the last box holds 5 kg of apples"
+    other = worksheet.replace("3", "31").replace("4", "47").replace("5", "58")
+    rows = [(1, f"x {one} {two}, y"), (2, f"x {one} and much later {chance}"), (3, f"{one} - {drift}"), (4, f"x {bad} y {bad}"), (5, f"x {other} y {worksheet.replace('3', '71').replace('4', '72').replace('5', '73')}")]
+    bench = table([(1, ITEM), (2, worksheet)], "item_id bigint, text string")
+    docs = table(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.consistent) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(k, 2 if k == 5 else 1): ("reparameterised", True) for k in (1, 2, 3, 5)}
+
+
 def test_packing(spark, table, odd_docs, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_ITEMS", 40)
     rng = random.Random(3)
