@@ -33,6 +33,52 @@ def template(words: Column) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
+def plain_words(words: Column) -> Column:
+    """Words in lower case without punctuation at their ends; words of punctuation only are left out."""
+    text = F.regexp_replace(F.lower(F.array_join(words, " ")), "(?<![^ ])\\p{P}+|\\p{P}+(?![^ ])", "")
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def blocks(tokens: Column, width: int) -> Column:
+    """Hashes of the parts of ``width`` tokens that follow each other from the first token on."""
+    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - width, F.lit(width)), lambda i: F.xxhash64(F.slice(tokens, i + 1, width)))
+    return F.when(F.size(tokens) >= width, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def quotes(docs: DataFrame, benchmark: DataFrame, run: int) -> DataFrame:
+    """(id, r1, r2, item, item_row) of documents with ``run`` equal words of an item, or all words of a shorter one.
+
+    Such a run holds a whole block of (run + 1) / 2 words wherever it starts, so that blocks,
+    which follow each other in documents and start at every word of items, find the
+    documents whose runs are then compared.
+    """
+    runs = stage(benchmark.select("item", "item_row", "words").withColumn("tokens", plain_words(F.col("words"))).drop("words").distinct())
+    runs = runs.withColumn("run", F.least(F.size("tokens"), F.lit(run))).where("run > 0")
+    sizes = sorted(r["run"] for r in runs.select("run").distinct().collect())  # at most ``run`` numbers
+    tokens = docs.select("id", "r1", "r2", plain_words(F.col("words")).alias("tokens"))
+
+    def hashed(rows: DataFrame, sizes: list[int], each) -> Column:
+        def named(n: int) -> Column:
+            return F.transform(each(F.col("tokens"), n), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+
+        parts = [named(n) for n in sizes]
+        return F.inline(F.flatten(F.array(*parts)) if parts else F.array().cast("array<struct<n:int,h:bigint>>"))
+
+    def every(tokens: Column, n: int) -> Column:
+        return F.transform(windows(tokens, n), lambda x: x["h"])
+
+    half = F.floor((F.col("run") + 1) / 2).cast("int")
+    halves = sorted({(n + 1) // 2 for n in sizes})
+    theirs = runs.select("item_row", "run", half.alias("half"), hashed(runs, halves, every)).where("n = half")
+    ours = tokens.select("id", "r1", "r2", hashed(tokens, halves, blocks)).distinct()
+    near = stage(ours.join(theirs.select("item_row", "run", "n", "h").distinct(), ["n", "h"]).select("r1", "r2", "item_row", "run").distinct())
+    again = tokens.join(near.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi").distinct()
+    ours = again.select("id", "r1", "r2", hashed(again, sizes, every)).distinct()
+    theirs = runs.select("item", "item_row", "run", hashed(runs, sizes, every)).where("n = run").distinct()
+    equal = ours.join(theirs, ["n", "h"]).select("id", "r1", "r2", "item", "item_row", "run")
+    return equal.join(near, ["r1", "r2", "item_row", "run"], "left_semi").drop("run").distinct()
+
+
 def windows(tokens: Column, width: int) -> Column:
     """(hash, start) of every window of ``width`` tokens."""
     last = F.size(tokens) - width
@@ -42,10 +88,14 @@ def windows(tokens: Column, width: int) -> Column:
     return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
 
 
+def item_words(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    row = F.xxhash64(F.col(item_col), text_of(text_col)).alias("item_row")
+    return benchmark.select(F.col(item_col).alias("item"), row, words_of(text_of(text_col)).alias("words"))
+
+
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int, literals: int) -> DataFrame:
     """Windows of benchmark items that hold at least ``literals`` words besides slots."""
-    words = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(F.col(item_col), text_of(text_col)).alias("item_row"), words_of(text_of(text_col)).alias("words"))
-    tokens = words.withColumn("tokens", template(F.col("words")))
+    tokens = item_words(benchmark, item_col, text_col).withColumn("tokens", template(F.col("words")))
     each = tokens.select("item", "item_row", "words", "tokens", F.inline(windows(F.col("tokens"), width)))
     cut = F.slice("tokens", F.col("at") + 1, width)
     literal = F.size(F.filter(cut, lambda t: (t != "") & ~F.rlike(t, F.lit(SLOTS))))
@@ -95,6 +145,7 @@ def leaks(
     width: int = 5,
     literals: int = 3,
     share: float = 0.5,
+    run: int = 13,
 ) -> DataFrame:
     """Documents that hold benchmark items, literally or with other numbers, names and units.
 
@@ -103,12 +154,15 @@ def leaks(
     distinct windows are in the document and either so many match with the same slot words,
     or so many are in one occurrence (see ``occurrences``) whose slots are consistent: each
     of the item's slot words stands for one word of the document, and each of the document's
-    for one of the item's.
+    for one of the item's. ``run`` equal words one after another, but for case and
+    punctuation at their ends, or all words of a shorter item, are a literal leak whatever
+    the share and the kinds of words.
 
     Returns a row per document and item: id, item, ``n_windows`` of the item, ``n_matched``,
     ``n_literal`` (matched with equal slots), ``n_slots`` (different words in the item's
     matched slots of the best occurrence), ``consistent`` (of that occurrence) and ``kind`` (literal or reparameterised). Null and empty
-    texts, and items without such a window, match nothing. Repeated rows of one id and text
+    texts, and those of punctuation only, match nothing; items without such a window have the count 0 and match as runs of
+    equal words only. Repeated rows of one id and text
     give one row; null ids give rows with a null id. Other columns are not read.
     """
     items = stage(item_windows(benchmark, item_col, item_text_col, width, literals))
@@ -121,8 +175,12 @@ def leaks(
     each = tokens.select("id", "r1", "r2", F.inline(windows(F.col("tokens"), width)))
     hits = each.select("id", "r1", "r2", "h").join(items.select("item", "item_row", "h").distinct(), "h")
     found = hits.select(*keys, "h").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matched"))
-    found = found.join(sizes, ["item", "item_row"]).where(F.col("n_matched") >= share * F.col("n_windows"))
-    found = stage(found.select(*keys, "n_matched", "n_windows"))
+    equal = quotes(words, item_words(benchmark, item_col, item_text_col), run).withColumn("quoted", F.lit(True))
+    equal = equal.select(*keys, F.lit(0).cast("bigint").alias("n_matched"), "quoted")
+    found = found.withColumn("quoted", F.lit(False)).unionByName(equal)
+    found = found.groupBy(*keys).agg(F.max("n_matched").alias("n_matched"), F.max("quoted").alias("quoted"))
+    found = found.join(sizes, ["item", "item_row"], "left").na.fill(0, ["n_windows"])
+    found = stage(found.where((F.col("n_matched") >= share * F.col("n_windows")) | F.col("quoted")))
 
     # the few candidates again, with their slots
     pairs = found.select("r1", "r2", "item_row").distinct()
@@ -146,11 +204,11 @@ def leaks(
     tried = covers.join(used, group, "left").na.fill(0, ["n_pairs", "n_slots", "n_ours"])
     same = (F.col("n_pairs") == F.col("n_slots")) & (F.col("n_pairs") == F.col("n_ours"))
     tried = tried.join(found.select("item_row", "n_windows").distinct(), "item_row")
-    tried = tried.where(F.col("n_here") >= share * F.col("n_windows"))
-    best = F.max(F.struct(same.alias("consistent"), F.col("n_here"), F.col("n_slots"))).alias("best")
+    covered = same & (F.col("n_here") >= share * F.col("n_windows"))
+    best = F.max(F.struct(covered.alias("consistent"), F.col("n_here"), F.col("n_slots"))).alias("best")
     tried = tried.groupBy(*by).agg(best).select(*by, "best.consistent", "best.n_slots")
-    checked = found.join(literal, by, "left").join(tried, by).na.fill(0, ["n_literal"])
-    plain = F.col("n_literal") >= share * F.col("n_windows")
+    checked = found.join(literal, by, "left").join(tried, by, "left").na.fill(0, ["n_literal", "n_slots"]).na.fill(False, ["consistent"])
+    plain = F.col("quoted") | (F.col("n_literal") >= share * F.col("n_windows"))
     checked = checked.withColumn("kind", F.when(plain, "literal").otherwise("reparameterised")).where(plain | F.col("consistent"))
     return checked.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "n_literal", "n_slots", "consistent", "kind", "r1", "r2"

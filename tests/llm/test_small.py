@@ -166,6 +166,21 @@ def test_leaks_are_judged_by_occurrence(spark, table):
     assert got == {(k, 2 if k == 5 else 1): ("reparameterised", True) for k in (1, 2, 3, 5)}
 
 
+def test_quoted_runs_and_short_items(spark, table):
+    item = " ".join(f"{a}{b}" for a in "klmnp" for b in ("ab", "ec", "id", "of", "ug", "ar", "es", "il", "on", "ut", "as", "en"))
+    part = item.split()[20:33]
+    numbers, title, long_numbers = "2 4 8 16 ?", "The Old Man And The Sea", " ".join(str(k * k) for k in range(30))
+    rows = [(k, " ".join([*["pad"] * k, *(x.upper() for x in part), "end."])) for k in range(8)]
+    rows += [(20 + k, " ".join([*["pad"] * k, *part[1:], "end"])) for k in range(8)]
+    rows += [(30, f"so ({numbers}) it goes"), (31, f"x {title}, y"), (32, "2 4 9 16 ?"), (33, "the old man and a sea"), (34, f"see: \"Too\nshort.\" yes"), (35, long_numbers[-60:]), (36, None)]
+    bench = table([(1, item), (2, numbers), (3, title), (4, "too short"), (5, long_numbers), (6, ""), (7, None), (4, "too short")], "item_id bigint, text string")
+    docs = table(rows, "doc_id bigint, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, bench).collect())
+    want = [*((k, 1) for k in range(8)), (30, 2), (31, 3), (34, 4), (35, 5)]
+    assert got == {(d, i, "literal"): 1 for d, i in want}
+    assert decontaminate.remove_leaks(docs, bench).count() == len(rows) - len(want)
+
+
 def test_packing(spark, table, odd_docs, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_ITEMS", 40)
     rng = random.Random(3)
