@@ -278,6 +278,24 @@ def test_base_scores(spark, table, odd_docs):
     assert mixing.score_documents(table([], "doc_id bigint, text string")).count() == 0
 
 
+def test_classes_and_letters_are_of_all_texts(spark, table, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["plain", "words", "of", "one", "tongue"]) for _ in range(30))) for k in range(9000)]
+    rare = [k for k in range(9000, 9100) if zlib.crc32(str(k).encode()) % 5 != 1][:2]
+    rows += [(k, "ξένες λέξεις άλλης γλώσσας " * 40) for k in rare]
+    seen = {}
+    real_code, real_count = mixing.Code, mixing.count_words
+    monkeypatch.setattr(mixing, "Code", lambda letters: [seen.update(letters=letters), real_code(letters)][1])
+    monkeypatch.setattr(mixing, "count_words", lambda slices, classes: [seen.update(classes=classes), real_count(slices, classes)][1])
+    mixing.score_documents(table(rows, "doc_id bigint, text string"))
+    train = " ".join(t for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1).encode()
+    want = np.bincount(np.frombuffer(train, np.uint8), minlength=256)
+    want[32] = (want.sum() - want[32]) // 6
+    assert np.abs(np.floor(seen["letters"]) - want).max() <= 1
+    # two texts of nine thousand have a class
+    assert max(np.exp(seen["classes"])[:, 0xCE:0xD0].sum(axis=1)) > 0.4
+
+
 def test_spellings_are_probabilities():
     model, code = mixing.Model(), mixing.Code(np.bincount(np.frombuffer(b"aaabbc d", np.uint8), minlength=256))
     learned = [b"abc ", b"abd ", b"ab ", b"\n"] * 40
