@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawlake.llm import decontaminate, line_runs, mixing, near_dups, packing, quality, sharding, substrings, suffixes, warc
+from rawlake.llm import decontaminate, line_runs, merkle, mixing, near_dups, packing, quality, sharding, substrings, suffixes, warc
 from rawlake.llm.common import stage, text_of
 from rawlake.session import work_folder
 
@@ -102,6 +102,18 @@ def op10_minimax_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_slot_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    values = {f: F.col(f) for f in merkle.FIELDS}
+    tampered = merkle.leaf_digest(*(values | {"text": F.replace("text", F.lit("\n"), F.lit(""))}).values())
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    found = merkle.manifest(table(spark, sf, "documents"), carry={"tampered": F.when(hit, tampered)})
+    root = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    proof = merkle.sibling_digest(F.col("path")).alias("proof_sha256")
+    out = found.select("doc_id", "leaf", "subroot", "root", proof, root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -166,3 +178,36 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, p.y FROM r JOIN p
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
 """
+
+FIELD_SQL = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+LEAF_SQL = "sha256(" + " || ".join(FIELD_SQL.format(f) for f in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+# bit by bit over the characters of a decimal number
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''),
+  lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))))"""
+
+ORACLE["op11_slot_pivot"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {LEAF_SQL.format(FIELD_SQL.format("text"))} AS leaf,
+    {LEAF_SQL.format(FIELD_SQL.format("replace(text, chr(10), '')"))} AS cut, {CRC_SQL.format("doc_id")} % 2 = 0 AS hit FROM documents),
+g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER () AS sources FROM (SELECT DISTINCT source FROM d)),
+e AS (SELECT d.*, s, sources, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+t AS (SELECT 0 AS lvl, s, i, n, leaf AS h FROM e
+  UNION ALL SELECT lvl + 1, s, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lvl, s, i // 3),
+u AS (SELECT s, lvl AS depth, h FROM t WHERE n = 1),
+v AS (SELECT 0 AS lvl, s AS i, (SELECT count(*) FROM g) AS n, h FROM u
+  UNION ALL SELECT lvl + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM v WHERE n > 1 GROUP BY lvl, i // 3),
+k AS (SELECT 0 AS up, s, lvl, i, n, h FROM t UNION ALL SELECT 1, -1, lvl, i, n, h FROM v),
+b AS (SELECT a.up, a.s, a.lvl, a.i, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < a.i), '') AS l,
+    coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > a.i), '') AS r
+  FROM k a JOIN k o ON a.up = o.up AND a.s = o.s AND a.lvl = o.lvl AND a.i // 3 = o.i // 3 WHERE a.n > 1 GROUP BY ALL),
+f AS (SELECT s, i, 0 AS up, s AS tree, 0 AS lvl, i AS pos, CASE WHEN hit THEN cut ELSE leaf END AS h, '' AS proof, false AS done FROM e
+  UNION ALL
+  SELECT f.s, f.i, CASE WHEN b.i IS NULL THEN 1 ELSE f.up END, CASE WHEN b.i IS NULL THEN -1 ELSE tree END,
+    CASE WHEN b.i IS NULL THEN 0 ELSE f.lvl + 1 END, CASE WHEN b.i IS NULL THEN f.s ELSE pos // 3 END,
+    CASE WHEN b.i IS NULL THEN h ELSE sha256(l || h || r) END, CASE WHEN b.i IS NULL THEN proof ELSE proof || l || r END, b.i IS NULL AND f.up = 1
+  FROM f LEFT JOIN b ON b.up = f.up AND b.s = f.tree AND b.lvl = f.lvl AND b.i = f.pos WHERE NOT done),
+w AS (SELECT s, i, h AS folded_root, sha256(proof) AS proof_sha256 FROM f WHERE done),
+z AS (SELECT h AS root FROM v WHERE n = 1)
+SELECT doc_id, leaf, u.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM e JOIN w USING (s, i) JOIN u USING (s), z
+"""
