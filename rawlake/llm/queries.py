@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawlake.llm import decontaminate, line_runs, merkle, mixing, near_dups, packing, quality, sharding, substrings, suffixes, warc
+from rawlake.llm import decontaminate, divergence, line_runs, merkle, mixing, near_dups, packing, quality, sharding, substrings, suffixes, warc
 from rawlake.llm.common import stage, text_of
 from rawlake.session import work_folder
 
@@ -114,6 +114,11 @@ def op11_slot_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op12_pointer_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -211,3 +216,22 @@ z AS (SELECT h AS root FROM v WHERE n = 1)
 SELECT doc_id, leaf, u.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
 FROM e JOIN w USING (s, i) JOIN u USING (s), z
 """
+
+ORACLE["op12_pointer_sort"] = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc, lang, source, {LOWER_SQL.format("unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))")} AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+a AS (SELECT g.lang, g.source, term FROM g JOIN k USING (lang)),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+m AS (SELECT a.*, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v
+  FROM a LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + CAST(1000000000 * CAST(n + 5 AS HUGEINT) // (sum(n) OVER l + 5 * count(*) OVER l) AS BIGINT) AS q FROM k WINDOW l AS (PARTITION BY lang)),
+p AS (SELECT lang, source, term, n, 1 + CAST(1000000000 * CAST(n + 5 AS HUGEINT) // (total + 5 * v) AS BIGINT) AS p FROM m),
+x AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL),
+r AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 50
+"""
