@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rawlake.llm import decontaminate, divergence, line_runs, merkle, mixing, near_dups, packing, quality, sharding, substrings, suffixes, warc
+from rawlake.llm import decontaminate, divergence, language, line_runs, merkle, mixing, near_dups, packing, quality, sharding, substrings, suffixes, warc
 from rawlake.llm.common import stage, text_of
 from rawlake.session import work_folder
 
@@ -119,6 +119,15 @@ def op12_pointer_sort(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.divergence(table(spark, sf, "documents"))
 
 
+@query
+def op13_subword_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
+    model = language.learn(docs.where(part != 1).select("text", "lang"))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
