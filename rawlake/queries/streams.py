@@ -42,17 +42,13 @@ def r3(spark, sf):
         (F.col("l_partkey") % 4 == 0).alias("cancelled"),
         F.lit("").alias("error"),
     )
-    states = live.job_states(events)
-    out = live.run_to_end(states, "update")
-    return live.latest(spark, out, states.schema, ["job_id"]).select("job_id", "seq", "kind", "percent", "cancelled")
+    checkpoint = live.run_keyed(live.job_states(events), work_folder(spark))
+    return live.job_table(spark, checkpoint).select("job_id", "seq", "kind", "percent", "cancelled")
 
 
-# seconds that the final watermark has closed
 R4 = f"""
-WITH RECURSIVE w AS (SELECT epoch_us(max(ts)) // 1000 - 10000 AS mark FROM events),
-per AS (SELECT user_id AS clip_id, epoch_us(ts) // 1000000 AS second, count(*) AS n FROM events GROUP BY 1, 2),
-done AS (SELECT per.* FROM per, w WHERE (second + 1) * 1000 <= mark),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY second) AS k FROM done),
+WITH RECURSIVE per AS (SELECT user_id AS clip_id, epoch_us(ts) // 1000000 AS second, count(*) AS n FROM events GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY second) AS k FROM per),
 ema AS (SELECT clip_id, second, n, k, n::DOUBLE AS rate FROM ranked WHERE k = 1
   UNION ALL SELECT r.clip_id, r.second, r.n, r.k, e.rate * 0.9::DOUBLE + r.n::DOUBLE * 0.1::DOUBLE FROM ema e JOIN ranked r ON r.clip_id = e.clip_id AND r.k = e.k + 1)
 SELECT clip_id, second, n, {micro_sql('rate')} AS rate FROM ema
@@ -63,9 +59,7 @@ SELECT clip_id, second, n, {micro_sql('rate')} AS rate FROM ema
 def r4(spark, sf):
     e = stream_table(spark, sf, "events")
     frames = e.select(F.col("user_id").alias("clip_id"), F.timestamp_micros(epoch_micros(F.col("ts"))).alias("at"))
-    folder = work_folder(spark)
-    live.smoothed_stream(live.second_counts(frames), folder).awaitTermination()
-    got = spark.read.schema("clip_id bigint, second bigint, n bigint, rate double").parquet(f"{folder}/out/part=*")
+    got = live.rates_to_end(frames, work_folder(spark))
     return got.select("clip_id", "second", "n", micro(F.col("rate")).alias("rate"))
 
 

@@ -141,22 +141,41 @@ def test_streams_over_several_batches_equal_batch(spark, tmp_path):
 
 def test_live_rate_carries_over_batches(spark, tmp_path):
     src = str(tmp_path / "in")
-    counts = {s: 1 + (s * 7) % 5 for s in range(0, 60, 2)}
-    for start in (0, 20, 40):
-        rows = [(1, s * 1000 + k) for s, n in counts.items() if start <= s < start + 20 for k in range(n)]
+    counts = {(c, s): 1 + (s * 7 + c) % 5 for c in (1, 2) for s in range(1000, 1060, 2) if c == 1 or s > 1030}
+    for start in (1000, 1020, 1040):
+        rows = [(c, s * 1000 + k) for (c, s), n in counts.items() if start <= s < start + 20 for k in range(n)]
         df = small_table(spark, rows, "clip_id int, ms bigint").withColumn("at", F.timestamp_millis("ms")).drop("ms")
         df.coalesce(1).write.mode("append").parquet(src)
         schema = df.schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    live.smoothed_stream(live.second_counts(stream, late="0 seconds"), str(tmp_path / "run")).awaitTermination()
-    got = {r.second: r.rate for r in spark.read.parquet(str(tmp_path / "run" / "out")).collect()}
-    rate, want = None, {}
-    for s, n in sorted(counts.items()):
-        rate = float(n) if rate is None else rate * 0.9 + n * 0.1
-        want[s] = rate
-    assert len(got) >= 25
-    for s, r in got.items():
-        assert r == pytest.approx(want[s])
+    folder = str(tmp_path / "run")
+    got = {(r.clip_id, r.second): (r.n, r.rate) for r in live.rates_to_end(stream, folder, late="5 seconds").collect()}
+    want = {}
+    for c in (1, 2):
+        rate = None
+        for (clip, s), n in sorted(counts.items()):
+            if clip == c:
+                rate = float(n) if rate is None else rate * 0.9 + n * 0.1
+                want[c, s] = (n, pytest.approx(rate))
+    # the last seconds too, which no later frame closes
+    assert got == want
+    told = spark.read.parquet(f"{folder}/out").count()
+    assert 30 < told < len(want)
+
+
+def test_job_state_is_a_row_per_job(spark, tmp_path):
+    src = str(tmp_path / "in")
+    ddl = "job_id int, seq int, kind string, percent double, cancelled boolean, error string"
+    rows = [(j, 10 * s + b, "progress" if s < 3 else ("ok" if j % 2 else "error"), 25.0 * s, j == 3, f"e{s}") for b in range(3) for s in range(4) for j in range(5)]
+    for part in range(4):
+        small_table(spark, rows[part::4], ddl).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+    checkpoint = live.run_keyed(live.job_states(stream), str(tmp_path / "run"))
+    got = {r.job_id: (r.seq, r.kind, r.percent, r.error, r.outcome) for r in live.job_table(spark, checkpoint).collect()}
+    ends = ["Failed", "Completed", "Failed", "Waiting", "Failed"]
+    assert got == {j: (32, "ok" if j % 2 else "error", 75.0, "e3", ends[j]) for j in range(5)}
+    # four batches, one row per job
+    assert spark.read.format("statestore").load(checkpoint).count() == 5
 
 
 def test_encode_by_clip_uses_each_clips_curve(spark):
