@@ -15,11 +15,13 @@ from rawlake.llm.common import stage, text_of
 from rawlake.session import attach
 
 # Bytes of text in one shard. A longer text is counted in slices of this size.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 12 << 20
 # Slices of at most so many pointers are sorted by their next word of eight bytes at once.
 SMALL = 1 << 14
+# Slices of at most so many pointers are sorted together, as each costs a few array calls.
+TINY = 2048
 # Sources whose distances are computed together, and about how many counts with them.
-SOURCES, CELLS = 256, 1 << 20
+SOURCES, CELLS = 256, 1 << 14
 SCALE, PRIOR = 1_000_000_000, 5
 COUNT = "lang string, source string, term string, n bigint, df bigint"
 COUNT_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
@@ -33,6 +35,13 @@ LOWERED = np.where(IS_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
 HEADS = np.array([0, *((0xFFFFFFFFFFFFFFFF << (64 - 8 * k)) & 0xFFFFFFFFFFFFFFFF for k in range(1, 9))], dtype=np.uint64)
 
 
+def _runs(cut: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each run of equal keys, and whether several words go on behind it."""
+    at = np.append(0, np.flatnonzero(cut) + 1)
+    ends = np.append(at[1:], len(key))
+    return at, ends, (key[at] & np.uint64(0xFF) != 0) & (ends - at > 1)
+
+
 class Pointers:
     """Pointers to the words of several texts that lie end to end in one buffer, and their sort."""
 
@@ -58,7 +67,7 @@ class Pointers:
 
     def _next(self, at: np.ndarray, depth: int) -> np.ndarray:
         """The eight bytes of each word from ``depth`` on; zeros follow its end."""
-        left = np.clip(self.size[at] - depth, 0, 8)
+        left = np.minimum(np.maximum(self.size[at] - depth, 0), 8)
         return self.words[np.minimum(self.start[at] + depth, len(self.words) - 1)].astype(np.uint64) & HEADS[left]
 
     def sort(self) -> tuple[np.ndarray, np.ndarray]:
@@ -71,21 +80,26 @@ class Pointers:
         order = np.arange(n)
         begins = np.zeros(n, dtype=bool)
         todo = [(0, n, 0)] if n else []
+        tiny: dict[int, list[np.ndarray]] = {}
         while todo:
             low, high, depth = todo.pop()
             begins[low] = True
-            if high - low == 1:
+            if high - low <= TINY:
+                if high - low > 1:
+                    tiny.setdefault(depth, []).append(np.array([[low, high]]))
                 continue
             part = order[low:high]
             key = self._next(part, depth)
             if high - low <= SMALL:
                 by = np.argsort(key, kind="stable")
                 order[low:high], key = part[by], key[by]
-                cut = np.flatnonzero(np.diff(key)) + 1
-                begins[low + cut] = True
-                bounds = np.concatenate([[0], cut, [high - low]])
-                longer = np.flatnonzero((key[bounds[:-1]] & np.uint64(0xFF) != 0) & (np.diff(bounds) > 1))
-                todo += [(low + int(bounds[k]), low + int(bounds[k + 1]), depth + 8) for k in longer]
+                at, ends, goes_on = _runs(key[1:] != key[:-1], key)
+                begins[low + at] = True
+                few = goes_on & (ends - at <= TINY)
+                if few.any():
+                    tiny.setdefault(depth + 8, []).append(low + np.stack([at[few], ends[few]], axis=1))
+                many = np.flatnonzero(goes_on & ~few)
+                todo += [(low + int(at[k]), low + int(ends[k]), depth + 8) for k in many]
                 continue
             some = np.sort(key[:: max(1, len(key) // 63)])
             pivot = some[len(some) // 2]
@@ -101,9 +115,24 @@ class Pointers:
             begins[first] = True
             if int(pivot) & 0xFF and len(b) > 1:
                 todo.append((first, second, depth + 8))
+        # slices of a few pointers, all of one depth at once
+        while tiny:
+            depth = min(tiny)
+            bounds = np.concatenate(tiny.pop(depth))
+            sizes = bounds[:, 1] - bounds[:, 0]
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(of)) + np.repeat(bounds[:, 0] - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+            part = order[place]
+            key = self._next(part, depth)
+            by = np.lexsort((key, of))
+            order[place], key = part[by], key[by]
+            at, ends, goes_on = _runs((key[1:] != key[:-1]) | (of[1:] != of[:-1]), key)
+            begins[place[at]] = True
+            if goes_on.any():
+                tiny[depth + 8] = [*tiny.get(depth + 8, []), np.stack([place[at[goes_on]], place[at[goes_on]] + (ends - at)[goes_on]], axis=1)]
         return order, begins
 
-    def counts(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    def counts(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """(word, group, occurrences, texts that hold it), for every word and group."""
         order, begins = self.sort()
         group, text = self.group[order], self.text[order]
@@ -111,8 +140,11 @@ class Pointers:
         at = np.flatnonzero(runs)
         fresh = runs | np.append(True, text[1:] != text[:-1])[: len(order)]
         texts = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else at
-        held, first = self.buffer.tobytes(), order[at]
-        words = [held[s : s + k] for s, k in zip(self.start[first].tolist(), self.size[first].tolist(), strict=True)]
+        first = order[at]
+        size = self.size[first]
+        ends = np.append(0, np.cumsum(size))
+        place = np.arange(ends[-1]) + np.repeat(self.start[first] - ends[:-1], size)
+        words = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.buffer[place])])
         return words, group[at], np.diff(at, append=len(order)), texts
 
 
@@ -120,7 +152,7 @@ def _emit(groups: list[tuple[str, str]], counted: tuple) -> pa.RecordBatch:
     words, group, n, df = counted
     codes = pa.array(group.astype(np.int32))
     lang, source = (pa.DictionaryArray.from_arrays(codes, pa.array([g[k] for g in groups], pa.string())).cast(pa.string()) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([lang, source, pa.array(words, pa.binary()).cast(pa.string()), pa.array(n), pa.array(df)], schema=COUNT_ARROW)
+    return pa.RecordBatch.from_arrays([lang, source, words, pa.array(n), pa.array(df)], schema=COUNT_ARROW)
 
 
 def _slices(raw: np.ndarray) -> Iterator[np.ndarray]:
@@ -148,18 +180,18 @@ def shard_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([len(t) for _, t in held])
         group = np.array([number[g] for g, _ in held], dtype=np.uint16 if len(groups) < 1 << 16 else np.int64)
         counted = Pointers(np.concatenate([t for _, t in held]), ends, group).counts()
-        if counted[0]:
+        if len(counted[0]):
             yield _emit(groups, counted)
 
     def long(group: tuple[str, str], raw: np.ndarray) -> Iterator[pa.RecordBatch]:
         # slices of one text: their words are one document's
-        total: Counter[bytes] = Counter()
+        total: Counter[str] = Counter()
         for piece in _slices(raw):
             words, _, n, _ = Pointers(piece, np.array([len(piece)]), np.zeros(1, dtype=np.uint16)).counts()
-            total.update(dict(zip(words, n.tolist(), strict=True)))
+            total.update(dict(zip(words.to_pylist(), n.tolist(), strict=True)))
         if total:
             words = list(total)
-            yield _emit([group], (words, np.zeros(len(words), dtype=np.int32), np.array([total[w] for w in words]), np.ones(len(words), dtype=np.int64)))
+            yield _emit([group], (pa.array(words), np.zeros(len(words), dtype=np.int32), np.array([total[w] for w in words]), np.ones(len(words), dtype=np.int64)))
 
     held, size = [], 0
     for group, raw in rows():
@@ -290,7 +322,7 @@ def divergence(
         {
             "place": F.row_number().over(of_lang.orderBy("source")) - 1,
             "sources": F.count(F.lit(1)).over(of_lang),
-            "buckets": F.expr(f"1 + sum(cells) over (partition by lang) div {CELLS}"),
+            "buckets": F.expr(f"1 + sum(cells) over (partition by lang) div greatest({CELLS}, 4 * count(*) over (partition by lang))"),
             "absent": F.when(F.col("terms") > 0, smoothed(F.lit(0), F.col("total"), F.col("terms"))).otherwise(F.lit(0)),
         }
     )

@@ -73,9 +73,10 @@ def test_no_term_is_kept_and_no_row(table):
     assert divergence.divergence(table([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("small", [1, 4, 1 << 14])
-def test_pointers_are_sorted(monkeypatch, small):
+@pytest.mark.parametrize(("small", "tiny"), [(1, 0), (4, 2), (16, 0), (8, 8), (1 << 14, 256)])
+def test_pointers_are_sorted(monkeypatch, small, tiny):
     monkeypatch.setattr(divergence, "SMALL", small)
+    monkeypatch.setattr(divergence, "TINY", tiny)
     rng = random.Random(small)
     for _ in range(30):
         texts = ["".join(rng.choice("aAbé -") for _ in range(rng.randrange(1, 90))) for _ in range(rng.randrange(1, 6))]
@@ -83,7 +84,7 @@ def test_pointers_are_sorted(monkeypatch, small):
         raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
         group = np.array([rng.randrange(2) for _ in texts], dtype=np.uint16)
         p = divergence.Pointers(np.concatenate(raw), np.cumsum([len(r) for r in raw]), group)
-        got = list(zip(*[list(x) for x in p.counts()], strict=True))
+        got = [(w.encode(), *r) for w, *r in zip(*[x.to_pylist() if isinstance(x, pa.Array) else list(x) for x in p.counts()], strict=True)]
         n, df = Counter(), Counter()
         for t, g in zip(texts, group, strict=True):
             n.update((w.encode(), g) for w in words(t))
