@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rawlake.llm.common import hash_pair, stage, text_of, words_of
+from rawlake.session import attach
 
 # Placeholders are private-use characters, which take the place of whole words.
 NUMBER, NAME, UNIT = "", "", ""
@@ -17,6 +18,8 @@ UNITS = (
     "liters litres seconds minutes hours days weeks months years degrees"
 ).split()
 ROW = ["__leak_row1", "__leak_row2"]
+# Hashes of benchmark items of at most so many stored bytes are sent to all tasks.
+ITEM_BYTES = 16 << 20
 
 
 def template(words: Column) -> Column:
@@ -26,9 +29,9 @@ def template(words: Column) -> Column:
     with it. A unit is a known unit word after a number. The list stays as long as ``words``.
     """
     text = F.array_join(words, " ")
-    text = F.regexp_replace(text, "(?<![^ ])[^ ]*[0-9][^ ]*", NUMBER)
-    text = F.regexp_replace(text, f"(?<={NUMBER} )(?:{'|'.join(UNITS)}|[%°€$£])(?=[.,;:!?)]*(?: |$))", UNIT)
-    text = F.regexp_replace(text, "(?<=[^ .!?:] )\\p{Lu}[^ ]*", NAME)
+    text = F.regexp_replace(text, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", NUMBER)
+    text = F.regexp_replace(text, f"{NUMBER} (?:{'|'.join(UNITS)}|[%°€$£])(?=[.,;:!?)]*(?: |$))", f"{NUMBER} {UNIT}")
+    text = F.regexp_replace(text, "\\p{Lu}(?<=[^ .!?:] \\p{Lu})[^ ]*", NAME)
     text = F.lower(F.regexp_replace(text, "\\p{P}+", ""))
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
@@ -45,19 +48,28 @@ def blocks(tokens: Column, width: int) -> Column:
     return F.when(F.size(tokens) >= width, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def quotes(docs: DataFrame, benchmark: DataFrame, run: int) -> DataFrame:
-    """(id, r1, r2, item, item_row) of documents with ``run`` equal words of an item, or all words of a shorter one.
+def bare_words(text: Column) -> Column:
+    """Words in lower case without any punctuation; words of punctuation only are left out.
+
+    Where ``plain_words`` are equal these are too, so that they find all texts worth a
+    closer look, at a fraction of the cost.
+    """
+    return words_of(F.regexp_replace(F.lower(text), "\\p{P}+", ""))
+
+
+def quotes(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
+    """(id, r1, r2, item, item_row) of documents (id, r1, r2, text) with ``run`` equal words of an item, or all words of a shorter one.
 
     Such a run holds a whole block of (run + 1) / 2 words wherever it starts, so that blocks,
     which follow each other in documents and start at every word of items, find the
     documents whose runs are then compared.
     """
-    runs = stage(benchmark.select("item", "item_row", "words").withColumn("tokens", plain_words(F.col("words"))).drop("words").distinct())
+    runs = stage(items.select("item", "item_row", "text", plain_words(words_of(F.col("text"))).alias("tokens")).distinct())
     runs = runs.withColumn("run", F.least(F.size("tokens"), F.lit(run))).where("run > 0")
     sizes = sorted(r["run"] for r in runs.select("run").distinct().collect())  # at most ``run`` numbers
-    tokens = docs.select("id", "r1", "r2", plain_words(F.col("words")).alias("tokens"))
+    halves = sorted({(n + 1) // 2 for n in sizes})
 
-    def hashed(rows: DataFrame, sizes: list[int], each) -> Column:
+    def hashed(sizes: list[int], each) -> Column:
         def named(n: int) -> Column:
             return F.transform(each(F.col("tokens"), n), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
 
@@ -68,15 +80,15 @@ def quotes(docs: DataFrame, benchmark: DataFrame, run: int) -> DataFrame:
         return F.transform(windows(tokens, n), lambda x: x["h"])
 
     half = F.floor((F.col("run") + 1) / 2).cast("int")
-    halves = sorted({(n + 1) // 2 for n in sizes})
-    theirs = runs.select("item_row", "run", half.alias("half"), hashed(runs, halves, every)).where("n = half")
-    ours = tokens.select("id", "r1", "r2", hashed(tokens, halves, blocks)).distinct()
-    near = stage(ours.join(theirs.select("item_row", "run", "n", "h").distinct(), ["n", "h"]).select("r1", "r2", "item_row", "run").distinct())
-    again = tokens.join(near.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi").distinct()
-    ours = again.select("id", "r1", "r2", hashed(again, sizes, every)).distinct()
-    theirs = runs.select("item", "item_row", "run", hashed(runs, sizes, every)).where("n = run").distinct()
-    equal = ours.join(theirs, ["n", "h"]).select("id", "r1", "r2", "item", "item_row", "run")
-    return equal.join(near, ["r1", "r2", "item_row", "run"], "left_semi").drop("run").distinct()
+    theirs = runs.withColumn("tokens", bare_words(F.col("text"))).select("item_row", "run", half.alias("half"), hashed(halves, every))
+    theirs = stage(theirs.where("n = half").select("n", "h").distinct())
+    ours = docs.select("r1", "r2", bare_words(F.col("text")).alias("tokens")).select("r1", "r2", hashed(halves, blocks))
+    near = stage(attach(ours, theirs, ["n", "h"], "inner", spread=["r1"], limit=ITEM_BYTES).select("r1", "r2").distinct())
+    again = docs.join(near, ["r1", "r2"], "left_semi").distinct()
+    again = again.select("id", "r1", "r2", plain_words(words_of(F.col("text"))).alias("tokens")).select("id", "r1", "r2", hashed(sizes, every))
+    theirs = stage(runs.select("item", "item_row", "run", hashed(sizes, every)).where("n = run").select("n", "h", "item", "item_row").distinct())
+    equal = attach(again, theirs, ["n", "h"], "inner", spread=["r1"], limit=ITEM_BYTES)
+    return stage(equal.select("id", "r1", "r2", "item", "item_row").distinct())
 
 
 def windows(tokens: Column, width: int) -> Column:
@@ -90,12 +102,13 @@ def windows(tokens: Column, width: int) -> Column:
 
 def item_words(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     row = F.xxhash64(F.col(item_col), text_of(text_col)).alias("item_row")
-    return benchmark.select(F.col(item_col).alias("item"), row, words_of(text_of(text_col)).alias("words"))
+    return benchmark.select(F.col(item_col).alias("item"), row, text_of(text_col).alias("text"))
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int, literals: int) -> DataFrame:
     """Windows of benchmark items that hold at least ``literals`` words besides slots."""
-    tokens = item_words(benchmark, item_col, text_col).withColumn("tokens", template(F.col("words")))
+    tokens = item_words(benchmark, item_col, text_col).withColumn("words", words_of(F.col("text")))
+    tokens = tokens.withColumn("tokens", template(F.col("words")))
     each = tokens.select("item", "item_row", "words", "tokens", F.inline(windows(F.col("tokens"), width)))
     cut = F.slice("tokens", F.col("at") + 1, width)
     literal = F.size(F.filter(cut, lambda t: (t != "") & ~F.rlike(t, F.lit(SLOTS))))
@@ -168,14 +181,16 @@ def leaks(
     items = stage(item_windows(benchmark, item_col, item_text_col, width, literals))
     sizes = items.groupBy("item", "item_row").agg(F.count_distinct("h").alias("n_windows"))
     row = hash_pair(F.col(id_col), text_of(text_col))
-    words = docs.select(F.col(id_col).alias("id"), row[0].alias("r1"), row[1].alias("r2"), words_of(text_of(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("id"), row[0].alias("r1"), row[1].alias("r2"), text_of(text_col).alias("text"))
     keys = ["id", "r1", "r2", "item", "item_row"]
 
-    tokens = words.select("id", "r1", "r2", template(F.col("words")).alias("tokens"))
+    tokens = texts.select("id", "r1", "r2", template(words_of(F.col("text"))).alias("tokens"))
     each = tokens.select("id", "r1", "r2", F.inline(windows(F.col("tokens"), width)))
-    hits = each.select("id", "r1", "r2", "h").join(items.select("item", "item_row", "h").distinct(), "h")
+    # windows meet the items where they are made, unless the benchmark is too large to be sent there
+    hashes = stage(items.select("item", "item_row", "h").distinct())
+    hits = attach(each.select("id", "r1", "r2", "h"), hashes, ["h"], "inner", spread=["r1"], limit=ITEM_BYTES)
     found = hits.select(*keys, "h").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matched"))
-    equal = quotes(words, item_words(benchmark, item_col, item_text_col), run).withColumn("quoted", F.lit(True))
+    equal = quotes(texts, item_words(benchmark, item_col, item_text_col), run).withColumn("quoted", F.lit(True))
     equal = equal.select(*keys, F.lit(0).cast("bigint").alias("n_matched"), "quoted")
     found = found.withColumn("quoted", F.lit(False)).unionByName(equal)
     found = found.groupBy(*keys).agg(F.max("n_matched").alias("n_matched"), F.max("quoted").alias("quoted"))
@@ -184,7 +199,8 @@ def leaks(
 
     # the few candidates again, with their slots
     pairs = found.select("r1", "r2", "item_row").distinct()
-    again = words.drop("id").join(pairs.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    again = texts.drop("id").join(pairs.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    again = again.withColumn("words", words_of(F.col("text")))
     again = again.withColumn("tokens", template(F.col("words")))
     again = again.select("r1", "r2", "words", "tokens", F.inline(windows(F.col("tokens"), width)))
     mine = again.join(items.select("h").distinct(), "h", "left_semi")
