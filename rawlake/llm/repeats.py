@@ -23,6 +23,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ class Stretches:
 
     def __init__(self, units: np.ndarray, ends: np.ndarray, width: int, gram: int, chunk: int = 0):
         self.rolling = Rolling(units)
-        self.width, self.gram, self.ends = width, gram, ends
+        self.units, self.width, self.gram, self.ends = units, width, gram, ends
         self.grams = mixed(self.rolling.every(gram)) if len(units) >= width else np.zeros(0, dtype=np.uint64)
         inside = np.ones(max(0, len(units) - width + 1), dtype=bool)
         for begin, end in zip([0, *ends[:-1]], ends, strict=True):
@@ -108,10 +109,18 @@ class Stretches:
         doc, row, offset = (np.array([key[c] for key in keys], dtype=np.int64)[text] for c in range(3))
         return doc, row, first - (self.ends - np.diff(self.ends, prepend=0))[text] + offset
 
-    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, windows, hash) of the chunks."""
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, windows, hash, second hash) of the chunks.
+
+        Texts of some patterns have equal rolling hashes if they are long, and a chunk has no
+        longest length. The second hash is of another kind, so that only equal chunks agree
+        in both.
+        """
         first, n = self.starts[self.chunk_at], self.chunk_count
-        return first, n, mixed(self.rolling.at(first, n + self.width - 1) + n.astype(np.uint64))
+        raw, size = memoryview(np.ascontiguousarray(self.units)).cast("B"), self.units.itemsize
+        bounds = zip((first * size).tolist(), ((first + n + self.width - 1) * size).tolist(), strict=True)
+        second = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in bounds), dtype=np.uint64, count=len(first))
+        return first, n, mixed(self.rolling.at(first, n + self.width - 1) + n.astype(np.uint64)), second
 
     def find(self, chosen: np.ndarray | None = None) -> Stretches:
         """Set the stretches, of the chosen chunks only."""
@@ -338,16 +347,16 @@ KEY = ["doc", "row"]
 
 
 def chunks(docs: DataFrame, units: Callable, width: int, gram: int, chunk: int) -> DataFrame:
-    """(doc, row, first, n, whole) of all chunks."""
+    """(doc, row, first, n, whole, second) of all chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, laid, ends in parts(units(batches), width):
             s = Stretches(laid, ends, width, gram, chunk)
-            first, n, whole = s.chunks()
-            columns = [*s.in_text(keys, first), n.astype(np.int64), whole.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "row", "first", "n", "whole"])
+            first, n, whole, second = s.chunks()
+            columns = [*s.in_text(keys, first), n.astype(np.int64), whole.view(np.int64), second.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "row", "first", "n", "whole", "second"])
 
-    return docs.mapInArrow(run, "doc bigint, row bigint, first bigint, n bigint, whole bigint")
+    return docs.mapInArrow(run, "doc bigint, row bigint, first bigint, n bigint, whole bigint, second bigint")
 
 
 def stretches(
@@ -421,8 +430,8 @@ def staged_stretches(docs: DataFrame, units: Callable, width: int, gram: int, de
     wanted = removed = None
     if chunk:
         cut = stage(chunks(docs, units, width, gram, chunk))
-        least = cut.groupBy("whole").agg(F.min("doc").alias("least"))
-        told = stage(cut.join(least, "whole").select(*KEY, "first", "n", (F.col("doc") > F.col("least")).alias("gone")))
+        least = cut.groupBy("whole", "second").agg(F.min("doc").alias("least"))
+        told = stage(cut.join(least, ["whole", "second"]).select(*KEY, "first", "n", (F.col("doc") > F.col("least")).alias("gone")))
         wanted = Bits(told.where(~F.col("gone")), *KEY, "first")
         removed = told.where("gone")
     merged = stage(sketch(docs, units, width, gram, depth, bits, chunk, wanted))

@@ -109,3 +109,16 @@ def test_long_texts_in_parts(monkeypatch):
         start = s.first - (ends - np.diff(ends, prepend=0))[s.text] + offset[s.text]
         seen += [a + i for a, n in zip(start, s.count, strict=True) for i in range(n)]
     assert sorted(seen) == list(range(451))
+
+
+def test_equal_rolling_hashes_are_not_equal_texts(spark, table):
+    """Thue-Morse texts and their complements agree in every polynomial hash modulo 2 ** 64."""
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    rows = []
+    for k, pair in enumerate(["ab", "xy", "nq"]):
+        one, other = ("".join(pair[b ^ flip] for b in bits) for flip in (0, 1))
+        assert repeats.Rolling(np.frombuffer(one.encode(), np.uint8)).at(np.array([0]), 4096) == repeats.Rolling(np.frombuffer(other.encode(), np.uint8)).at(np.array([0]), 4096)
+        rows += [(2 * k, f"{k}123456789" + one), (2 * k + 1, f"{k}123456789" + other), (20 + k, one)]
+    got = {r[0]: bytes(r[1]) for r in suffixes.dedup_bytes(table(rows, "doc_id bigint, text string"), bits=16).collect()}
+    for (d, _), (u, mask) in zip(rows, brute(rows, lambda t: t.encode(), 50), strict=True):
+        assert got[d] == bytes(b for b, m in zip(u, mask, strict=True) if not m)
