@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rawlake.llm.common import stage
 
 
-def _sum(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 31))).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a written table, and their number and a sum of their hashes, taken while writing."""
+    seen = Observation()
+    h = F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 31))
+    held = stage(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")))
+    return held, (seen.get["n"], seen.get["h"] or 0)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,8 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     around it, until nothing changes. A node with very many edges is only ever aggregated or
     joined to one row. Each round is a written table.
     """
-    held = stage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where(F.col("hi") != F.col("lo")).distinct())
-    before = _sum(held)
+    held, before = _counted(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where(F.col("hi") != F.col("lo")).distinct())
     while before[0]:
         both = held.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(held.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -29,8 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = stage(large)
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(small, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        held = stage(moved.union(small.select("hi", "m")).distinct())
-        after = _sum(held)
+        held, after = _counted(moved.union(small.select("hi", F.col("m").alias("lo"))).distinct())
         if after == before:
             break
         before = after

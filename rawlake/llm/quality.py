@@ -122,21 +122,31 @@ def thresholds(rows: DataFrame) -> dict[str, list[float]]:
     return {f: sorted({x for b in (0, 1) for x in row[f"{f}_{b}"] or []}) for f in FEATURES}
 
 
-def counted(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str, bool, float], tuple[int, int]]:
-    """Bad and good rows behind every possible test, from one grouping by feature and step."""
+Cells = dict[tuple[str, bool, float], tuple[int, int]]
+
+
+def counted(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Cells, Cells]:
+    """Bad and good rows behind every possible test, of the rows to grow on and the held-out ones.
+
+    One grouping by feature and step counts all tests of both.
+    """
 
     def step(f: str) -> Column:
         return sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0))
 
     cells = F.array(*[F.struct(F.lit(f).alias("f"), step(f).alias("k")) for f in FEATURES])
-    grouped = rows.select("bad", F.explode(cells).alias("c")).groupBy("c.f", "c.k").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n"))
-    held = {(r["f"], r["k"]): (r["p"], r["n"] - r["p"]) for r in grouped.collect()}
-    out = {}
-    for f, points in cuts.items():
-        steps = [held.get((f, k), (0, 0)) for k in range(len(points) + 1)]
-        for k, c in enumerate(points):
-            out[f, False, c] = (sum(s[0] for s in steps[: k + 1]), sum(s[1] for s in steps[: k + 1]))
-            out[f, True, c] = (sum(s[0] for s in steps[k + 1 :]), sum(s[1] for s in steps[k + 1 :]))
+    each = rows.select("bad", (F.col("part") == 0).alias("held"), F.explode(cells).alias("c"))
+    grouped = each.groupBy("held", "c.f", "c.k").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n"))
+    found = {(r["held"], r["f"], r["k"]): (r["p"], r["n"] - r["p"]) for r in grouped.collect()}
+    out: tuple[Cells, Cells] = ({}, {})
+    for held, table in zip((False, True), out, strict=True):
+        if not any(k[0] == held for k in found):
+            continue
+        for f, points in cuts.items():
+            steps = [found.get((held, f, k), (0, 0)) for k in range(len(points) + 1)]
+            for k, c in enumerate(points):
+                table[f, False, c] = (sum(s[0] for s in steps[: k + 1]), sum(s[1] for s in steps[: k + 1]))
+                table[f, True, c] = (sum(s[0] for s in steps[k + 1 :]), sum(s[1] for s in steps[k + 1 :]))
     return out
 
 
@@ -145,14 +155,14 @@ def gain(cell: tuple[int, int], whole: tuple[int, int]) -> float:
     return cell[0] * (log2(cell[0] / sum(cell)) - log2(whole[0] / sum(whole))) if cell[0] else 0.0
 
 
-def grow(rows: DataFrame, check: DataFrame, cuts: dict[str, list[float]], max_tests: int) -> Rule:
+def grow(rows: DataFrame, cuts: dict[str, list[float]], max_tests: int) -> Rule:
     """Add the test with the most information gain until only bad rows are left; held-out rows decide ties."""
     rule: Rule = ()
     while len(rule) < max_tests:
-        table = counted(rows.where(holds(rule)), cuts)
-        other = counted(check.where(holds(rule)), cuts)
+        table, other = counted(rows.where(holds(rule)), cuts)
         if not table:
             break
+        other = other or dict.fromkeys(table, (0, 0))
         f, _, c = next(iter(table))
         whole, held = (tuple(x + y for x, y in zip(t[f, False, c], t[f, True, c], strict=True)) for t in (table, other))
         best = max(sorted(table), key=lambda k: (gain(table[k], whole), gain(other[k], held)))
@@ -204,13 +214,14 @@ def learn(
     # about max_labels ids, so the side to broadcast is bounded
     chosen = docs.select(F.col(id_col).alias("__label_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "__label_id")
     rows = statistics(chosen).select("row.bad", part_of("row.__label_id"), *[F.expr(e).alias(f) for f, e in FEATURES.items()])
-    rows = stage(rows)
+    # at most about max_labels rows of a few numbers, which every step below reads
+    rows = stage(rows.repartition(2))
     cuts = thresholds(rows)
     rules: list[Rule] = []
     while len(rules) < max_rules:
         left = rows.where(decision(rules).isNull())
         check = left.where(F.col("part") == 0)
-        rule = grow(left.where(F.col("part") > 0), check, cuts, max_tests)
+        rule = grow(left, cuts, max_tests)
         if not rule:
             break
         rule, p, n = prune(check, rule)
