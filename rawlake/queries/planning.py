@@ -260,7 +260,7 @@ def j10(spark, sf):
 # --- E7 ----------------------------------------------------------------------
 
 E7_PRESET_ROWS = f"""(SELECT n_nationkey AS batch, color_space, transfer_function, ['ProRes', 'DNxHR', 'HEVC', 'H.264', 'AV1', 'VP9'][n_nationkey % 6 + 1] AS codec_family, 'HQ' AS prores_profile, 'HQX' AS dnxhr_profile,
- 'Main 10 4:2:0' AS hevc_profile, 'Main 8-bit' AS h264_profile, 'Profile 0 4:2:0 10-bit' AS av1_profile, 'Profile 2 4:2:0 10-bit' AS vp9_profile, 'High Quality' AS rate_control FROM nation JOIN {NATION_PRESET} x ON x.batch = n_nationkey WHERE n_nationkey % 11 <> 0)"""
+ 'Main 10 4:2:0' AS hevc_profile, 'Main 8-bit' AS h264_profile, 'Profile 0 4:2:0 10-bit' AS av1_profile, 'Profile 2 4:2:0 10-bit' AS vp9_profile, 'High Quality' AS rate_control FROM nation JOIN {NATION_PRESET} x ON x.batch = n_nationkey)"""
 E7_BLOCKED = f"transfer_function IN ({LOGS}) AND codec_family = 'H.264'"
 E7_QUEUE = "(SELECT c_custkey AS seq, c_nationkey AS batch, '/in/' || CAST(c_custkey % 50 AS VARCHAR) || '.mcraw' AS path FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 1)"
 E7_ENCODER = {"HEVC": "hevc_nvenc", "H.264": "libx264", "AV1": "libaom-av1", "ProRes": "prores_ks"}
@@ -273,8 +273,7 @@ o AS (SELECT *, base || '_' || CAST(slot AS VARCHAR) || '.' || ext AS out FROM n
 a AS (SELECT *, encoder AS enc, {CODEC} AS codec, {PIX} AS pix_fmt, {BASE} AS base_args, NULL::VARCHAR AS rv FROM o),
 f AS (SELECT *, trim(base_args || {FILTER} || CASE WHEN codec_family IN ('ProRes', 'DNxHR') THEN '' ELSE {RATE} END || ' ' || {VUI}) AS codec_args FROM a)
 SELECT seq, out AS output_path, {_command('out', "CASE WHEN seq % 5 = 0 THEN '25' ELSE '30' END", 'seq % 2 = 0')} AS command, NULL::VARCHAR AS rejected FROM f
-UNION ALL SELECT seq, NULL, NULL, '{export.TOO_FEW_BITS}' FROM j WHERE {E7_BLOCKED}
-UNION ALL SELECT seq, NULL, NULL, '{export.NO_PRESET}' FROM {E7_QUEUE} WHERE batch % 11 = 0"""
+UNION ALL SELECT seq, NULL, NULL, '{export.TOO_FEW_BITS}' FROM j WHERE {E7_BLOCKED}"""
 
 
 @query("e7_export_plan", E7)
@@ -294,8 +293,7 @@ def e7(spark, sf):
         F.lit(48000).alias("audio_sample_rate"),
         F.lit(2).alias("audio_channels"),
     )
-    # some nations have no preset
-    n = nation_presets(spark, sf).where(F.col("batch") % 11 != 0)
+    n = nation_presets(spark, sf)
     defaults = {f: p for f, p, _, d in vocab.CODEC_PROFILE if d}
     n = n.withColumns(
         {
