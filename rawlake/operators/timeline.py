@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rawlake.operators.ordered import next_matching, ordinal
+from rawlake.operators.ordered import next_matching, ordinal, smoothed
+from rawlake.session import attach
 
 
 def _rate(count: Column, span_ns: Column, previous: Column) -> Column:
@@ -56,7 +54,8 @@ def progress(frames: DataFrame, key="clip_id", order=("ts_ns", "offset"), **kw)
     """Written share in percent after each frame."""
     totals = frames.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     done = ordinal(frames, [key], list(order), "written", **kw)
-    out = done.join(totals, key)
+    # frames without a clip have no total, and no share
+    out = attach(done, totals, [key], "inner", spread=list(order))
     return out.withColumn("percent", F.col("written").cast("double") / F.col("total").cast("double") * 100.0)
 
 
@@ -66,30 +65,11 @@ def per_second(frames: DataFrame, key="clip_id", second: Column | None = None) -
     return frames.groupBy(key, second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def smoothed_rate(rates: DataFrame, key="clip_id", keep: float = 0.9, **kw) -> DataFrame:
+def smoothed_rate(rates: DataFrame, key="clip_id", keep: float = 0.9, tasks: int | None = None) -> DataFrame:
     """Exponential smoothing of the per-second rate, starting at the first value.
 
-    The recurrence is linear, so it is a decaying sum. Seconds are taken in
-    blocks short enough that the decay can be undone exactly enough within one
-    (a factor of at most 1e6); blocks are chained through one row per block.
+    The recurrence is a chain of maps y -> keep * y + (1 - keep) * n, composed within each
+    range of seconds and then from range to range, so all history counts and any ``keep`` from
+    0 to 1 works.
     """
-    block = max(1, int(math.log(1e6) / -math.log(keep)))
-    # Beyond this many blocks even the largest count is below the last bit.
-    reach = math.ceil(math.log(1e36) / (-math.log(keep) * block))
-    placed = ordinal(rates, [key], ["second"], "_pos", **kw).withColumn("_pos", F.col("_pos") - 1)
-    at = (F.col("_pos") % block).cast("double")
-    share = F.when(F.col("_pos") == 0, 1.0).otherwise(1.0 - keep)
-    term = F.col("n").cast("double") * share * F.pow(F.lit(1.0 / keep), at)
-    placed = placed.withColumns({"_block": F.floor(F.col("_pos") / block), "_at": at, "_term": term})
-    within = W.partitionBy(key, "_block").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
-    local = placed.withColumn("_sum", F.sum("_term").over(within))
-    ends = placed.groupBy(key, "_block").agg(F.sum("_term").alias("_sum"))
-    ends = ends.withColumn("_end", F.col("_sum") * keep ** (block - 1))
-    order = W.partitionBy(key).orderBy("_block")
-    carry = F.lit(0.0)
-    for back in range(1, reach + 1):
-        earlier = F.coalesce(F.lag("_end", back).over(order), F.lit(0.0))
-        carry = carry + earlier * keep ** (block * (back - 1))
-    carried = ends.select(key, "_block", carry.alias("_carry"))
-    rate = (F.col("_sum") + F.col("_carry") * keep) * F.pow(F.lit(keep), F.col("_at"))
-    return local.join(carried, [key, "_block"]).select(key, "second", "n", rate.alias("rate"))
+    return smoothed(rates, [key], ["second"], F.col("n"), keep, "rate", tasks).select(key, "second", "n", "rate")

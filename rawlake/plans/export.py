@@ -6,15 +6,13 @@ the encoder's argument list. Nothing is run.
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rawlake import vocab
 from rawlake.functions import text
 from rawlake.operators.ordered import running_total
-from rawlake.session import SINGLE_WINDOW_LIMIT, attach, scan_bytes, small_table
+from rawlake.session import attach, small_table
 
 # ---------------------------------------------------------------------------
 # Pixel formats and arguments per codec family.
@@ -285,13 +283,12 @@ def free_slots(jobs: DataFrame, existing: DataFrame, base: str, order: list[str]
     which is a running count after a merge of both lists. So a name shared by
     any number of jobs is never gathered in one place.
     """
-    wanted = running_total(jobs, [base], order, F.lit(1).cast("bigint"), "_k", **kw).withColumn("_k", F.col("_k") - 1)
     used = existing.select(base, F.col(taken).cast("bigint").alias("_t")).distinct()
-    used = used.join(jobs.select(base).distinct(), base, "left_semi")
-    used = running_total(used, [base], ["_t"], F.lit(1).cast("bigint"), "_i", **kw)
-    marks = used.select(base, (F.col("_t") - F.col("_i") + 1).alias("_k"), F.lit(0).alias("_kind"), F.lit(1).cast("bigint").alias("_n"))
-    named = wanted.withColumns({"_kind": F.lit(1), "_n": F.lit(0).cast("bigint")})
-    merged = named.unionByName(marks, allowMissingColumns=True)
+    used = used.join(jobs.select(base).distinct(), base, "left_semi").withColumn("_kind", F.lit(0))
+    both = jobs.withColumn("_kind", F.lit(1)).unionByName(used, allowMissingColumns=True)
+    both = running_total(both, [base, "_kind"], ["_t", *order], F.lit(1), "_k", **kw).withColumn("_k", F.col("_k") - 1)
+    merged = both.withColumn("_k", F.when(F.col("_kind") == 1, F.col("_k")).otherwise(F.col("_t") - F.col("_k")))
+    merged = merged.withColumn("_n", 1 - F.col("_kind"))
     counted = running_total(merged, [base], ["_k", "_kind"], F.col("_n"), "_shift", **kw)
     out = counted.where(F.col("_kind") == 1).withColumn("slot", F.col("_k") + F.col("_shift"))
     return out.select(*jobs.columns, "slot")
@@ -342,8 +339,6 @@ def export_plan(
     Jobs that cannot run have the reason in ``rejected`` (blocked by F4, or without
     preset), take no output name and have no command.
     """
-    if "limit" not in kw and scan_bytes(queue) + scan_bytes(existing) <= SINGLE_WINDOW_LIMIT // 4:
-        kw["limit"] = sys.maxsize
     ready = queue.where(F.col("selected") & (F.col("status") == "Waiting"))
     jobs = with_profile(apply_presets(ready, presets, on))
     stopped = F.coalesce(blocked(F.col("transfer_function"), F.col("codec_family"), F.col("profile")), F.lit(False))

@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest side that may be broadcast, and largest input that one window
-# partition may hold. Both are checked against the plan's size estimate.
+# Largest side that may be broadcast, checked against the plan's size estimate.
 BROADCAST_LIMIT = 64 * 1024 * 1024
-SINGLE_WINDOW_LIMIT = 32 * 1024 * 1024
 
 # HotSpot does not compile methods above this size, so larger generated stages
 # run interpreted; below it Spark splits them into small compiled methods.
@@ -89,6 +87,25 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table below the shared folder, read again; it stays there for the owner of the folder to clear."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Bytes of one range of an ordered scan, by what its plan reads.
+RANGE_BYTES = 256 * 1024 * 1024
+
+
+def range_tasks(df: DataFrame) -> int | None:
+    """Ranges for a sort of the rows, by the bytes of the tables read, where the session's shuffle partitions are too few."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    wanted = min(-(-sizes // RANGE_BYTES), 1_000_000)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for a plan (an upper bound for scans)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
@@ -124,21 +141,6 @@ def small_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Size estimate for work on a plan's rows: what its scans read.
-
-    The optimizer multiplies the sides of every join, so its own estimate of a
-    plan with lookups is far too large. Where rows are generated, and scans say
-    little, that larger estimate is used.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    total = plan_bytes(df)
-    if any(word in plan.toString() for word in ("Generate ", "Expand ", "Join Cross", "Join Inner\n")):
-        return total
-    leaves = plan.collectLeaves()
-    return min(total, 4 * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
-
-
 def hot_keys(df: DataFrame, on: list[str]) -> list[tuple[tuple, int]]:
     """Keys that alone fill more than half of an average shuffle partition, and over how many tasks to divide each.
 
