@@ -145,6 +145,22 @@ def clip_folder(spark: SparkSession, sf: str) -> str:
     return _once(spark, sf, "clips", write)
 
 
+def cut_folder(spark: SparkSession, sf: str) -> str:
+    """Files of the names of each user's first clip that end within their first bytes."""
+
+    def write(folder: str) -> None:
+        def one(batches):
+            for batch in batches:
+                for clip in batch["clip"]:
+                    _put(folder, f"{clip}.{'MCRAW' if clip % 2 else 'mcraw'}", b"MOTION " + bytes([3, 0, 0]))
+                yield batch
+
+        firsts = table(spark, sf, "events").select((F.col("user_id") * 997).alias("clip")).distinct()
+        firsts.mapInPandas(one, "clip bigint").write.parquet(f"{folder}-done")
+
+    return _once(spark, sf, "cut", write)
+
+
 def raw_clips(spark: SparkSession, sf: str) -> DataFrame:
     folder = clip_folder(spark, sf)
     containers.register(spark)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from rawlake import vocab
 from rawlake.queries.base import IMPORTS, epoch_micros, micro, micro_sql, pick, query
 from rawlake.queries.catalog import EVENTS, KINDS
+from rawlake.queries.sources import CLIP_EVENTS, LEGACY, clip_folder, clip_number, cut_folder
 from rawlake.queries.stats import SNAP
 from rawlake.session import work_folder
-from rawlake.streaming import live
+from rawlake.streaming import imports, live
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,8 +25,36 @@ def r1(spark, sf):
     d = stream_table(spark, sf, "documents")
     path = F.concat(F.lit("/footage/"), F.col("lang"), F.lit("/clip"), (F.col("n_chars") % 700).cast("string"), F.lit(".mcraw"))
     rows = d.select(path.alias("path"), F.col("doc_id").alias("seq"), (F.col("n_chars") % 7 != 0).alias("ok"))
-    live.import_stream(rows, f"{folder}/pool", f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/pool").select("path", "seq")
+    return imports.pool_of(imports.run_import(rows, folder, ok="ok"))
+
+
+DROPS = "SELECT user_id * 997 AS clip, event_id AS seq, CASE event_id % 13 WHEN 5 THEN 'gone' WHEN 7 THEN 'cut' ELSE 'whole' END AS kind FROM events"
+
+
+@query(
+    "r1_import_clips",
+    f"""WITH c AS (SELECT clip, count(*) AS frames, arg_min(ts_ns, event_id) AS first_ts FROM {CLIP_EVENTS} GROUP BY clip),
+d AS (SELECT clip, kind, min(seq) AS seq, count(*) AS n FROM ({DROPS}) GROUP BY clip, kind)
+SELECT clip, kind, seq, CASE WHEN kind = 'whole' THEN 1 ELSE 0 END::BIGINT AS imported, CASE WHEN kind = 'whole' THEN 0 ELSE n END::BIGINT AS failed,
+  CASE WHEN kind = 'whole' THEN n - 1 ELSE 0 END::BIGINT AS duplicate, CASE kind WHEN 'gone' THEN 'FileNotFoundError' WHEN 'cut' THEN 'BadClip' END AS reason,
+  CASE WHEN kind = 'whole' THEN frames END AS frame_count,
+  CASE WHEN kind <> 'whole' OR {LEGACY} THEN NULL ELSE first_ts END AS first_ts
+FROM d JOIN c USING (clip)""",
+)
+def r1_clips(spark, sf):
+    """Paths only: one drop per event, of the user's first clip, of a missing or of a broken file beside it."""
+    whole, cut = clip_folder(spark, sf), cut_folder(spark, sf)
+    e = stream_table(spark, sf, "events")
+    clip, kind = F.col("user_id") * 997, F.col("event_id") % 13
+    name = F.concat(clip.cast("string"), F.when(clip % 2 == 1, ".MCRAW").otherwise(".mcraw"))
+    folder = F.when(kind == 5, f"{whole}/gone/").when(kind == 7, f"{cut}/").otherwise(f"{whole}/")
+    got = imports.run_import(e.select(F.concat(folder, name).alias("path"), F.col("event_id").alias("seq")), work_folder(spark))
+    c = imports.clips_of(got).select("path", "frame_count", F.col("first_ts").alias("_first"))
+    kind = F.when(F.col("path").contains("/gone/"), "gone").when(F.col("path").startswith(cut), "cut").otherwise("whole")
+    return got.join(c, "path", "left").select(
+        clip_number(), kind.alias("kind"), "seq", "imported", "failed", "duplicate",
+        F.split("error", ":")[0].alias("reason"), "frame_count", F.col("_first").alias("first_ts"),
+    )
 
 
 @query(

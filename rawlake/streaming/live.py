@@ -1,4 +1,4 @@
-"""Streaming jobs.
+"""Streaming jobs (R3, R4, R5); the import stream R1 is in ``imports``.
 
 Each reuses the batch operator's expressions, so a finished stream and the batch
 job give the same rows.
@@ -7,59 +7,15 @@ job give the same rows.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor
 
-from rawlake.operators.catalog import import_outcomes, new_imports
 from rawlake.operators.jobs import outcome
 from rawlake.operators.stats import phase_snapshot
 from rawlake.session import work_folder
 
 
-def _pool(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" in str(problem):
-            return like.where(F.lit(False))
-        raise
-
-
-def import_stream(
-    paths: DataFrame, pool_path: str, counts_path: str, checkpoint: str, key: str = "path", order: str = "seq"
-) -> StreamingQuery:
-    """Add new readable paths to the pool and count outcomes per batch.
-
-    ``paths`` has ``path, seq, ok``. A path that the pool has is never added
-    again, so a batch that is repeated after a failure adds nothing twice. Its
-    counts are written before the pool changes and replaced when repeated
-    before that point.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        pool = _pool(spark, pool_path, batch)
-        target = f"{counts_path}/batch={batch_id}"
-        try:
-            done = spark.read.schema("imported bigint").parquet(target).limit(1).count() > 0
-        except AnalysisException:
-            done = False
-        if not done:
-            import_outcomes(batch, pool, key, order).write.mode("overwrite").parquet(target)
-        new_imports(batch.where("ok"), pool, key, order).write.mode("append").parquet(pool_path)
-        batch.unpersist()
-
-    return (
-        paths.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

@@ -3,6 +3,7 @@
 import json
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from rawlake.operators.stats import phase_snapshot
 from rawlake.queries.sources import headed_bytes, legacy_bytes
 from rawlake.session import small_table
 from rawlake.sources import containers, documents, dumps, listing
-from rawlake.streaming import live
+from rawlake.streaming import imports, live
 
 
 @pytest.fixture
@@ -112,18 +113,72 @@ def test_sidecar_defaults(spark, tmp_path):
     assert documents.with_sidecars(clips, none).where("gain_r = 1.0").count() == 2
 
 
+def drops(spark, folder, rows, ddl="path string, seq int"):
+    """Each list of rows as one file, so that each is a batch of the stream."""
+    for batch in rows:
+        small_table(spark, batch, ddl).coalesce(1).write.mode("append").parquet(str(folder))
+    schema = small_table(spark, [], ddl).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def counted(rows):
+    return imports.counts_of(rows).first().asDict()
+
+
 def test_repeated_import_adds_nothing(spark, tmp_path):
-    src = tmp_path / "in"
-    rows = small_table(spark, [("a", 1, True), ("a", 2, True), ("b", 3, False), ("c", 4, True)], "path string, seq int, ok boolean")
-    rows.write.parquet(str(src))
-    for n in (1, 2):
-        stream = spark.readStream.schema(rows.schema).parquet(str(src))
-        # a new checkpoint, so everything is offered again
-        live.import_stream(stream, str(tmp_path / "pool"), str(tmp_path / f"counts{n}"), str(tmp_path / f"check{n}")).awaitTermination()
-    assert sorted((r.path, r.seq) for r in spark.read.parquet(str(tmp_path / "pool")).collect()) == [("a", 1), ("c", 4)]
-    first, second = (spark.read.parquet(str(tmp_path / f"counts{n}")).drop("batch").first().asDict() for n in (1, 2))
-    assert first == {"imported": 2, "failed": 1, "duplicate": 1}
-    assert second == {"imported": 0, "failed": 1, "duplicate": 3}
+    rows = [("a.mcraw", 1, True), ("a.mcraw", 2, True), ("b.mcraw", 3, False), ("c.mcraw", 4, True), ("c.mcraw", 2, False), ("n.txt", 5, True), (None, 6, True), ("d.mcraw", 7, None)]
+    stream = drops(spark, tmp_path / "in", [rows], "path string, seq int, ok boolean")
+    first = imports.run_import(stream, str(tmp_path / "one"), ok="ok")
+    assert sorted((r.path, r.seq) for r in imports.pool_of(first).collect()) == [("a.mcraw", 1), ("c.mcraw", 4)]
+    assert counted(first) == {"imported": 2, "failed": 3, "duplicate": 1}
+    # offered again to the same stream, and to a new one that knows the pool
+    same = imports.run_import(stream, str(tmp_path / "one"), ok="ok")
+    assert counted(same) == counted(first)
+    again = imports.run_import(stream, str(tmp_path / "two"), ok="ok", pool=imports.pool_of(first))
+    assert counted(again) == {"imported": 0, "failed": 3, "duplicate": 3} and imports.pool_of(again).count() == 0
+
+
+def test_import_opens_clips_and_tells_why_one_failed(spark, clips, tmp_path):
+    at = {n: str(clips / n) for n in ("a.mcraw", "b.MCRAW", "short.mcraw", "wrong.mcraw", "cut.mcraw", "late.mcraw", "note.txt")}
+    src = tmp_path / "drops"
+    stream = drops(spark, src, [[(path, i) for i, path in enumerate(at.values())]])
+    folder = str(tmp_path / "run")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in imports.run_import(stream, folder).collect()}
+    assert set(rows) == set(at) - {"note.txt"}
+    assert {n for n, r in rows.items() if r.imported} == {"a.mcraw", "b.MCRAW", "cut.mcraw"}
+    assert rows["late.mcraw"].error.startswith("FileNotFoundError") and rows["wrong.mcraw"].error == "BadClip: unknown magic"
+    assert rows["short.mcraw"].error == "BadClip: file ends early" and rows["cut.mcraw"].index_offset is None
+
+    # the missing file appears, a known one vanishes; the stream goes on from its state
+    (clips / "a.mcraw").rename(clips / "late.mcraw")
+    drops(spark, src, [[(at["a.mcraw"], 20), (at["late.mcraw"], 22), (at["late.mcraw"], 21)], [(at["late.mcraw"], 30), (at["wrong.mcraw"], 31)]])
+    told = imports.run_import(stream, folder)
+    assert counted(told) == {"imported": 4, "failed": 4, "duplicate": 3}
+    assert {r.path: r.seq for r in imports.pool_of(told).collect()}[at["late.mcraw"]] == 21
+    assert imports.failures_of(told).where(F.col("path") == at["wrong.mcraw"]).count() == 2
+
+    got = {r.path: r for r in imports.clips_of(told).collect()}
+    late = got[at["late.mcraw"]]
+    assert (late.frame_count, late.first_ts, late.width) == (5, 1_000_000_000, 4000) and late.fps == pytest.approx(25.0)
+    assert got[at["b.MCRAW"]].fps == 25.0 and len(got) == 4
+
+
+def test_import_state_is_one_row_per_path(spark, clips, tmp_path):
+    """A path dropped in every batch is opened once and is one row of state; its drops are combined before the shuffle."""
+    path = str(clips / "a.mcraw")
+    stream = drops(spark, tmp_path / "drops", [[(path, 100 * b + i) for i in range(50)] for b in range(3)])
+    told = imports.run_import(stream, str(tmp_path / "run"))
+    assert sorted(r.duplicate for r in told.collect()) == [49, 50, 50]
+    state = spark.read.format("statestore").option("stateVarName", "imported").load(str(tmp_path / "run" / "checkpoint"))
+    assert state.count() == 1
+    batch = pa.RecordBatch.from_pydict({"path": [path] * 9, "seq": list(range(9)), "ok": [None] * 9})
+    assert [b.num_rows for b in imports._combined(iter([batch]))] == [1]
+
+
+def test_import_of_nothing(spark, tmp_path):
+    stream = drops(spark, tmp_path / "drops", [[]])
+    told = imports.run_import(stream, str(tmp_path / "run"))
+    assert counted(told) == {"imported": 0, "failed": 0, "duplicate": 0} and imports.clips_of(told).collect() == []
 
 
 def test_streams_over_several_batches_equal_batch(spark, tmp_path):
