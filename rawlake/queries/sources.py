@@ -162,9 +162,14 @@ def cut_folder(spark: SparkSession, sf: str) -> str:
 
 
 def raw_clips(spark: SparkSession, sf: str) -> DataFrame:
-    folder = clip_folder(spark, sf)
+    paths = containers.clip_paths(spark, clip_folder(spark, sf))
+    return containers.scan_paths(paths.select(F.regexp_replace("path", "^file:/+", "/").alias("path")))
+
+
+def clip_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of the folder source."""
     containers.register(spark)
-    return spark.read.format("rawclips").option("path", folder.removeprefix("file:")).load()
+    return spark.read.format("rawclips").option("table", name).load(clip_folder(spark, sf).removeprefix("file:"))
 
 
 def clip_number(path="path"):
@@ -207,21 +212,26 @@ def s2(spark, sf):
     )
 
 
-@query("s3_frame_index", f"SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY event_id) - 1 AS ordinal, ts_ns FROM {CLIP_EVENTS} WHERE NOT ({LEGACY})")
+FRAMES = f"SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY event_id) - 1 AS ordinal, ts_ns FROM {CLIP_EVENTS} WHERE NOT ({LEGACY})"
+
+
+@query("s3_frame_index", FRAMES)
 def s3(spark, sf):
     index = containers.frame_index(containers.headed_clips(raw_clips(spark, sf)), entries_per_task=500)
     return index.select(clip_number(), "ordinal", "ts_ns")
 
 
-@query(
-    "s4_frame_meta",
-    f"""SELECT clip, ordinal, 4000 AS width, 3000 AS height, {micro_sql('k / 100.0::DOUBLE')} AS n0, {micro_sql('value / 500.0::DOUBLE')} AS n2, value AS exposure_time, CASE WHEN event_id % 2 = 1 THEN k * 10 ELSE 0 END::DOUBLE AS iso,
+@query("s3_folder_frames", FRAMES)
+def s3_folder(spark, sf):
+    return clip_table(spark, sf, "frame_index").select(clip_number(), "ordinal", "ts_ns")
+
+
+FRAME_META = f"""SELECT clip, ordinal, 4000 AS width, 3000 AS height, {micro_sql('k / 100.0::DOUBLE')} AS n0, {micro_sql('value / 500.0::DOUBLE')} AS n2, value AS exposure_time, CASE WHEN event_id % 2 = 1 THEN k * 10 ELSE 0 END::DOUBLE AS iso,
  CASE WHEN event_id % 4 = 3 THEN k ELSE -1 END::DOUBLE AS black0, CASE WHEN event_id % 2 = 1 THEN 4000.5 ELSE -1 END::DOUBLE AS white FROM
- (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY event_id) - 1 AS ordinal FROM {CLIP_EVENTS} WHERE NOT ({LEGACY}))""",
-)
-def s4(spark, sf):
-    index = containers.frame_index(containers.headed_clips(raw_clips(spark, sf)), entries_per_task=500)
-    m = containers.frame_meta(index)
+ (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY event_id) - 1 AS ordinal FROM {CLIP_EVENTS} WHERE NOT ({LEGACY}))"""
+
+
+def frame_columns(m: DataFrame) -> DataFrame:
     none = F.lit(-1.0)
     return m.select(
         clip_number("clip_id"), "ordinal", "width", "height", micro(F.get("neutral", 0)).alias("n0"), micro(F.get("neutral", 2)).alias("n2"),
@@ -229,6 +239,17 @@ def s4(spark, sf):
     )
 
 
+@query("s4_frame_meta", FRAME_META)
+def s4(spark, sf):
+    index = containers.frame_index(containers.headed_clips(raw_clips(spark, sf)), entries_per_task=500)
+    return frame_columns(containers.frame_meta(index))
+
+
+@query("s4_folder_meta", FRAME_META)
+def s4_folder(spark, sf):
+    return frame_columns(containers.typed_frames(clip_table(spark, sf, "frame_meta")))
+
+
 @query("s5_folder_scan", f"SELECT DISTINCT clip FROM {CLIP_EVENTS}")
 def s5(spark, sf):
     return containers.clip_paths(spark, clip_folder(spark, sf)).select(clip_number())

@@ -12,6 +12,7 @@ import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from rawlake import vocab
 from rawlake.functions import numeric
 from rawlake.operators.params import illuminant_code
-from rawlake.session import dealt, tasks_for
+from rawlake.session import TASK_BYTES, dealt, tasks_for
 
 M9 = T.ArrayType(T.DoubleType())
 
@@ -149,10 +150,26 @@ def _legacy_header(head: bytes, block: bytes) -> dict:
     return out
 
 
-def read_clip(path: str) -> dict:
+def _kind(magic: bytes) -> str | None:
+    if magic.startswith(vocab.HEADED_MAGIC):
+        return "headed"
+    return "legacy" if magic.startswith(vocab.LEGACY_MAGIC) else None
+
+
+def index_place(handle) -> tuple[int, int]:
+    """Number of frames and offset of the index of a headed clip; 0 frames where it has no readable one."""
+    size = handle.size()
+    if _kind(_exact(handle, 0, 16)) != "headed" or size < 24:
+        return 0, 0
+    mark, count, offset = struct.unpack("<IIq", _exact(handle, size - 16, 16))
+    return (count, offset) if mark == vocab.INDEX_MAGIC and offset >= 0 and offset + 16 * count <= size else (0, 0)
+
+
+def read_clip(path: str, kinds: set[str] | None = None) -> dict:
     """The bounded reads of one clip; a bad or missing file gives a row with an error.
 
-    Any other failure to read fails the task, so that Spark repeats it.
+    Where only some ``kinds`` are wanted, no more than the first bytes of others are read, and
+    their row has no kind. Any other failure to read fails the task, so that Spark repeats it.
     """
     row = dict.fromkeys(f.name for f in RAW_SCHEMA.fields)
     row["path"] = path
@@ -160,9 +177,12 @@ def read_clip(path: str) -> dict:
         with open_clip(path) as handle:
             row["size"] = size = handle.size()
             magic = _exact(handle, 0, 16)
-            if magic.startswith(vocab.HEADED_MAGIC):
+            kind = _kind(magic)
+            if kind is not None and kinds is not None and kind not in kinds:
+                return row
+            if kind == "headed":
                 _headed(handle, magic, size, row)
-            elif magic.startswith(vocab.LEGACY_MAGIC):
+            elif kind == "legacy":
                 head = magic + _exact(handle, 16, 20)
                 block = b""
                 if size > 36:
@@ -198,14 +218,37 @@ def _headed(handle, magic: bytes, size: int, row: dict) -> None:
         row["first_meta"] = item_json(handle, first)
 
 
+INDEX_DDL = "clip_id string, path string, ordinal bigint, offset bigint, ts_ns bigint"
+TABLES = {"clips": RAW_SCHEMA, "frame_index": INDEX_DDL, "frame_meta": f"{INDEX_DDL}, meta string"}
+
+# Bytes of a file whose frames are one task's share; an index entry stands for a frame of a megabyte or more.
+SHARE_BYTES = 64 << 30
+# Frames of one batch.
+FRAME_BATCH = 65_536
+
+
 @dataclass
-class PathGroup(InputPartition):
-    paths: list[str]
+class ClipShares(InputPartition):
+    """Files with the share of their frames to read: path, share, number of shares."""
+
+    files: list[tuple[str, int, int]]
 
 
 class ClipReader(DataSourceReader):
+    """Reads a folder of clips. ``pathGlobFilter`` chooses files by name before any is opened;
+    ``kind`` ends the reading of other files after their first bytes; ``firstFrame`` and
+    ``lastFrame`` cut the index before it is read.
+
+    Conditions come as options, as Spark hands those of several filters over one relation to one
+    and the same reader: a union of two filtered forms of a table would lose rows.
+    """
+
     def __init__(self, options: dict):
         self.options = options
+        self.table = options.get("table", "clips")
+        self.named = options.get("pathglobfilter", "*")
+        self.kinds = set(options["kind"].split(",")) if "kind" in options else None
+        self.first, self.last = int(options.get("firstframe", 0)), int(options.get("lastframe", 1 << 62))
 
     def partitions(self):
         root = self.options["path"]
@@ -214,32 +257,81 @@ class ClipReader(DataSourceReader):
         else:
             system, inner = pafs.LocalFileSystem(), root
         recursive = self.options.get("recursivefilelookup", "false") == "true"
+        share = int(self.options.get("sharebytes", SHARE_BYTES))
         found = system.get_file_info(pafs.FileSelector(inner, recursive=recursive))
-        paths = sorted(i.path for i in found if i.is_file and i.path.lower().endswith(vocab.CLIP_SUFFIX))
-        per = int(self.options.get("filespertask", "64"))
-        return [PathGroup(paths[i : i + per]) for i in range(0, len(paths), per)] or [PathGroup([])]
-
-    def read(self, partition) -> Iterator[tuple]:
-        names = [f.name for f in RAW_SCHEMA.fields]
-        for path in partition.paths:
-            row = read_clip(path)
-            yield tuple(row[n] for n in names)
+        groups, held = [], 0
+        for info in sorted(found, key=lambda i: i.path):
+            named = info.is_file and info.path.lower().endswith(vocab.CLIP_SUFFIX)
+            if not named or not fnmatchcase(info.base_name, self.named):
+                continue
+            # opening a file counts as CLIP_READ, whatever its size; a large index is divided
+            shares = 1 if self.table == "clips" else max(1, -(-info.size // share))
+            cost = CLIP_READ if self.table == "clips" else max(CLIP_READ, info.size // shares * (TASK_BYTES / share))
+            for k in range(shares):
+                if not groups or held + cost > TASK_BYTES // 2:
+                    groups.append(ClipShares([]))
+                    held = 0
+                groups[-1].files.append((info.path, k, shares))
+                held += cost
+        return groups or [ClipShares([])]
+
+    def read(self, partition) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        for path, k, shares in partition.files:
+            if self.table == "clips":
+                row = read_clip(path, self.kinds)
+                if self.kinds is None or row["kind"] in self.kinds:
+                    yield tuple(row[f.name] for f in RAW_SCHEMA.fields)
+            else:
+                yield from self._frames(path, k, shares)
+
+    def _frames(self, path: str, k: int, shares: int) -> Iterator[pa.RecordBatch]:
+        """One share of a clip's frames; a file that is no clip with an index has none, its reason is in ``clips``."""
+        try:
+            with open_clip(path) as handle:
+                count, offset = index_place(handle)
+                first, last = max(self.first, count * k // shares), min(self.last + 1, count * (k + 1) // shares)
+                for start in range(first, last, FRAME_BATCH):
+                    n = min(FRAME_BATCH, last - start)
+                    pairs = np.frombuffer(_exact(handle, offset + 16 * start, 16 * n), dtype="<i8").reshape(n, 2)
+                    columns = [pa.array([path] * n), pa.array([path] * n), pa.array(np.arange(start, start + n, dtype=np.int64))]
+                    columns += [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
+                    names = ["clip_id", "path", "ordinal", "offset", "ts_ns"]
+                    if self.table == "frame_meta":
+                        columns.append(pa.array([item_json(handle, at) for at in pairs[:, 0].tolist()], pa.string()))
+                        names.append("meta")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        except (BadClip, FileNotFoundError):
+            return
 
 
 class RawClips(DataSource):
-    """``spark.read.format("rawclips").load(folder)``: raw clip headers of a folder."""
+    """``spark.read.format("rawclips").load(folder)``: what lies in the raw clips of a folder.
+
+    ``table`` is ``clips`` (the default: one row per file, with the reason where it cannot be
+    read), ``frame_index`` (one row per frame) or ``frame_meta`` (the same with the metadata
+    text, see :func:`typed_frames`). Options of :class:`ClipReader` make it open and read less. The folder is listed on the driver; for very many files
+    use :func:`clip_paths` and :func:`scan_paths`.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "rawclips"
 
-    def schema(self) -> T.StructType:
-        return RAW_SCHEMA
+    def schema(self) -> T.StructType | str:
+        table = self.options.get("table", "clips")
+        if table not in TABLES:
+            raise ValueError(f"table must be one of {', '.join(TABLES)}, not {table}")
+        return TABLES[table]
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return ClipReader(dict(self.options))
 
 
+def typed_frames(rows: DataFrame) -> DataFrame:
+    """Table ``frame_meta`` with typed fields in place of the text."""
+    return rows.select(frame_id(), "clip_id", "ordinal", "offset", "ts_ns", *[e.alias(n) for n, e in frame_fields(F.col("meta")).items()])
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RawClips)
 
@@ -557,6 +649,4 @@ def frame_meta(index: DataFrame) -> DataFrame:
                 [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "meta"]
             )
 
-    fields = "clip_id string, path string, ordinal bigint, offset bigint, ts_ns bigint, meta string"
-    read = index.select("clip_id", "path", "ordinal", "offset", "ts_ns").mapInArrow(run, fields)
-    return read.select(frame_id(), "clip_id", "ordinal", "offset", "ts_ns", *[e.alias(n) for n, e in frame_fields(F.col("meta")).items()])
+    return typed_frames(index.select("clip_id", "path", "ordinal", "offset", "ts_ns").mapInArrow(run, TABLES["frame_meta"]))

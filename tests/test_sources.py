@@ -42,6 +42,94 @@ def test_folder_source(spark, clips):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, raw.drop("first_ts").collect()))
 
 
+class Counted:
+    """An open file that adds up what is read of it."""
+
+    def __init__(self, handle, tally):
+        self.handle, self.tally = handle, tally
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *problem):
+        self.handle.close()
+
+    def size(self):
+        return self.handle.size()
+
+    def read_at(self, length, offset):
+        self.tally["bytes"] += length
+        return self.handle.read_at(length, offset)
+
+
+@pytest.fixture
+def reads(monkeypatch):
+    tally = {"files": [], "bytes": 0}
+    real = containers.open_clip
+
+    def opened(path):
+        tally["files"].append(path.rsplit("/", 1)[-1])
+        return Counted(real(path), tally)
+
+    monkeypatch.setattr(containers, "open_clip", opened)
+    return tally
+
+
+def read_all(folder, **options):
+    reader = containers.ClipReader({"path": str(folder), **options})
+    return [row for part in reader.partitions() for row in reader.read(part)]
+
+
+def test_conditions_open_fewer_files_and_read_fewer_bytes(clips, reads):
+    assert len(read_all(clips)) == len(reads["files"]) == 5
+    for pattern in ("a.mcraw", "a*", "[ab].mcraw"):
+        reads["files"].clear()
+        assert [r[0] for r in read_all(clips, pathglobfilter=pattern)] == [str(clips / "a.mcraw")] and reads["files"] == ["a.mcraw"]
+
+    reads["bytes"] = 0
+    legacy = read_all(clips, kind="legacy")
+    few, reads["bytes"] = reads["bytes"], 0
+    headed = read_all(clips, kind="headed")
+    assert [r[2] for r in legacy] == ["legacy"] and {r[2] for r in headed} == {"headed"} and few < reads["bytes"] / 2
+    assert len(read_all(clips, kind="legacy,headed")) == 3
+
+    reads["bytes"] = 0
+    whole = read_all(clips, table="frame_meta")
+    all_bytes, reads["bytes"] = reads["bytes"], 0
+    one = read_all(clips, table="frame_meta", firstframe="2", lastframe="2")
+    assert [b.num_rows for b in whole] == [5] and [b.column("ordinal").to_pylist() for b in one] == [[2]]
+    assert reads["bytes"] < all_bytes / 2
+
+
+def test_a_large_clip_is_read_in_shares(clips):
+    parts = containers.ClipReader({"path": str(clips), "table": "frame_index", "sharebytes": "200"})
+    shares = [f for p in parts.partitions() for f in p.files if f[0].endswith("/a.mcraw")]
+    assert len(shares) > 5 and all(of == len(shares) for _, _, of in shares)
+    assert len(containers.ClipReader({"path": str(clips)}).partitions()) == 1
+    rows = read_all(clips, table="frame_index", sharebytes="200")
+    assert [n for b in rows for n in b.column("ordinal").to_pylist()] == list(range(5))
+
+
+def test_frame_tables_of_the_folder_source(spark, clips):
+    containers.register(spark)
+    source = spark.read.format("rawclips")
+    index = source.option("table", "frame_index").load(str(clips))
+    meta = containers.typed_frames(source.option("table", "frame_meta").load(str(clips)))
+    base = containers.clips(source.option("table", "clips").load(str(clips)))
+    want = containers.frame_index(base)
+    assert sorted(map(repr, index.collect())) == sorted(map(repr, want.collect()))
+    assert sorted(map(repr, meta.collect())) == sorted(map(repr, containers.frame_meta(want).collect()))
+    two = spark.read.format("rawclips").options(table="frame_index", pathGlobFilter="a*", firstFrame=1, lastFrame=2).load(str(clips))
+    assert sorted(r.ordinal for r in two.collect()) == [1, 2]
+    raw = spark.read.format("rawclips").load(str(clips))
+    both = raw.where("kind = 'legacy'").union(raw.where("kind IS NULL"))
+    assert both.count() == 3
+    old = spark.read.format("rawclips").option("kind", "legacy").load(str(clips))
+    assert [r.path.rsplit("/", 1)[-1] for r in old.collect()] == ["b.MCRAW"]
+    with pytest.raises(Exception, match="table must be one of"):
+        source.option("table", "frames").load(str(clips)).collect()
+
+
 def test_both_generations(spark, clips):
     containers.register(spark)
     raw = spark.read.format("rawclips").load(str(clips))
