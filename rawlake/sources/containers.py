@@ -239,8 +239,8 @@ class ClipReader(DataSourceReader):
     ``kind`` ends the reading of other files after their first bytes; ``firstFrame`` and
     ``lastFrame`` cut the index before it is read.
 
-    Conditions come as options, as Spark hands those of several filters over one relation to one
-    and the same reader: a union of two filtered forms of a table would lose rows.
+    Conditions come as options: with filters pushed by Spark 4.1.2, a union of two filtered forms
+    of one relation lost rows.
     """
 
     def __init__(self, options: dict):
