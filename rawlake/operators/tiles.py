@@ -340,13 +340,14 @@ def _edge_tile(px, oy, ox, oh, ow, fw, fh, y0, x0, h, w, codes, black):
     green = planes[1]
     h_est = 0.5 * (at(green, 0, -1) + at(green, 0, 1)) + 0.25 * (2 * own - same2[(0, -2)] - same2[(0, 2)])
     v_est = 0.5 * (at(green, -1, 0) + at(green, 1, 0)) + 0.25 * (2 * own - same2[(-2, 0)] - same2[(2, 0)])
-    green = np.where(cfa == 1, raw, v_est + (h_est - v_est) * vh)
+    # blended as a * (1 - t) + b * t, the order in which the last bits are those of the SQL
+    green = np.where(cfa == 1, raw, v_est * (1 - vh) + h_est * vh)
 
     diffs = {}
     for d in ((-1, -1), (1, 1), (-1, 1), (1, -1)):
         diffs[d] = at(raw, *d) - at(green, *d)
     p_est, q_est = 0.5 * (diffs[(-1, -1)] + diffs[(1, 1)]), 0.5 * (diffs[(-1, 1)] + diffs[(1, -1)])
-    other = green + p_est + (q_est - p_est) * pq
+    other = green + p_est * (1 - pq) + q_est * pq
     red = np.where(cfa == 0, raw, np.where(cfa == 2, other, 0.0))
     blue = np.where(cfa == 2, raw, np.where(cfa == 0, other, 0.0))
 
