@@ -47,3 +47,13 @@ def test_edge_colours_have_the_last_bits_of_the_sql(spark, tmp_path):
         "label": pa.array([0] * len(EDGES), pa.int32()),
     }
     assert_equal(spark, folder_with(tmp_path, embeddings=pa.table(frames)), "p7_demosaic_edges")
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    folder = folder_with(tmp_path, documents=pa.table({}))
+    rows = pq.read_table(SF / "documents.parquet")
+    os.remove(tmp_path / "documents.parquet")
+    os.mkdir(tmp_path / "documents.parquet")
+    for k in range(3):
+        pq.write_table(rows.slice(k * 70, 70 if k < 2 else None), tmp_path / f"documents.parquet/part-{k}.parquet")
+    assert_equal(spark, folder, "r1_import_stream")
