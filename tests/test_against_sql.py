@@ -57,3 +57,10 @@ def test_streams_read_tables_of_several_files(spark, tmp_path):
     for k in range(3):
         pq.write_table(rows.slice(k * 70, 70 if k < 2 else None), tmp_path / f"documents.parquet/part-{k}.parquet")
     assert_equal(spark, folder, "r1_import_stream")
+
+
+def test_red_gain_of_a_first_frame_without_blue(spark, tmp_path):
+    rows = pq.read_table(SF / "events.parquet")
+    value = pa.array([0.0 if k % 2 else v for k, v in enumerate(rows.column("value").to_pylist())])
+    rows = rows.set_column(rows.schema.get_field_index("value"), "value", value)
+    assert_equal(spark, folder_with(tmp_path, events=rows), "s1_headed_clips")
