@@ -15,9 +15,9 @@ from rawlake.streaming import imports, live
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a stream, be it one file or a folder of them."""
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A table as a stream, be it one file or a folder of them: a pattern that only its name meets may be either."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("r1_import_stream", f"SELECT path, min(seq) AS seq FROM {IMPORTS} WHERE ok GROUP BY path")
