@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rawlake.functions import text
 from rawlake.operators.timeline import clip_timeline
+from rawlake.session import written
 from rawlake.sources import containers
 
 
@@ -17,8 +18,8 @@ def cleaned_paths(dropped: DataFrame, home: str, raw: str = "raw") -> DataFrame:
 
 
 def scanned(paths: DataFrame) -> DataFrame:
-    """Raw headers of each distinct path."""
-    return containers.scan_paths(paths.select("path").distinct())
+    """Raw headers of each distinct path, written to a table: a catalog reads them several times, no file is opened twice."""
+    return written(containers.scan_paths(paths.select("path").distinct()))
 
 
 def catalog(raw: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rawlake import vocab
 from rawlake.queries.base import IMPORTS, epoch_micros, micro, micro_sql, pick, query
 from rawlake.queries.catalog import EVENTS, KINDS
-from rawlake.queries.sources import CLIP_EVENTS, LEGACY, clip_folder, clip_number, cut_folder
+from rawlake.queries.sources import CLIP_EVENTS, CLIP_FOLDERS, LEGACY, clip_folder, clip_number, cut_folder
 from rawlake.queries.stats import SNAP
 from rawlake.session import work_folder
 from rawlake.streaming import imports, live
@@ -48,7 +48,8 @@ def r1_clips(spark, sf):
     e = stream_table(spark, sf, "events")
     clip, kind = F.col("user_id") * 997, F.col("event_id") % 13
     name = F.concat(clip.cast("string"), F.when(clip % 2 == 1, ".MCRAW").otherwise(".mcraw"))
-    folder = F.when(kind == 5, f"{whole}/gone/").when(kind == 7, f"{cut}/").otherwise(f"{whole}/")
+    within = F.concat(F.lit(f"{whole}/"), (clip % CLIP_FOLDERS).cast("string"), F.lit("/"))
+    folder = F.when(kind == 5, f"{whole}/gone/").when(kind == 7, f"{cut}/").otherwise(within)
     got = imports.run_import(e.select(F.concat(folder, name).alias("path"), F.col("event_id").alias("seq")), work_folder(spark))
     c = imports.clips_of(got).select("path", "frame_count", F.col("first_ts").alias("_first"))
     kind = F.when(F.col("path").contains("/gone/"), "gone").when(F.col("path").startswith(cut), "cut").otherwise("whole")
