@@ -12,9 +12,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -62,16 +61,15 @@ class ImportedPaths(StatefulProcessor):
         self.known = handle.getValueState("imported", "seq bigint")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.known.update((int(initialState["seq"].min()),))
+        self.known.update((initialState["seq"],))
 
     def handleInputRows(self, key, rows, timerValues):
         good = bad = asked = 0
         first = {}
-        for batch in rows:
-            for seq, ok, n in zip(batch["seq"], batch["ok"], batch["n"], strict=True):
-                verdict = None if pd.isna(ok) else bool(ok)
-                good, bad, asked = good + n * (verdict is True), bad + n * (verdict is False), asked + n * (verdict is None)
-                first[verdict] = min(first.get(verdict, seq), seq)
+        for row in rows:
+            verdict, seq, n = row["ok"], row["seq"], row["n"]
+            good, bad, asked = good + n * (verdict is True), bad + n * (verdict is False), asked + n * (verdict is None)
+            first[verdict] = min(first.get(verdict, seq), seq)
         told = dict.fromkeys(TOLD.names) | {"path": key[0]}
         known = self.known.exists()
         if asked and known:
@@ -83,9 +81,9 @@ class ImportedPaths(StatefulProcessor):
         new = not known and good > 0
         seq = min(v for k, v in first.items() if not new or k is True or (k is None and told["error"] is None))
         if new:
-            self.known.update((int(seq),))
+            self.known.update((seq,))
         told |= {"seq": seq, "imported": int(new), "failed": bad, "duplicate": good - new}
-        yield pd.DataFrame([told], columns=TOLD.names).astype(object)
+        yield Row(**told)
 
     def close(self) -> None:
         pass
@@ -109,7 +107,7 @@ def import_stream(paths: DataFrame, pool: DataFrame | None = None, path: str = "
     clips = dropped.where(F.lower("path").endswith(vocab.CLIP_SUFFIX))
     few = clips.mapInArrow(_combined, "path string, ok boolean, seq bigint, n bigint")
     before = None if pool is None else pool.select("path", F.col("seq").cast("bigint").alias("seq")).groupBy("path")
-    return few.groupBy("path").transformWithStateInPandas(ImportedPaths(), TOLD, "Append", "None", initialState=before)
+    return few.groupBy("path").transformWithState(ImportedPaths(), TOLD, "Append", "None", initialState=before)
 
 
 def run_import(paths: DataFrame, folder: str, **kw) -> DataFrame:
