@@ -22,12 +22,11 @@ BLOCK_ITEMS = 50_000
 
 @dataclass(frozen=True)
 class Plan:
-    """Parameters of the search."""
+    """Parameters of the search. Epochs go on until one leaves a block with as many bins as before."""
 
-    islands: int = 3
-    population: int = 3
-    generations: int = 3
-    epochs: int = 2
+    islands: int = 4
+    population: int = 6
+    generations: int = 24
     full: float = 0.97
 
 
@@ -128,78 +127,114 @@ def exact_fill(lengths: list[int], capacity: int, tries: int) -> list[list[int]]
     return bins
 
 
-def worth(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
+def flat_of(bins: list[list[int]], n: int) -> np.ndarray:
+    """The bin of every item."""
+    out = np.zeros(n, dtype=np.int32)
+    for k, b in enumerate(bins):
+        out[b] = k
+    return out
+
+
+def fills(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.bincount(flat, weights=lengths).astype(np.int64)
+
+
+def worth(flat: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first; then uneven filling, which leaves whole bins easier to empty."""
-    fill = [sum(lengths[i] for i in b) / capacity for b in bins]
-    return -len(bins), sum(f * f for f in fill)
+    fill = fills(flat, lengths) / capacity
+    return -len(fill), float((fill * fill).sum())
+
+
+def repack(flat: np.ndarray, loose: np.ndarray, lengths: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+    """Pack the ``loose`` items again: filled exactly as far as that goes, the others best fit into the room of all bins."""
+    items = np.flatnonzero(loose)
+    rest = ~loose
+    used = np.bincount(flat[rest], minlength=1) > 0
+    out = (np.cumsum(used) - 1).astype(np.int32)[np.where(rest, flat, 0)]
+    fill = np.bincount(out[rest], weights=lengths[rest], minlength=int(used.sum())).astype(np.int64).tolist()
+    some = lengths[items].tolist()
+    spare = []
+    for b in exact_fill(some, capacity, rng.randrange(8, 40)):
+        total = sum(some[i] for i in b)
+        if total == capacity:
+            out[items[b]] = len(fill)
+            fill.append(total)
+        else:
+            spare.append((total, b))
+    # a bin that is not full is put away whole where it fits, else it stays a bin with room
+    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
+    mask = 0
+    for k, total in enumerate(fill):
+        rooms[capacity - total].append(k)
+        mask |= 1 << (capacity - total)
+    for total, b in sorted(spare, key=lambda x: -x[0]):
+        for part in [b] if mask >> total else [[i] for i in sorted(b, key=lambda i: -some[i])]:
+            n = sum(some[i] for i in part)
+            fits = mask >> n
+            if fits:
+                room = n + (fits & -fits).bit_length() - 1
+                k = rooms[room].pop()
+                if not rooms[room]:
+                    mask &= ~(1 << room)
+            else:
+                room, k = capacity, len(fill)
+                fill.append(0)
+            out[items[part]] = k
+            rooms[room - n].append(k)
+            mask |= 1 << (room - n)
+    return out
 
 
-def cross(first: list[list[int]], second: list[list[int]], lengths: list[int], capacity: int, full: float, rng: random.Random) -> list[list[int]]:
+def cross(first: np.ndarray, second: np.ndarray, lengths: np.ndarray, capacity: int, full: float, rng: random.Random) -> np.ndarray:
     """A child: whole well-filled bins of ``second`` go into ``first``.
 
     Bins of ``first`` that share an item with them are dissolved, and what they displaced is
-    put back by best fit.
+    packed again.
     """
-    good = [b for b in second if sum(lengths[i] for i in b) >= full * capacity]
-    injected = [b for b in good if rng.random() < 0.3]
-    taken = {i for b in injected for i in b}
-    kept, displaced = [], []
-    for b in first:
-        if any(i in taken for i in b):
-            displaced += [i for i in b if i not in taken]
-        else:
-            kept.append(b)
-    return best_fit(lengths, displaced, [list(b) for b in kept] + [list(b) for b in injected], capacity)
+    draw = np.random.default_rng(rng.getrandbits(64))
+    good = fills(second, lengths) >= full * capacity
+    injected = (good & (draw.random(len(good)) < rng.uniform(0.01, 0.2)))[second]
+    dissolved = np.zeros(int(first.max()) + 1, dtype=bool)
+    dissolved[first[injected]] = True
+    out = np.where(injected, second + len(dissolved), first)
+    return repack(out, dissolved[first] & ~injected, lengths, capacity, rng)
 
 
-def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(flat: np.ndarray, lengths: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
     """Empty the worst-filled bins and a few others and pack their items again."""
-    order = sorted(range(len(bins)), key=lambda k: sum(lengths[i] for i in bins[k]))
-    out = set(order[: max(1, len(order) // 50)]) | {rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 20))}
-    loose = [i for k in out for i in bins[k]]
-    rng.shuffle(loose)
-    return best_fit(lengths, loose, [list(b) for k, b in enumerate(bins) if k not in out], capacity)
+    fill = fills(flat, lengths)
+    out = np.zeros(len(fill), dtype=bool)
+    out[np.argsort(fill, kind="stable")[: max(1, len(fill) // 50)]] = True
+    out[[rng.randrange(len(fill)) for _ in range(max(1, len(fill) // 20))]] = True
+    return repack(flat, out[flat], lengths, capacity, rng)
 
 
-def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, plan: Plan, seed: int) -> list[list[list[int]]]:
+def evolve(sizes: list[int], population: list[np.ndarray], capacity: int, plan: Plan, seed: int) -> list[np.ndarray]:
     """Some generations on one island; ends at once when the lower bound is reached."""
     rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
-    key = lambda bins: worth(bins, lengths, capacity)
-    while len(population) < plan.population and not (population and len(population[-1]) <= least):
-        if (seed + len(population)) % 2:
-            population.append(exact_fill(lengths, capacity, rng.randrange(8, 40)))
-            continue
-        order = sorted(range(len(lengths)), key=lambda i: -lengths[i] + (rng.random() - 0.5) * 30)
-        half = best_fit(lengths, order[: len(order) // 2], [], capacity)
-        population.append(best_fit(lengths, order[len(order) // 2 :], half, capacity))
-    population.sort(key=key, reverse=True)
+    lengths = np.array(sizes, dtype=np.int64)
+    least = -(-sum(sizes) // capacity)
+    held = [(worth(p, lengths, capacity), p) for p in population]
+    while len(held) < plan.population and not (held and -held[-1][0][0] <= least):
+        if (seed + len(held)) % 2:
+            bins = exact_fill(sizes, capacity, rng.randrange(8, 40))
+        else:
+            order = sorted(range(len(sizes)), key=lambda i: -sizes[i] + (rng.random() - 0.5) * 30)
+            half = best_fit(sizes, order[: len(order) // 2], [], capacity)
+            bins = best_fit(sizes, order[len(order) // 2 :], half, capacity)
+        p = flat_of(bins, len(sizes))
+        held.append((worth(p, lengths, capacity), p))
+    held.sort(key=lambda x: x[0], reverse=True)
     for _ in range(plan.generations):
-        if len(population[0]) <= least:
+        if -held[0][0][0] <= least:
             break
-        a, b = rng.sample(population, 2) if len(population) > 1 else (population[0], population[0])
+        (_, a), (_, b) = rng.sample(held, 2) if len(held) > 1 else (held[0], held[0])
         child = mutate(cross(a, b, lengths, capacity, plan.full, rng), lengths, capacity, rng)
-        population = sorted([*population, child], key=key, reverse=True)[: plan.population]
-    return population
-
-
-def _flat(bins: list[list[int]], n: int) -> list[int]:
-    """The bin of every item."""
-    out = [0] * n
-    for k, b in enumerate(bins):
-        for i in b:
-            out[i] = k
-    return out
-
+        held = sorted([*held, (worth(child, lengths, capacity), child)], key=lambda x: x[0], reverse=True)[: plan.population]
+    return [p for _, p in held]
 
-def _bins(flat: list[int]) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(max(flat, default=-1) + 1)]
-    for i, k in enumerate(flat):
-        out[k].append(i)
-    return [b for b in out if b]
 
-
-STATE = "block bigint, island int, lengths array<int>, population array<array<int>>, best int"
+STATE = "block bigint, island int, lengths array<int>, population array<array<int>>, best int, before int"
 STATE_ARROW = pa.schema(
     [
         ("block", pa.int64()),
@@ -207,20 +242,22 @@ STATE_ARROW = pa.schema(
         ("lengths", pa.list_(pa.int32())),
         ("population", pa.list_(pa.list_(pa.int32()))),
         ("best", pa.int32()),
+        ("before", pa.int32()),
     ]
 )
 
 
 def _island_task(capacity: int, plan: Plan, epoch: int):
-    """Evolves each (block, island) row; a row is a block's item lengths and a few packings of them."""
+    """Evolves each (block, island) row whose block is open; a row is a block's item lengths and a few packings of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                held = [_bins(p) for p in row["population"] or []]
-                seed = (row["block"] * plan.epochs + epoch) * plan.islands + row["island"]
-                got = evolve(row["lengths"], held, capacity, plan, seed)
-                row |= {"population": [_flat(b, len(row["lengths"])) for b in got], "best": len(got[0])}
+                if row.pop("open"):
+                    held = [np.array(p, dtype=np.int32) for p in row["population"] or []]
+                    seed = (epoch << 48) + row["block"] * plan.islands + row["island"]
+                    got = evolve(row["lengths"], held, capacity, plan, seed)
+                    row |= {"population": [p.tolist() for p in got], "best": int(got[0].max()) + 1}
                 yield pa.RecordBatch.from_pylist([row], schema=STATE_ARROW)
 
     return run
@@ -230,24 +267,31 @@ def pack_blocks(items: DataFrame, n_items: int, capacity: int, plan: Plan, numbe
     """Pack (item, n) in blocks of about ``BLOCK_ITEMS``: (item, n, block, bin), and the number of blocks.
 
     All islands of a block pack the same items. After an epoch each island gets the elite of
-    its neighbour, for its next crossovers, until every block is at its lower bound.
+    its neighbour, for its next crossovers. A block is closed at its lower bound, or when an
+    epoch has left its best island with as many bins as before.
     """
     blocks = max(1, -(-n_items // BLOCK_ITEMS))
     dealt = items.withColumn("block", F.pmod(F.xxhash64(F.lit(number), "item"), F.lit(blocks)))
     held = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("held"))
     held = stage(held.select("block", F.col("held.item").alias("ids"), F.col("held.n").cast("array<int>").alias("lengths")))
     island = F.explode(F.sequence(F.lit(0), F.lit(plan.islands - 1))).alias("island")
-    state = held.select("block", island, "lengths", F.lit(None).cast("array<array<int>>").alias("population"), F.lit(0).alias("best"))
+    empty = F.lit(None).cast("array<array<int>>").alias("population")
+    state = held.select("block", island, "lengths", empty, F.lit(0).alias("best"), F.lit(0).alias("before"), F.lit(True).alias("open"))
     tasks = min(blocks * plan.islands, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    for epoch in range(plan.epochs):
+    least = F.ceil(F.aggregate(F.first("lengths"), F.lit(0).cast("bigint"), lambda a, n: a + n) / capacity)
+    epoch = 0
+    while True:
         state = stage(state.repartition(tasks, "block", "island").mapInArrow(_island_task(capacity, plan, epoch), STATE))
-        least = F.ceil(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n) / capacity)
-        if epoch + 1 == plan.epochs or state.where(F.col("best") > least).isEmpty():
+        went = state.groupBy("block").agg(F.min("best").alias("now"), F.max("before").alias("was"), least.alias("least"))
+        went = went.select("block", "now", ((F.col("now") > F.col("least")) & ((F.col("was") == 0) | (F.col("now") < F.col("was")))).alias("open"))
+        if went.where("open").isEmpty():
             break
         neighbour = F.pmod(F.col("island") + 1, F.lit(plan.islands)).alias("island")
         elite = state.select("block", neighbour, F.get("population", F.lit(0)).alias("guest"))
-        state = state.join(elite, ["block", "island"])
-        state = state.select("block", "island", "lengths", F.concat(F.array("guest"), "population").alias("population"), "best")
+        state = state.join(elite, ["block", "island"]).join(went, "block")
+        population = F.when(F.col("open"), F.concat(F.array("guest"), "population")).otherwise(F.col("population"))
+        state = state.select("block", "island", "lengths", population.alias("population"), "best", F.col("now").alias("before"), "open")
+        epoch += 1
     best = state.groupBy("block").agg(F.min_by(F.get("population", F.lit(0)), F.struct("best", "island")).alias("bins"))
     rows = held.join(best, "block").select("block", F.inline(F.arrays_zip("ids", "lengths", "bins")))
     return rows.select(F.col("ids").alias("item"), F.col("lengths").alias("n"), "block", F.col("bins").alias("bin")), blocks

@@ -209,6 +209,18 @@ def test_packing(spark, table, odd_docs, monkeypatch):
     assert packing.pack_documents(table([], "doc_id bigint, text string"), VOCABULARY).count() == 0
 
 
+def test_packing_goes_on_while_it_gains(table):
+    rng = random.Random(1)
+    lengths = [rng.randrange(200, 481) for _ in range(3000)]
+    got = packing.place(table(list(enumerate(lengths)), "item bigint, n int"), 1024, packing.Plan()).collect()
+    fill = collections.Counter()
+    for r in got:
+        fill[r.sequence_id] += lengths[r.item]
+    assert len(got) == 3000 and max(fill.values()) <= 1024
+    # best fit has 1,074 and the lower bound is 1,002
+    assert len(fill) <= 1024
+
+
 def test_tokens_are_those_of_the_vocabulary():
     from tokenizers import Tokenizer
 
