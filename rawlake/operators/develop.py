@@ -131,7 +131,7 @@ def _developed(px: np.ndarray, t: dict) -> tuple[bytes | None]:
     return (colour_of(planes, p).tobytes(),)
 
 
-def develop_tiles(
+def _develop(
     tiled: DataFrame,
     params: DataFrame,
     transfer: str | Column,
@@ -140,15 +140,9 @@ def develop_tiles(
     grids: DataFrame | None = None,
     grid_key: str = "clip_id",
     method: str | Column = "bilinear",
+    after=None,
 ) -> DataFrame:
-    """Every tile as ``rgb16``, six bytes per covered pixel (little-endian R, G, B).
-
-    ``params`` comes from :func:`params.frame_params` (or ``clip_params`` with gains) and is
-    attached to tiles, one row per tile. ``transfer``, ``lens_mode`` (Off, Full, ColorOnly)
-    and ``method`` (bilinear; edges, which needs a halo of ``tiles.EDGE_HALO``) are values,
-    or columns of ``params``, so that one run serves jobs with different settings. A tile
-    without parameters, or with an unknown setting, stays and has a null ``rgb16``.
-    """
+    """:func:`develop_tiles`; ``after`` (columns and types to its schema and function) goes on in the same Python step."""
     chosen = {"transfer": transfer, "lens_mode": lens_mode, "method": method}
     chosen = {k: v if isinstance(v, Column) else F.lit(v) for k, v in chosen.items()}
     extra = [c for c in ("sensor_w", "sensor_h", "pattern") if c in params.columns and c not in tiled.columns]
@@ -169,35 +163,70 @@ def develop_tiles(
             "norm_black": F.when(gridded, F.array(*[F.lit(0.0)] * 3)).otherwise(F.col("src_black")),
         }
     )
+    before = None
     if grids is not None:
         for column in ("crop_x", "crop_y"):
             if column not in t.columns:
                 t = t.withColumn(column, F.lit(0))
-        t = lens.correct_tiles(t)
+        before = lens.correction(t)
     drop = [c for c in (*SETTINGS, "lens_mode", "src_black", "src_white", "out_white", "sensor_w", "sensor_h") if c in t.columns]
-    return tiles.over_tiles(t, _developed, [*tiles.GEOMETRY, "pattern", *SETTINGS], drop, {"rgb16": pa.binary()}, "rgb16 binary")
+    if after is not None:
+        after = after({f.name: f.dataType.simpleString() for f in t.schema.fields})
+    need = [*tiles.GEOMETRY, "pattern", *SETTINGS]
+    return tiles.over_tiles(t, _developed, need, drop, {"rgb16": pa.binary()}, "rgb16 binary", before, after)
 
 
-def rgb16_pixels(developed: DataFrame) -> DataFrame:
-    """Long form of developed tiles: a row per pixel with ``y, x, r, g, b``; undeveloped tiles have none."""
-    keep = [c for c in developed.columns if c in ("clip_id", "frame_id")]
+def develop_tiles(
+    tiled: DataFrame,
+    params: DataFrame,
+    transfer: str | Column,
+    key: str = "frame_id",
+    lens_mode: str | Column = "Off",
+    grids: DataFrame | None = None,
+    grid_key: str = "clip_id",
+    method: str | Column = "bilinear",
+) -> DataFrame:
+    """Every tile as ``rgb16``, six bytes per covered pixel (little-endian R, G, B).
+
+    ``params`` comes from :func:`params.frame_params` (or ``clip_params`` with gains) and is
+    attached to tiles, one row per tile. ``transfer``, ``lens_mode`` (Off, Full, ColorOnly)
+    and ``method`` (bilinear; edges, which needs a halo of ``tiles.EDGE_HALO``) are values,
+    or columns of ``params``, so that one run serves jobs with different settings. A tile
+    without parameters, or with an unknown setting, stays and has a null ``rgb16``.
+    """
+    return _develop(tiled, params, transfer, key, lens_mode, grids, grid_key, method)
+
+
+def _long_form(types: dict[str, str]):
+    """(schema, function of batches) of :func:`rgb16_pixels`."""
+    keep = [c for c in types if c in ("clip_id", "frame_id")]
     names = ["y", "x", "r", "g", "b"]
-    schema = ", ".join([*[f"{c} {dict(developed.dtypes)[c]}" for c in keep], *[f"{c} int" for c in names]])
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keep], *[f"{c} int" for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = {c: batch.column(c).to_pylist() for c in ("y0", "x0", "w", "h")}
             for i in range(batch.num_rows):
+                if not batch.column("rgb16")[i].is_valid:
+                    continue
                 codes = np.frombuffer(batch.column("rgb16")[i].as_py(), dtype="<u2").reshape(-1, 3).astype(np.int32)
                 y, x = np.divmod(np.arange(len(codes)), place["w"][i])
                 rows = batch.select(keep).take(pa.array(np.full(len(codes), i)))
                 spots = [pa.array((v + o[i]).astype(np.int32)) for v, o in ((y, place["y0"]), (x, place["x0"]))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *spots, *[pa.array(c) for c in codes.T.copy()]], names=[*keep, *names])
 
+    return schema, run
+
+
+def rgb16_pixels(developed: DataFrame) -> DataFrame:
+    """Long form of developed tiles: a row per pixel with ``y, x, r, g, b``; undeveloped tiles have none."""
+    types = dict(developed.dtypes)
+    schema, run = _long_form(types)
+    keep = [c for c in types if c in ("clip_id", "frame_id")]
     known = developed.where(F.col("rgb16").isNotNull()).select(*keep, "y0", "x0", "w", "h", "rgb16")
     return known.mapInArrow(run, schema)
 
 
 def develop(tiled: DataFrame, params: DataFrame, transfer: str | Column, *args, **kw) -> DataFrame:
     """16-bit RGB as one row per pixel; :func:`develop_tiles` keeps them packed."""
-    return rgb16_pixels(develop_tiles(tiled, params, transfer, *args, **kw))
+    return _develop(tiled, params, transfer, *args, **kw, after=_long_form)

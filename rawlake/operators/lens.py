@@ -75,20 +75,12 @@ def _gains(grid: np.ndarray, gw: int, gh: int, v: np.ndarray, u: np.ndarray) ->
     return top + (bottom - top) * dy
 
 
-def correct_tiles(tiles: DataFrame, levels: bool = True, grid: str = "lens_grid") -> DataFrame:
-    """P3 (``levels``) or P4: correct the stored pixels of every tile.
-
-    Tiles carry ``pattern``, the grid and its size, ``crop_x``/``crop_y`` and
-    ``sensor_w``/``sensor_h``. P3 also needs ``src_black`` (r, g, b),
-    ``src_white`` and ``out_white`` and rescales to ``out_white``; P4 multiplies
-    and clamps to ``out_white``. Tiles without a grid pass unchanged. The grid
-    columns are dropped.
-    """
+def correction(tiles: DataFrame, levels: bool = True, grid: str = "lens_grid"):
+    """What :func:`correct_tiles` does, for use within a longer Python step: (columns it keeps, function of batches)."""
     used = [grid, "grid_w", "grid_h", "sensor_w", "sensor_h"]
     rest = [c for c in tiles.columns if c not in (*used, "px")]
     need = ["oy", "ox", "oh", "ow", "crop_y", "crop_x", "pattern", "out_white", "grid_w", "grid_h", "sensor_w", "sensor_h"]
     need += ["src_black", "src_white"] if levels else []
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema.fields if f.name in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         eps = float(np.finfo(np.float32).eps)
@@ -123,7 +115,21 @@ def correct_tiles(tiles: DataFrame, levels: bool = True, grid: str = "lens_grid"
             arrays.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "px"])
 
-    return tiles.select(*rest, *used, "px").mapInArrow(run, f"{fields}, px array<int>")
+    return rest, run
+
+
+def correct_tiles(tiles: DataFrame, levels: bool = True, grid: str = "lens_grid") -> DataFrame:
+    """P3 (``levels``) or P4: correct the stored pixels of every tile.
+
+    Tiles carry ``pattern``, the grid and its size, ``crop_x``/``crop_y`` and
+    ``sensor_w``/``sensor_h``. P3 also needs ``src_black`` (r, g, b),
+    ``src_white`` and ``out_white`` and rescales to ``out_white``; P4 multiplies
+    and clamps to ``out_white``. Tiles without a grid pass unchanged. The grid
+    columns are dropped.
+    """
+    rest, run = correction(tiles, levels, grid)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema.fields if f.name in rest)
+    return tiles.select(*rest, grid, "grid_w", "grid_h", "sensor_w", "sensor_h", "px").mapInArrow(run, f"{fields}, px array<int>")
 
 
 def corrected(value: Column, gain: Column, black: Column, white: Column, out_white: Column) -> Column:

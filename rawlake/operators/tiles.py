@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from rawlake import vocab
 from rawlake.session import attach
 
+# Tiles of a batch that are worked on at a time.
+PART = 500
 GEOMETRY = ["frame_w", "frame_h", "y0", "x0", "h", "w", "oy", "ox", "oh", "ow"]
 
 
@@ -94,15 +96,20 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def over_tiles(tiles: DataFrame, compute, need: list[str], drop: list[str], made: dict[str, pa.DataType], ddl: str) -> DataFrame:
+def over_tiles(tiles: DataFrame, compute, need: list[str], drop: list[str], made: dict[str, pa.DataType], ddl: str, before=None, after=None) -> DataFrame:
     """One numpy call per tile: ``compute(px, fields)`` gives an array for each column of ``made``.
 
     ``need`` names the columns it reads, ``drop`` those that end here. Work and memory per
-    pixel do not depend on the size of the tile.
+    pixel do not depend on the size of the tile. ``before`` (columns it keeps, function of
+    batches, as of ``lens.correction``) and ``after`` (its schema, function of batches) run in the same
+    Python process, so that a task holds one for all three.
     """
+    whole = tiles
+    if before is not None:
+        tiles = tiles.select(*before[0], "px")
     rest = [c for c in tiles.columns if c not in ("px", *drop)]
-    src = tiles.select(*rest, *[c for c in drop if c in tiles.columns], "px")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name in rest)
+    src = whole if before is not None else tiles.select(*rest, *[c for c in drop if c in tiles.columns], "px")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema.fields if f.name in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +122,13 @@ def over_tiles(tiles: DataFrame, compute, need: list[str], drop: list[str], made
             arrays = [_lists(out[n], k.value_type) if pa.types.is_list(k) else pa.array(out[n], k) for n, k in made.items()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *arrays], names=[*rest, *made])
 
-    return src.mapInArrow(run, f"{fields}, {ddl}")
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # some tiles at a time, as a batch's rows may be ten thousand
+        parts = (batch.slice(at, PART) for batch in batches for at in range(0, batch.num_rows, PART))
+        made_of = run(before[1](parts) if before is not None else parts)
+        return after[1](made_of) if after is not None else made_of
+
+    return src.mapInArrow(steps, after[0] if after is not None else f"{fields}, {ddl}")
 
 
 def cropped(tiles: DataFrame, crops: DataFrame, key: str = "clip_id") -> DataFrame:

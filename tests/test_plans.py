@@ -7,7 +7,7 @@ from rawlake import vocab
 from rawlake.functions import curves, text
 from rawlake.operators import catalog, jobs, timeline
 from rawlake.plans import export, steps
-from rawlake.queries import base
+from rawlake.queries import base, mosaic
 from rawlake.session import attach, small_table
 
 
@@ -137,3 +137,10 @@ def test_no_nested_loops(spark, sf):
     for name in ("p17_tonemap", "o5_phase_order", "j7_preset_batch", "e1_codec_args", "p8_display_colour", "j1_enriched_clips"):
         p = plan(base.QUERIES[name](spark, sf))
         assert "NestedLoop" not in p and "Cartesian" not in p, name
+
+
+def test_develop_holds_two_python_processes_a_task(spark):
+    folder = "/root/testdata/sf0.001"
+    plan = str(mosaic.p11_lens(spark, folder)._jdf.queryExecution().optimizedPlan().toString())
+    # one cuts tiles, one corrects, develops and lays out pixels
+    assert plan.count("MapInArrow") == 2
