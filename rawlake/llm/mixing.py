@@ -1,10 +1,13 @@
-"""LM scoring: online logistic mixing of hashed-context bit predictors, over word spellings.
-
-A text is its words in lower case, each followed by a blank, and one end mark. Word counts
-over all training documents grow with the corpus; the spelling model, of fixed size, gives
-every possible word a probability, bit by bit. A text is coded under each of a few classes
-of texts, as languages are; its words shift the weights of the classes as they are read.
-Counts are exchanged per block of documents, so that a frequent word moves once a block.
+"""LM scoring: online logistic mixing of hashed-context bit predictors, over running text.
+
+A text is its words in lower case, each followed by a blank, and one end mark. It is coded word
+by word: the decisions of a prefix code of the most frequent words, the end and an escape are
+predicted from the counts of all words, the class of the text (as its language), the word before
+and the two words before, mixed by gated weights. Each learner goes through its training texts in
+their order, codes a batch and then learns from it; their counts are added up. An escaped word is
+coded by its own count and its spelling, letter by letter, by a second mixer of the same kind.
+Counts of single words grow with the corpus and are exchanged per block of documents, so that a
+frequent word moves once a block; the tables of both mixers are of fixed size.
 """
 
 from __future__ import annotations
@@ -37,9 +40,15 @@ BLOCK_ROWS = 1000
 SLICE_DOCS = 8_000
 END = b"\n"
 RATIOS = 200
-# Classes of texts, the rounds that fit them at most, and the share of counts over all classes
-# in each class.
-CLASSES, CLASS_ROUNDS, COMMON = 8, 8, 0.05
+# Powers of two of a word's count, whose ratios are kept apart.
+LEVELS = 48
+# Classes of texts and the rounds that fit them at most.
+CLASSES, CLASS_ROUNDS = 8, 8
+# Words of the prefix code at most, slots (bits) of each context of running text, tokens coded at a
+# time, gates of the weights, parts of a table that are added up apart, documents of a learner.
+TOP_WORDS, TEXT_BITS, TEXT_BATCH, TEXT_GATES, TEXT_PARTS, LEARNER_DOCS = (1 << 16) - 2, 21, 8192, 24, 8, 50_000
+CONTEXTS = 3
+ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 # Letters of a text that may start a class at least, and groups that such texts are compared in.
 SEED_LETTERS, SEED_GROUPS = 100, 64
 SPACES = np.zeros(256, dtype=bool)
@@ -346,8 +355,8 @@ def count_words(slices: int, classes: np.ndarray):
 # --- one slice of the vocabulary ----------------------------------------------
 
 VOCABULARY = (
-    "slice int, tokens bigint, words bigint, by_class array<double>, counts binary, shares binary, lengths binary, raw binary, "
-    "blocks array<struct<block: bigint, index: binary>>, tables array<binary>, weights array<double>, ratios array<bigint>"
+    "slice int, tokens bigint, words bigint, by_class array<double>, counts binary, lengths binary, raw binary, "
+    "blocks array<struct<block: bigint, index: binary>>, tables array<binary>, weights array<double>, ratios array<bigint>, top_hashes array<bigint>, top_counts array<bigint>"
 )
 
 
@@ -360,7 +369,9 @@ def learn_slice(table: pa.Table, code: Code, classes: int) -> pa.Table:
     """A slice's words with their counts over all blocks, and an online learner's model of their spellings.
 
     Each training word is coded with what was learned from the words before it, then learned.
-    The ratios of that probability to the word's share of all tokens are kept as a histogram.
+    The ratios of that probability to the word's share of all tokens are kept as a histogram by
+    the size of its count. These spellings are for words outside the prefix code of running text;
+    :func:`learn_text` learns the texts themselves.
     """
     order = np.argsort(np.asarray(table.column("block")), kind="stable")
     hashes = _u(table.column("hashes"), order, "<u8")
@@ -375,8 +386,6 @@ def learn_slice(table: pa.Table, code: Code, classes: int) -> pa.Table:
     by_class = np.bincount(cell, weights=_u(table.column("counts"), order, "<u4"), minlength=len(h) * classes).reshape(-1, classes)
     del pairs, word, cell
     counts = by_class.sum(axis=1).astype(np.int64)
-    # a word's shares of the classes in 255 steps
-    shares = np.round(255 * by_class / np.maximum(counts, 1)[:, None]).astype(np.uint8)
     length = _u(table.column("lengths"), order, "<u4").astype(np.int64)
     starts = (np.cumsum(length) - length)[first]
     lengths = length[first]
@@ -390,7 +399,10 @@ def learn_slice(table: pa.Table, code: Code, classes: int) -> pa.Table:
     # a word met once has no share but by the spelling; others have that of their other tokens
     share = np.where(counts[known] > 1, np.log10(np.maximum(counts[known] - 1, 1)), -9)
     ratio = np.clip(np.round((share - logs) * 8) + RATIOS // 4, 0, RATIOS - 1).astype(np.int64)
-    ratios = np.bincount(ratio, weights=counts[known], minlength=RATIOS).astype(np.int64)
+    level = np.minimum(np.log2(np.maximum(counts[known], 1)).astype(np.int64), LEVELS - 1)
+    ratios = np.bincount(level * RATIOS + ratio, weights=counts[known], minlength=LEVELS * RATIOS).astype(np.int64)
+    top = np.flatnonzero(counts > 1)
+    top = top[np.argsort(-counts[top], kind="stable")[:TOP_WORDS]]
     numbers = table.column("block").to_pylist()
     blocks = [
         {"block": numbers[k], "index": back[x:y].astype("<u4").tobytes()}
@@ -401,15 +413,16 @@ def learn_slice(table: pa.Table, code: Code, classes: int) -> pa.Table:
         "slice": table.column("slice")[0].as_py(),
         "tokens": int(counts.sum()),
         "words": int(known.sum()),
-        "by_class": (counts[:, None] * (shares / 255.0)).sum(axis=0).tolist(),
+        "by_class": by_class.sum(axis=0).tolist(),
         "counts": counts.astype("<i8").tobytes(),
-        "shares": shares.tobytes(),
         "lengths": lengths.astype("<u4").tobytes(),
         "raw": raw.tobytes(),
         "blocks": blocks,
         "tables": tables,
         "weights": model.weights.ravel().astype(float).tolist(),
         "ratios": ratios.tolist(),
+        "top_hashes": h[top].astype("<u8").view("<i8").tolist(),
+        "top_counts": counts[top].tolist(),
     }
     kinds = {
         "slice": pa.int32(),
@@ -420,6 +433,8 @@ def learn_slice(table: pa.Table, code: Code, classes: int) -> pa.Table:
         "weights": pa.list_(pa.float64()),
         "by_class": pa.list_(pa.float64()),
         "ratios": pa.list_(pa.int64()),
+        "top_hashes": pa.list_(pa.int64()),
+        "top_counts": pa.list_(pa.int64()),
     }
     return pa.Table.from_pylist([row], schema=pa.schema([(k, kinds.get(k, pa.binary())) for k in row]))
 
@@ -464,13 +479,16 @@ def merged(vocabulary: DataFrame) -> Model:
     return model
 
 
-def word_share(vocabulary: DataFrame, tokens: int) -> float:
-    """The weight of counted words against spellings that fits the training words best (expectation maximisation)."""
-    rows = vocabulary.select(F.posexplode("ratios").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+def word_share(vocabulary: DataFrame, least: int, rest: int) -> float:
+    """The weight of counts against spellings that fits the escaped training words best (expectation maximisation).
+
+    ``least`` is the count of the rarest word of the prefix code, ``rest`` the number of escaped tokens.
+    """
+    rows = vocabulary.select(F.posexplode("ratios").alias("k", "n")).where(F.col("k") < RATIOS * max(least - 1, 1).bit_length())
     n = np.zeros(RATIOS)
-    for r in rows:
+    for r in rows.groupBy((F.col("k") % RATIOS).alias("k")).agg(F.sum("n").alias("n")).collect():
         n[r["k"]] = r["n"]
-    ratio = 10 ** np.clip((np.arange(RATIOS) - RATIOS // 4) / 8 - np.log10(max(tokens, 2)), -30, 30)
+    ratio = 10 ** np.clip((np.arange(RATIOS) - RATIOS // 4) / 8 - np.log10(max(rest, 2)), -30, 30)
     share = 0.9
     for _ in range(200):
         mine = share * ratio / (share * ratio + 1 - share)
@@ -478,9 +496,208 @@ def word_share(vocabulary: DataFrame, tokens: int) -> float:
     return share
 
 
+# --- running text -------------------------------------------------------------
+
+
+class WordCode:
+    """A prefix code of some words, known by their hashes, and an escape for all others, which is number 0."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        weights = [rest + 0.5, *(counts[order] + 0.5).tolist()]
+        heap = [(w, k) for k, w in enumerate(weights)]
+        heapq.heapify(heap)
+        leaves = len(weights)
+        parent, side, inner = np.zeros(2 * leaves - 1, dtype=np.int64), np.zeros(2 * leaves - 1, dtype=bool), []
+        while len(heap) > 1:
+            (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+            new = leaves + len(inner)
+            parent[[a, b]], side[b] = new, True
+            inner.append(np.log(y / x))
+            heapq.heappush(heap, (x + y, new))
+        root = 2 * leaves - 2
+        # what the counts of words say at each node: the log odds of a one
+        self.odds = np.array(inner, dtype=np.float32)
+        at, steps = np.arange(leaves), []
+        while (at != root).any():
+            steps.append((np.where(at != root, parent[at] - leaves, -1), side[at]))
+            at = np.where(at != root, parent[at], root)
+        nodes = np.array([n for n, _ in steps]).T.reshape(leaves, -1)[:, ::-1]
+        bits = np.array([b for _, b in steps]).T.reshape(leaves, -1)[:, ::-1]
+        on = nodes >= 0
+        self.length = on.sum(axis=1)
+        self.start = np.cumsum(self.length) - self.length
+        self.nodes, self.bits = nodes[on].astype(np.int32), bits[on]
+
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 1, 0)
+
+
+def word_code(vocabulary: DataFrame, tokens: int) -> tuple[WordCode, int, int]:
+    """The prefix code of the most frequent words and the end; the least count of its words, and the tokens it escapes.
+
+    Counts are cut between two sixteenths of a power of two, so that equal counts stay together.
+    """
+    pairs = vocabulary.select(F.inline(F.arrays_zip("top_hashes", "top_counts")))
+    pairs = pairs.withColumn("size", F.floor(16 * F.log2("top_counts")))
+    total, cut = 0, None
+    sizes = sorted(((r["size"], r["count"]) for r in pairs.groupBy("size").count().collect()), reverse=True)
+    for size, n in sizes:
+        if total + n > TOP_WORDS:
+            break
+        total, cut = total + n, size
+    rows = pairs.where(F.col("size") >= F.lit(cut).cast("bigint")).select("top_hashes", "top_counts").toArrow()
+    hashes = np.asarray(rows.column("top_hashes")).astype(np.int64).view(np.uint64)
+    counts = np.asarray(rows.column("top_counts")).astype(np.int64)
+    rest = int(tokens - counts.sum())
+    least = int(counts.min()) if len(counts) else (1 << LEVELS if sizes else 2)
+    if not (hashes == END_HASH).any():
+        hashes, counts = np.append(hashes, END_HASH), np.append(counts, 1)
+    return WordCode(hashes, counts, rest), least, rest
+
+
+@dataclass
+class Running:
+    """Tokens of some texts in their order: number in the prefix code, hashes of contexts, text, and place among the block's words."""
+
+    number: np.ndarray
+    contexts: list[np.ndarray]
+    text: np.ndarray
+    back: np.ndarray
+
+
+def running(h: np.ndarray, back: np.ndarray, text: np.ndarray, of: np.ndarray, code: WordCode) -> Running:
+    """From a block's distinct words ``h``, the place of each word (and, last, of the end) in it, texts and their classes."""
+    n = len(of)
+    size = np.bincount(text, minlength=n) + 1
+    ends = np.cumsum(size) - 1
+    token = np.full(len(text) + n, back[-1])
+    token[np.arange(len(text)) + text] = back[:-1]
+    owner = np.repeat(np.arange(n), size)
+    place = np.arange(len(token)) - (ends - size + 1)[owner]
+    hashes = h[token]
+
+    def earlier(k: int) -> np.ndarray:
+        out = np.zeros(len(hashes), dtype=np.uint64)
+        out[k:] = hashes[: len(hashes) - k]
+        out[place < k] = 0
+        return out
+
+    one = mixed(earlier(1) + np.uint64(2))
+    contexts = [mixed(of.astype(np.uint64) + np.uint64(1))[owner], one, mixed(one * ODD[0] + earlier(2) + np.uint64(3))]
+    return Running(code.number(h)[token], contexts, owner, token)
+
+
+class TextModel:
+    """Counts of every context's slots and gated mixing weights; ``odds`` instead of counts where nothing more is learned."""
+
+    def __init__(self, code: WordCode, odds: list[np.ndarray] | None = None, weights: np.ndarray | None = None):
+        self.code, self.odds = code, odds
+        self.counts = [np.zeros(2 << TEXT_BITS, dtype=np.float32) for _ in range(CONTEXTS if odds is None else 0)]
+        self.weights = np.tile(np.array([0.3, 0.5, 0.2, 0.1], dtype=np.float32), (TEXT_GATES, 1)) if weights is None else weights
+        self.events = 0
+
+    def code_tokens(self, number: np.ndarray, contexts: list[np.ndarray], learn: bool) -> np.ndarray:
+        """log10 probability of each token; its decisions are learned after they were coded."""
+        code = self.code
+        n = code.length[number]
+        token = np.repeat(np.arange(len(number)), n)
+        step = np.arange(len(token)) - (np.cumsum(n) - n)[token]
+        at = code.start[number][token] + step
+        node, bit = code.nodes[at], code.bits[at]
+        spread = (node.astype(np.uint64) + np.uint64(1)) * ODD[1]
+        gate = np.minimum(step, TEXT_GATES - 1)
+        slots, inputs = [], [code.odds[node]]
+        for k, c in enumerate(contexts):
+            slot = ((c[token] ^ spread) * ODD[0] >> np.uint64(64 - TEXT_BITS)).astype(np.int64)
+            slots.append(slot)
+            if self.odds is None:
+                pair = self.counts[k].reshape(-1, 2).take(slot, axis=0) + np.float32(0.4)
+                inputs.append(np.log(pair[:, 1] / pair[:, 0]))
+            else:
+                inputs.append(self.odds[k].take(slot).astype(np.float32))
+        dot = np.clip(sum(x * self.weights[:, k].take(gate) for k, x in enumerate(inputs)), -12, 12)
+        coded = -np.log1p(np.exp(np.where(bit, -dot, dot))) / np.float32(np.log(10))
+        if learn:
+            error = bit - 1 / (1 + np.exp(-dot))
+            seen = np.maximum(np.bincount(gate, minlength=TEXT_GATES), 64)
+            for k, x in enumerate(inputs):
+                self.weights[:, k] += RATE * np.bincount(gate, weights=error * x, minlength=TEXT_GATES) / seen
+            for k, slot in enumerate(slots):
+                np.add.at(self.counts[k], 2 * slot + bit, np.float32(1))
+            self.events += len(bit)
+        return np.bincount(token, weights=coded, minlength=len(number))
+
+    def code_text(self, r: Running, learn: bool = False) -> np.ndarray:
+        """log10 probability of each token of running text, a batch after the other."""
+        out = np.zeros(len(r.number))
+        for at in range(0, len(out), TEXT_BATCH):
+            some = slice(at, at + TEXT_BATCH)
+            out[some] = self.code_tokens(r.number[some], [c[some] for c in r.contexts], learn)
+        return out
+
+
+LEARNED = "part int, pos int, t binary, events bigint, weights array<double>"
+
+
+def learn_text(code, classes: np.ndarray):
+    """An online learner of running text: each batch of a task's texts is coded with what came before it, then learned."""
+    schema = pa.schema([("part", pa.int32()), ("pos", pa.int32()), ("t", pa.binary()), ("events", pa.int64()), ("weights", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = TextModel(code.value)
+        for _, texts, _ in by_block(batches):
+            laid, start, length, text = words_in(texts)
+            h, back = np.unique(np.append(hashes_of(laid, start, length), END_HASH), return_inverse=True)
+            of = (histograms(texts) @ classes.T).argmax(axis=1)
+            model.code_text(running(h, back, text, of, model.code), learn=True)
+        if not model.events:
+            return
+        part = TaskContext.get().partitionId() // 16
+        for k, c in enumerate(model.counts):
+            for j, t in enumerate(np.split(c, TEXT_PARTS)):
+                first = k == j == 0
+                row = [part, k * TEXT_PARTS + j, zlib.compress(t.astype("<u4").tobytes(), 1), model.events if first else 0, model.weights.ravel().astype(float).tolist() if first else []]
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def text_odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The log odds of a one of every slot, in half precision, from added counts."""
+    for batch in batches:
+        for pos, t in zip(batch.column("pos").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            n = np.frombuffer(zlib.decompress(t), dtype=np.uint64).reshape(-1, 2) + 0.4
+            odds = np.log(n[:, 1] / n[:, 0]).astype("<f2")
+            yield pa.RecordBatch.from_arrays([pa.array([pos], pa.int32()), pa.array([zlib.compress(odds.tobytes(), 1)], pa.binary())], names=["pos", "t"])
+
+
+def text_model(rows: DataFrame, n: int, code, classes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(log odds of every context's slots, weights), learned from all training texts by learners whose counts are added up."""
+    spark = rows.sparkSession
+    learners = max(spark.sparkContext.defaultParallelism, -(-n // LEARNER_DOCS))
+    learned = stage(rows.where("train").select("block", "text", "train").coalesce(learners).mapInArrow(learn_text(code, classes), LEARNED))
+    tables, form = learned.select("part", "pos", "t"), "part int, pos int, t binary"
+    for last in (False, True):
+        tables = tables.withColumn("part", F.lit(0)) if last else tables
+        tables = tables.repartition("part", "pos").sortWithinPartitions("part", "pos").mapInArrow(lambda b, first=not last: add_tables(b, first), form)
+    odds = [np.zeros(1 << TEXT_BITS, dtype="<f2") for _ in range(CONTEXTS)]
+    size = (1 << TEXT_BITS) // TEXT_PARTS
+    for r in tables.select("pos", "t").mapInArrow(text_odds, "pos int, t binary").collect():
+        k, j = divmod(r["pos"], TEXT_PARTS)
+        odds[k][j * size : (j + 1) * size] = np.frombuffer(zlib.decompress(r["t"]), "<f2")
+    model = learned.where(F.col("events") > 0).select("events", F.posexplode("weights").alias("pos", "w"))
+    weights = TextModel(code.value, odds).weights
+    for r in model.groupBy("pos").agg((F.sum(F.col("w") * F.col("events")) / F.sum("events")).alias("w")).collect():
+        weights.ravel()[r["pos"]] = r["w"]
+    return odds, weights
+
+
 def spell_words(model, code: Code):
-    """(block, slice, counts, shares, logs) for every block's words of a slice, in order of their hash."""
-    schema = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary()), ("shares", pa.binary()), ("logs", pa.binary())])
+    """(block, slice, counts, logs) for every block's words of a slice, in order of their hash."""
+    schema = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary()), ("logs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -489,7 +706,6 @@ def spell_words(model, code: Code):
             for row in batch.to_pylist():
                 counts = np.frombuffer(row["counts"], "<i8")
                 lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-                shares = np.frombuffer(row["shares"], np.uint8).reshape(len(counts), -1)
                 logs = np.zeros(len(counts), dtype=np.float64)
                 for at, some, n in batches_of(np.frombuffer(row["raw"], np.uint8), lengths):
                     e = events(some, n, code)
@@ -497,18 +713,17 @@ def spell_words(model, code: Code):
                     logs[at] = np.bincount(e.word, weights=np.log10(np.where(e.bit, p, 1 - p)), minlength=len(n))
                 for b in row["blocks"]:
                     index = np.frombuffer(b["index"], "<u4")
-                    out = [b["block"], row["slice"], counts[index].tobytes(), shares[index].tobytes(), logs[index].astype("<f4").tobytes()]
+                    out = [b["block"], row["slice"], counts[index].tobytes(), logs[index].astype("<f4").tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
 
-    return run, "block bigint, slice int, counts binary, shares binary, logs binary"
+    return run, "block bigint, slice int, counts binary, logs binary"
 
 
-def score_block(tokens: int, words: int, share: float, by_class: np.ndarray):
-    """Sums over the tokens of each text of a block, from its words' counts and spellings.
+def score_block(tokens: int, words: int, share: float, rest: int, by_class: np.ndarray, model, classes: np.ndarray):
+    """Scores of each text of a block, from its running text and its words' counts and spellings.
 
-    A text's probability is the sum over the classes of the class's share of the training
-    tokens times the text's probability in it, which is what mixing the classes word by word
-    gives when each word multiplies their weights by its probability there.
+    A text's probability is that of its class (the class's share of the training tokens) times
+    that of its tokens in it.
     """
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -523,23 +738,23 @@ def score_block(tokens: int, words: int, share: float, by_class: np.ndarray):
         if len(h) != len(counts):
             raise ValueError("the documents changed between two readings")
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (words + 1)))
-        shares = _u(replies.column("shares"), order, "u1").reshape(len(counts), -1)
 
         def total(value: np.ndarray) -> np.ndarray:
             return np.bincount(text, weights=value[back[:-1]], minlength=len(texts)) + value[back[-1]]
 
-        overall = counts / max(tokens, 1)
-        of_class = []
-        for k in np.flatnonzero(by_class):
-            counted = (1 - COMMON) * counts * (shares[:, k] / 255.0) / by_class[k] + COMMON * overall
-            of_class.append(np.log10(by_class[k] / by_class.sum()) + total(np.log10(share * counted + (1 - share) * 10.0**logs)))
-        if not of_class:
-            of_class.append(total(logs))
-        best = np.max(of_class, axis=0)
+        of = (histograms(texts) @ classes.T).argmax(axis=1)
+        coder = TextModel(model.value[0], *model.value[1:])
+        r = running(h, back, text, of, coder.code)
+        coded = coder.code_text(r)
+        # a word outside the prefix code: by its count among such words, and its spelling
+        counted = share * counts / rest if rest else 0.0 * counts
+        spelt = np.log10(counted + (1 - share if rest else 1.0) * 10.0 ** np.maximum(logs, -300))
+        coded += np.where(r.number == 0, spelt[r.back], 0.0)
+        of_class = np.log10((by_class + 1) / (by_class + 1).sum())
         sums = {
             "n_known": total((counts > 0).astype(float)),
             "base_score": total(base),
-            "score": best + np.log10((10.0 ** (np.array(of_class) - best)).sum(axis=0)),
+            "score": of_class[of] + np.bincount(r.text, weights=coded, minlength=len(texts)),
         }
         n = np.bincount(text, minlength=len(texts)) + 1
         columns = [
@@ -561,12 +776,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document is held out if crc32 of its id as text leaves ``held_out`` modulo ``folds``;
     a null id counts as an empty text. Tokens are the words in lower case and one end.
-    ``base_score`` is that of smoothed word counts. ``score`` mixes word counts with the
-    spelling model, so that words never seen in training have a probability too;
+    ``base_score`` is that of smoothed word counts. ``score`` is that of the mixers
+    of running text and of spellings, so that words never seen in training have a probability too;
     ``bits_per_byte`` is its cost by UTF-8 byte of the text (null without bytes). A null
     text is empty and has the end only. Repeated rows and ids are rows of their own.
 
-    ``docs`` is read twice and must give the same rows in the same partitions, as a scan of
+    ``docs`` is read several times and must give the same rows in the same partitions, as a scan of
     files does; if it does not, the job fails. Other columns are not carried.
     """
     spark = docs.sparkSession
@@ -586,9 +801,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens, words = total["n"] or 0, total["v"] or 0
     model = spark.sparkContext.broadcast(merged(vocabulary))
     run, form = spell_words(model, code)
-    replies = vocabulary.select("slice", "counts", "shares", "lengths", "raw", "blocks").mapInArrow(run, form)
-    sums = vocabulary.select(F.posexplode("by_class").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
-    run, form = score_block(tokens, words, word_share(vocabulary, tokens), np.array([r["n"] for r in sums]))
+    replies = vocabulary.select("slice", "counts", "lengths", "raw", "blocks").mapInArrow(run, form)
+    sums = vocabulary.select(F.posexplode("by_class").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    by_class = np.zeros(many)
+    for r in sums:
+        by_class[r["k"]] = r["n"]
+    word, least, rest = word_code(vocabulary, tokens)
+    text = text_model(rows, n, spark.sparkContext.broadcast(word), classes)
+    whole = spark.sparkContext.broadcast((word, *text))
+    run, form = score_block(tokens, words, word_share(vocabulary, least, rest), rest, by_class, whole, classes)
     out = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, form)
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / np.log10(2.0) / F.col("n_bytes")).alias("bits_per_byte")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score", bits)

@@ -325,3 +325,37 @@ def test_spellings_are_probabilities():
         starts = np.flatnonzero(np.diff(e.word, prepend=-1))
         total = sum(np.exp(logs[a + skip : b].sum()) for a, b in zip(starts, [*starts[1:], len(logs)], strict=True))
         assert abs(total - 1) < 1e-3
+
+
+def test_scores_follow_the_order_of_words(table):
+    rng = random.Random(4)
+
+    def text():
+        at = rng.randrange(60)
+        return [f"w{(at + k) % 60}" for k in range(40)]
+
+    held = [k for k in range(700) if zlib.crc32(str(k).encode()) % 5 == 1][:100]
+    texts = {k: text() for k in range(700)}
+    for a, b in zip(held[::2], held[1::2], strict=True):
+        texts[b] = texts[a][::-1]
+    rows = [(k, " ".join(w)) for k, w in texts.items()]
+    got = {r.doc_id: r for r in mixing.score_documents(table(rows, "doc_id bigint, text string")).collect()}
+    for a, b in zip(held[::2], held[1::2], strict=True):
+        assert got[a].base_score == pytest.approx(got[b].base_score)
+        assert got[a].score > got[b].score + 20 and got[a].score > got[a].base_score + 20
+
+
+def test_running_text_has_probabilities():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 2**63, 50).astype(np.uint64)
+    code = mixing.WordCode(hashes, rng.integers(1, 1000, 50), 30)
+    assert (code.number(hashes) > 0).all() and code.number(np.array([5], dtype=np.uint64)) == [0]
+    model = mixing.TextModel(code)
+    number = np.arange(3000) % 51
+    contexts = [mixing.mixed(x.astype(np.uint64)) for x in (number % 3, number - number % 7, number // 2)]
+    coded = [model.code_tokens(number, contexts, learn=True).sum() for _ in range(5)]
+    assert coded[-1] > coded[0]
+    # of all words after the same ones, the probabilities sum to one
+    for at in (0, 17, 50):
+        same = [np.repeat(c[at], 51) for c in contexts]
+        assert abs((10 ** model.code_tokens(np.arange(51), same, learn=False)).sum() - 1) < 1e-3
