@@ -46,9 +46,9 @@ LEVELS = 48
 CLASSES, CLASS_ROUNDS = 8, 8
 # Words of the prefix code at most, slots (bits) of each context of running text, tokens coded at a
 # time, gates of the weights, parts of a table that are added up apart, documents of a learner.
-TOP_WORDS, TEXT_BITS, TEXT_BATCH, TEXT_GATES, TEXT_PARTS, LEARNER_DOCS = (1 << 16) - 2, 21, 8192, 24, 8, 50_000
-CONTEXTS = 3
-ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
+TOP_WORDS, TEXT_BITS, TEXT_BATCH, TEXT_GATES, TEXT_PARTS, LEARNER_DOCS = (1 << 16) - 2, 21, 16384, 24, 8, 50_000
+# Bits of a table for the class and for each hashed context.
+TABLES = (16 + (CLASSES - 1).bit_length(), TEXT_BITS, TEXT_BITS)
 # Letters of a text that may start a class at least, and groups that such texts are compared in.
 SEED_LETTERS, SEED_GROUPS = 100, 64
 SPACES = np.zeros(256, dtype=bool)
@@ -232,20 +232,38 @@ def histograms(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def letters_of(rows: DataFrame) -> DataFrame:
+    """The byte counts of all training texts (256 little-endian 32-bit numbers each), written once, as each round reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                h = histograms([t.as_buffer().to_pybytes() for t in batch.column(0).slice(at, 1000)]).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in h], pa.binary())], names=["h"])
+
+    return stage(rows.where("train").select("text").mapInArrow(run, "h binary"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The byte counts of a thousand texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            yield np.frombuffer(b"".join(batch.column(0).slice(at, 1000).to_pylist()), "<u4").reshape(-1, 256).astype(float)
+
+
 def class_sums(rows: DataFrame, logs: np.ndarray) -> np.ndarray:
-    """Byte counts of all training texts by the class that fits each best."""
+    """Byte counts of all training texts, from :func:`letters_of`, by the class that fits each best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(logs.shape, dtype=np.int64)
-        for batch in batches:
-            h = histograms([t.as_buffer().to_pybytes() for t in batch.column(0)])
+        for h in _counted(batches):
             best = (h @ logs.T).argmax(axis=1)
             for k in np.unique(best):
                 sums[k] += h[best == k].sum(axis=0).astype(np.int64)
         of, byte = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(byte, pa.int32()), pa.array(sums[of, byte])], names=["class", "byte", "n"])
 
-    got = rows.where("train").select("text").mapInArrow(run, "class int, byte int, n bigint")
+    got = rows.mapInArrow(run, "class int, byte int, n bigint")
     out = np.zeros(logs.shape)
     for r in got.groupBy("class", "byte").agg(F.sum("n").alias("n")).collect():
         out[r["class"], r["byte"]] = r["n"]
@@ -274,8 +292,7 @@ def seeds(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.zeros((0, 256))
-        for batch in batches:
-            h = histograms([t.as_buffer().to_pybytes() for t in batch.column(0)])
+        for h in _counted(batches):
             h = np.concatenate([kept, h[h.sum(axis=1) >= SEED_LETTERS]])
             kept = farthest(h, mean) if len(h) else kept
         yield pa.RecordBatch.from_arrays(packed(TaskContext.get().partitionId() % SEED_GROUPS, kept), schema=schema)
@@ -285,7 +302,7 @@ def seeds(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
         return pa.Table.from_arrays(packed(part, farthest(unpacked(table.column("h")), mean)), schema=schema)
 
     form = "part int, h binary"
-    got = rows.where("train").select("text").mapInArrow(run, form).groupBy("part").applyInArrow(again, form).toArrow()
+    got = rows.mapInArrow(run, form).groupBy("part").applyInArrow(again, form).toArrow()
     h = unpacked(got.column("h"))
     return farthest(h, mean) if len(h) else h
 
@@ -294,8 +311,9 @@ def fit_classes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Byte distributions (log) of the classes, and byte counts, from all training texts.
 
     Hard expectation maximisation, started from the mean and texts that lie far from each
-    other. A round reads all training texts; the counts by class and byte reach the driver.
+    other. A round reads the byte counts of all training texts; the counts by class and byte reach the driver.
     """
+    rows = letters_of(rows)
     letters = class_sums(rows, np.zeros((1, 256)))[0]
     if not letters.sum():
         return np.full((1, 256), -np.log(256)), letters
@@ -523,12 +541,14 @@ class WordCode:
         while (at != root).any():
             steps.append((np.where(at != root, parent[at] - leaves, -1), side[at]))
             at = np.where(at != root, parent[at], root)
-        nodes = np.array([n for n, _ in steps]).T.reshape(leaves, -1)[:, ::-1]
-        bits = np.array([b for _, b in steps]).T.reshape(leaves, -1)[:, ::-1]
-        on = nodes >= 0
-        self.length = on.sum(axis=1)
-        self.start = np.cumsum(self.length) - self.length
-        self.nodes, self.bits = nodes[on].astype(np.int32), bits[on]
+        # by step from the root: the node and the bit of each leaf
+        self.length = sum(n >= 0 for n, _ in steps)
+        self.nodes, self.bits = np.zeros((len(steps), leaves), dtype=np.int32), np.zeros((len(steps), leaves), dtype=bool)
+        leaf = np.arange(leaves)
+        for k, (node, bit) in enumerate(steps):
+            on = node >= 0
+            self.nodes[(self.length - 1 - k)[on], leaf[on]], self.bits[(self.length - 1 - k)[on], leaf[on]] = node[on], bit[on]
+        self.spread = (mixed(np.arange(len(inner)).astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -560,7 +580,7 @@ def word_code(vocabulary: DataFrame, tokens: int) -> tuple[WordCode, int, int]:
 
 @dataclass
 class Running:
-    """Tokens of some texts in their order: number in the prefix code, hashes of contexts, text, and place among the block's words."""
+    """Tokens of some texts in their order: number in the prefix code, class and hashes of the other contexts, text, and place among the block's words."""
 
     number: np.ndarray
     contexts: list[np.ndarray]
@@ -586,8 +606,9 @@ def running(h: np.ndarray, back: np.ndarray, text: np.ndarray, of: np.ndarray, c
         return out
 
     one = mixed(earlier(1) + np.uint64(2))
-    contexts = [mixed(of.astype(np.uint64) + np.uint64(1))[owner], one, mixed(one * ODD[0] + earlier(2) + np.uint64(3))]
-    return Running(code.number(h)[token], contexts, owner, token)
+    two = mixed(one * np.uint64(0x9E3779B97F4A7C15) + earlier(2) + np.uint64(3))
+    hashed = [(c >> np.uint64(32)).astype(np.uint32) for c in (one, two)]
+    return Running(code.number(h)[token], [of[owner], *hashed], owner, token)
 
 
 class TextModel:
@@ -595,40 +616,45 @@ class TextModel:
 
     def __init__(self, code: WordCode, odds: list[np.ndarray] | None = None, weights: np.ndarray | None = None):
         self.code, self.odds = code, odds
-        self.counts = [np.zeros(2 << TEXT_BITS, dtype=np.float32) for _ in range(CONTEXTS if odds is None else 0)]
+        self.counts = [np.zeros(2 << bits, dtype=np.float32) for bits in (TABLES if odds is None else ())]
         self.weights = np.tile(np.array([0.3, 0.5, 0.2, 0.1], dtype=np.float32), (TEXT_GATES, 1)) if weights is None else weights
         self.events = 0
 
     def code_tokens(self, number: np.ndarray, contexts: list[np.ndarray], learn: bool) -> np.ndarray:
-        """log10 probability of each token; its decisions are learned after they were coded."""
-        code = self.code
-        n = code.length[number]
-        token = np.repeat(np.arange(len(number)), n)
-        step = np.arange(len(token)) - (np.cumsum(n) - n)[token]
-        at = code.start[number][token] + step
-        node, bit = code.nodes[at], code.bits[at]
-        spread = (node.astype(np.uint64) + np.uint64(1)) * ODD[1]
-        gate = np.minimum(step, TEXT_GATES - 1)
-        slots, inputs = [], [code.odds[node]]
-        for k, c in enumerate(contexts):
-            slot = ((c[token] ^ spread) * ODD[0] >> np.uint64(64 - TEXT_BITS)).astype(np.int64)
-            slots.append(slot)
-            if self.odds is None:
-                pair = self.counts[k].reshape(-1, 2).take(slot, axis=0) + np.float32(0.4)
-                inputs.append(np.log(pair[:, 1] / pair[:, 0]))
-            else:
-                inputs.append(self.odds[k].take(slot).astype(np.float32))
-        dot = np.clip(sum(x * self.weights[:, k].take(gate) for k, x in enumerate(inputs)), -12, 12)
-        coded = -np.log1p(np.exp(np.where(bit, -dot, dot))) / np.float32(np.log(10))
-        if learn:
-            error = bit - 1 / (1 + np.exp(-dot))
-            seen = np.maximum(np.bincount(gate, minlength=TEXT_GATES), 64)
-            for k, x in enumerate(inputs):
-                self.weights[:, k] += RATE * np.bincount(gate, weights=error * x, minlength=TEXT_GATES) / seen
+        """log10 probability of each token, or 0 where the decisions are learned: those of a step once all of them were predicted."""
+        code, out = self.code, np.zeros(len(number))
+        # longest codes first, so that each step is for the first ones; no two steps share a node
+        order = np.argsort(-code.length[number], kind="stable")
+        number, contexts = number[order], [c[order] for c in contexts]
+        shorter = -code.length[number]
+        for step in range(-shorter[0] if len(shorter) else 0):
+            m = int(np.searchsorted(shorter, -step))
+            node, bit = code.nodes[step].take(number[:m]), code.bits[step].take(number[:m])
+            spread = code.spread.take(node)
+            slots = [(contexts[0][:m] << 16) + node, *[((c[:m] ^ spread) >> np.uint32(32 - TEXT_BITS)).astype(np.int64) for c in contexts[1:]]]
+            inputs = [code.odds.take(node)]
+            for k, slot in enumerate(slots):
+                if self.odds is None:
+                    # both counts of a slot are read as one number
+                    pair = self.counts[k].view(np.int64).take(slot).view(np.float32).reshape(-1, 2) + np.float32(0.4)
+                    inputs.append(np.log(pair[:, 1] / pair[:, 0]))
+                else:
+                    inputs.append(self.odds[k].take(slot).astype(np.float32))
+            weights = self.weights[min(step, TEXT_GATES - 1)]
+            dot = np.clip(sum(x * w for x, w in zip(inputs, weights, strict=True)), -12, 12)
+            if not learn:
+                out[:m] -= np.log(1 + np.exp(np.where(bit, -dot, dot)))
+                continue
+            p = 1 / (1 + np.exp(-dot))
+            error = bit - p
+            weights += RATE / max(m, 64) * np.array([x @ error for x in inputs], dtype=np.float32)
+            ones = np.ones(m, dtype=np.float32)
             for k, slot in enumerate(slots):
-                np.add.at(self.counts[k], 2 * slot + bit, np.float32(1))
-            self.events += len(bit)
-        return np.bincount(token, weights=coded, minlength=len(number))
+                np.add.at(self.counts[k], 2 * slot + bit, ones)
+            self.events += m
+        back = np.empty(len(out))
+        back[order] = out / np.log(10)
+        return back
 
     def code_text(self, r: Running, learn: bool = False) -> np.ndarray:
         """log10 probability of each token of running text, a batch after the other."""
@@ -683,11 +709,10 @@ def text_model(rows: DataFrame, n: int, code, classes: np.ndarray) -> tuple[list
     for last in (False, True):
         tables = tables.withColumn("part", F.lit(0)) if last else tables
         tables = tables.repartition("part", "pos").sortWithinPartitions("part", "pos").mapInArrow(lambda b, first=not last: add_tables(b, first), form)
-    odds = [np.zeros(1 << TEXT_BITS, dtype="<f2") for _ in range(CONTEXTS)]
-    size = (1 << TEXT_BITS) // TEXT_PARTS
+    odds = [np.zeros(1 << bits, dtype="<f2") for bits in TABLES]
     for r in tables.select("pos", "t").mapInArrow(text_odds, "pos int, t binary").collect():
         k, j = divmod(r["pos"], TEXT_PARTS)
-        odds[k][j * size : (j + 1) * size] = np.frombuffer(zlib.decompress(r["t"]), "<f2")
+        np.split(odds[k], TEXT_PARTS)[j][:] = np.frombuffer(zlib.decompress(r["t"]), "<f2")
     model = learned.where(F.col("events") > 0).select("events", F.posexplode("weights").alias("pos", "w"))
     weights = TextModel(code.value, odds).weights
     for r in model.groupBy("pos").agg((F.sum(F.col("w") * F.col("events")) / F.sum("events")).alias("w")).collect():
